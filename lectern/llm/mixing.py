@@ -6,8 +6,8 @@ off there is shared again by weight among the others. Within a source, documents
 hash-random keys; keys are cut into ranges of some ``per_range`` documents, so that each
 (source, range) is small whatever the source's size, ranges are sorted on their own, and prefix
 sums of ranges and of rows inside a range give each document's place. Whole epochs are taken
-first; in the last one the documents up to the budget are taken (the one across the cut belongs
-to the nearer side, so a source misses its target by half a document at most).
+first; in the last one the documents up to the budget are taken, and of the one across the cut
+the words up to it, so that a source gives its target to the word.
 
 Defined cases: null text has size 0 and takes 0; a null source is a source of its own; a source
 without words has target 0; repeated rows are documents of their own (equal keys are ordered by
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, cut, words_of
+from lectern.llm.common import cut, words_of
 
 #: Weights of sources in order, repeating (fixed by the contract).
 WEIGHTS = (5, 2, 1)
@@ -55,8 +55,8 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> D
     return per.select("source", "source_size", F.least(F.col("weight") * F.lit(level), F.col("top")).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 42, per_range: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, size, source_size, target, taken, epoch columns) of every row, plus ``source``.
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 42, per_range: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, source, size, source_size, target, taken) of every row.
 
     ``taken`` is the number of words the mix takes of the document, repeats counted.
     """
@@ -76,7 +76,6 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 42,
     placed = keyed.withColumn("inside", inside).join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range")))
     start = F.col("offset") + F.col("inside")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("target") - epochs * F.col("source_size")
-    last = (F.col("size") > 0) & (start + F.col("size") / 2 <= rest)
-    copies = epochs + last.cast("long")
-    return placed.select(F.col("doc_id").alias(id_col), F.col("source"), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    rest = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long")
+    taken = epochs * F.col("size") + F.least(F.greatest(rest - start, F.lit(0)), F.col("size"))
+    return placed.select(F.col("doc_id").alias(id_col), F.col("source"), "size", "source_size", "target", taken.alias("taken"))

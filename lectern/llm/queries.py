@@ -14,6 +14,12 @@ def _piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.toxicity import toxicity_digest
+
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.quality import quality
 
@@ -38,5 +44,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_sentencepiece, op7_source_mixing, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op5_sentencepiece, op7_source_mixing, op9_pii)}
 ORACLE_SQL: dict[str, str] = {}
