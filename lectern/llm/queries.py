@@ -26,6 +26,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.language import language_digest
+
+    return language_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.pieces import piece_digests
 
@@ -44,5 +50,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op5_sentencepiece, op7_source_mixing, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language, op5_sentencepiece, op7_source_mixing, op9_pii)}
 ORACLE_SQL: dict[str, str] = {}
