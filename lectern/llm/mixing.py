@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> D
     return per.select("source", "source_size", F.least(F.col("weight") * F.lit(level), F.col("top")).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 42, per_range: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 42, per_range: int = 2_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, source, size, source_size, target, taken) of every row.
 
     ``taken`` is the number of words the mix takes of the document, repeats counted.
