@@ -44,11 +44,17 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.pii import pii_digest
 
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language, op5_sentencepiece, op7_source_mixing, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language, op5_sentencepiece, op7_source_mixing, op8_nearest, op9_pii)}
 ORACLE_SQL: dict[str, str] = {}
