@@ -56,5 +56,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language, op5_sentencepiece, op7_source_mixing, op8_nearest, op9_pii)}
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.licences import licence_digest
+
+    return licence_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language, op5_sentencepiece, op7_source_mixing, op8_nearest, op9_pii, op10_licences)}
 ORACLE_SQL: dict[str, str] = {}
