@@ -38,6 +38,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), _piece_model())
 
 
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.pseudo import pseudo_likelihood
+
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.mixing import mix
 
@@ -62,5 +68,5 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language, op5_sentencepiece, op7_source_mixing, op8_nearest, op9_pii, op10_licences)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language, op5_sentencepiece, op6_pseudo_likelihood, op7_source_mixing, op8_nearest, op9_pii, op10_licences)}
 ORACLE_SQL: dict[str, str] = {}
