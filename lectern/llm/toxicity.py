@@ -131,9 +131,10 @@ def train(texts: list[str], labels: list[int], rounds: int = 6, rate: float = 0.
     vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
     words = list(vocabulary)
     wi, fi = word_features(words, DIMS, LENGTHS)
-    order = np.argsort(wi, kind="stable")
-    fi = fi[order]
+    order = np.argsort(wi.astype(np.int32), kind="stable")
+    fi = fi.astype(np.int32)[order]
     starts = np.searchsorted(wi[order], np.arange(len(words) + 1))
+    del wi, order
     # document frequency of features by class
     df = np.zeros((2, DIMS))
     members = [np.array([vocabulary[w] for w in d], np.int64) for d in docs]
@@ -182,7 +183,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 6, rate: float = 0.
     return ToxicityModel(weights.astype(np.float32), scale, bias, floor)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = 6000, folds: int = 4, held_out: int = 2) -> list:
+def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = 4000, folds: int = 4, held_out: int = 2) -> list:
     """At most ``max_train`` labelled (text, toxic) rows outside the held-out fold, by hash of the id."""
     known = labels.select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and l_id is not null").where(fold_of(F.col("l_id"), folds) != held_out)
     # the sample is drawn among ids, texts are joined to it afterwards
@@ -192,7 +193,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = 6000, fol
     return rows.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_train).select("text", "toxic").collect()
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 4000) -> ToxicityModel:
     rows = training_rows(docs, labels, max_train)
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
@@ -212,7 +213,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     return slim.mapInArrow(run, StructType([*slim.schema.fields, StructField("score", DoubleType())]))
 
 
-def toxicity_digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = 6000) -> DataFrame:
+def toxicity_digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = 4000) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = score_toxicity(slim, fit(slim, labels, max_train))
