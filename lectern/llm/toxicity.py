@@ -198,8 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 4000) -> ToxicityMo
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of ``docs`` (id, text and ``keep``) with ``score``."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out_col: str = "score") -> DataFrame:
+    """Rows of ``docs`` (id, text and ``keep``) with the score in ``out_col``."""
     spread = docs.sparkSession.sparkContext.broadcast(model)  # DIMS numbers, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +207,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 part = b.slice(s, 500)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.score(part[text_col].to_pylist()), pa.float64())], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.score(part[text_col].to_pylist()), pa.float64())], [*part.schema.names, out_col])
 
     slim = docs.select(*dict.fromkeys([id_col, text_col, *keep]))
-    return slim.mapInArrow(run, StructType([*slim.schema.fields, StructField("score", DoubleType())]))
+    return slim.mapInArrow(run, StructType([*slim.schema.fields, StructField(out_col, DoubleType())]))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = 4000) -> DataFrame:
