@@ -8,16 +8,18 @@ subsets of exactly that many elements. Sets that meet in such a subset are linke
 left to verify.
 
 Large sets go through inverted lists. Elements are ordered by hash; two linked sets share an
-element among the first few of each. Lists up to ``long_list`` sets are scanned. Members of longer
-lists (a passage that thousands of texts share, a large group of near copies) write fragments
-instead: the elements are dealt by hash into one part more than linked sets of their sizes can
-differ by, so linked sets agree on some whole part, and sets that only share a passage hardly do.
-
-Scanning a list takes two rounds. First all members are compared with one of them. Then, lists
-whose members all ended in one component are done, and the others compare members of different
-components. This loses no component: only comparisons inside a component are left out. Before
-sets are compared, sizes and the distance of 64-cell histograms (a lower bound of the symmetric
-difference) exclude most pairs exactly.
+element among the first few of each. A list longer than ``long_list`` (a passage that thousands
+of texts share) is left out: its element counts as one that comes last in the order, and since
+every set writes some spare elements, most sets still have as many short lists as they need.
+Those that don't (members of a large group of near copies) also write fragments: the elements
+are dealt by hash into one part more than linked sets of their sizes can differ by, so linked
+sets agree on some whole part, and sets that only share a passage hardly do.
+
+Before sets are compared, sizes and the distance of 64-cell histograms (a lower bound of the
+symmetric difference) exclude most pairs exactly. Sets are compared in two rounds: first each
+with one candidate partner, and the members of a fragment's list with one of them; then, as most
+candidates now lie inside one component, only those in different components. Comparisons inside
+a component can't change it, so nothing is lost.
 
 The boundary between small and large is the size for which the number of subsets written plus
 ``list_cost`` times the number of list entries written is least, from the counts of sets by size.
@@ -86,6 +88,12 @@ def probe_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def written_length(n: int, percent: int) -> int:
+    """First elements that a set writes: those above, and spare ones for elements with long lists."""
+    p = probe_length(n, percent)
+    return min(n, p + 3 * p // 10 + 12)
+
+
 def index_length(n: int, percent: int) -> int:
     """First elements that must meet those of a linked set not smaller."""
     return n - overlap(n, n, percent) + 1
@@ -184,7 +192,7 @@ def _class(s: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n, node (class of equal sets), keys (first elements), cells (histogram), small (the set, if small)."""
+    """Per row: doc_id, n, node (class of equal sets), cells (histogram), small (the set, if small)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,14 +202,13 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 cells = [np.minimum(127, np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS)).astype(np.int8) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b["doc_id"].slice(start, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()),
-                        pa.array([x[: probe_length(len(x), percent)] if len(x) else None for x in signed], pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int8())),
+                        b["doc_id"].slice(start, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), pa.array(cells, pa.list_(pa.int8())),
                         pa.array([x if 0 < len(x) <= SMALL_MOST else None for x in signed], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n", "node", "keys", "cells", "small"],
+                    ["doc_id", "n", "node", "cells", "small"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, keys array<long>, cells array<byte>, small array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, cells array<byte>, small array<long>")
 
 
 def _subset_links(classes: DataFrame, most: int, percent: int) -> DataFrame:
@@ -285,43 +292,40 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, long_l
     classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"))
     sizes = {r["n"]: r["c"] for r in classes.where(F.col("n") <= 4 * SMALL_MOST).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     most = boundary(sizes, percent, list_cost)
-    # what a class needs further on, once per class
-    plain = rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("cells").alias("cells"), F.any_value("small").alias("small"))
-    plain = cut(plain)
-    exact = cut(_subset_links(plain, most, percent))
+    plain = cut(rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.any_value("cells").alias("cells"), F.any_value("small").alias("small")))
     about = plain.select("node", F.col("n").alias("size"), "cells")
-    # inverted lists of large sets: (key, node, n, whether the key is among the node's first for larger partners)
-    large = plain.where(F.col("n") > most)
-    entry = large.select("node", "n", F.posexplode("keys").alias("at", "key"))
-    lead = F.col("at") < F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
-    entry = entry.select("key", "node", "n", lead.alias("lead"))
-    lists = cut(entry.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    exact = cut(_subset_links(plain, most, percent))
+    # inverted lists of large sets
+    entry = cut(_entries(slim, classes.where(F.col("n") > most), words, percent, bits))
+    lists = entry.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = cut(entry.join(lists, "key"))
-    short = met.where(F.col("members") <= long_list).select("key", "node", "n", "lead")
-    busy = met.where(F.col("members") > long_list).select("node").distinct()
-    wanted = (short.select("node").distinct().withColumn("busy", F.lit(False)).unionByName(busy.withColumn("busy", F.lit(True))).groupBy("node").agg(F.max("busy").alias("busy")))
+    needed = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    written = F.least(F.col("n"), needed + F.floor(3 * needed / 10) + 12)
+    lost = met.where(F.col("members") > long_list).groupBy("node").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("lost"))
+    busy = cut(lost.where(written - F.col("lost") < needed).select("node"))
+    # the smaller one meets in its first elements; up to written - needed of those before may have long lists
+    lead = F.col("at") < F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1 + written - needed
+    short = cut(met.where(F.col("members") <= long_list).join(about.select("node", "cells"), "node").select("key", "node", "n", lead.alias("lead"), "cells"))
+    pairs = cut(_candidates(short, percent))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().withColumn("busy", F.lit(False)).unionByName(busy.withColumn("busy", F.lit(True)))
+    wanted = wanted.groupBy("node").agg(F.max("busy").alias("busy"))
     sets = _whole_sets(slim, wanted.join(classes.select("node", "first"), "node"), words, bits)
-    fragment = sets.where("busy").mapInArrow(_write_fragments(percent), "key long, node long, n long")
-    entry2 = cut(fragment)
-    lists2 = cut(entry2.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    met2 = entry2.join(lists2, "key").select("key", "node", "n", F.lit(True).alias("lead"))
-    met = cut(short.unionByName(met2))
-    # first round: each list against one of its members
-    pivot = met.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("an"))
-    stars = met.join(pivot, "key").where((F.col("a") != F.col("node")) & _fits(F.col("an"), F.col("n"), percent)).select("a", F.col("node").alias("b")).distinct()
-    first = cut(_verified(_near(stars, about, percent), sets, percent))
-    links = cut(exact.unionByName(first))
+    # lists of fragments
+    piece = cut(sets.where("busy").mapInArrow(_write_fragments(percent), "key long, node long, n long"))
+    met2 = cut(piece.join(piece.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key"), "key"))
+    # first round: each node with its smallest candidate, each fragment's list with one of its members
+    pivot = met2.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("an"))
+    stars = met2.join(pivot, "key").where((F.col("a") != F.col("node")) & _fits(F.col("an"), F.col("n"), percent)).select("a", F.col("node").alias("b")).distinct()
+    chosen = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(_near(stars, about, percent)).distinct()
+    links = cut(exact.unionByName(_verified(chosen, sets, percent)))
     parts = components(links)
-    # second round: lists that still hold several components
-    grouped = met.join(parts, "node", "left").select("key", "node", "n", "lead", F.coalesce("part", "node").alias("part"))
-    grouped = cut(grouped)
+    # second round: candidates in different components
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
+    rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
+    grouped = cut(met2.join(parts, "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part")))
     open_lists = grouped.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
-    rest = cut(grouped.join(open_lists, "key").join(about.drop("size"), "node"))
-    one = rest.select("key", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "lead", "part", "cells")])
-    two = rest.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "lead", "part", "cells")])
-    apart = (F.col("a_part") != F.col("b_part")) & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node")))) & F.col("a_lead")
-    crossed = one.join(two, (one["key"] == two["key"]) & apart & _may_link(F.col("a_n"), F.col("b_n"), F.col("a_cells"), F.col("b_cells"), percent))
-    second = cut(_verified(crossed.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), sets, percent))
+    still = cut(grouped.join(open_lists, "key").join(about.select("node", "cells"), "node").withColumn("lead", F.lit(True)))
+    second = cut(_verified(rest.unionByName(_candidates(still, percent)).distinct(), sets, percent))
     if second.limit(1).count():
         parts = components(links.unionByName(second))
     # classes to components to the smallest id
@@ -332,6 +336,54 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, long_l
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _candidates(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a < b) that meet in a list (key, node, n, lead, cells[, part]) and may link; with
+    ``part`` only of different components."""
+    names = ["node", "n", "lead", "cells", *(["part"] if "part" in members.columns else [])]
+    one = members.select(F.col("key").alias("a_key"), *[F.col(c).alias(f"a_{c}") for c in names])
+    two = members.select(F.col("key").alias("b_key"), *[F.col(c).alias(f"b_{c}") for c in names])
+    order = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node")))
+    test = (F.col("a_key") == F.col("b_key")) & F.col("a_lead") & order & _may_link(F.col("a_n"), F.col("b_n"), F.col("a_cells"), F.col("b_cells"), percent)
+    if "part" in members.columns:
+        test = test & (F.col("a_part") != F.col("b_part"))
+    return one.join(two, test).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
+def _near(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    left = about.select(F.col("node").alias("a"), F.col("size").alias("an"), F.col("cells").alias("ac"))
+    right = about.select(F.col("node").alias("b"), F.col("size").alias("bn"), F.col("cells").alias("bc"))
+    both = pairs.join(right, "b").join(left, "a")
+    return both.where(_may_link(F.col("an"), F.col("bn"), F.col("ac"), F.col("bc"), percent)).select("a", "b")
+
+
+def _chosen_rows(flags, bits: int, b: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows whose id's bit is set, or that have no id."""
+    place = np.mod(pc.fill_null(b["doc_id"], 0).to_numpy(), bits)
+    hit = pa.array((flags[place // 8] >> (place % 8).astype(np.uint8)) & 1 == 1)
+    return b.filter(pc.or_(hit, b["doc_id"].is_null()))
+
+
+def _entries(slim: DataFrame, classes: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
+    """(key, node, n, at) of the first elements of each class (node, n, first), made from the row of its
+    smallest id. A row that only shares a bit with such an id repeats its class's entries, which
+    makes no new pair."""
+    flags = slim.sparkSession.sparkContext.broadcast(_bitmap(classes, bits))  # bits / 8 bytes
+    least = classes.agg(F.min("n")).first()[0] or 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = flags.value
+        for b in batches:
+            for _, part in _slices(_chosen_rows(mask, bits, b)):
+                sets = [s for s in (shingle_set(t, words) for t in part) if len(s) >= least]
+                keys = [s[: written_length(len(s), percent)].view(np.int64) for s in sets]
+                if keys:
+                    sizes = [len(k) for k in keys]
+                    at = np.concatenate([np.arange(n) for n in sizes])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array([_class(s) for s in sets]), sizes)), pa.array(np.repeat(np.array([len(s) for s in sets]), sizes)), pa.array(at.astype(np.int32))], ["key", "node", "n", "at"])
+
+    return slim.mapInArrow(run, "key long, node long, n long, at int")
+
+
 def _whole_sets(slim: DataFrame, wanted: DataFrame, words: int, bits: int) -> DataFrame:
     """(node, elements, busy) of the wanted (node, busy, first), made again from the texts.
 
@@ -344,9 +396,7 @@ def _whole_sets(slim: DataFrame, wanted: DataFrame, words: int, bits: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = flags.value
         for b in batches:
-            place = np.mod(pc.fill_null(b["doc_id"], 0).to_numpy(), bits)
-            hit = pa.array((mask[place // 8] >> (place % 8).astype(np.uint8)) & 1 == 1)
-            b = b.filter(pc.or_(hit, b["doc_id"].is_null()))
+            b = _chosen_rows(mask, bits, b)
             for start, part in _slices(b):
                 sets = [shingle_set(t, words) for t in part]
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(start, len(part)), pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "made", "elements"])
@@ -356,13 +406,6 @@ def _whole_sets(slim: DataFrame, wanted: DataFrame, words: int, bits: int) -> Da
     return cut(found.select("node", "busy", "elements").dropDuplicates(["node"]))
 
 
-def _near(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
-    left = about.select(F.col("node").alias("a"), F.col("size").alias("an"), F.col("cells").alias("ac"))
-    right = about.select(F.col("node").alias("b"), F.col("size").alias("bn"), F.col("cells").alias("bc"))
-    both = pairs.join(right, "b").join(left, "a")
-    return both.where(_may_link(F.col("an"), F.col("bn"), F.col("ac"), F.col("bc"), percent)).select("a", "b")
-
-
 def _write_fragments(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
