@@ -1,0 +1,86 @@
+"""An index on plain Parquet whose documents can be replaced: append-only generations.
+
+Every change writes the touched documents' pages as a new generation and a new registry of what is
+live (fp, generation, path, page_count, last_indexed); then a one-line CURRENT file names the
+registry. Readers keep the pages whose (fp, generation) is live, so they never see half a
+change, and nothing that is being read is overwritten. One writer at a time. A change that was
+already published (same ``change_id``) is skipped, so a repeated micro-batch does no harm.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+REGISTRY = "fp string, generation string, path string, page_count long, last_indexed timestamp"
+PAGES = "fp string, path string, page_index int, text string"
+
+
+class IndexStore:
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _read(self, name: str) -> str | None:
+        at = self._path(f"{self.folder}/{name}")
+        if not self._fs.exists(at):
+            return None
+        return self.spark.read.option("wholetext", "true").text(f"{self.folder}/{name}").first()[0].strip()
+
+    def _publish(self, name: str) -> None:
+        temporary, final = self._path(f"{self.folder}/.CURRENT-{uuid.uuid4().hex}"), self._path(f"{self.folder}/CURRENT")
+        out = self._fs.create(temporary, True)
+        out.write(bytearray(name.encode()))
+        out.close()
+        if self._fs.exists(final):
+            self._fs.delete(final, False)
+        self._fs.rename(temporary, final)
+
+    def registry(self) -> DataFrame:
+        name = self._read("CURRENT")
+        if name is None:
+            return self.spark.createDataFrame([], REGISTRY)
+        return self.spark.read.schema(REGISTRY).parquet(f"{self.folder}/registry/{name}")
+
+    def pages(self) -> DataFrame:
+        if self._read("CURRENT") is None or not self._fs.exists(self._path(f"{self.folder}/pages")):
+            return self.spark.createDataFrame([], PAGES)
+        rows = self.spark.read.schema(f"{PAGES}, generation string").parquet(f"{self.folder}/pages")
+        return rows.join(self.registry().select("fp", "generation"), ["fp", "generation"], "left_semi").select("fp", "path", "page_index", "text")
+
+    def _done(self, change: str) -> bool:
+        return self._fs.exists(self._path(f"{self.folder}/registry/{change}/_SUCCESS")) and (self._read("CURRENT") or "") >= change
+
+    def _change(self, touched: DataFrame, live: DataFrame, change: str) -> None:
+        rest = self.registry().join(touched.select("fp").distinct(), "fp", "left_anti")
+        rest.unionByName(live).write.mode("overwrite").parquet(f"{self.folder}/registry/{change}")
+        self._publish(change)
+
+    def upsert(self, docs: DataFrame, pages: DataFrame, indexed_at: Column, change: str) -> bool:
+        """Pages of all ``docs`` (fp, path) are replaced by ``pages``; False if the change was already there.
+        Changes are named in order (such as by a padded batch number)."""
+        if self._done(change):
+            return False
+        at = f"{self.folder}/pages/generation={change}"
+        pages.select("fp", "path", "page_index", "text").write.mode("overwrite").parquet(at)
+        counted = self.spark.read.schema(PAGES).parquet(at).groupBy("fp").agg(F.count(F.lit(1)).alias("page_count"))
+        asked = docs.select("fp", "path").dropDuplicates(["fp"])
+        live = asked.join(counted, "fp", "left").select("fp", F.lit(change).alias("generation"), "path", F.coalesce("page_count", F.lit(0)).alias("page_count"), indexed_at.cast("timestamp").alias("last_indexed"))
+        self._change(asked, live, change)
+        return True
+
+    def remove(self, fps: DataFrame, change: str) -> bool:
+        if self._done(change):
+            return False
+        self._change(fps, self.spark.createDataFrame([], REGISTRY), change)
+        return True
+
+    def compact(self, change: str) -> None:
+        """All live pages in one generation; older ones can be deleted when no reader is left."""
+        self.pages().write.mode("overwrite").parquet(f"{self.folder}/pages/generation={change}")
+        self.registry().withColumn("generation", F.lit(change)).write.mode("overwrite").parquet(f"{self.folder}/registry/{change}")
+        self._publish(change)
