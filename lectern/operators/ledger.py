@@ -61,15 +61,15 @@ def sizes_before(ledger: DataFrame, order: list[str], partitions: int | None = N
     each range its offset, and only rows of a range are sorted together. Ranges are named by the
     rows' values alone, so a lost task makes the same ranges again.
     """
-    n = partitions or int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(256, partitions or int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     first = order[0]
     kind = ledger.schema[first].dataType.simpleString()
     zoneless = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {first})")
     number = {"timestamp": F.unix_micros(F.col(first)), "timestamp_ntz": zoneless}.get(kind, F.col(first))
     numbered = ledger.withColumn("_number", number)
     bounds = numbered.agg(F.percentile_approx("_number", [k / n for k in range(1, n)] or [1.0], 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<long>")  # a number for each range
-    ranged = numbered.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col("_number")))).drop("_number")
+    above = [(F.col("_number") > b).cast("int") for b in sorted(set(bounds))]  # a comparison for each range
+    ranged = numbered.withColumn("_range", sum(above, F.lit(0))).drop("_number")
     offsets, at = [], 0
     for r in ranged.groupBy("_range").agg(F.sum("size").alias("s")).orderBy("_range").collect():  # a row for each range
         offsets.append((r["_range"], at))
