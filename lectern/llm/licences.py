@@ -9,8 +9,8 @@ predicted family, and a paragraph that repeats most of a template's word triples
 What looks like a licence but matches no template of its family is ``unknown``.
 
 Only n-grams of the wordings carry weight (a table bounded by the wordings). A paragraph without
-any word of an n-gram that speaks for a family cannot beat ``none``, so it is left out before
-its n-grams are built; this loses nothing.
+any of the words whose n-grams it takes to reach the bar is left out before its n-grams are
+built; this loses nothing.
 
 Defined cases: null text has no paragraphs; blank lines are none; rows that repeat a doc_id are
 one document; an empty table gives an empty result; extra columns are ignored; texts are read
@@ -19,10 +19,13 @@ whole.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import cut, let
+from lectern.llm.quality import STOP_WORDS
 
 #: Wordings of licence families (fixed values: short public licence notices).
 WORDINGS: dict[str, tuple[str, ...]] = {
@@ -89,17 +92,38 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class LicenceModel:
-    """Weights of n-grams for each class, calibration of the margin, and the anchor words."""
+    """Weights of n-grams for each class (``none`` is the last), and the calibration of the margin."""
 
     def __init__(self, classes: list[str], weights: dict[str, list[float]], bias: list[float], slope: float, shift: float):
         self.classes, self.weights, self.bias, self.slope, self.shift = classes, weights, bias, slope, shift
-        none = classes.index(NONE)
-        speaks = [g for g, w in weights.items() if any(x > w[none] for k, x in enumerate(w) if k != none)]
-        #: each n-gram that may speak for a family holds one of these
-        self.anchors = sorted({max(g.split(" "), key=lambda w: (len(w), w)) for g in speaks})
-        if any(b >= bias[none] for k, b in enumerate(bias) if k != none):
+        if any(b >= bias[classes.index(NONE)] for b in bias[:-1]):
             raise ValueError("a paragraph without features would be taken for a licence")
 
+    def anchors(self, bar: float) -> list[str]:
+        """Words of which a paragraph must have one to reach the bar.
+
+        Each n-gram that speaks for a family is put under its longest word. Words are left out,
+        common ones first and then those that matter least, as long as all n-grams under them
+        together can't lift any family over the bar.
+        """
+        none = self.classes.index(NONE)
+        margin = (math.log(bar / (1 - bar)) - self.shift) / self.slope
+        room = [self.bias[none] - b + margin - 1e-6 for b in self.bias[:none]]
+        under: dict[str, list[float]] = {}
+        for gram, w in self.weights.items():
+            gain = [max(0.0, x - w[none]) for x in w[:none]]
+            if any(gain):
+                word = max(gram.split(" "), key=lambda t: (t not in STOP_WORDS, len(t), t))
+                under[word] = [x + y for x, y in zip(under.get(word, [0.0] * none), gain, strict=True)]
+        kept = []
+        for word in sorted(under, key=lambda t: (t not in STOP_WORDS, max(under[t]), t)):
+            left = [r - g for r, g in zip(room, under[word], strict=True)]
+            if min(left) > 0:
+                room = left
+            else:
+                kept.append(word)
+        return sorted(kept)
+
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 200, regular: float = 2e-4) -> LicenceModel:
     """Fit on the wordings and on paragraphs of at most ``sample_docs`` documents, drawn by hash of the id."""
@@ -172,7 +196,7 @@ def scan(docs: DataFrame, model: LicenceModel, bar: float = 0.5, confirm: float
     """Paragraphs taken for licences: doc_id, place, family, chance, confirmed, predicted."""
     spark = docs.sparkSession
     none = model.classes.index(NONE)
-    anchors = F.array(*[F.lit(a) for a in model.anchors])
+    anchors = F.array(*[F.lit(a) for a in model.anchors(bar)])
     pars = paragraphs(docs, id_col, text_col).withColumn("words", _tokens(F.col("par"))).where(F.arrays_overlap("words", anchors))
     pars = pars.select("doc_id", "place", _ngrams(F.col("words")).alias("grams"))
     # n-grams with a weight, and the templates' own ones, which the comparison needs
