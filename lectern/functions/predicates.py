@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import any_case, literal_tokens
+from lectern.functions.text import any_case, let, literal_tokens
 
 
 @dataclass(frozen=True)
@@ -28,15 +28,18 @@ class Unit:
             return F.size(F.filter(tokens, (lambda t: t.startswith(self.words[0])) if self.prefix else (lambda t: t == self.words[0])))
         words, prefix = self.words, self.prefix
 
-        def fits(i: Column) -> Column:
-            test = F.element_at(tokens, i) == words[0]
-            for k in range(1, n):
-                at = F.element_at(tokens, i + k)
-                test = test & (at.startswith(words[k]) if prefix and k == n - 1 else at == words[k])
-            return test
+        def places(seen: Column) -> Column:
+            def fits(i: Column) -> Column:
+                test = F.element_at(seen, i) == words[0]
+                for k in range(1, n):
+                    at = F.element_at(seen, i + k)
+                    test = test & (at.startswith(words[k]) if prefix and k == n - 1 else at == words[k])
+                return test
 
-        places = F.filter(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), fits)
-        return F.when(F.size(tokens) >= n, F.size(places)).otherwise(0)
+            found = F.filter(F.sequence(F.lit(1), F.size(seen) - (n - 1)), fits)
+            return F.when(F.size(seen) >= n, F.size(found)).otherwise(0)
+
+        return let(tokens, places)
 
 
 def terms(text: str) -> list[Unit]:
@@ -98,7 +101,7 @@ def match_near(tokens: Column, text: str, most: int = 10) -> Column:
         return F.exists(hits, covers)
 
     hits = F.filter(placed, lambda x: F.array_contains(wanted, x["t"]))
-    return F.element_at(F.transform(F.array(hits), near), 1)
+    return let(hits, near)
 
 
 def contains_ci(text: Column, needle: str) -> Column:

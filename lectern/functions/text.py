@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _fold_table() -> tuple[str, str]:
     """Latin letters with marks and the bare letters they fold to; combining marks at the end fold to nothing."""
     pairs = {}
@@ -80,7 +85,7 @@ def occurrence_starts(text: Column, needle: str) -> Column:
         at = F.transform(g, lambda x, i: F.aggregate(F.slice(g, F.lit(1), i + 1), F.lit(0), lambda a, y: a + y) + i * size)
         return F.slice(at, F.lit(1), F.size(g) - 1)
 
-    return F.when(text.isNotNull(), F.element_at(F.transform(F.array(gaps), placed), 1))
+    return F.when(text.isNotNull(), let(gaps, placed))
 
 
 def substring_snippet(text: Column, start: Column, length: int, around: int = 30) -> Column:
@@ -103,35 +108,37 @@ def highlight_snippet(text: Column, terms: list[str], width: int = 32) -> Column
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     gaps = F.split(text, TOKEN, -1)
 
-    def made(x: Column) -> Column:
-        words, seps = x["words"], x["seps"]
-        folded = F.transform(words, lambda w: F.translate(F.lower(w), FOLD_FROM, FOLD_TO))
-        hits = F.filter(F.transform(folded, lambda w, i: F.when(F.array_contains(wanted, w), F.struct(i.alias("at"), w.alias("w")))), lambda h: h.isNotNull())
+    def hits_of(folded: Column) -> Column:
+        return F.filter(F.transform(folded, lambda w, i: F.when(F.array_contains(wanted, w), F.struct(i.alias("at"), w.alias("w")))), lambda h: h.isNotNull())
 
-        def chosen(hs: Column) -> Column:
-            def seen_from(h: Column) -> Column:
-                inside = F.filter(hs, lambda o: (o["at"] >= h["at"]) & (o["at"] < h["at"] + width))
-                return F.struct(F.size(F.array_distinct(F.transform(inside, lambda o: o["w"]))).alias("kinds"), F.size(inside).alias("n"), (-h["at"]).alias("early"), F.array_max(F.transform(inside, lambda o: o["at"])).alias("last"))
+    def start_of(hits: Column, n: Column) -> Column:
+        def seen_from(h: Column) -> Column:
+            inside = F.filter(hits, lambda o: (o["at"] >= h["at"]) & (o["at"] < h["at"] + width))
+            return F.struct(F.size(F.array_distinct(F.transform(inside, lambda o: o["w"]))).alias("kinds"), F.size(inside).alias("n"), (-h["at"]).alias("early"), F.array_max(F.transform(inside, lambda o: o["at"])).alias("last"))
 
-            return F.array_max(F.transform(hs, seen_from))
+        best = lambda b: F.greatest(F.lit(0), F.least(F.floor((b["last"] - b["early"]) / 2).cast("int") - width // 2 + 1, n - width))
+        return F.when(F.size(hits) > 0, let(F.array_max(F.transform(hits, seen_from)), best)).otherwise(0)
 
-        best = chosen(hits)
+    def told(x: Column) -> Column:
+        words, seps, a = x["words"], x["seps"], x["start"]
         n = F.size(words)
-        middle = F.floor((best["last"] - best["early"]) / 2).cast("int")
-        start = F.greatest(F.lit(0), F.least(middle - width // 2 + 1, n - width))
-        start = F.when(F.size(hits) > 0, start).otherwise(0)
-        stop = F.least(start + width, n)
+        b = F.least(a + width, n)
 
-        def told(span: Column) -> Column:
-            piece = F.transform(F.sequence(span["a"], span["b"] - 1), lambda i: F.concat(F.when(i > span["a"], F.element_at(seps, i + 1)).otherwise(""), F.when(F.array_contains(wanted, F.element_at(folded, i + 1)), F.concat(F.lit("["), F.element_at(words, i + 1), F.lit("]"))).otherwise(F.element_at(words, i + 1))))
-            left = F.when(span["a"] > 0, F.lit(" … ")).otherwise(F.element_at(seps, 1))
-            right = F.when(span["b"] < n, F.lit(" … ")).otherwise(F.element_at(seps, -1))
-            return F.concat(left, F.array_join(piece, ""), right)
+        def one(w: Column, i: Column) -> Column:
+            folded = F.translate(F.lower(w), FOLD_FROM, FOLD_TO)
+            shown = F.when(F.array_contains(wanted, folded), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w)
+            return F.concat(F.when(i > 0, F.element_at(seps, a + i + 1)).otherwise(""), shown)
 
-        return F.element_at(F.transform(F.array(F.struct(start.alias("a"), stop.alias("b"))), told), 1)
+        left = F.when(a > 0, F.lit(" … ")).otherwise(F.element_at(seps, 1))
+        right = F.when(b < n, F.lit(" … ")).otherwise(F.element_at(seps, -1))
+        return F.concat(left, F.array_join(F.transform(F.slice(words, a + 1, F.lit(width)), one), ""), right)
+
+    def made(x: Column) -> Column:
+        folded = F.transform(x["words"], lambda w: F.translate(F.lower(w), FOLD_FROM, FOLD_TO))
+        start = let(let(folded, hits_of), lambda h: start_of(h, F.size(x["words"])))
+        return let(F.struct(x["words"].alias("words"), x["seps"].alias("seps"), start.alias("start")), told)
 
-    x = F.struct(tokens.alias("words"), gaps.alias("seps"))
-    return F.when(F.size(tokens) > 0, F.element_at(F.transform(F.array(x), made), 1)).otherwise(text)
+    return F.when(F.size(tokens) > 0, let(F.struct(tokens.alias("words"), gaps.alias("seps")), made)).otherwise(text)
 
 
 def dehyphenate(text: Column) -> Column:

@@ -202,9 +202,9 @@ def drop_empty_queries(spark, sf):
     return table(spark, sf, "conversations").where(P.real_query(F.col("text"), F.col("turn"))).select("conv_id", "turn", "text")
 
 
-@query("SELECT event_id, user_id FROM events WHERE CAST(value AS INT) = 5")
+@query("SELECT event_id, user_id FROM events WHERE CAST(floor(value + 0.5) AS INT) = 5")
 def annotations_on_page(spark, sf):
-    a = table(spark, sf, "events").withColumn("page_index", F.expr("cast(round(value) as int)"))
+    a = table(spark, sf, "events").withColumn("page_index", F.floor(F.col("value") + 0.5).cast("int"))
     return A.on_page(a, 5).select("event_id", "user_id")
 
 
@@ -647,13 +647,13 @@ def ledger_io(spark, sf):
     return T.read_ledger(spark, folder).select(*L.COLUMNS)
 
 
-@query(f"WITH {_HALVES} SELECT name, p50 AS p50_ms, p95 AS p95_ms FROM b")
+@query(f"WITH {_HALVES} SELECT name, round(p50, 6) AS p50_ms, round(p95, 6) AS p95_ms FROM b")
 def baseline_io(spark, sf):
     folder = scratch(spark)
     stats = B.percentiles(_samples(spark, sf, False))
     entry = F.struct("name", F.struct(F.col("p50_ms").alias("P50_ms"), F.col("p95_ms").alias("P95_ms")))
     stats.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).write.text(folder)
-    return T.read_baseline(spark, folder)
+    return T.read_baseline(spark, folder).select("name", F.round("p50_ms", 6).alias("p50_ms"), F.round("p95_ms", 6).alias("p95_ms"))
 
 
 @query()
