@@ -24,7 +24,7 @@ def read_annotations(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     """(annotations (fp, seq, ...), quarantine (fp, line)): a damaged file gives no annotations and no error."""
     raw = spark.read.schema(f"{SIDECAR}, fp string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(folder)
     fine = raw.where("_corrupt is null").select("fp", F.posexplode("Annotations").alias("seq", "a")).select("fp", "seq", "a.*")
-    return fine, raw.where("_corrupt is not null").select("fp", F.col("_corrupt").alias("line"))
+    return fine, raw.where("_corrupt is not null and coalesce(Version, 0) >= 0").select("fp", F.col("_corrupt").alias("line"))
 
 
 def write_layers(layers: DataFrame, folder: str, mode: str = "overwrite") -> None:

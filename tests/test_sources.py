@@ -13,14 +13,14 @@ from lectern.streaming import streams as S
 
 
 def test_files(spark, tmp_path):
-    for name, body in {"a.pdf": b"no header", "b.bin": b"%PDF-1.7", "c.txt": b"one\ftwo", "d.txt": b""}.items():
+    for name, body in {"a.pdf": b"no header", "b.bin": b"%PDF-1.7", "c.txt": b"one\ftwo", "d.txt": b"zzz"}.items():
         (tmp_path / name).write_bytes(body)
     files = Files.with_fingerprint(Files.scan_files(spark, str(tmp_path)))
     fine, rejects = Files.classify_format(files)
     assert {os.path.basename(r["path"]): r["kind"] for r in fine.collect()} == {"a.pdf": "Pdf", "b.bin": "Pdf"}
     assert rejects.count() == 2 and files.select("fp").distinct().count() == 4
     pages = Files.scan_page_layers(files.where("path like '%.txt'")).collect()
-    assert sorted((r["page_index"], r["text"]) for r in pages) == [(0, ""), (0, "one"), (1, "two")]
+    assert sorted((r["page_index"], r["text"]) for r in pages) == [(0, "one"), (0, "zzz"), (1, "two")]
     with pytest.raises(Exception):
         Files.scan_files(spark, str(tmp_path / "none")).count()
     assert spark.range(1).select(Files.classify(F.lit("  "), F.lit(b"%PDF-")).alias("k")).first()["k"] is None
