@@ -76,6 +76,12 @@ def _ngrams(words: Column, longest: int = 3) -> Column:
     return let(words, of)
 
 
+def _telling(grams: Column) -> Column:
+    """N-grams with a word that isn't among the commonest of their language."""
+    stop = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
+    return F.filter(grams, lambda g: F.exists(F.split(g, " "), lambda w: ~F.array_contains(stop, w)))
+
+
 def _of_length(words: Column, n: int) -> Column:
     made = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
     return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<string>"))
@@ -145,7 +151,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     seen = paragraphs(drawn, id_col, text_col).select("par").distinct()
     known = _compared(seen.withColumn("triples", _triples(_tokens(F.col("par")))), templates).where("share >= 0.5").select("par").distinct()
     plain = seen.join(known, "par", "left_anti").select("par", F.lit(NONE).alias("family"), F.lit(1).alias("weight"), F.xxhash64("par").alias("n"))
-    rows_df = named.unionByName(plain.withColumn("n", F.pmod("n", F.lit(1 << 30)).cast("int"))).select(_ngrams(_tokens(F.col("par"))).alias("grams"), "family", F.col("weight").cast("double").alias("weight"), "n").cache()
+    rows_df = named.unionByName(plain.withColumn("n", F.pmod("n", F.lit(1 << 30)).cast("int"))).select(_telling(_ngrams(_tokens(F.col("par")))).alias("grams"), "family", F.col("weight").cast("double").alias("weight"), "n").cache()
     vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=4000, minDF=2.0).fit(rows_df.where(F.col("family") != NONE))
     classes = [*WORDINGS, NONE]
     label = F.coalesce(*[F.when(F.col("family") == c, F.lit(float(k))) for k, c in enumerate(classes)])
