@@ -35,6 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` wrote, once all that was made from it is itself written."""
+    spark = df.sparkSession
+    for f in {name.rsplit("/", 1)[0] for name in df.inputFiles() if "/cut-" in name}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row (a one-element transform)."""
     return F.element_at(F.transform(F.array(value), body), 1)

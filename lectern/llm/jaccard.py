@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, discard
 
 CELLS = 64
 #: Sets up to this size are kept whole next to their list keys, as subsets are made from them.
@@ -299,14 +299,15 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, long_l
     entry = cut(_entries(slim, classes.where(F.col("n") > most), words, percent, bits))
     lists = entry.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = cut(entry.join(lists, "key"))
+    discard(entry)
     needed = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
     written = F.least(F.col("n"), needed + F.floor(3 * needed / 10) + 12)
     lost = met.where(F.col("members") > long_list).groupBy("node").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("lost"))
     busy = cut(lost.where(written - F.col("lost") < needed).select("node"))
     # the smaller one meets in its first elements; up to written - needed of those before may have long lists
     lead = F.col("at") < F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1 + written - needed
-    short = cut(met.where(F.col("members") <= long_list).join(about.select("node", "cells"), "node").select("key", "node", "n", lead.alias("lead"), "cells"))
-    pairs = cut(_candidates(short, percent))
+    short = met.where(F.col("members") <= long_list).select("key", "node", "n", lead.alias("lead"))
+    pairs = cut(_near(_listed(short, percent), about, percent))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().withColumn("busy", F.lit(False)).unionByName(busy.withColumn("busy", F.lit(True)))
     wanted = wanted.groupBy("node").agg(F.max("busy").alias("busy"))
     sets = _whole_sets(slim, wanted.join(classes.select("node", "first"), "node"), words, bits)
@@ -324,8 +325,8 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, long_l
     rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
     grouped = cut(met2.join(parts, "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part")))
     open_lists = grouped.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
-    still = cut(grouped.join(open_lists, "key").join(about.select("node", "cells"), "node").withColumn("lead", F.lit(True)))
-    second = cut(_verified(rest.unionByName(_candidates(still, percent)).distinct(), sets, percent))
+    crossed = _near(_crossed(cut(grouped.join(open_lists, "key")), percent), about, percent)
+    second = cut(_verified(rest.unionByName(crossed).distinct(), sets, percent))
     if second.limit(1).count():
         parts = components(links.unionByName(second))
     # classes to components to the smallest id
@@ -336,17 +337,25 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, long_l
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _candidates(members: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a < b) that meet in a list (key, node, n, lead, cells[, part]) and may link; with
-    ``part`` only of different components."""
-    names = ["node", "n", "lead", "cells", *(["part"] if "part" in members.columns else [])]
-    one = members.select(F.col("key").alias("a_key"), *[F.col(c).alias(f"a_{c}") for c in names])
-    two = members.select(F.col("key").alias("b_key"), *[F.col(c).alias(f"b_{c}") for c in names])
-    order = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node")))
-    test = (F.col("a_key") == F.col("b_key")) & F.col("a_lead") & order & _may_link(F.col("a_n"), F.col("b_n"), F.col("a_cells"), F.col("b_cells"), percent)
-    if "part" in members.columns:
-        test = test & (F.col("a_part") != F.col("b_part"))
-    return one.join(two, test).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+def _listed(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a < b) of nodes whose sizes fit that meet in a short list (key, node, n, lead)."""
+    # a list has as many members as ``long_list`` allows
+    lists = members.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "node", "lead"))).alias("l"))
+
+    def partners(x: Column, i: Column) -> Column:
+        later = F.filter(F.slice(F.col("l"), i + 2, F.size("l")), lambda y: (x["n"] * 100 >= y["n"] * percent) & (x["node"] != y["node"]))
+        met = F.transform(later, lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")))
+        return F.when(x["lead"], met).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
+
+    return lists.select(F.explode(F.flatten(F.transform("l", partners))).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _crossed(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a < b) of nodes in different components that meet in a list (key, node, n, part) of any length."""
+    one = members.select(F.col("key").alias("a_key"), F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("part").alias("a_part"))
+    two = members.select(F.col("key").alias("b_key"), F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("part").alias("b_part"))
+    test = (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & _fits(F.col("a_n"), F.col("b_n"), percent)
+    return one.join(two, test).select("a", "b").distinct()
 
 
 def _near(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
