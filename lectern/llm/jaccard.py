@@ -286,7 +286,6 @@ def _bitmap(nodes: DataFrame, bits: int) -> np.ndarray:
 
 def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, long_list: int = 50, list_cost: float = 8.0, bits: int = 1 << 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable by links)."""
-    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = cut(_sets(slim, words, percent))
     classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"))

@@ -113,10 +113,9 @@ def _spans(text: Column, kind: str, pattern: str, least_score: float | None) ->
     return F.coalesce(out, F.array()).cast(_SPAN)
 
 
-def find_pii(docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, kept columns, pii array of (start, place, kind, end, score) in order of start, kind)."""
-    base = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(c) for c in keep if c not in (id_col,)])
-    text = F.col("_text")
+def find_pii(docs: DataFrame, least_score: float = 0.5, text_col: str = "text", out_col: str = "pii") -> DataFrame:
+    """``docs`` with ``out_col``: spans (start, place, kind, end, score) in order of start and kind. A column of that name is replaced."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast(_SPAN)
     digit = text.rlike("[0-9]")
     parts = []
@@ -125,7 +124,7 @@ def find_pii(docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id",
         if kind == "secret":
             test = text.rlike("(?i)passw|pwd|secret|token|key")
         parts.append(F.when(test, _spans(text, kind, pattern, least_score if (kind, pattern, needs) in ADDED else None)).otherwise(none))
-    return base.withColumn("pii", F.array_sort(F.concat(*parts))).drop("_text")
+    return docs.withColumn(out_col, F.array_sort(F.concat(*parts)))
 
 
 def span_string(spans: Column) -> Column:
@@ -134,7 +133,7 @@ def span_string(spans: Column) -> Column:
 
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, counts of the base kinds, base_sha256 and spans."""
-    found = find_pii(docs, id_col=id_col, text_col=text_col)
+    found = find_pii(docs.select(id_col, text_col), text_col=text_col)
     base = F.filter("pii", lambda x: x["place"] < len(BASE))
     counts = [_count(i).alias(f"n_{kind}") for i, (kind, _, _) in enumerate(BASE)]
     return found.select(id_col, *counts, F.sha2(span_string(base).cast("binary"), 256).alias("base_sha256"), span_string(F.col("pii")).alias("spans"))
@@ -144,12 +143,14 @@ def _count(place: int) -> Column:
     return F.size(F.filter("pii", lambda x: x["place"] == place)).cast("long")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with each span replaced by [KIND] in the text; overlapping spans are joined to the
     earliest one. Null texts stay null."""
-    columns = docs.columns
-    found = find_pii(docs.withColumn("_row", F.col(text_col)), id_col=id_col, text_col=text_col, keep=tuple(c for c in [*columns, "_row"] if c != id_col))
-    text = F.coalesce(F.col("_row"), F.lit(""))
+    columns, name = docs.columns, "spans"
+    while name in {c.lower() for c in columns}:
+        name += "_"
+    found = find_pii(docs, text_col=text_col, out_col=name)
+    text = F.coalesce(F.col(text_col), F.lit(""))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
@@ -157,5 +158,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
 
-    new = F.aggregate("pii", first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.select(*[F.when(F.size("pii") > 0, new).otherwise(F.col("_row")).alias(c) if c == text_col else F.col(c) for c in columns])
+    new = F.aggregate(name, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return found.withColumn(text_col, F.when(F.size(name) > 0, new).otherwise(F.col(text_col))).select(*columns)
