@@ -31,7 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: later stages depend on
     the files, not on the executors that made them."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(name, None)
+    conf.set(name, str(16 << 20))  # batches of long rows stay small in the Python workers
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

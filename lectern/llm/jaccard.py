@@ -15,7 +15,7 @@ Those that don't (members of a large group of near copies) also write fragments:
 are dealt by hash into one part more than linked sets of their sizes can differ by, so linked
 sets agree on some whole part, and sets that only share a passage hardly do.
 
-Before sets are compared, sizes and the distance of 64-cell histograms (a lower bound of the
+Before sets are compared, sizes and the distance of 128-cell histograms (a lower bound of the
 symmetric difference) exclude most pairs exactly. Sets are compared in two rounds: first each
 with one candidate partner, and the members of a fragment's list with one of them; then, as most
 candidates now lie inside one component, only those in different components. Comparisons inside
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import cut, discard
 
-CELLS = 64
+CELLS = 128
 #: Sets up to this size are kept whole next to their list keys, as subsets are made from them.
 SMALL_MOST = 40
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -199,7 +199,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for start, part in _slices(b):
                 sets = [shingle_set(t, words) for t in part]
                 signed = [s.view(np.int64) for s in sets]
-                cells = [np.minimum(127, np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS)).astype(np.int8) if len(s) else None for s in sets]
+                cells = [np.minimum(127, np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CELLS)).astype(np.int8) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         b["doc_id"].slice(start, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), pa.array(cells, pa.list_(pa.int8())),
@@ -410,8 +410,8 @@ def _whole_sets(slim: DataFrame, wanted: DataFrame, words: int, bits: int) -> Da
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(start, len(part)), pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "made", "elements"])
 
     made = slim.mapInArrow(run, "doc_id long, made long, elements binary")
-    found = made.join(wanted, (F.col("made") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    return cut(found.select("node", "busy", "elements").dropDuplicates(["node"]))
+    # rows of equal texts that share a bit give the same set again: one is kept, without a further shuffle
+    return cut(made.join(wanted, F.col("made") == F.col("node")).select("node", "busy", "elements").dropDuplicates(["node"]))
 
 
 def _write_fragments(percent: int):

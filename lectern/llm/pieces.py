@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: New chunks a Python worker keeps before the older ones go.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 200_000
 _NONE = float("inf")
 #: Longer chunks are encoded each time they occur, so that the memo stays small.
 MEMO_CHUNK_CHARS = 64

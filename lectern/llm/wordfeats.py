@@ -46,7 +46,7 @@ class WordMemo:
     Two generations bound the memory: when the younger is full it becomes the older one.
     """
 
-    def __init__(self, compute, limit: int = 400_000):
+    def __init__(self, compute, limit: int = 200_000):
         self.compute, self.limit = compute, limit
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
