@@ -330,7 +330,7 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, long_l
     rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
     grouped = cut(met2.join(parts, "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part")))
     open_lists = grouped.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
-    crossed = _near(_crossed(cut(grouped.join(open_lists, "key")), percent), about, percent)
+    crossed = _crossed(cut(grouped.join(open_lists, "key").join(about.select("node", "cells"), "node")), percent)
     second = cut(_verified(rest.unionByName(crossed).distinct(), sets, percent))
     if second.limit(1).count():
         parts = components(links.unionByName(second))
@@ -356,11 +356,14 @@ def _listed(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _crossed(members: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a < b) of nodes in different components that meet in a list (key, node, n, part) of any length."""
-    one = members.select(F.col("key").alias("a_key"), F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("part").alias("a_part"))
-    two = members.select(F.col("key").alias("b_key"), F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("part").alias("b_part"))
-    test = (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & _fits(F.col("a_n"), F.col("b_n"), percent)
-    return one.join(two, test).select("a", "b").distinct()
+    """Distinct pairs (a < b) of nodes in different components that meet in a list (key, node, n, cells, part)
+    of any length and may link; the join gives no others."""
+    names = ("key", "node", "n", "cells", "part")
+    one = members.select(*[F.col(c).alias(f"a_{c}") for c in names])
+    two = members.select(*[F.col(c).alias(f"b_{c}") for c in names])
+    test = (F.col("a_key") == F.col("b_key")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_part") != F.col("b_part"))
+    test = test & _may_link(F.col("a_n"), F.col("b_n"), F.col("a_cells"), F.col("b_cells"), percent)
+    return one.join(two, test).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def _near(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
