@@ -130,11 +130,15 @@ def train(texts: list[str], labels: list[int], rounds: int = 6, rate: float = 0.
         return ToxicityModel(np.zeros(DIMS), 1.0, math.log(p / (1 - p)), 0.0)
     vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
     words = list(vocabulary)
-    wi, fi = word_features(words, DIMS, LENGTHS)
-    order = np.argsort(wi.astype(np.int32), kind="stable")
-    fi = fi.astype(np.int32)[order]
-    starts = np.searchsorted(wi[order], np.arange(len(words) + 1))
-    del wi, order
+    # features of all words in order, made a slice at a time to keep the driver small
+    made, counts = [], []
+    for s in range(0, len(words), 20_000):
+        w, f = word_features(words[s : s + 20_000], DIMS, LENGTHS)
+        made.append(f.astype(np.int32)[np.argsort(w, kind="stable")])
+        counts.append(np.bincount(w, minlength=len(words[s : s + 20_000])))
+    fi = np.concatenate([*made, np.empty(0, np.int32)])
+    starts = np.concatenate([[0], np.cumsum(np.concatenate([*counts, np.empty(0, np.int64)]))]).astype(np.int64)
+    del made, counts
     # document frequency of features by class
     df = np.zeros((2, DIMS))
     members = [np.array([vocabulary[w] for w in d], np.int64) for d in docs]
@@ -147,7 +151,12 @@ def train(texts: list[str], labels: list[int], rounds: int = 6, rate: float = 0.
     weights[df[0] + df[1] < 3] = floor  # too rare to tell
     weights = np.clip(weights, -3.0, 4.0)
     per_word = np.maximum(1, np.diff(starts))
-    totals = lambda: np.add.reduceat(np.append(weights[fi], 0.0), np.minimum(starts[:-1], len(fi))) / per_word
+
+    def totals() -> np.ndarray:
+        each = np.zeros(len(fi) + 1, np.float32)
+        np.take(weights.astype(np.float32), fi, out=each[:-1])
+        return np.add.reduceat(each, np.minimum(starts[:-1], len(fi))) / per_word
+
     scale, bias = 2.0, -2.0
     pairs = [(vocabulary.get(a), vocabulary.get(b), a, b) for a, b in _counterfactuals(texts, rng)]
     terms = sorted({t for g in IDENTITY_TERMS for t in g})
@@ -183,7 +192,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 6, rate: float = 0.
     return ToxicityModel(weights.astype(np.float32), scale, bias, floor)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = 4000, folds: int = 4, held_out: int = 2) -> list:
+def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = 3000, folds: int = 4, held_out: int = 2) -> list:
     """At most ``max_train`` labelled (text, toxic) rows outside the held-out fold, by hash of the id."""
     known = labels.select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and l_id is not null").where(fold_of(F.col("l_id"), folds) != held_out)
     # the sample is drawn among ids, texts are joined to it afterwards
@@ -193,7 +202,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = 4000, fol
     return rows.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_train).select("text", "toxic").collect()
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 4000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000) -> ToxicityModel:
     rows = training_rows(docs, labels, max_train)
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
@@ -213,7 +222,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     return slim.mapInArrow(run, StructType([*slim.schema.fields, StructField(out_col, DoubleType())]))
 
 
-def toxicity_digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = 4000) -> DataFrame:
+def toxicity_digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = 3000) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = score_toxicity(slim, fit(slim, labels, max_train))
