@@ -125,6 +125,20 @@ def test_pseudo_likelihood(spark, corpus):
     assert math.isclose(sum(each), 1.0, rel_tol=1e-4) and len(ids) == 4
 
 
+def test_pseudo_likelihood_trains_on_every_document(spark):
+    from lectern.llm.pseudo import WindowNet, count_vocabulary, train
+
+    for doc_id in range(3):
+        docs = spark.createDataFrame([(doc_id, "the old house by the old river " * 20)], "doc_id long, text string")
+        vocabulary = count_vocabulary(docs)
+        assert not np.array_equal(train(docs, vocabulary, rounds=1).flat, WindowNet(vocabulary.size).flat)
+    docs = spark.createDataFrame([(k, f"word{k} the house " * 9) for k in range(40)], "doc_id long, text string").repartition(1)
+    vocabulary = count_vocabulary(docs)
+    # each document changes the weights
+    whole = train(docs, vocabulary, rounds=1).flat
+    assert all(not np.array_equal(whole, train(docs.where(f"doc_id != {k}"), vocabulary, rounds=1).flat) for k in (0, 7, 23))
+
+
 def test_counts_cover_all_words(spark, corpus):
     from lectern.llm.pseudo import count_vocabulary
 
