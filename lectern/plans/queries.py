@@ -57,10 +57,10 @@ def scratch(spark: SparkSession) -> str:
 @query("""SELECT doc_id, sha256(text || '|' || strlen(text) || '|' || (638396640000000000 + doc_id)) AS fp FROM documents WHERE text IS NOT NULL AND strlen(text) <= 65536
   UNION ALL SELECT doc_id, 'head' AS fp FROM documents WHERE text IS NOT NULL AND strlen(text) > 65536""")
 def fingerprint(spark, sf):
-    """SQL has no slice of bytes, so longer texts are only marked."""
+    """The SQL has no slice of bytes and only marks texts over 65,536 bytes; those are tested against hashlib."""
     d = table(spark, sf, "documents").where("text is not null").withColumn("content", F.col("text").cast("binary"))
     fp = S.fingerprint(F.col("content"), F.length("content"), F.lit(638396640000000000) + F.col("doc_id"))
-    return d.select("doc_id", F.when(F.length("content") <= S.HEAD_BYTES, fp).otherwise("head").alias("fp"))
+    return d.select("doc_id", fp.alias("fp"))
 
 
 @query("""SELECT page_id, coalesce(CASE WHEN regexp_matches(lower(url), '\\.pdf$') OR starts_with(html, '%PDF-') THEN 'Pdf' WHEN regexp_matches(lower(url), '\\.html?$') OR starts_with(html, '<!DOCTYPE') THEN 'Html' END, 'rejected') AS kind FROM pages""")

@@ -25,6 +25,17 @@ def test_fingerprint(spark):
     assert one(spark, S.fingerprint(F.col("c"), F.length("c"), F.lit(6)), "c binary", (bytearray(content),)) != want
 
 
+def test_fingerprint_query_of_long_texts(spark, tmp_path):
+    from lectern.plans.queries import fingerprint
+
+    texts = ["", "short", "x" * 65535, "x" * 65536, "x" * 65537, "x" * 65536 + "yz", "ä" * 40000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["fp"] for r in fingerprint(spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        b = t.encode()
+        assert got[k] == hashlib.sha256(b[:65536] + f"|{len(b)}|{638396640000000000 + k}".encode()).hexdigest()
+
+
 def test_cache_keys_and_flags(spark):
     assert one(spark, S.cache_key(F.lit("abc123"), F.lit(5), F.lit(2), F.lit(100), F.lit(1))) == "abc123_5_2_100_1.bin"
     assert one(spark, S.render_flags(F.lit(True), F.lit(1))) == 3
