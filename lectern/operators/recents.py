@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scalars import non_blank
@@ -18,25 +21,48 @@ def recents(opens: DataFrame, k: int = LIMIT) -> DataFrame:
     return last.withColumn("place", place).where(F.col("place") <= k).select("workspace", "place", F.col("e.path").alias("path"))
 
 
-def _turn(state: Column, step: Column, k: int) -> Column:
-    key = F.lower(step["path"])
-    others = F.filter(state, lambda p: F.lower(p) != key)
-    # adding what is in front changes nothing, not even its casing
-    front = F.coalesce(F.lower(F.get(state, F.lit(0))) == key, F.lit(False))
-    added = F.when(front, state).otherwise(F.slice(F.concat(F.array(step["path"]), others), 1, k))
-    blank = non_blank(step["path"]).isNull()
-    return F.when(step["op"] == "clear", F.array().cast("array<string>")).when(blank, state).when(step["op"] == "remove", others).when(step["op"] == "add", added).otherwise(state)
+def _fold(k: int):
+    """Folds sorted steps (workspace, op, path, key, blank); holds one list of k paths, whatever the log's length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, now, state = False, None, []
+        for b in batches:
+            done = []
+            for w, op, path, key, blank in zip(*(b[c].to_pylist() for c in ("workspace", "op", "path", "key", "blank")), strict=True):
+                if not begun or w != now:
+                    done += [(now, [p for _, p in state])] if begun else []
+                    begun, now, state = True, w, []
+                if op == "clear":
+                    state = []
+                elif not blank and op == "remove":
+                    state = [s for s in state if s[0] != key]
+                elif not blank and op == "add" and not (state and state[0][0] == key):
+                    # adding what is in front changes nothing, not even its casing
+                    state = [(key, path), *(s for s in state if s[0] != key)][:k]
+            kind = b["workspace"].type
+            if done:
+                yield _lists(done, kind)
+        if begun:
+            yield _lists([(now, [p for _, p in state])], kind)
+
+    return run
+
+
+def _lists(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in done], kind), pa.array([p for _, p in done], pa.list_(pa.string()))], ["workspace", "paths"])
 
 
 def replay(log: DataFrame, k: int = LIMIT) -> DataFrame:
     """(workspace, paths) after a log (workspace, seq, op, path) of add, remove and clear, folded in order.
 
-    Not the latest k that were not removed: what the limit pushes out stays out. A workspace's log
-    is held in one row; for logs without end see the stream.
+    Not the latest k that were not removed: what the limit pushes out stays out. What precedes a
+    workspace's last clear is dropped; the rest is sorted by Spark and folded batch by batch.
     """
-    steps = F.array_sort(F.collect_list(F.struct("seq", "op", "path")))
-    state = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, s: _turn(acc, s, k))
-    return log.groupBy("workspace").agg(state.alias("paths"))
+    cleared = log.where(F.col("op") == "clear").groupBy(F.col("workspace").alias("_of")).agg(F.max("seq").alias("_cleared"))
+    kept = log.join(cleared, F.col("workspace").eqNullSafe(F.col("_of")), "left").where(F.col("_cleared").isNull() | (F.col("seq") >= F.col("_cleared")))
+    steps = kept.select("workspace", "seq", "op", "path", F.lower("path").alias("key"), non_blank(F.col("path")).isNull().alias("blank"))
+    kind = log.select("workspace").schema["workspace"].dataType.simpleString()
+    return steps.repartition("workspace").sortWithinPartitions("workspace", "seq", "op", "path").mapInArrow(_fold(k), f"workspace {kind}, paths array<string>")
 
 
 def replay_python(steps: list[tuple[str, str | None]], paths: list[str], k: int = LIMIT) -> list[str]:

@@ -103,6 +103,23 @@ def test_recents_random(spark, seed):
     assert replay(spark, steps) == R.replay_python(steps, [])
 
 
+def test_recents_hold_no_whole_log(spark):
+    rng = random.Random(5)
+    steps = [(rng.choice(["a", "b", None]), i, rng.choice(["add"] * 30 + ["remove"] * 3 + ["clear"]), rng.choice([f"p{j}" for j in range(30)] + ["P1", " ", None])) for i in range(900)]
+    steps += [("only", 0, "clear", None)]
+    log = spark.createDataFrame(rng.sample(steps, len(steps)), "workspace string, seq long, op string, path string")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        out = R.replay(log)
+        got = {r["workspace"]: r["paths"] for r in out.collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == {w: R.replay_python([(op, p) for x, _, op, p in steps if x == w], []) for w in ("a", "b", None, "only")}
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
 def test_enrich(spark):
     pages = spark.createDataFrame([("a", 0), ("b", 0)], "fp string, page_index int")
     asked = E.requests_for(pages, 2)
