@@ -31,7 +31,7 @@ BASE = (
 ADDED = (
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", None),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
-    ("secret", r"(?i)(?<![a-z0-9_])(?:password|passwd|pwd|secret|token|api_?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_-]{8,200}", None),
+    ("secret", r"(?i)(?<![a-z0-9_])(?:password|passwd|pwd|secret|token|api_?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_-]{8,}+", None),
 )
 KINDS = tuple(k for k, _, _ in BASE + ADDED)
 #: Words that make a span of the kind likelier, looked for in ``WINDOW`` characters on both sides.

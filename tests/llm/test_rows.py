@@ -93,6 +93,15 @@ def test_pii_added_kinds_and_redaction(spark):
     assert clean[3] == "his social security number: [SSN]" and clean[4] == texts[4]
 
 
+def test_pii_long_secrets(spark):
+    from lectern.llm.pii import redact
+
+    secret = "aB3" * 300
+    d = spark.createDataFrame([(1, f"login token={secret} end")], "doc_id long, text string")
+    left = str(redact(d).collect())
+    assert "aB3" not in left and "end" in left
+
+
 def test_quality_equals_brute_force(spark, docs):
     from lectern.llm.quality import quality
 
