@@ -139,6 +139,23 @@ def test_pseudo_likelihood_trains_on_every_document(spark):
     assert all(not np.array_equal(whole, train(docs.where(f"doc_id != {k}"), vocabulary, rounds=1).flat) for k in (0, 7, 23))
 
 
+def test_pseudo_likelihood_uses_counts_inside_classes(spark):
+    from lectern.llm.pseudo import WindowNet, count_vocabulary, score
+
+    texts = ["a b c d", "a a a b b c", "a", "zzz a", None]
+    docs = spark.createDataFrame([(k % 2, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    counted = docs.where("text not like '%zzz%'")
+    n = {"a": 5, "b": 3, "c": 2, "d": 1, "zzz": 1}
+    for frequent in (0, 1):
+        v = count_vocabulary(counted, frequent=frequent, buckets=1)
+        net = WindowNet(v.size)  # uniform over classes
+        total = 11 - 5 * frequent
+        inside = {w: 0.0 if frequent and w == "a" else math.log(n[w] / total) for w in n}
+        want = [sum(inside[w] - math.log(v.size) for w in (t or "").split()) for t in texts]
+        got = sorted(r["log_prob"] for r in score(docs, v, net).collect())
+        assert np.allclose(got, sorted(want), atol=1e-5)
+
+
 def test_counts_cover_all_words(spark, corpus):
     from lectern.llm.pseudo import count_vocabulary
 
