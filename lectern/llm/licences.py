@@ -12,8 +12,8 @@ Only n-grams of the wordings carry weight (a table bounded by the wordings). A p
 any of the words whose n-grams it takes to reach the bar is left out before its n-grams are
 built; this loses nothing.
 
-Defined cases: null text has no paragraphs; blank lines are none; rows that repeat a doc_id are
-one document; an empty table gives an empty result; extra columns are ignored; texts are read
+Defined cases: null text has no paragraphs; blank lines are none; each row is a document
+with a score of its own, whatever its doc_id (paragraphs are keyed by the text's sha-256); an empty table gives an empty result; extra columns are ignored; texts are read
 whole.
 """
 
@@ -198,12 +198,25 @@ def _compared(pars: DataFrame, templates: DataFrame) -> DataFrame:
     return hits.groupBy(*keys, F.col("family").alias("t_family"), "template").agg((F.count(F.lit(1)) / F.first("size")).alias("share"))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, text): what is found depends on the text only, so its hash is the key."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("key"), text.alias("text"))
+
+
 def scan(docs: DataFrame, model: LicenceModel, bar: float = 0.5, confirm: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Paragraphs taken for licences: doc_id, place, family, chance, confirmed, predicted."""
-    spark = docs.sparkSession
+    """Paragraphs of each row taken for licences: doc_id, place, family, chance, confirmed, predicted."""
+    keyed = _keyed(docs, id_col, text_col)
+    return keyed.drop("text").join(_scan(keyed.drop("doc_id"), model, bar, confirm).withColumnRenamed("doc_id", "key"), "key").drop("key")
+
+
+def _scan(texts: DataFrame, model: LicenceModel, bar: float = 0.5, confirm: float = 0.6) -> DataFrame:
+    """Paragraphs of texts (key, text) taken for licences, once for each distinct text: doc_id (the key), place, family, chance, confirmed, predicted."""
+    spark = texts.sparkSession
     none = model.classes.index(NONE)
     anchors = F.array(*[F.lit(a) for a in model.anchors(bar)])
-    pars = paragraphs(docs, id_col, text_col).withColumn("words", _tokens(F.col("par"))).where(F.arrays_overlap("words", anchors))
+    pars = paragraphs(texts, "key", "text").withColumn("words", _tokens(F.col("par"))).where(F.arrays_overlap("words", anchors)).drop("par")
+    pars = pars.dropDuplicates(["doc_id", "place"])  # copies of a text count once
     pars = pars.select("doc_id", "place", _ngrams(F.col("words")).alias("grams"))
     # n-grams with a weight, and the templates' own ones, which the comparison needs
     wanted = template_table(spark).select(F.explode("wanted").alias("gram"), F.lit(True).alias("known")).distinct()
@@ -224,10 +237,10 @@ def scan(docs: DataFrame, model: LicenceModel, bar: float = 0.5, confirm: float
 
 
 def licence_digest(docs: DataFrame, model: LicenceModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_licences, n_confirmed, families (sorted, comma-joined), chance (of the likeliest)."""
-    found = scan(docs, model or train(docs, id_col, text_col), id_col=id_col, text_col=text_col)
+    """Per row: doc_id, n_licences, n_confirmed, families (sorted, comma-joined), chance (of the likeliest)."""
+    keyed = _keyed(docs, id_col, text_col)
+    found = _scan(keyed.drop("doc_id"), model or train(docs, id_col, text_col))
     per = found.groupBy(F.col("doc_id").alias("l_id")).agg(F.count(F.lit(1)).alias("n_licences"), F.count(F.when(F.col("confirmed"), 1)).alias("n_confirmed"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("chance").alias("chance"))
-    ids = docs.select(F.col(id_col).alias("doc_id")).distinct()
-    joined = ids.join(per, F.col("doc_id").eqNullSafe(F.col("l_id")), "left")
+    joined = keyed.drop("text").join(per, F.col("key") == F.col("l_id"), "left")
     zero = F.lit(0).cast("long")
     return joined.select(F.col("doc_id").alias(id_col), F.coalesce("n_licences", zero).alias("n_licences"), F.coalesce("n_confirmed", zero).alias("n_confirmed"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("chance", F.lit(0.0)).alias("chance"))

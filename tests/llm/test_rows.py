@@ -176,3 +176,19 @@ def test_licences(spark, docs):
     assert [got[i] for i in (1, 2, 3, 4, 5, 6, 7, 8)] == ["mit", "apache", "cc-by-nc", "proprietary", "", "", "", "gpl,mit"]
     assert all(got[i] in ("", UNKNOWN) for i, _ in plain) and sum(got[i] != "" for i, _ in plain) <= 1
     assert licence_digest(df.limit(0), model).count() == 0
+
+
+def test_licences_score_each_row(spark):
+    from lectern.llm.licences import licence_digest, scan, train
+
+    mit, gpl, weak = "Released under the MIT License.", "Text\nLicensed under the GNU General Public License version 2", "a licensed electrician should do this work"
+    texts = [mit, gpl, weak, weak, mit, None]
+    one_each = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = train(one_each)
+    want = sorted((r["families"], round(r["chance"], 9), r["n_licences"]) for r in licence_digest(one_each, model).collect())
+    for ids in ([1] * 6, [None] * 6, [1, 1, 2, 2, None, None]):
+        df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        got = licence_digest(df, model).collect()
+        assert sorted((r["families"], round(r["chance"], 9), r["n_licences"]) for r in got) == want
+        assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in got)
+        assert scan(df, model).count() == sum(n for _, _, n in want)
