@@ -11,15 +11,18 @@ Large sets go through inverted lists. Elements are ordered by hash; two linked s
 element among the first few of each. A list longer than ``long_list`` (a passage that thousands
 of texts share) is left out: its element counts as one that comes last in the order, and since
 every set writes some spare elements, most sets still have as many short lists as they need.
-Those that don't (members of a large group of near copies) also write fragments: the elements
-are dealt by hash into one part more than linked sets of their sizes can differ by, so linked
-sets agree on some whole part, and sets that only share a passage hardly do.
-
-Before sets are compared, sizes and the distance of 128-cell histograms (a lower bound of the
-symmetric difference) exclude most pairs exactly. Sets are compared in two rounds: first each
-with one candidate partner, and the members of a fragment's list with one of them; then, as most
-candidates now lie inside one component, only those in different components. Comparisons inside
-a component can't change it, so nothing is lost.
+Those that don't (members of a large group of near copies, mostly) are joined among themselves
+in another order: all their elements are counted, and each set writes its first elements with the
+rarest first. What only one of them has can't be shared and is not even written, so a copy with
+more edits than a link allows writes nothing; a copy with fewer lies near the middle of its group.
+
+Before sets are compared, sizes, the places of the shared element in both orders and the distance
+of 128-cell histograms (a lower bound of the symmetric difference) exclude most pairs exactly.
+Sets are compared in two rounds: first each with one candidate partner, and the members of a
+rarest-first list with the one in which fewest elements are rarer; then, as most candidates now
+lie inside one component, only those in different components. In a list, only members outside its
+largest component look for partners. Comparisons inside a component can't change it, so nothing
+is lost.
 
 The boundary between small and large is the size for which the number of subsets written plus
 ``list_cost`` times the number of list entries written is least, from the counts of sets by size.
@@ -94,47 +97,6 @@ def written_length(n: int, percent: int) -> int:
     return min(n, p + 3 * p // 10 + 12)
 
 
-def index_length(n: int, percent: int) -> int:
-    """First elements that must meet those of a linked set not smaller."""
-    return n - overlap(n, n, percent) + 1
-
-
-def level_of(n: int, percent: int) -> tuple[int, int, int]:
-    """(level, smallest size, largest size): linked sets lie in the same or in neighbouring levels."""
-    low, level = 1, 0
-    while (high := 100 * low // percent) < n:
-        low, level = high + 1, level + 1
-    return level, low, high
-
-
-_PARTS: dict[tuple[int, int], int] = {}
-
-
-def parts_of(level: int, high: int, percent: int) -> int:
-    """One more than linked sets with the smaller one in the level can differ by."""
-    if (level, percent) not in _PARTS:
-        _PARTS[level, percent] = 1 + max(a + b - 2 * overlap(a, b, percent) for a in range(max(1, high - 3), high + 1) for b in range(a, 100 * a // percent + 1))
-    return _PARTS[level, percent]
-
-
-def fragments(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of all parts of a set, for its own level and the one below (signed)."""
-    level, low, high = level_of(len(s), percent)
-    out = []
-    with np.errstate(over="ignore"):
-        for at, top in ((level, high), (level - 1, low - 1)):
-            if at < 0:
-                continue
-            n = parts_of(at, top, percent)
-            part = (_mix(s * _M) % np.uint64(n)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cells, starts = np.unique(part[order], return_index=True)
-            sums = np.zeros(n, np.uint64)
-            sums[cells] = np.add.reduceat(_mix(s[order] + np.uint64(at + 1)), starts)
-            out.append(_mix(sums + np.arange(n, dtype=np.uint64) * _M + np.uint64(at) * np.uint64(0x100000001B3)))
-    return np.concatenate(out).view(np.int64)
-
-
 def subset_keys(s: np.ndarray, most: int, percent: int) -> list[tuple[int, int]]:
     """(key, whether sets of two sizes must meet in it) of the subsets of a set that decide links
     with a smaller set of at most ``most`` elements."""
@@ -217,9 +179,11 @@ def _subset_links(classes: DataFrame, most: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for node, n, s in zip(b["node"].to_pylist(), b["n"].to_pylist(), b["small"].to_pylist(), strict=True):
-                if keys := subset_keys(np.array(s, np.int64).view(np.uint64), most, percent):
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int64()), pa.array([two for _, two in keys]), pa.array([node] * len(keys), pa.int64()), pa.array([n] * len(keys), pa.int64())], ["key", "two", "node", "n"])
+            for start in range(0, b.num_rows, 500):
+                part = b.slice(start, 500)
+                found = [subset_keys(np.array(s, np.int64).view(np.uint64), most, percent) for s in part["small"].to_pylist()]
+                sizes = [len(keys) for keys in found]
+                yield pa.RecordBatch.from_arrays([pa.array([k for keys in found for k, _ in keys], pa.int64()), pa.array([two for keys in found for _, two in keys], pa.bool_()), pa.array(np.repeat(part["node"].to_numpy(), sizes)), pa.array(np.repeat(part["n"].to_numpy(), sizes))], ["key", "two", "node", "n"])
 
     keyed = cut(small.mapInArrow(run, "key long, two boolean, node long, n long"))
     # all that meet in a subset are connected, if both sizes that the subset is for are there
@@ -314,12 +278,12 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, long_l
     sets = _whole_sets(slim, wanted.join(classes.select("node", "first"), "node"), words, bits)
     del wanted, short
     release(met.sparkSession)
-    # lists of fragments
-    piece = cut(sets.where("busy").mapInArrow(_write_fragments(percent), "key long, node long, n long"))
-    met2 = cut(piece.join(piece.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key"), "key"))
-    # first round: each node with its smallest candidate, each fragment's list with one of its members
-    pivot = met2.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("an"))
-    stars = met2.join(pivot, "key").where((F.col("a") != F.col("node")) & _fits(F.col("an"), F.col("n"), percent)).select("a", F.col("node").alias("b")).distinct()
+    # lists of the sets that are left, rarest elements first
+    ranked = _rarest_first(sets.where("busy"), percent)
+    # first round: each node with its smallest candidate, each such list with its most central member
+    pivot = ranked.groupBy("key").agg(F.min(F.struct("at", "node", "n")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("an"))
+    stars = ranked.join(pivot, "key").where((F.col("a") != F.col("node")) & _fits(F.col("an"), F.col("n"), percent))
+    stars = stars.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     chosen = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(_near(stars, about, percent)).distinct()
     links = cut(exact.unionByName(_verified(chosen, sets, percent)))
     del chosen, stars, pivot
@@ -328,9 +292,7 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, long_l
     # second round: candidates in different components
     of = lambda c: parts.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
     rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
-    grouped = cut(met2.join(parts, "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part")))
-    open_lists = grouped.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("key")
-    crossed = _crossed(cut(grouped.join(open_lists, "key").join(about.select("node", "cells"), "node")), percent)
+    crossed = _crossed(ranked.join(parts, "node", "left").select("key", "node", "n", "at", F.coalesce("part", "node").alias("part")), about, percent)
     second = cut(_verified(rest.unionByName(crossed).distinct(), sets, percent))
     if second.limit(1).count():
         parts = components(links.unionByName(second))
@@ -355,15 +317,43 @@ def _listed(members: DataFrame, percent: int) -> DataFrame:
     return lists.select(F.explode(F.flatten(F.transform("l", partners))).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _crossed(members: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a < b) of nodes in different components that meet in a list (key, node, n, cells, part)
-    of any length and may link; the join gives no others."""
-    names = ("key", "node", "n", "cells", "part")
-    one = members.select(*[F.col(c).alias(f"a_{c}") for c in names])
-    two = members.select(*[F.col(c).alias(f"b_{c}") for c in names])
-    test = (F.col("a_key") == F.col("b_key")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_part") != F.col("b_part"))
+def _rarest_first(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, at): the first elements of each of ``sets`` (node, elements), ordered by the number of
+    these sets that have them; ``at`` is the place in that order. Elements of a single set come
+    first and are left out, with lists of one member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.frombuffer(x.as_py(), np.int64) for x in b["elements"]]
+            if found:
+                sizes = np.array([len(s) for s in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(b["node"].to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes))], ["key", "node", "n"])
+
+    element = cut(sets.select("node", "elements").mapInArrow(run, "key long, node long, n long"))
+    common = element.groupBy("key").agg(F.count(F.lit(1)).alias("owners")).where("owners > 1")
+    # a list here is a part of one document's set
+    per = element.join(common, "key").groupBy("node").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("owners", "key"))).alias("l"))
+    alone = F.col("n") - F.size("l")
+    needed = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - alone
+    first = per.where(needed > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("l", 1, needed.cast("int"))).alias("at", "e"))
+    first = cut(first.select(F.col("e.key").alias("key"), "node", "n", (F.col("at") + F.col("alone")).alias("at")))
+    return cut(first.join(first.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key"), "key"))
+
+
+def _crossed(members: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a < b) of nodes in different components that meet in a list (key, node, n, at, part)
+    and may link; the join gives no others. Members of a list's largest component only wait for others."""
+    by_part = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
+    lists = by_part.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
+    both = cut(members.join(lists, "key").join(about.select("node", "cells"), "node"))
+    names = ("key", "node", "n", "at", "cells", "part")
+    one = both.where("part != main").select(*[F.col(c).alias(f"a_{c}") for c in names])
+    two = both.select(*[F.col(c).alias(f"b_{c}") for c in names], (F.col("part") == F.col("main")).alias("waits"))
+    test = (F.col("a_key") == F.col("b_key")) & (F.col("a_part") != F.col("b_part")) & (F.col("waits") | (F.col("a_node") < F.col("b_node")))
+    least = F.ceil(percent * (F.col("a_n") + F.col("b_n")) / (100 + percent))
+    test = test & (F.col("a_at") <= F.col("a_n") - least) & (F.col("b_at") <= F.col("b_n") - least)
     test = test & _may_link(F.col("a_n"), F.col("b_n"), F.col("a_cells"), F.col("b_cells"), percent)
-    return one.join(two, test).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    return one.join(two, test).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
 def _near(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
@@ -421,14 +411,3 @@ def _whole_sets(slim: DataFrame, wanted: DataFrame, words: int, bits: int) -> Da
     made = slim.mapInArrow(run, "doc_id long, made long, elements binary")
     # rows of equal texts that share a bit give the same set again: one is kept, without a further shuffle
     return cut(made.join(wanted, F.col("made") == F.col("node")).select("node", "busy", "elements").dropDuplicates(["node"]))
-
-
-def _write_fragments(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for node, x in zip(b["node"].to_pylist(), b["elements"], strict=True):
-                s = np.frombuffer(x.as_py(), np.uint64)
-                keys = fragments(s, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), node)), pa.array(np.full(len(keys), len(s)))], ["key", "node", "n"])
-
-    return run
