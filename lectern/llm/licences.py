@@ -2,15 +2,16 @@
 
 A multinomial logistic regression over sparse word n-grams (one to three words) is trained on
 wordings of licence families and, for the class ``none``, on paragraphs of a bounded sample of
-the corpus and on sentences that only sound like licences. A second, one-feature regression on
-held-out examples turns the margin over ``none`` into a calibrated chance. Every paragraph of
-every document is scored; those above the calibrated bar are compared with the templates of the
-predicted family, and a paragraph that repeats most of a template's word triples is confirmed.
-What looks like a licence but matches no template of its family is ``unknown``.
+the corpus and on sentences that only sound like licences. A second, one-feature regression turns
+the margin over ``none`` into a calibrated chance; its margins come from models that have not seen
+the wording in question in any variant (whole wordings are dealt to ``FOLDS`` folds by hash). Every
+paragraph of every document is scored; those above the calibrated bar are compared with the
+templates of the predicted family, and a paragraph that repeats most of a template's word triples
+is confirmed. What looks like a licence but matches no template of its family is ``unknown``.
 
-Only n-grams of the wordings carry weight (a table bounded by the wordings). A paragraph without
-any of the words whose n-grams it takes to reach the bar is left out before its n-grams are
-built; this loses nothing.
+Only n-grams of the wordings carry weight (a table bounded by the wordings). A document, and then
+a paragraph, without any of the words whose n-grams it takes to reach the bar is left out before
+its n-grams are built; this loses nothing. A paragraph without any weighted n-gram is none.
 
 Defined cases: null text has no paragraphs; blank lines are none; each row is a document
 with a score of its own, whatever its doc_id (paragraphs are keyed by the text's sha-256); an empty table gives an empty result; extra columns are ignored; texts are read
@@ -20,6 +21,8 @@ whole.
 from __future__ import annotations
 
 import math
+import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,11 +105,9 @@ class LicenceModel:
 
     def __init__(self, classes: list[str], weights: dict[str, list[float]], bias: list[float], slope: float, shift: float):
         self.classes, self.weights, self.bias, self.slope, self.shift = classes, weights, bias, slope, shift
-        if any(b >= bias[classes.index(NONE)] for b in bias[:-1]):
-            raise ValueError("a paragraph without features would be taken for a licence")
 
-    def anchors(self, bar: float) -> list[str]:
-        """Words of which a paragraph must have one to reach the bar.
+    def anchors(self, bar: float) -> list[str] | None:
+        """Words of which a paragraph must have one to reach the bar; None if a single n-gram may do.
 
         Each n-gram that speaks for a family is put under its longest word. Words are left out,
         common ones first and then those that matter least, as long as all n-grams under them
@@ -115,6 +116,8 @@ class LicenceModel:
         none = self.classes.index(NONE)
         margin = (math.log(bar / (1 - bar)) - self.shift) / self.slope
         room = [self.bias[none] - b + margin - 1e-6 for b in self.bias[:none]]
+        if min(room) <= 0:
+            return None
         under: dict[str, list[float]] = {}
         for gram, w in self.weights.items():
             gain = [max(0.0, x - w[none]) for x in w[:none]]
@@ -131,57 +134,77 @@ class LicenceModel:
         return sorted(kept)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 200, regular: float = 2e-4) -> LicenceModel:
-    """Fit on the wordings and on paragraphs of at most ``sample_docs`` documents, drawn by hash of the id."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer
+def _has_any(text: Column, words: list[str]) -> Column:
+    """Whether one of ``words`` may be a token of the text; true wherever it is one."""
+    parts: dict[str, list[str]] = {}
+    for w in words:
+        parts.setdefault(w[0], []).append(re.escape(w[1:]))
+    pattern = "|".join(f"{re.escape(c)}(?:{'|'.join(sorted(rest))})" for c, rest in sorted(parts.items()))
+    return F.lower(text).rlike(f"(?<![a-z0-9à-ÿ])(?:{pattern})(?![a-z0-9à-ÿ])") if words else F.lit(False)
 
-    spark = docs.sparkSession
+
+def _examples() -> list[tuple[str, str, str, float]]:
+    """(paragraph, family, wording it comes from, weight)."""
     rows = []
     for family, texts in WORDINGS.items():
         for t in texts:
             words = t.split()
-            rows += [(t, family, 2)] * 2
-            rows += [(" ".join(words[:-1]), family, 1), (" ".join(words[1:]), family, 1)] if len(words) > 4 else []
-            rows += [(f"{t} and the rest of it was seen by all of them that day", family, 1), (f"© 2020 The authors. {t}", family, 1)]
-    rows += [(t, NONE, 2) for t in NOT_LICENCES] * 2
-    named = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "par string, family string, weight int, n int")
-    templates = template_table(spark)
-    drawn = docs.where(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)
-    seen = paragraphs(drawn, id_col, text_col).select("par").distinct()
-    known = _compared(seen.withColumn("triples", _triples(_tokens(F.col("par")))), templates).where("share >= 0.5").select("par").distinct()
-    plain = seen.join(known, "par", "left_anti").select("par", F.lit(NONE).alias("family"), F.lit(1).alias("weight"), F.xxhash64("par").alias("n"))
-    rows_df = named.unionByName(plain.withColumn("n", F.pmod("n", F.lit(1 << 30)).cast("int"))).select(_telling(_ngrams(_tokens(F.col("par")))).alias("grams"), "family", F.col("weight").cast("double").alias("weight"), "n").cache()
-    vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=4000, minDF=2.0).fit(rows_df.where(F.col("family") != NONE))
+            rows += [(t, family, t, 4.0), (f"{t} and the rest of it was seen by all of them that day", family, t, 1.0), (f"© 2020 The authors. {t}", family, t, 1.0)]
+            rows += [(" ".join(words[:-1]), family, t, 1.0), (" ".join(words[1:]), family, t, 1.0)] if len(words) > 4 else []
+    return rows + [(t, NONE, t, 4.0) for t in NOT_LICENCES]
+
+
+def sampled_paragraphs(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> DataFrame:
+    """Distinct paragraphs of at most ``sample_docs`` documents: ids and hashes are drawn first, texts
+    are joined to the drawn ones, so that no text is sorted."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    marked = slim.withColumn("h", F.xxhash64("text"))
+    drawn = marked.select(F.col("doc_id").alias("d_id"), F.col("h").alias("d_h")).orderBy(F.xxhash64("d_id"), "d_id", "d_h").limit(sample_docs)
+    chosen = marked.join(F.broadcast(drawn), (F.col("doc_id") == F.col("d_id")) & (F.col("h") == F.col("d_h")), "left_semi")  # sample_docs rows
+    return paragraphs(chosen, "doc_id", "text").select("par").distinct()
+
+
+FOLDS = 3
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 200, regular: float = 2e-4) -> LicenceModel:
+    """Fit on the wordings and on paragraphs of at most ``sample_docs`` documents, drawn by hash of the
+    id; the few sampled paragraphs that repeat half of a template are no examples of ``none``."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    spark = docs.sparkSession
     classes = [*WORDINGS, NONE]
+    none = len(classes) - 1
+    named = spark.createDataFrame(_examples(), "par string, family string, wording string, weight double")
+    named = named.select(_tokens(F.col("par")).alias("words"), "family", "wording", "weight")
+    # spread over tasks: n-grams of the sample are the costly part
+    seen = cut(sampled_paragraphs(docs, id_col, text_col, sample_docs)).repartition(max(8, spark.sparkContext.defaultParallelism)).select("par", _tokens(F.col("par")).alias("words"))
+    known = _compared(seen.select("par", _triples(F.col("words")).alias("triples")), template_table(spark)).where("share >= 0.5").select("par").distinct()
+    plain = seen.join(known, "par", "left_anti").select("words", F.lit(NONE).alias("family"), F.col("par").alias("wording"), F.lit(1.0).alias("weight"))
+    telling = named.where(F.col("family") != NONE).select(_telling(_ngrams(F.col("words"))).alias("grams"))
+    vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=4000, minDF=2.0).fit(telling)
     label = F.coalesce(*[F.when(F.col("family") == c, F.lit(float(k))) for k, c in enumerate(classes)])
-    ready = vocabulary.transform(rows_df).withColumn("label", label)
-    fitted = LogisticRegression(family="multinomial", regParam=regular, elasticNetParam=0.2, maxIter=60, weightCol="weight", standardization=False).fit(ready.where("n % 4 != 1"))
-    held = fitted.transform(ready.where("n % 4 = 1"))
-    from pyspark.ml.functions import vector_to_array
-
+    fold = (F.crc32(F.col("wording").cast("binary")) % FOLDS).cast("int")
+    rows = vocabulary.transform(named.unionByName(plain).select(_ngrams(F.col("words")).alias("grams"), label.alias("label"), fold.alias("fold"), "weight"))
+    rows = cut(rows.select("features", "label", "fold", "weight")).repartition(2).cache()  # a bounded sample
+    # none, the last class, has examples in every fold, so there are as many classes whatever a fold holds
+    fit = LogisticRegression(family="multinomial", regParam=regular, elasticNetParam=0.2, maxIter=60, weightCol="weight", standardization=False).fit
     raw = vector_to_array("rawPrediction")
-    none = len(classes) - 1
     margin = F.array_max(F.slice(raw, 1, none)) - F.element_at(raw, none + 1)
-    pairs = held.select(margin.alias("margin"), (F.col("family") != NONE).cast("int").alias("y"))
-    # Platt's scaling, with his targets, in a few Newton steps on sums
+    unseen = [fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k)) for k in range(FOLDS)]
+    pairs = reduce(DataFrame.unionByName, [x.select(array_to_vector(F.array(margin)).alias("features"), (F.col("label") != none).cast("double").alias("label")) for x in unseen]).cache()
     slope, shift = 1.0, 0.0
-    counts = pairs.agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).first()
-    pos, neg = (counts["p"] or 0), (counts["n"] or 0) - (counts["p"] or 0)
-    target = F.when(F.col("y") == 1, (pos + 1) / (pos + 2)).otherwise(1 / (neg + 2))
-    pairs = pairs.withColumn("t", target).cache()
-    for _ in range(8 if pos and neg else 0):
-        p = 1 / (1 + F.exp(-(F.col("margin") * slope + shift)))
-        g, h, m = p - F.col("t"), p * (1 - p), F.col("margin")
-        s = pairs.agg(F.sum(g * m).alias("ga"), F.sum(g).alias("gb"), F.sum(h * m * m).alias("haa"), F.sum(h * m).alias("hab"), F.sum(h).alias("hbb")).first()
-        haa, hab, hbb = s["haa"] + 0.1, s["hab"], s["hbb"] + 0.1
-        det = haa * hbb - hab * hab
-        slope, shift = slope - (hbb * s["ga"] - hab * s["gb"]) / det * 0.7, shift - (haa * s["gb"] - hab * s["ga"]) / det * 0.7
+    if pairs.select("label").distinct().count() == 2:
+        platt = LogisticRegression(regParam=0.01, maxIter=40).fit(pairs)
+        slope, shift = float(platt.coefficients[0]), float(platt.intercept)
+    fitted = fit(rows)
     matrix, bias = fitted.coefficientMatrix.toArray(), [float(x) for x in fitted.interceptVector.toArray()]
     weights = {g: [float(x) for x in matrix[:, k]] for k, g in enumerate(vocabulary.vocabulary) if abs(matrix[:, k]).max() > 1e-6}
-    rows_df.unpersist()
+    rows.unpersist()
     pairs.unpersist()
-    return LicenceModel(classes, weights, bias, max(0.05, float(slope)), float(shift))
+    return LicenceModel(classes, weights, bias, max(0.05, slope), shift)
 
 
 def template_table(spark: SparkSession) -> DataFrame:
@@ -214,8 +237,13 @@ def _scan(texts: DataFrame, model: LicenceModel, bar: float = 0.5, confirm: floa
     """Paragraphs of texts (key, text) taken for licences, once for each distinct text: doc_id (the key), place, family, chance, confirmed, predicted."""
     spark = texts.sparkSession
     none = model.classes.index(NONE)
-    anchors = F.array(*[F.lit(a) for a in model.anchors(bar)])
-    pars = paragraphs(texts, "key", "text").withColumn("words", _tokens(F.col("par"))).where(F.arrays_overlap("words", anchors)).drop("par")
+    anchors = model.anchors(bar)
+    if anchors is None:
+        pars = paragraphs(texts, "key", "text").withColumn("words", _tokens(F.col("par"))).drop("par")
+    else:
+        some = paragraphs(texts.where(_has_any(F.col("text"), anchors)), "key", "text").where(_has_any(F.col("par"), anchors))
+        listed = F.array(*[F.lit(a) for a in anchors]).cast("array<string>")
+        pars = some.withColumn("words", _tokens(F.col("par"))).where(F.arrays_overlap("words", listed)).drop("par")
     pars = pars.dropDuplicates(["doc_id", "place"])  # copies of a text count once
     pars = pars.select("doc_id", "place", _ngrams(F.col("words")).alias("grams"))
     # n-grams with a weight, and the templates' own ones, which the comparison needs
