@@ -3,17 +3,22 @@
 A word's score is a linear function of hashed character features of the word; a text scores as
 its most toxic word, so one slur in a long text counts and thousands of neutral words add
 nothing. Weights start from log-odds of feature counts in toxic and clean training texts and
-are refined by logistic loss on the texts, plus a penalty on sentences that mention an identity
-term: the term is swapped for others of its group and the squared change of the sentence's
-score is pushed to zero, and the terms' own scores with it, so that a neutral mention of a
-group raises no alarm.
+are refined by logistic loss on the texts, plus a counterfactual loss on their sentences: wherever
+a labelled sentence mentions an identity term, the term is swapped for another of its group, the
+sentence and its twin are scored alike (most toxic word), and the squared difference of the two
+scores, times ``penalty``, is added to the loss. A neutral mention of a group then raises no alarm,
+while a slur next to it, which scores the same in both, is left as it is.
+
+Runs of letters longer than ``RUN`` (scripts without blanks, long addresses) are scored by
+overlapping slices of that length, all of them, so nothing of a text is left out.
 
 Training uses a bounded sample of labelled rows (``max_train``, a parameter); every document is
 scored, whole.
 
 Defined cases: null and empty texts, and texts without a letter or digit, get the score of a
 text without evidence (below the threshold); repeated rows each give a row; an empty table gives
-an empty result; with no labelled rows all documents score the prior; extra columns are ignored.
+an empty result; with no labelled rows all documents score the prior; extra columns are ignored,
+also such as are named like the result's.
 """
 
 from __future__ import annotations
@@ -39,31 +44,41 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("black", "white", "asian", "latino", "hispanic", "arab", "african", "european"), ("immigrant", "native", "refugee", "foreigner"), ("immigrants", "natives", "refugees", "foreigners"),
     ("mexican", "chinese", "american", "indian", "german", "french", "turkish", "polish", "russian", "nigerian"),
     ("disabled", "blind", "deaf", "autistic", "elderly", "young", "old"),
+    ("frauen", "männer", "mädchen", "jungen"), ("schwul", "lesbisch", "bisexuell", "queer"), ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"), ("deutsche", "türken", "polen", "araber", "russen", "franzosen"), ("flüchtlinge", "einwanderer", "ausländer", "einheimische"), ("behindert", "blind", "taub", "alt", "jung"),
+    ("femmes", "hommes", "filles", "garçons"), ("gay", "lesbienne", "bisexuel", "hétérosexuel"), ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"), ("arabes", "africains", "français", "allemands", "russes", "turcs"), ("réfugiés", "immigrés", "étrangers"), ("handicapé", "aveugle", "sourd", "vieux", "jeune"),
+    ("mujeres", "hombres", "niñas", "niños"), ("gay", "lesbiana", "bisexual", "heterosexual"), ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"), ("mexicanos", "árabes", "africanos", "españoles", "gitanos", "rusos"), ("refugiados", "inmigrantes", "extranjeros"), ("discapacitado", "ciego", "sordo", "viejo", "joven"),
 )
 DIMS = 1 << 18
 LENGTHS = (3, 4, 5, 6)
+#: Longer runs of letters are scored by overlapping slices of this length; longer tokens aren't kept in the memo.
+RUN, KEPT = 64, 256
 _SUB = re.compile(r"[^\W_]+")
 #: Signs often written for letters.
 _LOOKALIKE = str.maketrans("0134578@$!", "oieastbasi")
 
 
+def _slices(run: str) -> list[str]:
+    """A run of letters, or all slices of a long one, each overlapping the next by half."""
+    return [run] if len(run) <= RUN else [run[k : k + RUN] for k in range(0, len(run) - RUN // 2, RUN // 2)]
+
+
 def _parts(token: str) -> list[str]:
     """The words a blank-separated token may hold: its runs of letters and digits, and the token with
     signs removed or read as the letters they stand for."""
     token = token.lower()
     if token.isalpha():
-        return [token]
+        return _slices(token)
     runs = _SUB.findall(token)
     if not runs:
         return []
     if len(runs) > 1 or not runs[0].isalpha():
         joined = "".join(runs)
-        if any(c.isalpha() for c in joined) and len(joined) <= 40:
+        if any(c.isalpha() for c in joined):
             runs = [*runs, joined]
         plain = "".join(_SUB.findall(token.translate(_LOOKALIKE)))
-        if any(c.isalpha() for c in token) and len(plain) <= 40:
+        if any(c.isalpha() for c in token):
             runs.append(plain)
-    return list(dict.fromkeys(r[:64] if len(r) > 64 else r for r in runs if not r.isdigit())) or runs[:1]
+    return list(dict.fromkeys(x for r in runs if not r.isdigit() for x in _slices(r))) or _slices(runs[0])
 
 
 class ToxicityModel:
@@ -94,33 +109,44 @@ class ToxicityModel:
             at += len(ps)
         return out
 
+    def _long(self, token: str) -> float:
+        parts = _parts(token)
+        return max((float(self.word_scores(parts[k : k + 2000]).max()) for k in range(0, len(parts), 2000)), default=self.floor)
+
     def score(self, texts: list[str | None]) -> list[float]:
         if self.memo is None:
             self.memo = WordMemo(self._tokens)
         split = [set(t.split()) if t else set() for t in texts]
-        known = self.memo.lookup(set().union(*split)) if split else {}
+        known = self.memo.lookup({t for tokens in split for t in tokens if len(t) <= KEPT})
         out = []
         for tokens in split:
-            best = max([known[t] for t in tokens], default=self.floor)
+            best = max([known[t] if len(t) <= KEPT else self._long(t) for t in tokens], default=self.floor)
             out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, self.scale * best + self.bias)))))
         return out
 
 
-def _counterfactuals(texts: list[str], rng: np.random.Generator, most: int = 4) -> list[tuple[str, str]]:
-    """(identity term, another of its group) for each mention in a sentence, ``most`` a sentence."""
-    other = {t: g for g in IDENTITY_TERMS for t in g}
-    found = []
+def _twins(texts: list[str], place: dict[str, int], rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(words, words with one identity term swapped) of each mention in each sentence of the texts; words by their
+    number in ``place``, which grows as needed."""
+    other: dict[str, list[str]] = {}
+    for g in IDENTITY_TERMS:
+        for t in g:
+            other.setdefault(t, []).extend(x for x in g if x != t)
+    found: dict[tuple, None] = {}
     for text in texts:
-        for sentence in re.split(r"[.!?\n]+", text.lower()):
-            mentions = [w for w in _SUB.findall(sentence) if w in other]
-            for w in mentions[:most]:
-                rest = [x for x in other[w] if x != w]
-                found.append((w, rest[int(rng.integers(len(rest)))]))
-    return found
+        for sentence in re.split(r"[.!?\n]+", text):
+            words = list(dict.fromkeys(p for t in sentence.split() for p in _parts(t)))
+            for w in words:
+                if w in other:
+                    swapped = other[w][int(rng.integers(len(other[w])))]
+                    ids = [place.setdefault(x, len(place)) for x in words]
+                    twin = [place.setdefault(swapped if x == w else x, len(place)) for x in words]
+                    found[tuple(ids), tuple(twin)] = None
+    return [(np.array(a), np.array(b)) for a, b in found]
 
 
 def train(texts: list[str], labels: list[int], rounds: int = 6, rate: float = 0.5, penalty: float = 1.0, seed: int = 7) -> ToxicityModel:
-    """Fit on (text, 0/1). ``penalty`` weighs the squared score change under identity swaps."""
+    """Fit on (text, 0/1). ``penalty`` weighs the squared score change of sentences under identity swaps."""
     rng = np.random.default_rng(seed)
     docs = [list(dict.fromkeys(p for t in dict.fromkeys(text.split()) for p in _parts(t))) for text in texts]
     y = np.array(labels, np.float64)
@@ -129,6 +155,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 6, rate: float = 0.
         p = (y.sum() + 0.1) / (len(y) + 10)
         return ToxicityModel(np.zeros(DIMS), 1.0, math.log(p / (1 - p)), 0.0)
     vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
+    twins = _twins(texts, vocabulary, rng) if penalty else []
     words = list(vocabulary)
     # features of all words in order, made a slice at a time to keep the driver small
     made, counts = [], []
@@ -158,10 +185,6 @@ def train(texts: list[str], labels: list[int], rounds: int = 6, rate: float = 0.
         return np.add.reduceat(each, np.minimum(starts[:-1], len(fi))) / per_word
 
     scale, bias = 2.0, -2.0
-    pairs = [(vocabulary.get(a), vocabulary.get(b), a, b) for a, b in _counterfactuals(texts, rng)]
-    terms = sorted({t for g in IDENTITY_TERMS for t in g})
-    t_w, t_f = word_features(terms, DIMS, LENGTHS)
-    term_f = {t: t_f[t_w == k] for k, t in enumerate(terms)}
     for _ in range(rounds):
         score = totals()
         best = np.array([score[m].max() if len(m) else floor for m in members])
@@ -178,17 +201,18 @@ def train(texts: list[str], labels: list[int], rounds: int = 6, rate: float = 0.
             if k >= 0 and abs(gain) > 0.02:
                 f = fi[starts[k] : starts[k + 1]]
                 weights[f] += rate * gain / max(1, len(f)) * 4
-        # counterfactual penalty: swapping a term must not move the sentence's score
-        for _, _, a, b in pairs:
-            fa, fb = term_f[a], term_f[b]
-            diff = weights[fa].mean() - weights[fb].mean()
-            weights[fa] -= penalty * 0.5 * diff
-            weights[fb] += penalty * 0.5 * diff
-        for t in terms:  # and no term may carry evidence of its own
-            f = term_f[t]
-            over = weights[f].mean() - floor
-            if over > 0:
-                weights[f] -= penalty * over
+        # counterfactual loss: penalty * (score of a sentence - score of its twin) ** 2, by gradient steps
+        # on the word that makes either score; where both scores are those of one word they don't differ
+        for _ in range(4 if twins else 0):
+            score = totals()
+            top = np.array([(a[np.argmax(score[a])], b[np.argmax(score[b])]) for a, b in twins])
+            apart = score[top[:, 0]] - score[top[:, 1]]
+            high = np.where(apart >= 0, top[:, 0], top[:, 1])
+            pull, hits = np.bincount(high, weights=abs(apart), minlength=len(words)), np.bincount(high, minlength=len(words))
+            # the lower score is the target: a common word that makes it isn't lifted towards the term
+            for k in np.flatnonzero(pull):
+                f = fi[starts[k] : starts[k + 1]]
+                weights[f] -= penalty / (1 + penalty) * pull[k] / hits[k]
     return ToxicityModel(weights.astype(np.float32), scale, bias, floor)
 
 

@@ -40,6 +40,30 @@ def word_features(words: list[str], dims: int, lengths: tuple[int, ...] = (2, 3,
     return np.concatenate(out_w), np.concatenate(out_f).astype(np.int64)
 
 
+def long_word_features(word: str, dims: int, lengths: tuple[int, ...] = (2, 3, 4, 5), size: int = 1 << 17):
+    """The features that ``word_features`` gives for one word, in parts, so that a word of any length takes little memory."""
+    codes = np.frombuffer((_OPEN + word + _CLOSE).encode("utf-32-le", "surrogatepass"), np.uint32)
+    shift, whole = np.uint64(64 - (dims.bit_length() - 1)), np.uint64(0)
+    for s in range(0, len(codes), size):
+        part, made = codes[s : s + size + max(lengths) - 1].astype(np.uint64), []
+        with np.errstate(over="ignore"):
+            h = part.copy()
+            for n in range(2, max(lengths) + 1):
+                h = h[:-1] * _BASE + part[n - 1 :]
+                if n in lengths:
+                    g = (h[:size] + np.uint64(n)) * _MIX
+                    g ^= g >> np.uint64(29)
+                    made.append(((g * _MIX) >> shift).astype(np.int64))
+            place = np.arange(s, s + len(part[:size])).astype(np.uint64)
+            whole += (part[:size] * ((place * np.uint64(2) + np.uint64(1)) * _MIX ^ (place << np.uint64(17)))).sum()
+        yield from made
+    with np.errstate(over="ignore"):
+        whole *= _MIX
+        whole ^= whole >> np.uint64(31)
+        last = (whole * _MIX) >> shift
+    yield np.array([last]).astype(np.int64)
+
+
 class WordMemo:
     """Rows of numbers per word, computed in bulk on first sight and kept for the frequent words.
 
