@@ -29,23 +29,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from lectern.llm.common import fold_of
-from lectern.llm.wordfeats import word_features
+from lectern.llm.wordfeats import long_word_features, word_features
 
 DIMS = 1 << 16
 LENGTHS = (2, 3, 4)
 BLOCK = 64
+#: Longer tokens (scripts without blanks) aren't remembered, and their features are made in parts.
+KEPT = 256
 NONE = "und"
 
 
 def bare(token: str) -> str:
-    """A token without the signs around it, in lower case; '' if it has no letter. Very long
-    tokens are told by their ends."""
+    """A token without the signs around it, in lower case; '' if it has no letter."""
     t = token.lower()
     if not t.isalpha():
         t = t.strip("".join({c for c in t if not c.isalnum()})) if t else t
         if not any(c.isalpha() for c in t):
             return ""
-    return t if len(t) <= 48 else t[:24] + t[-24:]
+    return t
 
 
 class LanguageModel:
@@ -62,11 +63,15 @@ class LanguageModel:
         self.__init__(*state)
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        wi, fi = features(words, self.lexicon)
-        return np.stack([np.bincount(wi, weights=self.weights[fi, k], minlength=len(words)) for k in range(len(self.labels))], axis=1)
+        wi, fi = features([w if len(w) <= KEPT else "" for w in words], self.lexicon)
+        out = np.stack([np.bincount(wi, weights=self.weights[fi, k], minlength=len(words)) for k in range(len(self.labels))], axis=1)
+        for k, w in enumerate(words):
+            if len(w) > KEPT:
+                out[k] = sum(self.weights[f].sum(axis=0, dtype=np.float64) for f in long_word_features(w, DIMS, LENGTHS))
+        return out
 
     def _index(self, split: list[list[str]], limit: int = 200_000) -> None:
-        if len(self.place) > limit:
+        if len(self.rows) > limit:
             self.__init__(*self.__getstate__())
         fresh = list(set().union(*split).difference(self.place)) if split else []
         if not fresh:
@@ -75,7 +80,7 @@ class LanguageModel:
         rows = self.emissions(words).astype(np.float32)
         has = np.array([bool(w) for w in words])
         rows[~has] = 0.0
-        at = len(self.place)
+        at = len(self.rows)
         self.place.update(zip(fresh, range(at, at + len(fresh)), strict=True))
         self.rows, self.has = np.concatenate([self.rows[:at], rows]), np.concatenate([self.has[:at], has])
 
@@ -86,6 +91,8 @@ class LanguageModel:
         lengths = np.array([len(s) for s in split], np.int64)
         get = self.place.__getitem__
         at = np.fromiter((get(t) for s in split for t in s), np.int64, int(lengths.sum()))
+        for t in [t for t in set().union(*split) if len(t) > KEPT] if split else ():
+            del self.place[t]
         return forward_backward(self.rows[at], lengths, self.trans, self.start), self.has[at], lengths
 
     def label(self, texts: list[str]) -> list[tuple[str, float]]:
