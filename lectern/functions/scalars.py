@@ -82,10 +82,27 @@ def normalize_metadata(title: Column, author: Column, subject: Column) -> Column
     return F.struct(non_blank(title).alias("title"), non_blank(author).alias("author"), non_blank(subject).alias("subject"), F.create_map().cast("map<string,string>").alias("custom"))
 
 
+def normal_path(path: Column) -> Column:
+    """A path with `/` for `\\`, without `.` and doubled slashes, and with `..` carried out (beyond the root it does
+    nothing, at the start of a relative path it stays); null if blank. Its case and a slash at its end are kept."""
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
+    parts = F.split(slashed, "/", -1)
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        top = last.isNull() | (last == "..") | last.endswith(":")
+        up = F.when(last == "", done).when(top, F.concat(done, F.array(x))).otherwise(F.slice(done, F.lit(1), F.size(done) - 1))
+        # an empty part counts at the very start and after a scheme (http://)
+        empty = F.when((F.size(done) == 0) | F.coalesce(last.endswith(":"), F.lit(False)), F.concat(done, F.array(x))).otherwise(done)
+        return F.when(x == "", empty).when(x == ".", done).when(x == "..", up).otherwise(F.concat(done, F.array(x)))
+
+    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(non_blank(path).isNotNull(), F.when(slashed.endswith("/") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined))
+
+
 def path_key(path: Column) -> Column:
-    """Identity of a path: case and direction of slashes don't matter, `.` and doubled slashes go; null if blank."""
-    clean = F.regexp_replace(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"/(?:\./)+", "/"), r"(?<!:)/{2,}", "/")
-    return F.lower(non_blank(clean))
+    """Identity of a path: its normal form in any case; null if blank."""
+    return F.lower(normal_path(path))
 
 
 def merge_form_values(old: Column, new: Column) -> Column:

@@ -97,50 +97,83 @@ def substring_snippet(text: Column, start: Column, length: int, around: int = 30
     return F.concat(F.when(first > 0, "...").otherwise(""), body, F.when(last < F.length(text), "...").otherwise(""))
 
 
-def highlight_snippet(text: Column, terms: list[str], width: int = 32) -> Column:
-    """At most ``width`` tokens of a page around its query terms, matches in [ ], ` … ` at cut sides.
+def highlight_units(text: Column, units: Column, width: int = 32) -> Column:
+    """At most ``width`` tokens of a page around what a query asks for, matches in [ ], ` … ` at cut sides.
 
-    The window is the one with the most distinct terms, then the most matches, then the earliest;
-    it is centred on what it covers. Text between tokens stays as it is.
+    ``units`` is an array of (words, prefix): words next to each other, the last one perhaps a prefix.
+    The window is the one with the most distinct units, then the most matches, then the earliest; it is
+    centred on what it covers. Overlapping matches share one pair of brackets. Text between tokens stays
+    as it is.
     """
-    terms = [fold_literal(t) for t in terms]
-    wanted = F.array(*[F.lit(t) for t in terms])
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     gaps = F.split(text, TOKEN, -1)
 
     def hits_of(folded: Column) -> Column:
-        return F.filter(F.transform(folded, lambda w, i: F.when(F.array_contains(wanted, w), F.struct(i.alias("at"), w.alias("w")))), lambda h: h.isNotNull())
+        def begins(u: Column, i: Column) -> Column:
+            own = F.slice(folded, i + 1, F.size(u["words"]))
+            last = F.element_at(u["words"], -1)
+            same = F.size(own) == F.size(u["words"])
+            close = (F.slice(own, F.lit(1), F.size(own) - 1) == F.slice(u["words"], F.lit(1), F.size(u["words"]) - 1)) & F.element_at(own, -1).startswith(last)
+            return same & F.when(u["prefix"], close).otherwise(own == u["words"])
+
+        def here(i: Column) -> Column:
+            return F.filter(F.transform(units, lambda u, k: F.when(begins(u, i), F.struct(i.alias("at"), (i + F.size(u["words"])).alias("to"), k.alias("unit")))), lambda h: h.isNotNull())
+
+        return F.flatten(F.transform(folded, lambda w, i: here(i)))
 
     def start_of(hits: Column, n: Column) -> Column:
         def seen_from(h: Column) -> Column:
-            inside = F.filter(hits, lambda o: (o["at"] >= h["at"]) & (o["at"] < h["at"] + width))
-            return F.struct(F.size(F.array_distinct(F.transform(inside, lambda o: o["w"]))).alias("kinds"), F.size(inside).alias("n"), (-h["at"]).alias("early"), F.array_max(F.transform(inside, lambda o: o["at"])).alias("last"))
+            inside = F.filter(hits, lambda o: (o["at"] >= h["at"]) & (o["to"] <= h["at"] + width))
+            return F.struct(F.size(F.array_distinct(F.transform(inside, lambda o: o["unit"]))).alias("kinds"), F.size(inside).alias("n"), (-h["at"]).alias("early"), F.array_max(F.transform(inside, lambda o: o["to"])).alias("last"))
 
-        best = lambda b: F.greatest(F.lit(0), F.least(F.floor((b["last"] - b["early"]) / 2).cast("int") - width // 2 + 1, n - width))
+        best = lambda b: F.greatest(F.lit(0), F.least(F.floor((F.coalesce(b["last"], 1 - b["early"]) - 1 - b["early"]) / 2).cast("int") - width // 2 + 1, n - width))
         return F.when(F.size(hits) > 0, let(F.array_max(F.transform(hits, seen_from)), best)).otherwise(0)
 
     def told(x: Column) -> Column:
-        words, seps, a = x["words"], x["seps"], x["start"]
+        words, seps, a, spans = x["words"], x["seps"], x["start"], x["spans"]
         n = F.size(words)
         b = F.least(a + width, n)
+        opens, closes = F.transform(spans, lambda s: s["at"]), F.transform(spans, lambda s: s["to"] - 1)
 
         def one(w: Column, i: Column) -> Column:
-            folded = F.translate(F.lower(w), FOLD_FROM, FOLD_TO)
-            shown = F.when(F.array_contains(wanted, folded), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w)
+            # a match that the window cuts is marked as far as it is shown
+            first = F.array_contains(opens, a + i) | ((i == 0) & F.exists(spans, lambda s: (s["at"] < a) & (s["to"] > a)))
+            last = F.array_contains(closes, a + i) | ((a + i == b - 1) & F.exists(spans, lambda s: (s["at"] < b) & (s["to"] > b)))
+            shown = F.concat(F.when(first, "[").otherwise(""), w, F.when(last, "]").otherwise(""))
             return F.concat(F.when(i > 0, F.element_at(seps, a + i + 1)).otherwise(""), shown)
 
         left = F.when(a > 0, F.lit(" … ")).otherwise(F.element_at(seps, 1))
         right = F.when(b < n, F.lit(" … ")).otherwise(F.element_at(seps, -1))
         return F.concat(left, F.array_join(F.transform(F.slice(words, a + 1, F.lit(width)), one), ""), right)
 
+    def merged(hits: Column) -> Column:
+        """Overlapping matches as one."""
+        empty = F.array().cast("array<struct<at:int,to:int>>")
+
+        def add(acc: Column, h: Column) -> Column:
+            last = F.try_element_at(acc, F.lit(-1))
+            joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["at"].alias("at"), F.greatest(last["to"], h["to"]).alias("to"))))
+            return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["to"] > h["at"]), joined).otherwise(F.concat(acc, F.array(F.struct(h["at"].alias("at"), h["to"].alias("to")))))
+
+        return F.aggregate(hits, empty, add)
+
     def made(x: Column) -> Column:
         folded = F.transform(x["words"], lambda w: F.translate(F.lower(w), FOLD_FROM, FOLD_TO))
-        start = let(let(folded, hits_of), lambda h: start_of(h, F.size(x["words"])))
-        return let(F.struct(x["words"].alias("words"), x["seps"].alias("seps"), start.alias("start")), told)
+
+        def marked(h: Column) -> Column:
+            return F.struct(x["words"].alias("words"), x["seps"].alias("seps"), start_of(h, F.size(x["words"])).alias("start"), merged(h).alias("spans"))
+
+        return let(let(let(folded, hits_of), marked), told)
 
     return F.when(F.size(tokens) > 0, let(F.struct(tokens.alias("words"), gaps.alias("seps")), made)).otherwise(text)
 
 
+def highlight_snippet(text: Column, terms: list[str], width: int = 32) -> Column:
+    """``highlight_units`` for single words."""
+    units = F.array(*[F.struct(F.array(F.lit(fold_literal(t))).alias("words"), F.lit(False).alias("prefix")) for t in terms])
+    return highlight_units(text, units, width)
+
+
 def dehyphenate(text: Column) -> Column:
     """Words cut by a hyphen at a line end are joined."""
     return F.regexp_replace(text, r"(\p{L})-\n(\p{L})", "$1$2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import tokenize
+from lectern.functions.text import let, tokenize
 
 
 def page_layers(docs: DataFrame, fp: Column, text: Column, path: Column, sep: str = "\n") -> DataFrame:
@@ -18,11 +18,30 @@ def with_tokens(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("text").isNotNull()).withColumn("tokens", tokenize(F.col("text"))).withColumn("dl", F.size("tokens"))
 
 
+def runs(tokens: Column) -> Column:
+    """(term, positions) of each distinct token of a page: its tokens sorted with their places and cut
+    where the word changes. No shuffle: a page's tokens lie in one row."""
+    placed = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at"))))
+
+    def cut_up(x: Column) -> Column:
+        starts = F.filter(F.transform(x, lambda e, i: F.when((i == 0) | (e["term"] != F.get(x, i - 1)["term"]), i)), lambda i: i.isNotNull())
+
+        def run(s: Column) -> Column:
+            def one(i: Column, k: Column) -> Column:
+                own = F.slice(x, i + 1, F.coalesce(F.get(s, k + 1), F.size(x)) - i)
+                return F.struct(F.get(x, i)["term"].alias("term"), F.transform(own, lambda e: e["at"]).alias("positions"))
+
+            return F.transform(s, one)
+
+        return let(starts, run)
+
+    return let(placed, cut_up)
+
+
 def postings(pages: DataFrame, positions: bool = False) -> DataFrame:
     """(term, fp, page_index, dl, tf[, positions]) of pages with tokens."""
-    each = pages.select("fp", "page_index", "dl", F.posexplode("tokens").alias("pos", "term"))
-    what = [F.count(F.lit(1)).cast("int").alias("tf")] + ([F.array_sort(F.collect_list("pos")).alias("positions")] if positions else [])
-    return each.groupBy("term", "fp", "page_index", "dl").agg(*what)
+    each = pages.select("fp", "page_index", "dl", F.inline(runs(F.col("tokens"))))
+    return each.select("term", "fp", "page_index", "dl", F.size("positions").alias("tf"), *(["positions"] if positions else []))
 
 
 def totals(pages: DataFrame) -> DataFrame:
@@ -35,6 +54,24 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+def updated_stats(stats: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """(term, df, cf) after the postings ``gone`` are replaced by ``new``: only touched documents' postings are counted."""
+    parts = [stats.select("term", "df", "cf")]
+    for posts, sign in ((gone, -1), (new, 1)):
+        parts.append(posts.groupBy("term").agg((sign * F.count(F.lit(1))).alias("df"), (sign * F.sum("tf")).alias("cf")))
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    return both.where("df > 0")
+
+
+def updated_totals(whole: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """The totals after the pages ``gone`` (with dl) are replaced by ``new``."""
+    parts = whole.select("n_pages", "n_tokens")
+    for pages, sign in ((gone, -1), (new, 1)):
+        parts = parts.unionByName(pages.agg((sign * F.count(F.lit(1))).alias("n_pages"), (sign * F.coalesce(F.sum("dl"), F.lit(0))).alias("n_tokens")))
+    summed = parts.agg(F.sum("n_pages").alias("n_pages"), F.sum("n_tokens").alias("n_tokens"))
+    return summed.withColumn("avgdl", F.when(F.col("n_pages") > 0, F.col("n_tokens") / F.col("n_pages")))
+
+
 def registry(pages: DataFrame, indexed_at: Column) -> DataFrame:
     """(fp, path, page_count, last_indexed) of the documents that have pages."""
     return pages.groupBy("fp", "path").agg(F.count(F.lit(1)).alias("page_count")).withColumn("last_indexed", indexed_at)
@@ -44,6 +81,12 @@ def list_indexed(reg: DataFrame) -> DataFrame:
     return reg.orderBy(F.desc("last_indexed"), "fp")
 
 
+def upsert_postings(base: DataFrame, new_pages: DataFrame, fps: DataFrame) -> DataFrame:
+    """Postings after the documents ``fps`` are indexed again with ``new_pages`` (with tokens); none left, none kept."""
+    new = postings(new_pages, "positions" in base.columns)
+    return base.join(fps.select("fp").distinct(), "fp", "left_anti").unionByName(new.select(*base.columns))
+
+
 def upsert_pages(base: DataFrame, new: DataFrame, fps: DataFrame | None = None) -> DataFrame:
     """All pages of each document in ``new`` (or named in ``fps``: it may have none left) replace its old ones."""
     touched = (new.select("fp") if fps is None else fps.select("fp")).distinct()

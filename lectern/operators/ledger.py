@@ -54,29 +54,49 @@ def invalidated_counts(ledger: DataFrame, fps: DataFrame) -> DataFrame:
     return fps.select("doc_fp").distinct().join(gone, "doc_fp", "left").select("doc_fp", F.coalesce("removed", F.lit(0)).alias("removed"))
 
 
-def sizes_before(ledger: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
-    """``ledger`` with ``before``: the summed size of all rows that come earlier in ``order``.
+def _start_of(key: Column) -> Column:
+    """A string's first six bytes as a number: larger for strings that sort later, but for ties."""
+    return F.conv(F.rpad(F.hex(F.substring(key.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
 
-    Rows are cut into ranges of the order by quantile bounds; sums of the ranges (one row each) give
-    each range its offset, and only rows of a range are sorted together. Ranges are named by the
-    rows' values alone, so a lost task makes the same ranges again.
+
+def sizes_before(ledger: DataFrame, order: list[str], ranges: int | None = None, by: str | None = None) -> DataFrame:
+    """``ledger`` with ``before``: the summed size of all rows (of the same ``by``) that come earlier in ``order`` (time, key).
+
+    Rows are cut into ranges of the order by quantile bounds: of the time, and where many rows have one time
+    also of the key. Sums of the ranges give each range its offset, and only rows of a range are sorted
+    together. Ranges are named by the rows' values alone, so a lost task makes the same ranges again.
     """
-    n = min(256, partitions or int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    first = order[0]
+    n = ranges or int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first, second = order
     kind = ledger.schema[first].dataType.simpleString()
     zoneless = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {first})")
     number = {"timestamp": F.unix_micros(F.col(first)), "timestamp_ntz": zoneless}.get(kind, F.col(first))
-    numbered = ledger.withColumn("_number", number)
-    bounds = numbered.agg(F.percentile_approx("_number", [k / n for k in range(1, n)] or [1.0], 10_000)).first()[0] or []
-    above = [(F.col("_number") > b).cast("int") for b in sorted(set(bounds))]  # a comparison for each range
-    ranged = numbered.withColumn("_range", sum(above, F.lit(0))).drop("_number")
-    offsets, at = [], 0
-    for r in ranged.groupBy("_range").agg(F.sum("size").alias("s")).orderBy("_range").collect():  # a row for each range
-        offsets.append((r["_range"], at))
-        at += r["s"] or 0
-    offsets = F.broadcast(ledger.sparkSession.createDataFrame(offsets, "_at int, _offset long"))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("_inside", inside).join(offsets, F.col("_range") == F.col("_at")).withColumn("before", F.col("_offset") + F.col("_inside")).drop("_range", "_at", "_offset", "_inside")
+    numbered = ledger.withColumn("_number", number).withColumn("_start", _start_of(F.col(second)))
+    cuts = [k / n for k in range(1, n)] or [1.0]
+    found = numbered.agg(F.percentile_approx("_number", cuts, 10_000)).first()[0] or []
+    below = lambda bounds, x: F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < x)) if bounds else F.lit(0)
+    ranged = numbered.withColumn("_range", below(sorted(set(found)), F.col("_number")))
+    # a time that fills several quantiles is cut again by its keys
+    hot = sorted({x for x, y in zip(found, found[1:], strict=False) if x == y})
+    inner = F.lit(0)
+    if hot:
+        rows = ranged.where(F.col("_number").isin(hot)).groupBy("_number").agg(F.percentile_approx("_start", cuts, 10_000).alias("q")).collect()  # n values for each of under n times
+        for r in rows:
+            inner = F.when(F.col("_number") == r["_number"], below(sorted(set(r["q"])), F.col("_start"))).otherwise(inner)
+    # inside a time's range, earlier times come before its first key
+    level = F.when(F.col("_number").isin(hot), inner + 1).otherwise(0) if hot else F.lit(0)
+    ranged = ranged.withColumn("_range", F.col("_range") * (n + 1) + level).drop("_number", "_start")
+    groups = [by] if by else []
+    sums = ranged.groupBy(*groups, "_range").agg(F.sum("size").alias("_s"))
+    # a row for each range (of each group)
+    up_to = Window.partitionBy(*groups, *([] if by else [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(g).alias(f"_of_{g}") for g in groups], F.col("_range").alias("_at"), F.coalesce(F.sum("_s").over(up_to), F.lit(0)).alias("_offset"))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy(*groups, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = F.col("_range") == F.col("_at")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    placed = ranged.withColumn("_inside", inside).join(offsets, same)
+    return placed.withColumn("before", F.col("_offset") + F.col("_inside")).select(*ledger.columns, "before")
 
 
 def evictions(ledger: DataFrame, target: Column | int) -> DataFrame:
@@ -100,7 +120,9 @@ def janitor(ledger: DataFrame, hard: int = HARD_LIMIT, soft_percent: int = SOFT_
 
 
 def evict_per_document(ledger: DataFrame, capacity: int, percent: int = 30) -> DataFrame:
-    """What is left when no document may hold more than ``percent`` of the capacity: its least recently used entries go."""
+    """What is left when no document may hold more than ``percent`` of the capacity: its least recently used entries go.
+    A document's entries lie in many ranges of time, however many it has."""
     cap = capacity * percent // 100
-    later = Window.partitionBy("doc_fp").orderBy(F.desc("last_access"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
-    return ledger.withColumn("_kept", F.sum("size").over(later)).where(F.col("_kept") <= cap).drop("_kept")
+    whole = ledger.groupBy(F.col("doc_fp").alias("_doc")).agg(F.sum("size").alias("_whole"))
+    placed = sizes_before(ledger, ["last_access", "key"], by="doc_fp").join(whole, F.col("doc_fp").eqNullSafe(F.col("_doc")))
+    return placed.where(F.col("_whole") - F.col("before") <= cap).select(*ledger.columns)

@@ -8,14 +8,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.scalars import non_blank
+from lectern.functions.scalars import non_blank, normal_path
 
 LIMIT = 20
 
 
 def recents(opens: DataFrame, k: int = LIMIT) -> DataFrame:
-    """(workspace, place, path) of a log of opens (workspace, seq, path): newest first, one per path in any case."""
-    good = opens.where(non_blank(F.col("path")).isNotNull()).withColumn("_key", F.lower("path"))
+    """(workspace, place, path) of a log of opens (workspace, seq, path): newest first, one per path in any case.
+    Paths are in their normal form (``normal_path``)."""
+    good = opens.where(non_blank(F.col("path")).isNotNull()).withColumn("path", normal_path(F.col("path"))).withColumn("_key", F.lower("path"))
     last = good.groupBy("workspace", "_key").agg(F.max(F.struct("seq", "path")).alias("e"))
     place = F.row_number().over(Window.partitionBy("workspace").orderBy(F.desc("e.seq"), "_key"))
     return last.withColumn("place", place).where(F.col("place") <= k).select("workspace", "place", F.col("e.path").alias("path"))
@@ -55,12 +56,13 @@ def _lists(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 def replay(log: DataFrame, k: int = LIMIT) -> DataFrame:
     """(workspace, paths) after a log (workspace, seq, op, path) of add, remove and clear, folded in order.
 
-    Not the latest k that were not removed: what the limit pushes out stays out. What precedes a
+    Paths are compared and kept in their normal form (``normal_path``). Not the latest k that were not removed: what the limit pushes out stays out. What precedes a
     workspace's last clear is dropped; the rest is sorted by Spark and folded batch by batch.
     """
     cleared = log.where(F.col("op") == "clear").groupBy(F.col("workspace").alias("_of")).agg(F.max("seq").alias("_cleared"))
     kept = log.join(cleared, F.col("workspace").eqNullSafe(F.col("_of")), "left").where(F.col("_cleared").isNull() | (F.col("seq") >= F.col("_cleared")))
-    steps = kept.select("workspace", "seq", "op", "path", F.lower("path").alias("key"), non_blank(F.col("path")).isNull().alias("blank"))
+    normal = normal_path(F.col("path"))
+    steps = kept.select("workspace", "seq", "op", normal.alias("path"), F.lower(normal).alias("key"), non_blank(F.col("path")).isNull().alias("blank"))
     kind = log.select("workspace").schema["workspace"].dataType.simpleString()
     return steps.repartition("workspace").sortWithinPartitions("workspace", "seq", "op", "path").mapInArrow(_fold(k), f"workspace {kind}, paths array<string>")
 

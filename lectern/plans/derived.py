@@ -63,7 +63,8 @@ def annotation_log(spark: SparkSession, sf: str) -> DataFrame:
 def recents_log(spark: SparkSession, sf: str) -> DataFrame:
     """Events as steps of a user's recent list; odd events write the path in upper case."""
     e = table(spark, sf, "events")
-    path = F.concat(F.lit("/doc/"), F.get_json_object("props", "$.k"), F.lit(".pdf"))
+    way = F.when(F.col("event_id") % 5 == 0, "/doc/./x/../").otherwise("/doc/")  # the same path, written in another way
+    path = F.concat(way, F.get_json_object("props", "$.k"), F.lit(".pdf"))
     op = F.when(F.col("event_type") == "purchase", "remove").when((F.col("event_type") == "error") & (F.col("value") > 20), "clear").otherwise("add")
     return e.select(F.col("user_id").alias("workspace"), F.col("event_id").alias("seq"), op.alias("op"), F.when(F.col("event_id") % 2 == 1, F.upper(path)).otherwise(path).alias("path"))
 
@@ -95,3 +96,7 @@ RECENTS_SQL = """log AS (SELECT user_id AS workspace, event_id AS seq,
 CHANGES_SQL = """log AS (SELECT 'u' || user_id AS fp, event_id AS seq,
    CASE event_type WHEN 'error' THEN 'removeAll' WHEN 'click' THEN 'update' WHEN 'purchase' THEN 'remove' ELSE 'add' END AS op,
    props::JSON->>'k' AS id, value FROM events)"""
+SPOTS_SQL = "spots AS (SELECT fp, page_index, dl, tokens[i] AS term, i AS pos FROM (SELECT fp, page_index, dl, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM toks))"
+#: Queries of two different words of plain letters, each with an operator by its number.
+PAIRS_SQL = r"""pairs AS (SELECT query_id, ['all', 'any', 'phrase', 'prefix'][query_id % 4 + 1] AS op, CASE WHEN query_id % 8 = 1 THEN 'doc-1' END AS single, lower(w[1]) AS a, CASE WHEN query_id % 4 = 3 THEN lower(substr(w[2], 1, 2)) ELSE lower(w[2]) END AS b
+   FROM (SELECT item_id AS query_id, list_slice(regexp_split_to_array(text, '\s+'), 1, 2) AS w FROM benchmark) WHERE regexp_full_match(w[1], '[A-Za-z]+') AND regexp_full_match(w[2], '[A-Za-z]+') AND lower(w[1]) <> lower(w[2]))"""

@@ -1,10 +1,11 @@
 """An index on plain Parquet whose documents can be replaced: append-only generations.
 
-Every change writes the touched documents' pages as a new generation and a new registry of what is
-live (fp, generation, path, page_count, last_indexed); then a one-line CURRENT file names the
-registry. Readers keep the pages whose (fp, generation) is live, so they never see half a
-change, and nothing that is being read is overwritten. One writer at a time. A change that was
-already published (same ``change_id``) is skipped, so a repeated micro-batch does no harm.
+Every change writes the touched documents' pages and postings as a new generation and a new registry of
+what is live (fp, generation, path, page_count, last_indexed); then a numbered, empty file in
+``published`` names the registry, by one rename to a name that was not there. Whoever reads takes the
+highest number, keeps the rows whose (fp, generation) is live, and so never sees half a change; nothing
+that is being read is overwritten or deleted. One writer at a time. A change that was already published
+(same name) is skipped, so a repeated micro-batch does no harm.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.index import postings, with_tokens
+
 REGISTRY = "fp string, generation string, path string, page_count long, last_indexed timestamp"
 PAGES = "fp string, path string, page_index int, text string"
+POSTINGS = "term string, fp string, page_index int, dl int, tf int, positions array<int>"
 
 
 class IndexStore:
@@ -25,35 +29,44 @@ class IndexStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _read(self, name: str) -> str | None:
-        at = self._path(f"{self.folder}/{name}")
-        if not self._fs.exists(at):
-            return None
-        return self.spark.read.option("wholetext", "true").text(f"{self.folder}/{name}").first()[0].strip()
+    def _published(self) -> list[str]:
+        """Names of the changes, in order."""
+        at = self._path(f"{self.folder}/published")
+        names = sorted(f.getPath().getName() for f in self._fs.listStatus(at)) if self._fs.exists(at) else []
+        return [n.split("-", 1)[1] for n in names if not n.startswith(".")]
+
+    def _current(self) -> str | None:
+        return (self._published() or [None])[-1]
 
     def _publish(self, name: str) -> None:
-        temporary, final = self._path(f"{self.folder}/.CURRENT-{uuid.uuid4().hex}"), self._path(f"{self.folder}/CURRENT")
-        out = self._fs.create(temporary, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        self._fs.rename(temporary, final)
+        number = len(self._published())
+        temporary, final = self._path(f"{self.folder}/.next-{uuid.uuid4().hex}"), self._path(f"{self.folder}/published/{number:012d}-{name}")
+        self._fs.mkdirs(final.getParent())
+        self._fs.create(temporary, True).close()
+        if not self._fs.rename(temporary, final):
+            raise OSError(f"{final} is there already: another writer")
 
     def registry(self) -> DataFrame:
-        name = self._read("CURRENT")
+        name = self._current()
         if name is None:
             return self.spark.createDataFrame([], REGISTRY)
         return self.spark.read.schema(REGISTRY).parquet(f"{self.folder}/registry/{name}")
 
+    def _live(self, table: str, schema: str) -> DataFrame:
+        if self._current() is None or not self._fs.exists(self._path(f"{self.folder}/{table}")):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(f"{schema}, generation string").parquet(f"{self.folder}/{table}")
+        return rows.join(self.registry().select("fp", "generation"), ["fp", "generation"], "left_semi").drop("generation")
+
     def pages(self) -> DataFrame:
-        if self._read("CURRENT") is None or not self._fs.exists(self._path(f"{self.folder}/pages")):
-            return self.spark.createDataFrame([], PAGES)
-        rows = self.spark.read.schema(f"{PAGES}, generation string").parquet(f"{self.folder}/pages")
-        return rows.join(self.registry().select("fp", "generation"), ["fp", "generation"], "left_semi").select("fp", "path", "page_index", "text")
+        return self._live("pages", PAGES).select("fp", "path", "page_index", "text")
+
+    def postings(self) -> DataFrame:
+        """(term, fp, page_index, dl, tf, positions) of the live documents."""
+        return self._live("postings", POSTINGS).select("term", "fp", "page_index", "dl", "tf", "positions")
 
     def _done(self, change: str) -> bool:
-        return self._fs.exists(self._path(f"{self.folder}/registry/{change}/_SUCCESS")) and (self._read("CURRENT") or "") >= change
+        return change in self._published()
 
     def _change(self, touched: DataFrame, live: DataFrame, change: str) -> None:
         rest = self.registry().join(touched.select("fp").distinct(), "fp", "left_anti")
@@ -61,13 +74,14 @@ class IndexStore:
         self._publish(change)
 
     def upsert(self, docs: DataFrame, pages: DataFrame, indexed_at: Column, change: str) -> bool:
-        """Pages of all ``docs`` (fp, path) are replaced by ``pages``; False if the change was already there.
-        Changes are named in order (such as by a padded batch number)."""
+        """Pages of all ``docs`` (fp, path) are replaced by ``pages``; False if the change was already there."""
         if self._done(change):
             return False
         at = f"{self.folder}/pages/generation={change}"
         pages.select("fp", "path", "page_index", "text").write.mode("overwrite").parquet(at)
-        counted = self.spark.read.schema(PAGES).parquet(at).groupBy("fp").agg(F.count(F.lit(1)).alias("page_count"))
+        written = self.spark.read.schema(PAGES).parquet(at)
+        postings(with_tokens(written), positions=True).write.mode("overwrite").parquet(f"{self.folder}/postings/generation={change}")
+        counted = written.groupBy("fp").agg(F.count(F.lit(1)).alias("page_count"))
         asked = docs.select("fp", "path").dropDuplicates(["fp"])
         live = asked.join(counted, "fp", "left").select("fp", F.lit(change).alias("generation"), "path", F.coalesce("page_count", F.lit(0)).alias("page_count"), indexed_at.cast("timestamp").alias("last_indexed"))
         self._change(asked, live, change)
@@ -80,7 +94,10 @@ class IndexStore:
         return True
 
     def compact(self, change: str) -> None:
-        """All live pages in one generation; older ones can be deleted when no reader is left."""
+        """All live pages and postings in one generation; older ones can be deleted when nobody reads them any more."""
+        if self._done(change):
+            return
         self.pages().write.mode("overwrite").parquet(f"{self.folder}/pages/generation={change}")
+        self.postings().write.mode("overwrite").parquet(f"{self.folder}/postings/generation={change}")
         self.registry().withColumn("generation", F.lit(change)).write.mode("overwrite").parquet(f"{self.folder}/registry/{change}")
         self._publish(change)

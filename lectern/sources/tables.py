@@ -13,7 +13,8 @@ assert ANNOTATION.startswith("id string")
 
 
 def write_annotations(annotations: DataFrame, folder: str) -> None:
-    """One JSON document per fp: {Version, Annotations in order}; nulls are left out; the job's commit makes it whole or not at all."""
+    """One JSON document per fp: {Version, Annotations in order}; nulls are left out; the job's commit makes it whole or not at all.
+    A document's annotations are one row of the file, so one document's must fit in a task."""
     fields = [c for c in ("id", "page_index", "kind", "color_hex", "bounds", "text", "ink_points", "created_at")]
     each = F.struct("seq", F.struct(*fields).alias("a"))
     docs = annotations.groupBy("fp").agg(F.transform(F.array_sort(F.collect_list(each)), lambda e: e["a"]).alias("Annotations"))
@@ -34,8 +35,8 @@ def write_layers(layers: DataFrame, folder: str, mode: str = "overwrite") -> Non
 
 def read_layers(spark: SparkSession, folder: str) -> DataFrame:
     """Layers that can be read; damaged files and lines count as not there."""
-    reader = spark.read.schema(LAYER).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("ignoreCorruptFiles", "true")
-    return reader.json(folder).where("_corrupt is null and fp is not null").drop("_corrupt")
+    source = spark.read.schema(LAYER).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("ignoreCorruptFiles", "true")
+    return source.json(folder).where("_corrupt is null and fp is not null").drop("_corrupt")
 
 
 def bucket_of(term: Column, buckets: int) -> Column:

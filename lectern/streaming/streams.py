@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lectern.functions.scalars import normal_path
 from lectern.operators import ledger as L
 from lectern.operators.index import page_layers
 from lectern.operators.recents import LIMIT, replay_python
@@ -20,8 +21,8 @@ BATCH_FILES = 32
 
 
 def index_stream(documents: DataFrame, store: IndexStore, checkpoint: str, quarantine: str | None = None, **trigger) -> StreamingQuery:
-    """Index a stream of (fp, path, text, ts); of several versions in a batch the last counts. A batch is
-    one change of the store, named by its number, so a repeated one changes nothing. Rows without fp or
+    """Index a stream of (fp, path, text, ts): pages, postings and registry; of several versions in a batch the last counts.
+    A batch is one change of the store, named by its number, so a repeated one changes nothing. Rows without fp or
     text go to the quarantine."""
 
     def take(batch: DataFrame, number: int) -> None:
@@ -40,31 +41,64 @@ def index_stream(documents: DataFrame, store: IndexStore, checkpoint: str, quara
     return documents.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
+def _states(spark: SparkSession, folder: str):
+    """File system of a folder of states, and their numbers in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath() for f in fs.listStatus(path)] if fs.exists(path) else []
+    whole = [p.getName() for p in names if p.getName().startswith("state=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return fs, sorted(int(n.removeprefix("state=")) for n in whole)
+
+
+def latest_state(spark: SparkSession, folder: str) -> str | None:
+    """Path of the newest whole state of a ledger that ``janitor_stream`` keeps."""
+    numbers = _states(spark, folder)[1]
+    return f"{folder}/state={numbers[-1]}" if numbers else None
+
+
 def janitor_stream(accesses: DataFrame, spark: SparkSession, folder: str, checkpoint: str, hard: int = L.HARD_LIMIT, soft_percent: int = L.SOFT_PERCENT, **trigger) -> StreamingQuery:
-    """Apply a stream of accesses (key, ts) to the ledger in ``folder``/state=<batch> and evict.
+    """Apply a stream of accesses (key, ts) to the ledger in ``folder`` and evict. ``state=-1`` is the ledger to begin with;
+    without one there is nothing to touch.
 
-    Each batch writes the next state beside the last one, so a failed one leaves it as it was and
-    is tried again.
+    Each batch writes the next state beside the last one, so a failed one leaves it as it was and is tried
+    again from the same state. States before the last one are deleted.
     """
 
     def tick(batch: DataFrame, number: int) -> None:
-        # states are numbered by batch: a repeated batch starts from the same one again
-        before = spark.read.parquet(f"{folder}/state={number - 1}")
+        fs, numbers = _states(spark, folder)
+        earlier = [n for n in numbers if n < number]
+        if not earlier:
+            return
+        before = spark.read.parquet(f"{folder}/state={earlier[-1]}")
         after = L.janitor(L.touch(before, batch), hard, soft_percent)
         after.write.mode("overwrite").parquet(f"{folder}/state={number}")
+        for n in earlier[:-1]:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/state={n}"), True)
 
     return accesses.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "30 seconds"})).start()
 
 
 def recents_stream(log: DataFrame, k: int = LIMIT) -> DataFrame:
-    """(workspace, paths) after each batch of a stream of (workspace, seq, op, path): k paths of state a workspace."""
+    """(workspace, paths) after each batch of a stream of (workspace, seq, op, path): k paths of state a workspace.
+
+    Steps are taken in order of ``seq`` inside a batch; a step that comes in a later batch than one with
+    a larger ``seq`` is late and is applied when it comes. What precedes a batch's last clear is dropped
+    before the rest is folded.
+    """
 
     def fold(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        paths = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        paths, kept = list(state.get[0]) if state.exists else [], []
+        for f in frames:
+            cleared = f.loc[f["op"] == "clear", "seq"].max()
+            if pd.notna(cleared):
+                kept, paths = [x[x["seq"] >= cleared] for x in [*kept, f]], []
+            else:
+                kept.append(f)
+        rows = pd.concat(kept).sort_values("seq", kind="stable")
         steps = [(op, None if pd.isna(p) else p) for op, p in zip(rows["op"], rows["path"], strict=True)]
         paths = replay_python(steps, paths, k)
         state.update((paths,))
         yield pd.DataFrame({"workspace": [key[0]], "paths": [paths]})
 
-    return log.withColumn("workspace", F.col("workspace").cast("string")).groupBy("workspace").applyInPandasWithState(fold, "workspace string, paths array<string>", "paths array<string>", "update", GroupStateTimeout.NoTimeout)
+    normal = log.withColumn("workspace", F.col("workspace").cast("string")).withColumn("path", normal_path(F.col("path")))
+    return normal.groupBy("workspace").applyInPandasWithState(fold, "workspace string, paths array<string>", "paths array<string>", "update", GroupStateTimeout.NoTimeout)

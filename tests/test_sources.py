@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import annotations as A
+from lectern.operators import index as I
 from lectern.sources import files as Files
 from lectern.sources import tables as T
 from lectern.sources.generations import IndexStore
@@ -82,6 +83,13 @@ def test_generations(spark, tmp_path):
     assert sorted(r["text"] for r in store.pages().collect()) == ["b", "new"]
     store.remove(spark.createDataFrame([("B",), ("none",)], "fp string"), "c3")
     store.compact("c4")
+    assert store._published() == ["c1", "c2", "c3", "c4"] and not store.upsert(first, first, at, "c2")
+    assert [(r["term"], r["fp"], r["positions"]) for r in store.postings().collect()] == [("new", "A", [0])]
+    # a crash before the last step leaves what was published; the change can be made again
+    (tmp_path / "i" / "registry" / "c5").mkdir()
+    assert [r["text"] for r in store.pages().collect()] == ["new"] and store.upsert(first, first, at, "c5")
+    store.upsert(new, new, at, "c0")  # names need no order
+    store.remove(spark.createDataFrame([("B",)], "fp string"), "c6")
     assert [(r["fp"], r["path"], r["page_count"]) for r in store.registry().collect()] == [("A", "/A2", 1)] and [r["text"] for r in store.pages().collect()] == ["new"]
 
 
@@ -94,3 +102,34 @@ def test_index_stream_quarantine(spark, tmp_path):
     S.index_stream(source, store, str(tmp_path / "c"), str(tmp_path / "q"), availableNow=True).awaitTermination()
     assert sorted(r["text"] for r in store.pages().collect()) == ["one", "two"]
     assert spark.read.parquet(str(tmp_path / "q")).count() == 2
+
+
+def test_streamed_index_equals_batch(spark, tmp_path):
+    schema = "fp string, path string, text string, ts timestamp"
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    store = IndexStore(spark, str(tmp_path / "i"))
+    for rows in ([("A", "/A", "one two\ntwo", None), ("B", "/B", "two three", None)], [("A", "/A", "four two", None), ("C", "/C", "", None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        S.index_stream(source, store, str(tmp_path / "c"), availableNow=True).awaitTermination()
+    pages = spark.createDataFrame([("A", "/A", 0, "four two"), ("B", "/B", 0, "two three"), ("C", "/C", 0, "")], "fp string, path string, page_index int, text string")
+    want = I.postings(I.with_tokens(pages), positions=True)
+    assert sorted(map(str, store.postings().collect())) == sorted(map(str, want.collect()))
+
+
+def test_janitor_stream(spark, tmp_path):
+    folder = str(tmp_path / "s")
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("a", 40)], "key string, t long").select("key", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    S.janitor_stream(source, spark, str(tmp_path / "none"), str(tmp_path / "c0"), hard=250, availableNow=True).awaitTermination()
+    assert S.latest_state(spark, str(tmp_path / "none")) is None  # no ledger, nothing to do
+    rows = spark.createDataFrame([(k, 100, i, "d") for i, k in enumerate("abcd")], "key string, size long, t long, doc_fp string")
+    rows.select("key", "size", F.timestamp_seconds("t").alias("last_access"), "doc_fp").write.parquet(f"{folder}/state=-1")
+    for t in (50, 60, 70):
+        spark.createDataFrame([("a", t), ("nope", t)], "key string, t long").select("key", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    S.janitor_stream(source, spark, folder, str(tmp_path / "c1"), hard=300, soft_percent=67, availableNow=True).awaitTermination()
+    # 400 are over 300: the oldest go until 201 are left; 'a' was read last
+    last = spark.read.parquet(S.latest_state(spark, folder))
+    assert {r["key"]: r["last_access"].timestamp() for r in last.collect()}["a"] == 70 and {r["key"] for r in last.collect()} == {"a", "d"}
+    assert len(list((tmp_path / "s").glob("state=*"))) == 2

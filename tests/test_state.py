@@ -53,6 +53,26 @@ def test_eviction_random(spark, seed):
     assert {r["key"] for r in L.evictions(ledger(spark, rows), target).collect()} == gone
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_one_time_for_most_entries_is_cut_by_keys(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"{rng.randint(0, 10**9):09d}-{i}", rng.randint(0, 50), 7 if rng.random() < 0.8 else rng.randint(0, 30), rng.choice("xxxxy")) for i in range(400)]
+    df = ledger(spark, rows)
+    for by in (None, "doc_fp"):
+        want, seen = {}, {}
+        for key, size, t, doc in sorted(rows, key=lambda r: (r[2], r[0])):
+            want[key] = seen.get(by and doc, 0)
+            seen[by and doc] = want[key] + size
+        placed = L.sizes_before(df, ["last_access", "key"], ranges=20, by=by)
+        assert {r["key"]: r["before"] for r in placed.collect()} == want
+    kept, held = set(), {}
+    for key, size, _, doc in sorted(rows, key=lambda r: (r[2], r[0]), reverse=True):
+        held[doc] = held.get(doc, 0) + size
+        if held[doc] <= 900:
+            kept.add(key)
+    assert {r["key"] for r in L.evict_per_document(df, 3000, 30).collect()} == kept
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_annotation_log_random(spark, seed):
     rng = random.Random(seed)
@@ -93,6 +113,9 @@ def test_recents_cases(spark):
     assert replay(spark, [("add", f"p{i}") for i in range(25)]) == [f"p{i}" for i in range(24, 4, -1)]
     assert replay(spark, [("add", "doc.pdf"), ("add", "DOC.PDF")]) == ["doc.pdf"]
     assert len(replay(spark, [*[("add", f"p{i}") for i in range(21)], ("remove", "P20")])) == 19
+    assert replay(spark, [("add", "C:\\a\\.\\b.pdf"), ("add", "/x"), ("remove", "c:/a/q/../b.pdf")]) == ["/x"] and replay(spark, [("add", "/a/../B"), ("add", "/b")]) == ["/B"]
+    opens = spark.createDataFrame([("w", 1, "/a//b"), ("w", 2, "/x/../a/B"), ("w", 3, " ")], "workspace string, seq long, path string")
+    assert [(r["place"], r["path"]) for r in R.recents(opens).collect()] == [(1, "/a/B")]
     assert replay(spark, [("add", "a"), ("remove", "zz"), ("add", None), ("add", " ")]) == ["a"] and replay(spark, [("add", "a"), ("clear", None)]) == []
 
 
