@@ -149,15 +149,25 @@ def _merged(found: DataFrame, k: int, id_col: str) -> DataFrame:
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias(id_col), (-F.col("hit.less")).alias("score"))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, centroids: int = 24, recall: float = 0.96, tuning: int = 128, least: int = 1000, sample_rows: int = 20_000, shard_rows: int = 8192, query_rows: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, score) of the ``k`` nearest rows found for each query row."""
+#: Rows that an average cell is to hold, and the most centroids a half may have: cell sizes are collected.
+PER_CELL, MOST_CENTROIDS = 90, 256
+
+
+def centroids_for(rows: int) -> int:
+    """Centroids of a half: their square, the number of cells, grows with the table."""
+    return int(min(MOST_CENTROIDS, max(8, round((rows / PER_CELL) ** 0.5))))
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, centroids: int | None = None, recall: float = 0.96, tuning: int = 128, least: int = 1000, sample_rows: int = 20_000, shard_rows: int = 8192, query_rows: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, score) of the ``k`` nearest rows found for each query row. ``centroids`` of a half: by default
+    as many as the table's size asks for."""
     spark = vectors.sparkSession
     slim = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("id is not null")
     # the commonest length is the table's; ties to the longer
     top = slim.where("size(vec) > 0").groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     width = top["n"] if top else 0
     slim = slim.where(usable(F.col("vec"), width))
-    index = fit(slim, "vec", centroids, sample_rows) if width else None
+    index = fit(slim, "vec", centroids or centroids_for(slim.count()), sample_rows) if width else None
     if index is None:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
     shared = spark.sparkContext.broadcast(index)  # 2 * centroids rows
@@ -222,8 +232,14 @@ def _enough(placed: DataFrame, held: DataFrame, shards: int, index: MultiIndex,
     return max(least, int(np.quantile(needed, recall))) if needed else least
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest numbers near 1: exact, and no square overflows."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=-1, keepdims=True))[1])
+
+
 def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Exact cosines in double precision, each computed alone so that equal vectors score equally."""
+    query, rows = scaled(query), scaled(rows)
     dot = np.einsum("ij,j->i", rows, query)
     return dot / (np.sqrt(np.einsum("ij,ij->i", rows, rows)) * np.sqrt(np.einsum("j,j->", query, query)))
 
