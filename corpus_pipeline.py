@@ -7,7 +7,9 @@ that the cut runs through stays whole). pieces (5): what is left is encoded and
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again for the next. All but the last return the columns of ``docs``, extra ones included. Rows
-without a doc_id can't be told apart and pass the stages by their text alone.
+without a doc_id are told apart by their text: they take part in near duplicates (a document with
+an id stays rather than one without) and in mixing; those without words are linked with nothing
+and stay. A table without ``n_chars`` gets none.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, table
+from lectern.llm.common import WORD, cut, table
 from lectern.llm.jaccard import linked_components
 from lectern.llm.mixing import mix
 from lectern.llm.pieces import piece_digests
@@ -37,25 +39,37 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model, keep=tuple(docs.columns), out_col=name).where(F.col(name) < 0.3).select(*docs.columns)
 
 
+def _named(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the column ``name``: the doc_id, or a number above the ids made from the text."""
+    made = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    return docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), made))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = linked_components(docs, words=5, percent=80)
-    first, place = _free(docs, "first_id"), _free(docs, "place")
-    stay = found.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias(first)).distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(stay, F.col("doc_id") == F.col(first), "left_semi")
+    ident, first, place = _free(docs, "ident"), _free(docs, "first_id"), _free(docs, "place")
+    wordless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD)
+    told = _named(docs.where(~wordless), ident)
+    found = linked_components(told, words=5, percent=80, id_col=ident)
+    stay = found.where(F.col("component_id") == F.col(ident)).select(F.col(ident).alias(first)).distinct()
+    kept = told.join(stay, F.col(ident) == F.col(first), "left_semi")
     # rows that repeat an id are copies of one document
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    order = Window.partitionBy(ident).orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
     kept = kept.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    return kept.select(*docs.columns).unionByName(docs.where(wordless))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return redact(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    clean = redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed, times, turn = _free(docs, "mixed_id"), _free(docs, "times"), _free(docs, "turn")
-    taken = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias(mixed)).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(times))
-    both = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(mixed)))
+    ident, mixed, times, turn = _free(docs, "ident"), _free(docs, "mixed_id"), _free(docs, "times"), _free(docs, "turn")
+    told = _named(docs, ident)
+    taken = mix(told, id_col=ident).where("taken > 0").groupBy(F.col(ident).alias(mixed)).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(times))
+    both = told.join(taken, F.col(ident) == F.col(mixed))
     return both.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
