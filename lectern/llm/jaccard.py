@@ -232,8 +232,11 @@ def components(links: DataFrame) -> DataFrame:
         # follow the pointer once more: halves the way to the smallest node
         jump = step.select(F.col("node").alias("part"), F.col("part").alias("next"))
         new = cut(step.join(jump, "part").select("node", F.least("part", "next").alias("part"), "old"))
+        discard(parts)
+        discard(step)
         parts = new.select("node", "part")
         if not new.where("part != old").limit(1).count():
+            discard(links)
             return parts
 
 
@@ -296,6 +299,9 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, long_l
     second = cut(_verified(rest.unionByName(crossed).distinct(), sets, percent))
     if second.limit(1).count():
         parts = components(links.unionByName(second))
+    # what only the links needed goes
+    for used in (plain, exact, met, busy, pairs, sets, ranked, links, second):
+        discard(used)
     # classes to components to the smallest id
     placed = classes.join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("part"), "first")
     smallest = placed.groupBy("part").agg(F.min("first").alias("component_id"))

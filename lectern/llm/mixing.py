@@ -12,7 +12,8 @@ the words up to it, so that a source gives its target to the word.
 Defined cases: null text has size 0 and takes 0; a null source is a source of its own; a source
 without words has target 0; repeated rows are documents of their own (equal keys are ordered by
 size, equal rows are interchangeable); an empty table gives an empty result; extra columns are
-ignored. A null doc_id hashes like any other value.
+ignored. Rows without an id, or that repeat one, are told apart by their text; only rows that are equal
+in both lie next to each other.
 """
 
 from __future__ import annotations
@@ -60,12 +61,12 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 42,
 
     ``taken`` is the number of words the mix takes of the document, repeats counted.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), F.xxhash64(text_col).alias("content"))
     slim = cut(slim)
     per = source_targets(slim, share, most)
     rows = slim.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
     per = cut(per.join(rows, per["source"].eqNullSafe(rows["source"])).select(per["source"], "source_size", "target", F.ceil(F.col("rows") / per_range).alias("ranges")))
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("content"))  # a repeated or null id is no hot range
     keyed = slim.join(per, slim["source"].eqNullSafe(per["source"])).select("doc_id", slim["source"], "size", "source_size", "target", "ranges", key.alias("key"))
     # keys are uniform over the 64-bit range: the upper bits name the range, in key order
     keyed = keyed.withColumn("range", F.floor((F.shiftright("key", 32) + F.lit(2**31)) * F.col("ranges") / F.lit(2**32)).cast("long"))
