@@ -84,7 +84,8 @@ def normalize_metadata(title: Column, author: Column, subject: Column) -> Column
 
 def normal_path(path: Column) -> Column:
     """A path with `/` for `\\`, without `.` and doubled slashes, and with `..` carried out (beyond the root it does
-    nothing, at the start of a relative path it stays); null if blank. Its case and a slash at its end are kept."""
+    nothing, at the start of a relative path it stays); null if blank. Its case and a slash at its end are kept.
+    What is left of a relative path that leads nowhere is `.`."""
     slashed = F.replace(path, F.lit("\\"), F.lit("/"))
     parts = F.split(slashed, "/", -1)
 
@@ -97,7 +98,7 @@ def normal_path(path: Column) -> Column:
         return F.when(x == "", empty).when(x == ".", done).when(x == "..", up).otherwise(F.concat(done, F.array(x)))
 
     joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
-    return F.when(non_blank(path).isNotNull(), F.when(slashed.endswith("/") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined))
+    return F.when(non_blank(path).isNotNull(), F.when(joined == "", F.when(slashed.startswith("/"), "/").otherwise(".")).when(slashed.endswith("/") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined))
 
 
 def path_key(path: Column) -> Column:

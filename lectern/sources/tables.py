@@ -1,4 +1,4 @@
-"""Readers and writers of the library's own tables."""
+"""Tables of the library: how they are written and read."""
 
 from __future__ import annotations
 

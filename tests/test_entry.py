@@ -14,7 +14,26 @@ def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["fingerprint", "tokenize", "match_phrase", "search_batch", "search_substring", "index_upsert", "ledger_put", "evict_lru", "ocr_enrich", "apply_annotation_changes", "regression_report", "index_stream"])
+@pytest.mark.parametrize("missing", ["lectern.llm.queries", "corpus_pipeline"])
+def test_missing_parts_leave_the_rest(monkeypatch, missing):
+    import importlib
+
+    import __spark_entry__ as entry
+
+    whole, found = set(entry.queries()), importlib.import_module
+
+    def without(name, *more):
+        if name == missing:
+            raise ImportError(name)
+        return found(name, *more)
+
+    monkeypatch.setattr(importlib, "import_module", without)
+    left = set(entry.queries())
+    assert "search_batch" in left and "pipeline" not in left and set(entry.oracle_sql()) <= left
+    assert not any(n.startswith("op1_") for n in left) if missing == "lectern.llm.queries" else left == whole - {"pipeline"}
+
+
+@pytest.mark.parametrize("name", ["fingerprint", "tokenize", "match_phrase", "search_ranked", "search_batch", "search_batch_ops", "search_substring", "index_upsert", "index_upsert_postings", "ledger_put", "evict_lru", "ocr_enrich", "apply_annotation_changes", "regression_report", "index_stream", "recents_replay", "janitor_stream"])
 def test_equals_sql(spark, name):
     import duckdb
 
