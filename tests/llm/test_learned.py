@@ -58,6 +58,66 @@ def test_identity_terms_raise_no_alarm():
     assert fair.score(["what a moron"])[0] > 0.3
 
 
+def test_swaps_alone_bring_scores_of_twins_together():
+    from lectern.llm.toxicity import train
+
+    rng = random.Random(12)
+    texts, labels = [], []
+    for i in range(200):
+        base = sentence(rng, "en", 8)
+        texts += [f"{base} muslims. {base}", f"{base} christians came", base, f"{sentence(rng, 'fr', 8)} juifs", sentence(rng, "fr", 9)]
+        labels += [1, 0, 0, 1, 0]
+    apart = []
+    for penalty in (0.0, 1.0):
+        model = train(texts, labels, penalty=penalty)
+        a, b, c, d = model.score(["muslims met for dinner", "christians met for dinner", "les juifs marché", "les athées marché"])
+        apart.append(abs(a - b) + abs(c - d))
+    assert apart[1] < 0.5 * apart[0]
+
+
+def test_scores_equal_plain_ones_and_read_whole_tokens():
+    """Brute force: the mean weight of a word's features, the largest of a text's words, one after the other."""
+    from lectern.llm.toxicity import DIMS, LENGTHS, RUN, train
+    from lectern.llm.wordfeats import long_word_features, word_features
+
+    rng = random.Random(5)
+    texts = [sentence(rng, "en", 12) + (f" {rng.choice(SLURS)}" if i % 2 else "") for i in range(120)]
+    model = train(texts, [i % 2 for i in range(120)])
+    for text in ["the light moron", "walked of", "Brother; and", "", None]:
+        best = model.floor
+        for token in (text or "").split():
+            f = word_features(["".join(c for c in token.lower() if c.isalpha())], DIMS, LENGTHS)[1]
+            best = max(best, float(np.mean([model.weights[k] for k in f])))
+        assert abs(model.score([text])[0] - 1 / (1 + math.exp(-(model.scale * best + model.bias)))) < 1e-6
+    # a word far inside a run of letters without blanks is read, with and without other signs
+    hidden = "q" * 5000
+    plain = model.score([hidden, "x1" + hidden])
+    assert all(s > p for s, p in zip(model.score([hidden + "moron" + hidden, "x1" + hidden + "moron" + hidden]), plain, strict=True)) and RUN == 64
+    # features of long words, made in parts, are those made at once
+    for word in ("a", "ab", "moron", "ünïcode" * 9):
+        at_once = sorted(word_features([word], DIMS, LENGTHS)[1].tolist())
+        assert sorted(int(x) for f in long_word_features(word, DIMS, LENGTHS, size=7) for x in f) == at_once
+
+
+def test_clashing_names_and_repeated_rows(spark, corpus):
+    from pyspark.sql import functions as F
+
+    from lectern.llm.language import language_digest
+    from lectern.llm.pseudo import pseudo_likelihood
+    from lectern.llm.toxicity import toxicity_digest
+
+    docs, labels = corpus
+    docs = docs.where("doc_id < 60 or doc_id > 898")
+    docs = docs.unionByName(docs.where("doc_id < 3"))
+    more = docs
+    for name in ("predicted", "held_out", "lang_pred", "n_words", "log_prob", "row", "word", "l_id"):
+        more = more.withColumn(name, F.lit("x"))
+    for f in (lambda d: toxicity_digest(d, labels), language_digest):
+        plain, odd = (sorted(map(str, f(d).collect())) for d in (docs, more))
+        assert plain == odd and len(plain) == docs.count()
+    assert pseudo_likelihood(more).count() == docs.count()
+
+
 def test_toxicity_sees_lookalikes():
     from lectern.llm.toxicity import train
 
@@ -83,6 +143,19 @@ def test_language(spark, corpus):
     assert [(x["lang"]) for x in runs[1]] == ["en", "de"] and abs(runs[1][1]["first"] - 10) <= 1 and runs[2] == []
 
 
+def test_language_reads_whole_tokens():
+    from lectern.llm.language import bare, train
+
+    rng = random.Random(7)
+    texts, langs = zip(*[(sentence(rng, lang, 30), lang) for lang in ("en", "de", "fr") for _ in range(40)], strict=True)
+    model = train(list(texts), list(langs))
+    middle = "häusergegangennichtschönlichtbruder" * 40
+    assert bare("«" + middle + "»") == middle
+    assert model.label(["the" + middle + "the"])[0][0] == "de"
+    alone, again = model.label([middle, "und " + middle])
+    assert alone[0] == "de" and again[0] == "de" and middle not in model.place and model.label([middle])[0] == alone
+
+
 def test_forward_backward_equals_plain():
     from lectern.llm.language import forward_backward
 
@@ -116,22 +189,70 @@ def test_pseudo_likelihood(spark, corpus):
     assert all(r["log_prob"] <= 0 for r in rows.values())
     assert pseudo_likelihood(docs.limit(0)).count() == 0
     vocabulary = count_vocabulary(docs)
-    trained = train(docs, vocabulary, share=1, rounds=3)
-    total = lambda net: sum(r["log_prob"] for r in score(docs, vocabulary, net).where("doc_id < 900").collect())
-    assert total(trained) > total(WindowNet(vocabulary.size))
+    trained = train(docs, vocabulary, rounds=3)
+    total = lambda net: sum(r["log_prob"] for r in score(docs, vocabulary, net).collect())
+    assert total(trained) > total(WindowNet(vocabulary.size, weight=vocabulary.weight)) > total(WindowNet(vocabulary.size))
     # the probabilities of all classes in one place sum to 1
     ids = np.array([0, 1, 2, 3])
     each = [np.exp(trained.log_probs(np.array([0, k, 2, 3]), np.array([4]))[1]) for k in range(vocabulary.size)]
     assert math.isclose(sum(each), 1.0, rel_tol=1e-4) and len(ids) == 4
 
 
+def test_log_probs_equal_a_plain_loop():
+    from lectern.llm.pseudo import SIDE, WindowNet
+
+    rng = np.random.default_rng(2)
+    for classes in (1, 5, 7, 256):
+        net = WindowNet(classes, weight=rng.integers(0, 50, classes).astype(float))
+        for v in net.views[3:6]:
+            v += rng.normal(size=v.shape).astype(np.float32)
+        lengths = np.array([3, 0, 1, 9])
+        ids = rng.integers(0, classes, lengths.sum())
+        emb, w1, b1, wg, bg, wm, bm = (v.astype(np.float64) for v in net.views)
+        want, at = [], 0
+        for n in lengths:
+            for i in range(n):
+                near = [ids[at + i + k] if 0 <= i + k < n else classes for k in range(-SIDE, SIDE + 1) if k]
+                h = np.tanh(np.concatenate([emb[c] for c in near]) @ w1 + b1)
+                group, member = divmod(ids[at + i], net.inner)
+                z, y = h @ wg + bg, h @ wm[group] + bm[group]
+                want.append(z[group] - np.log(np.exp(z).sum()) + y[member] - np.log(np.exp(y).sum()))
+            at += n
+        assert np.allclose(net.log_probs(ids, lengths), want, atol=1e-4)
+        # gradients by differences
+        if classes == 7:
+            grad, order = net.split(np.zeros_like(net.flat)), np.argsort(ids, kind="stable")
+            net.pick(net.contexts(ids, lengths)[order], ids[order], None, grad)
+            for part, where in ((0, (2, 3)), (1, (5, 4)), (3, (1, 1)), (5, (0, 2, 1)), (6, (1, 0))):
+                loss = []
+                for step in (1e-2, -1e-2):
+                    net.views[part][where] += step
+                    loss.append(-net.log_probs(ids, lengths).sum())
+                    net.views[part][where] -= step
+                assert abs((loss[0] - loss[1]) / 2e-2 - grad[part][where]) < 2e-2
+
+
+def test_blocks_keep_rows_and_count_words(spark):
+    from collections import Counter
+
+    from lectern.llm.pseudo import block_words, blocks
+
+    rows = [(k % 3 or None, t) for k, t in enumerate(["a b a", None, "", "c " * 50, "b\x0bc", "x" * 400] * 5)]
+    made = blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert sorted(map(str, ((r["id"], r["text"]) for r in made.collect()))) == sorted(map(str, rows))
+    counted = Counter()
+    for r in block_words(made).collect():
+        counted[bytes(r["word"]).decode()] += r["n"]
+    assert counted == Counter(w for _, t in rows for w in (t or "").split())
+
+
 def test_pseudo_likelihood_trains_on_every_document(spark):
     from lectern.llm.pseudo import WindowNet, count_vocabulary, train
 
     for doc_id in range(3):
         docs = spark.createDataFrame([(doc_id, "the old house by the old river " * 20)], "doc_id long, text string")
         vocabulary = count_vocabulary(docs)
-        assert not np.array_equal(train(docs, vocabulary, rounds=1).flat, WindowNet(vocabulary.size).flat)
+        assert not np.array_equal(train(docs, vocabulary, rounds=1).flat, WindowNet(vocabulary.size, weight=vocabulary.weight).flat)
     docs = spark.createDataFrame([(k, f"word{k} the house " * 9) for k in range(40)], "doc_id long, text string").repartition(1)
     vocabulary = count_vocabulary(docs)
     # each document changes the weights

@@ -152,6 +152,31 @@ def test_neighbours(spark):
     assert [x[1] for x in found[50]] == [2000, 2001, 2002, 2003, 2004]
 
 
+def test_cosines_of_huge_and_tiny_vectors():
+    from lectern.llm.neighbours import centroids_for, cosines
+
+    rng = np.random.default_rng(1)
+    q, rows = rng.normal(size=8), rng.normal(size=(5, 8))
+    plain = rows @ q / np.linalg.norm(rows, axis=1) / np.linalg.norm(q)
+    for by in (1.0, 1e200, 1e-200, 3.7e150):
+        assert np.allclose(cosines(q * by, rows * by), plain, rtol=1e-12)
+    assert np.array_equal(cosines(q, rows), cosines(q * 2.0**500, rows * 2.0**-500))
+    assert [centroids_for(n) for n in (0, 50_000, 10**12)] == [8, 24, 256]
+
+
+def test_neighbours_repeated_ids_and_clashing_names(spark):
+    from lectern.llm.neighbours import nearest
+
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.2]), (2, [0.0, 1.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, nearest(df, F.col("vec_id") % 50 == 0).collect()))
+    assert [r[:3] for r in got] == [(0, 1, 1), (0, 2, 1), (0, 3, 2)]
+    more = df
+    for name in ("query_id", "rank", "score", "vec", "shard", "asks"):
+        more = more.withColumn(name, F.lit("x"))
+    assert sorted(map(tuple, nearest(more, F.col("vec_id") % 50 == 0).collect())) == got
+
+
 def test_neighbours_few_rows(spark):
     from lectern.llm.neighbours import nearest
 

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from tests.llm.test_pairs import brute
+
 
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
@@ -16,7 +18,7 @@ def test_pipeline(spark, tmp_path):
         text = " ".join(rng.choice(words) for _ in range(60)) + (" moron" if i % 6 == 0 else "")
         rows.append((i, text, "en", f"s{i % 3}", len(text)))
         labels.append((i, 1, int(i % 6 == 0)))
-    rows += [(100, rows[1][1] + " tail", "en", "s1", 1), (101, rows[1][1], "en", "s1", 1), (102, None, "en", None, None), (103, "", "en", "s1", 0), (None, "no id at all", "en", "s1", 1), (104, rows[2][1] + "\nmail me: a@b.example.com", "en", "s2", 1)]
+    rows += [(100, rows[1][1] + " tail", "en", "s1", 1), (101, rows[1][1], "en", "s1", 1), (102, None, "en", None, None), (103, "", "en", "s1", 0), (None, "no id at all", "en", "s1", 1), (None, rows[3][1], "en", "s1", 1), (None, "two without an id " * 9, "en", "s1", 1), (None, "two without an id " * 9 + "x", "en", "s1", 1), (None, None, None, "s1", 1), (104, rows[2][1] + "\nmail me: a@b.example.com", "en", "s2", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
@@ -28,12 +30,17 @@ def test_pipeline(spark, tmp_path):
         if name == "toxicity":
             assert not any(i in ids for i in range(0, 60, 6)) and sum(i < 60 for i in ids) == 50
         if name == "near_duplicates":
+            told = [(r["doc_id"], r["text"]) for r in before.where("doc_id is not null").collect()]
+            assert ids == sorted({d for d, _, least in brute(told, 5, 80) if d == least})
             assert 1 in ids and 100 not in ids and 101 not in ids and len(ids) == len(set(ids))
+            bare = [r["text"] for r in docs.where("doc_id is null").collect()]
+            assert 3 in ids and len(bare) == 3 and None in bare and "no id at all" in bare
         if name == "pii":
             texts = {r["doc_id"]: r["text"] for r in docs.collect()}
             assert not any("@" in (t or "") for t in texts.values())
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(C.run(spark, str(tmp_path)).columns)
     assert C.run(spark, str(tmp_path)).count() > 0
+    assert C.pii(spark, docs.drop("n_chars"), "").columns == [c for c in docs.columns if c != "n_chars"]
     empty = docs.limit(0)
     for name, stage in C.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0, name

@@ -44,6 +44,8 @@ def test_pieces_equal_library(spark, docs):
         assert decoded == hashlib.sha256(codec.library.decode(want).encode()).hexdigest()
     rows = piece_digests(docs, model_path()).collect()
     assert len(rows) == len(ODD) and {r["n_tokens"] for r in rows if r["doc_id"] in (2, 3)} == {0}
+    clashing = docs.withColumn("n_tokens", F.lit("x")).withColumn("id", F.lit("y")).withColumn("ids_sha256", F.lit("z"))
+    assert sorted(map(str, piece_digests(clashing, model_path()).collect())) == sorted(map(str, rows))
     assert piece_digests(docs.limit(0), model_path()).count() == 0
     assert all(r["decoded"] == t for r, (_, t, *_) in zip(piece_ids(docs, model_path()).collect(), ODD, strict=True) if t)
 
@@ -134,6 +136,56 @@ def test_quality_learns_from_votes(spark):
     assert all(kept[i] for i in range(80)) and not any(kept[i] for i in range(80, 100))
 
 
+def test_quality_equals_plain_expectation_maximisation(spark):
+    from lectern.llm.quality import ANCHOR, START, learn_accuracies
+
+    rng = random.Random(8)
+    names = ["a", "b", "c", "d"]
+    table = {}
+    for _ in range(400):
+        good = rng.random() < 0.7
+        votes = tuple(rng.choice([0, 0, 1 if rng.random() < (0.9 if good else 0.3) else -1, 1 if good else -1]) for _ in names)
+        table[votes] = table.get(votes, 0) + 1
+    df = spark.createDataFrame([(*v, n) for v, n in table.items()], "v_a int, v_b int, v_c int, v_d int, n long")
+    got = learn_accuracies(df, names, rounds=12).first()
+    share, chance = 0.8, [[list(p) for p in zip(*START)] for _ in names]  # chance[rule][0 good vote, 1 bad vote] = (given good, given bad)
+    for _ in range(12):
+        weight = {}
+        for v, n in table.items():
+            g, b = share, 1 - share
+            for k, x in enumerate(v):
+                if x:
+                    g, b = g * chance[k][0 if x == 1 else 1][0], b * chance[k][0 if x == 1 else 1][1]
+            weight[v] = n * g / (g + b)
+        total, good = sum(table.values()), sum(weight.values())
+        anchor, new = ANCHOR * total + 1, []
+        for k in range(len(names)):
+            said = [[sum(weight[v] for v in table if v[k] == s), sum(table[v] - weight[v] for v in table if v[k] == s)] for s in (1, -1)]
+            new.append([[(said[s][c] + anchor * START[c][s]) / (said[0][c] + said[1][c] + anchor) for c in (0, 1)] for s in (0, 1)])
+        share, chance = (good + 8) / (total + 10), new
+    assert abs(got["good"] - share) < 1e-9
+    flat = [tuple(pair) for rule in chance for pair in rule]
+    assert all(abs(x["g"] - g) < 1e-9 and abs(x["b"] - b) < 1e-9 for x, (g, b) in zip(got["chance"], flat, strict=True))
+
+
+def test_mixing_cuts_at_the_budget(spark):
+    """Brute force on one source: rows in order of their keys, whole epochs first, then up to the budget."""
+    from lectern.llm.mixing import mix
+
+    rng = random.Random(14)
+    rows = [(rng.choice([1, 2, None, 7]), " ".join(["w"] * rng.randint(0, 9)) + f" {i}", "s") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("x")).withColumn("taken", F.lit("x"))
+    order = df.select(F.xxhash64(F.lit(42), F.col("doc_id"), F.xxhash64("text")).alias("key"), "text").collect()
+    size = {r["text"]: len(r["text"].split()) for r in order}
+    rest, want = int(1.5 * sum(size.values())) - sum(size.values()), {}
+    for r in sorted(order, key=lambda r: r["key"]):
+        take = min(rest, size[r["text"]])
+        want[r["text"]], rest = size[r["text"]] + take, rest - take
+    for per_range in (5, 1000):
+        got = mix(df, per_range=per_range).collect()
+        assert sorted((r["doc_id"] or 0, r["size"], r["taken"]) for r in got) == sorted((d or 0, size[t], want[t]) for d, t, _ in rows)
+
+
 def test_mixing(spark, docs):
     from lectern.llm.mixing import mix
 
@@ -165,26 +217,83 @@ def test_mixing(spark, docs):
     assert all(r["taken"] == 0 for r in mix(docs.where("doc_id in (2, 3, 4)")).collect())
 
 
-def test_licences(spark, docs):
-    from lectern.llm.licences import UNKNOWN, licence_digest, train
+@pytest.fixture(scope="module")
+def licences(spark):
+    """(documents, a model trained with them): trained once."""
+    from lectern.llm.licences import train
 
     plain = [(100 + i, f"An ordinary paragraph about rivers and trees number {i}.\nIt was public and free for all under the bridge of version {i}.") for i in range(30)]
     marked = [(1, "Released under the MIT License.\nText"), (2, "x\nLicensed under the Apache License, Version 2.0. And then a long story follows about mit und ohne Licht."), (3, "Licensed under CC BY-NC 4.0."), (4, "All rights reserved."), (5, None), (6, ""), (7, "Wir gehen mit dem Hund und mit der Katze."), (8, "Released under the MIT License.\nThis work is licensed under the GNU General Public License, version 3.")]
     df = spark.createDataFrame(marked + plain, "doc_id long, text string").withColumn("family", F.lit("clash")).withColumn("place", F.lit(1))
-    model = train(df)
+    return df, train(df)
+
+
+def test_licences(licences):
+    from lectern.llm.licences import UNKNOWN, licence_digest
+
+    df, model = licences
+    plain = [(100 + i, None) for i in range(30)]
     got = {r["doc_id"]: r["families"] for r in licence_digest(df, model).collect()}
     assert [got[i] for i in (1, 2, 3, 4, 5, 6, 7, 8)] == ["mit", "apache", "cc-by-nc", "proprietary", "", "", "", "gpl,mit"]
     assert all(got[i] in ("", UNKNOWN) for i, _ in plain) and sum(got[i] != "" for i, _ in plain) <= 1
     assert licence_digest(df.limit(0), model).count() == 0
 
 
-def test_licences_score_each_row(spark):
-    from lectern.llm.licences import licence_digest, scan, train
+def test_licences_equal_brute_force(spark, licences):
+    """Every paragraph scored by all its n-grams, in Python, and compared with all templates of its family."""
+    import math
+
+    from lectern.llm.licences import NOT_LICENCES, UNKNOWN, WORDINGS, scan, train
+
+    _, model = licences
+
+    def tokens(t):
+        return [w for w in re.split(r"[^a-z0-9à-ÿ.+]+|[.](?![0-9])", t.lower()) if w]
+
+    def grams(w, n):
+        return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    rng = random.Random(3)
+    texts = [f"{t}\n\n  {rng.choice(NOT_LICENCES)}" for ts in WORDINGS.values() for t in ts] + [" ".join(rng.sample(t.split(), len(t.split()))) for ts in WORDINGS.values() for t in ts]
+    texts += ["a plain line\n" * 40 + "Licensed under the MIT license" + "\nanother plain line" * 40, "word " * 5000 + "released under CC0 1.0", None, "", "\n", "mit mit mit"]
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)] + [(None, texts[0])], "doc_id long, text string")
+    none = model.classes.index("none")
+    want = []
+    for d, t in [(i // 2, t) for i, t in enumerate(texts)] + [(None, texts[0])]:
+        for place, par in enumerate((t or "").split("\n") if t is not None else []):
+            w = tokens(par)
+            found = [model.weights[g] for g in set().union(*(grams(w, n) for n in (1, 2, 3))) if g in model.weights]
+            if not found:
+                continue
+            raw = [b + sum(x[k] for x in found) for k, b in enumerate(model.bias)]
+            top = max(range(none), key=lambda k: raw[k])
+            chance = 1 / (1 + math.exp(-((raw[top] - raw[none]) * model.slope + model.shift)))
+            if chance >= 0.5:
+                shares = [0.0]
+                for template in WORDINGS[model.classes[top]]:
+                    n = 3 if len(tokens(template)) >= 3 else 2
+                    shares.append(len(grams(tokens(template), n) & grams(w, n)) / len(grams(tokens(template), n)))
+                want.append((d, place, model.classes[top] if max(shares) >= 0.6 else UNKNOWN, round(chance, 6)))
+    got = [(r["doc_id"], r["place"], r["family"], round(r["chance"], 6)) for r in scan(df, model).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 40
+    assert {r[2] for r in want} > {"mit", UNKNOWN}
+    empty = train(df.limit(0))
+    assert scan(df, empty).count() > 0 and scan(df.limit(0), empty).count() == 0
+    # without words that decide, no paragraph is left out before it is scored
+    from lectern.llm.licences import LicenceModel
+
+    bare = LicenceModel(model.classes, model.weights, [0.0] * len(model.bias), model.slope, model.shift)
+    assert bare.anchors(0.5) is None or model.shift < 0
+    assert scan(df, bare).count() >= len(want)
+
+
+def test_licences_score_each_row(spark, licences):
+    from lectern.llm.licences import licence_digest, scan
 
     mit, gpl, weak = "Released under the MIT License.", "Text\nLicensed under the GNU General Public License version 2", "a licensed electrician should do this work"
     texts = [mit, gpl, weak, weak, mit, None]
     one_each = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = train(one_each)
+    _, model = licences
     want = sorted((r["families"], round(r["chance"], 9), r["n_licences"]) for r in licence_digest(one_each, model).collect())
     for ids in ([1] * 6, [None] * 6, [1, 1, 2, 2, None, None]):
         df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
