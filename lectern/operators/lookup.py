@@ -128,13 +128,18 @@ def score_index(index: StoredIndex, queries: DataFrame, near: int = NEAR) -> Dat
     whole = index.totals().select(F.struct("n_pages", "avgdl")).scalar()
     part = weight(idf(F.col("s.n_pages"), F.col("df")), F.col("tf"), F.col("dl"), F.col("s.avgdl"))
     inside = F.col("only").isNull() | (F.col("only") == F.col("fp"))
-    spots = F.when(F.col("op") == "near", F.transform("positions", lambda p: F.struct(p.alias("at"), F.col("unit").alias("unit"))))
-    pages = units.where(inside).withColumn("s", whole).groupBy("query_id", "op", "k", "n_units", "fp", "page_index").agg(
-        (-F.sum(F.when(F.col("wanted"), part))).alias("rank"), F.count(F.when(F.col("wanted"), 1)).alias("met"), F.count(F.when(~F.col("wanted"), 1)).alias("bad"), F.flatten(F.collect_list(spots)).alias("spots")
+    page = ["query_id", "fp", "page_index"]
+    found = units.where(inside)
+    pages = found.withColumn("s", whole).groupBy(*page, "op", "k", "n_units").agg(
+        (-F.sum(F.when(F.col("wanted"), part))).alias("rank"), F.count(F.when(F.col("wanted"), 1)).alias("met"), F.count(F.when(~F.col("wanted"), 1)).alias("bad")
     )
+    pages = pages.where((F.col("bad") == 0) & F.when(F.col("op") == "any", F.col("met") > 0).otherwise(F.col("met") == F.col("n_units")))
+    # places of words are gathered, page by page, for near queries only
+    spots = found.where((F.col("op") == "near") & F.col("wanted")).select(*page, "n_units", F.explode("positions").alias("at"), "unit")
+    spots = spots.groupBy(*page, "n_units").agg(F.collect_list(F.struct("at", "unit")).alias("spots"))
     close = F.exists("spots", lambda h: F.size(F.array_distinct(F.transform(F.filter("spots", lambda o: (o["at"] >= h["at"]) & (o["at"] <= h["at"] + near + 1)), lambda o: o["unit"]))) == F.col("n_units"))
-    fits = (F.col("bad") == 0) & F.when(F.col("op") == "any", F.col("met") > 0).otherwise(F.col("met") == F.col("n_units")) & F.when(F.col("op") == "near", close).otherwise(F.lit(True))
-    return pages.where(fits).select("query_id", "fp", "page_index", "k", "rank")
+    together = pages.where("op = 'near'").join(spots.where(close).select(*page), page, "left_semi")
+    return pages.where("op <> 'near'").unionByName(together).select("query_id", "fp", "page_index", "k", "rank")
 
 
 def search_index_batch(index: StoredIndex, queries: DataFrame, near: int = NEAR) -> DataFrame:
