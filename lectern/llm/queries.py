@@ -74,7 +74,15 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language, op4_ngram_jaccard, op5_sentencepiece, op6_pseudo_likelihood, op7_source_mixing, op8_nearest, op9_pii, op10_licences)}
+def op11_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.flatgraph import graph_links
+
+    return graph_links(table(spark, sf_dir, "embeddings")).rows
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language, op4_ngram_jaccard, op5_sentencepiece, op6_pseudo_likelihood, op7_source_mixing, op8_nearest, op9_pii, op10_licences, op11_flat_graph)}
+
+
 def _pii_sql() -> str:
     """Patterns as the contract has them; what look-arounds say about the neighbours of a match is tested afterwards."""
     from lectern.llm.pii import AGAINST, CONTEXT, KINDS, PRIOR, WINDOW
@@ -110,6 +118,14 @@ SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in KINDS[:4])},
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_flat_graph": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a), m AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least(v.vec_id, coalesce(m.m, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(m.m, v.vec_id)) AS kept
+FROM v LEFT JOIN n ON v.vec_id = n.a LEFT JOIN m ON v.vec_id = m.a""",
     "op4_ngram_jaccard": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
