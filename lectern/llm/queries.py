@@ -80,7 +80,13 @@ def op11_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_links(table(spark, sf_dir, "embeddings")).rows
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language, op4_ngram_jaccard, op5_sentencepiece, op6_pseudo_likelihood, op7_source_mixing, op8_nearest, op9_pii, op10_licences, op11_flat_graph)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language, op4_ngram_jaccard, op5_sentencepiece, op6_pseudo_likelihood, op7_source_mixing, op8_nearest, op9_pii, op10_licences, op11_flat_graph, op12_collocations)}
 
 
 def _pii_sql() -> str:
@@ -126,6 +132,20 @@ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a), m AS (SELECT a, min(b) AS m FROM r GROUP BY a)
 SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least(v.vec_id, coalesce(m.m, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(m.m, v.vec_id)) AS kept
 FROM v LEFT JOIN n ON v.vec_id = n.a LEFT JOIN m ON v.vec_id = m.a""",
+    "op12_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inside AS (SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(a) AS most FROM c, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase) WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+cuts AS (SELECT kept.lang, kept.phrase, kept.a, j, x.a AS l, y.a AS r, CAST(2000000 * CAST(kept.a AS HUGEINT) // (x.a + y.a) AS BIGINT) AS score FROM kept, (SELECT unnest([1, 2, 3]) AS j), f x, f y
+  WHERE j < kept.k AND x.lang = kept.lang AND y.lang = kept.lang AND x.phrase = array_to_string(list_slice(kept.w, 1, j), ' ') AND y.phrase = array_to_string(list_slice(kept.w, j + 1, kept.k), ' ')),
+s AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM cuts),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s WHERE o = 1)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM t JOIN n USING (lang) WHERE rank <= 2000""",
     "op4_ngram_jaccard": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
