@@ -86,7 +86,13 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language, op4_ngram_jaccard, op5_sentencepiece, op6_pseudo_likelihood, op7_source_mixing, op8_nearest, op9_pii, op10_licences, op11_flat_graph, op12_collocations)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.variants import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_language, op4_ngram_jaccard, op5_sentencepiece, op6_pseudo_likelihood, op7_source_mixing, op8_nearest, op9_pii, op10_licences, op11_flat_graph, op12_collocations, op13_spelling_variants)}
 
 
 def _pii_sql() -> str:
@@ -156,5 +162,23 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
 r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(m.m, n.doc_id)) AS component_id FROM n LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) m ON n.doc_id = m.a""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+d AS (SELECT doc_id, w, count(*) AS n FROM r WHERE length(w) >= 6 GROUP BY ALL),
+b AS (SELECT w, n, flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END)) AS bytes FROM d),
+h AS (SELECT w, n, xor(list_reduce(bytes, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295), 4294967295) AS h FROM b, tab),
+o AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM o WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+k AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+x AS (SELECT word, n, i, substr(word, 1, CAST(i - 1 AS INT)) || chr(0) || substr(word, CAST(i + 1 AS INT)) AS hole, substr(word, 1, CAST(i - 1 AS INT)) || substr(word, CAST(i + 1 AS INT)) AS less FROM k),
+p AS (SELECT a.word AS a, b.word AS b, b.n AS n FROM x a JOIN x b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.less = v.word
+  UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.less = v.word),
+m AS (SELECT a, count(*) AS n_near, max(n) AS best_n, arg_min(b, (-n, b)) AS best FROM p GROUP BY a),
+f AS (SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * v.n THEN best END AS form, CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n FROM v LEFT JOIN m ON v.word = m.a),
+c AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM c JOIN f ON c.at = f.word WHERE f.form IS NOT NULL),
+e AS (SELECT c.word, c.at FROM c JOIN f ON c.at = f.word WHERE f.form IS NULL)
+SELECT f.word, f.form, coalesce(e.at, f.word) AS root, f.n, f.n_near, f.form_n FROM f LEFT JOIN e ON f.word = e.word""",
     "op9_pii": _pii_sql(),
 }
