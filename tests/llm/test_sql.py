@@ -8,14 +8,15 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
-@pytest.mark.parametrize("name", ["op4_ngram_jaccard", "op9_pii"])
+@pytest.mark.parametrize("name", ["op4_ngram_jaccard", "op9_pii", "op11_flat_graph", "op12_collocations", "op13_spelling_variants"])
 def test_equals_sql(spark, name):
     import duckdb
 
     from lectern.llm.queries import ORACLE_SQL, QUERIES
 
     db = duckdb.connect()
-    db.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "embeddings"):
+        db.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     cursor = db.execute(ORACLE_SQL[name])
     columns = [d[0] for d in cursor.description]
     got = QUERIES[name](spark, SF)
