@@ -78,7 +78,7 @@ def _parts(token: str) -> list[str]:
         plain = "".join(_SUB.findall(token.translate(_LOOKALIKE)))
         if any(c.isalpha() for c in token):
             runs.append(plain)
-    return list(dict.fromkeys(x for r in runs if not r.isdigit() for x in _slices(r))) or _slices(runs[0])
+    return list(dict.fromkeys(x for r in runs if not r.isdigit() for x in _slices(r))) or [x for r in runs for x in _slices(r)]
 
 
 class ToxicityModel:
