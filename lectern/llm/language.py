@@ -194,7 +194,7 @@ def forward_backward(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarra
     return (gamma, ahead) if forward else gamma
 
 
-def train(texts: list[str], langs: list[str], windows: int = 3, width: int = 30, rounds: int = 5, rate: float = 0.3, lexicon_size: int = 400, seed: int = 5) -> LanguageModel | None:
+def train(texts: list[str], langs: list[str], width: int = 30, rounds: int = 5, rate: float = 0.3, lexicon_size: int = 400, seed: int = 5) -> LanguageModel | None:
     """Fit weights and transitions on texts of known languages; None without any."""
     labels = sorted(set(langs))
     if not labels:
@@ -210,13 +210,10 @@ def train(texts: list[str], langs: list[str], windows: int = 3, width: int = 30,
         share = {w: v / max(1, sum(x[w] for x in counts)) for w, v in c.most_common(4 * lexicon_size)}
         for w in [w for w in share if share[w] > 0.8][:lexicon_size]:
             lexicon.setdefault(w, j)
-    # windows of texts, singly and followed by one of another language
+    # whole texts in windows, singly and followed by one of another language
     pieces: list[tuple[list[str], int]] = []
     for ws, lang in zip(tokens, langs, strict=True):
-        for _ in range(min(windows, 1 + len(ws) // width)):
-            if ws:
-                at = int(rng.integers(max(1, len(ws) - width + 1)))
-                pieces.append((ws[at : at + width], labels.index(lang)))
+        pieces += [(ws[at : at + width], labels.index(lang)) for at in range(0, len(ws), width)]
     rng.shuffle(pieces)
     sequences = []
     while pieces:
@@ -259,13 +256,15 @@ def train(texts: list[str], langs: list[str], windows: int = 3, width: int = 30,
 
 
 def training_rows(docs: DataFrame, per_language: int = 300, folds: int = 3, held_out: int = 1) -> list:
-    """At most ``per_language`` (text, lang) rows of each language outside the held-out fold, by hash of the id."""
+    """At most ``per_language`` (text, lang) rows of each language outside the held-out fold, by hash of the id; rows that
+    repeat an id and its text count once."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(fold_of(F.col("doc_id"), folds) != held_out)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # ids first, texts only of the chosen
-    drawn = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    rows = known.join(F.broadcast(drawn), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))  # per_language ids a language
-    return rows.orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").select("text", "lang").collect()
+    known = known.select("doc_id", "lang", "text", F.xxhash64("text").alias("_text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_text")
+    # ids and hashes first, copies of a row once, texts only of the chosen
+    drawn = known.select("doc_id", "lang", "_text").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).drop("_n")
+    rows = known.join(F.broadcast(drawn), ["doc_id", "lang", "_text"]).dropDuplicates(["doc_id", "lang", "_text"])  # per_language rows a language
+    return rows.orderBy("lang", F.xxhash64("doc_id"), "doc_id", "_text").select("text", "lang").collect()
 
 
 def fit(docs: DataFrame, per_language: int = 300) -> LanguageModel | None:
