@@ -9,11 +9,13 @@ structure need long walks, vectors in clusters short ones.
 
 Cells are packed into shards of about ``shard_rows`` rows, and a larger cell is split over several
 by hash, so a cell that holds a third of all rows is read by many tasks. Queries go to the shards
-of their cells in blocks of ``query_rows``; each pair of blocks returns its best few per query
-and the last step merges those.
+of their cells in blocks of about ``query_rows`` from neighbouring cells; in a pair of blocks a query is
+multiplied with the rows of its own cells only. Each pair returns its best few per query and a
+ranking keeps the best of those.
 
 Codebooks are fitted on a bounded sample (``sample_rows``); every row is indexed. Only codebooks
-and cell sizes (centroids squared numbers) go to the tasks whole.
+and cell sizes (centroids squared numbers) go to the tasks whole; their bound is ``MOST_CENTROIDS``
+centroids of a half, and tables of more than 5.9 million rows have larger cells instead of more.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or
 non-finite numbers take no part, neither as queries nor as candidates; a query never finds the
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import cut
@@ -130,23 +132,19 @@ def _blocks(held: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     def rank(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, np.int64), "score": np.empty(0)})
-        order = np.argsort(right["id"].to_numpy(), kind="stable")
-        stored, cell = np.stack(right["vec"].to_numpy()).astype(np.float64)[order], right["cell"].to_numpy()[order]
-        asks = np.stack(left["vec"].to_numpy()).astype(np.float64)
-        wanted = None
-        if left["cells"].notna().all():
-            names, place = np.unique(cell, return_inverse=True)
-            wanted = np.stack([np.isin(names, c) for c in left["cells"]])[:, place]
-        return best(left["query_id"].to_numpy(), asks, right["id"].to_numpy()[order], stored, k, wanted)
+        right = right.sort_values(["cell", "id"], kind="stable")
+        stored, asks = (np.stack(x["vec"].to_numpy()).astype(np.float64) for x in (right, left))
+        cells, starts = np.unique(right["cell"].to_numpy(), return_index=True)
+        wanted = np.stack([np.ones(len(cells), bool) if c is None else np.isin(cells, c) for c in left["cells"]])
+        return best(left["query_id"].to_numpy(), asks, right["id"].to_numpy(), stored, k, starts, wanted)
 
     return asked.groupBy("shard", "block").cogroup(rows.groupBy("shard", "against")).applyInPandas(rank, "query_id long, id long, score double")
 
 
 def _merged(found: DataFrame, k: int, id_col: str) -> DataFrame:
-    # at most k rows a query and shard come in
-    ordered = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), F.col("id").alias("id")))), 1, k)
-    ranked = found.groupBy("query_id").agg(ordered.alias("hits")).select("query_id", F.posexplode("hits").alias("pos", "hit"))
-    return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias(id_col), (-F.col("hit.less")).alias("score"))
+    # the limit on the rank is applied before and after the shuffle
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
 #: Rows that an average cell is to hold, and the most centroids a half may have: cell sizes are collected.
@@ -186,7 +184,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, centroids: int | N
     held = placed.join(F.broadcast(at), "cell").select((F.col("shard") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("shard"), "id", "vec", "cell")
     enough = _enough(placed, held, shards, index, sizes, k, recall, tuning, least)
     known = spark.sparkContext.broadcast((sizes, {c: (s, n) for c, s, n in plan}))
-    blocks = max(1, -(-placed.where("asks").count() // query_rows))
+    # queries of neighbouring cells meet the same shards: they make a block
+    asking = {r["cell"]: r["count"] for r in placed.where("asks").groupBy("cell").count().collect()}
+    blocks = spark.createDataFrame(_pack(asking, query_rows)[0], "cell int, block int, parts int")  # one row a cell
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, (many, shard_of) = shared.value, known.value
@@ -206,7 +206,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, centroids: int | N
                 rows += [(s, block, q, v, cells) for s, cells in by_shard.items()]
             yield pd.DataFrame(rows, columns=["shard", "block", "query_id", "vec", "cells"])
 
-    asks = placed.where("asks").select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    asks = placed.where("asks").join(F.broadcast(blocks), "cell").select("id", "vec", (F.col("block") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("block"))
     asked = asks.mapInPandas(probe, f"shard int, block int, query_id long, vec {kind}, cells array<int>")
     return _merged(_blocks(held, asked, k), k, id_col)
 
@@ -244,21 +244,26 @@ def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(np.einsum("ij,ij->i", rows, rows)) * np.sqrt(np.einsum("j,j->", query, query)))
 
 
-def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, wanted: np.ndarray | None = None) -> pd.DataFrame:
-    """The k best of ``rows`` (sorted by id) for each query, by cosine, then smaller id; ``wanted``
-    tells for each query which rows it may find."""
+def products(queries: np.ndarray, rows: np.ndarray, starts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Products of queries and rows, cell by cell: only those that a query wants (queries x cells) are multiplied, the others
+    are -inf. ``rows`` are sorted by cell, ``starts`` tells where each begins."""
+    out = np.full((len(queries), len(rows)), -np.inf)
+    for c, (s, e) in enumerate(zip(starts, [*starts[1:], len(rows)], strict=True)):
+        mine = np.flatnonzero(wanted[:, c])
+        out[mine, s:e] = queries[mine] @ rows[s:e].T
+    return out
+
+
+def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, starts: np.ndarray, wanted: np.ndarray) -> pd.DataFrame:
+    """The k best of ``rows`` for each query, by cosine, then smaller id; ``starts`` and ``wanted`` as in ``products``."""
     q_out, i_out, s_out = [], [], []
-    rough = unit(queries) @ unit(rows).T
+    rough = products(unit(queries), unit(rows), starts, wanted)
     for n, q in enumerate(query_ids):
-        may = ids != q
-        if wanted is not None:
-            may &= wanted[n]
-        if may.sum() > k:
-            score = np.where(may, rough[n], -np.inf)
+        score = np.where(ids != q, rough[n], -np.inf)
+        keep = np.flatnonzero(score > -np.inf)
+        if len(keep) > k:
             edge = np.partition(score, len(score) - k)[len(score) - k]
             keep = np.flatnonzero(score >= edge - 1e-9)  # rounding of the matrix product must lose no tie
-        else:
-            keep = np.flatnonzero(may)
         exact = cosines(queries[n], rows[keep])
         top = np.lexsort((ids[keep], -exact))[:k]
         q_out += [q] * len(top)
