@@ -284,3 +284,18 @@ def test_counts_cover_all_words(spark, corpus):
     v = count_vocabulary(docs, frequent=5, buckets=4)
     words = {w for r in docs.collect() for w in (r["text"] or "").split()}
     assert len(v.frequent) == 5 and sum(v.types) == len(words) - 5
+
+
+def test_tokens_without_letters_are_read_whole():
+    from lectern.llm.toxicity import RUN, _parts
+
+    assert _parts("1488/88") == ["1488", "88"] and _parts("123-456") == ["123", "456"] and _parts("--") == []
+    assert "".join(_parts("7" * RUN + "/1")).endswith("1")
+
+
+def test_an_id_of_many_rows_gives_few_training_rows(spark):
+    from lectern.llm.language import training_rows
+
+    many = [(1, "en", f"text {i % 400}") for i in range(900)] + [(i, "en", f"other {i}") for i in range(2, 40)] + [(5, None, "x"), (6, "de", None), (None, "de", "y")]
+    rows = training_rows(spark.createDataFrame(many, "doc_id long, lang string, text string"), per_language=50)
+    assert len(rows) == 50 and len({r["text"] for r in rows}) == 50

@@ -185,3 +185,33 @@ def test_neighbours_few_rows(spark):
     assert got == [(0, 1, 1), (0, 2, 2)]
     assert nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert nearest(df.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_only_wanted_cells_are_multiplied():
+    from lectern.llm.neighbours import best, products
+
+    rng = np.random.default_rng(2)
+    queries, rows, starts = rng.standard_normal((7, 5)), rng.standard_normal((30, 5)), np.array([0, 4, 20])
+    wanted = rng.random((7, 3)) < 0.4
+    got = products(queries, rows, starts, wanted)
+    sizes = np.array([4, 16, 10])
+    assert np.isfinite(got).sum() == (wanted * sizes).sum()
+    place = np.repeat(np.arange(3), sizes)
+    assert np.allclose(got[wanted[:, place]], (queries @ rows.T)[wanted[:, place]])
+    found = best(np.arange(7), queries, np.arange(30), rows, 3, starts, wanted)
+    assert all(wanted[q, place[i]] and q != i for q, i in zip(found["query_id"], found["id"], strict=True))
+
+
+def test_ties_across_shards(spark):
+    """Equal vectors that lie in different shards: the smaller ids come first, found twice alike."""
+    from lectern.llm.neighbours import nearest
+
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((40, 6))
+    rows = [(int(i), base[i % 40].tolist(), "z") for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string").withColumn("shard", F.lit("q"))
+    got = [tuple(r) for r in nearest(df, F.col("vec_id") % 50 == 0, shard_rows=16, query_rows=2, least=400).collect()]
+    want = [(q, n + 1, i) for q in range(0, 400, 50) for n, i in enumerate([i for i in range(q % 40, 400, 40) if i != q][:5])]
+    assert sorted(r[:3] for r in got) == want
+    again = [tuple(r) for r in nearest(df, F.col("vec_id") % 50 == 0, shard_rows=16, query_rows=2, least=400).collect()]
+    assert sorted(got) == sorted(again)

@@ -44,3 +44,16 @@ def test_pipeline(spark, tmp_path):
     empty = docs.limit(0)
     for name, stage in C.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
+def test_documents_that_share_an_id(spark):
+    """An id that other texts repeat loses none of them; copies and near copies go, whatever their ids."""
+    import corpus_pipeline as C
+
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1] + " more"), (1, None), (3, ""), (None, texts[2]), (4, texts[2] + " more"), (7, "x " * 200_000)]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r["doc_id"], r["text"]) for r in C.near_duplicates(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(1, texts[0]), (1, texts[1]), (1, None), (3, ""), (4, texts[2] + " more"), (7, "x " * 200_000)], key=str)
+    mixed = {(r["doc_id"], r["text"]) for r in C.mixing(spark, docs, "").collect()}
+    assert {(1, texts[0]), (1, texts[1])} <= mixed and (1, None) not in mixed
