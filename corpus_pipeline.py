@@ -6,10 +6,13 @@ data is replaced by its kind. mixing (7): documents are kept or repeated as the
 that the cut runs through stays whole). pieces (5): what is left is encoded and decoded.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again for the next. All but the last return the columns of ``docs``, extra ones included. Rows
-without a doc_id are told apart by their text: they take part in near duplicates (a document with
-an id stays rather than one without) and in mixing; those without words are linked with nothing
-and stay. A table without ``n_chars`` gets none.
+again for the next. All but the last return the columns of ``docs``, extra ones included. Documents
+are told apart by id and text together: rows that repeat an id with other texts are documents of
+their own, rows that repeat both are copies, of which near duplicates keep one. Rows without a
+doc_id take part (a document with an id stays rather than one without); those without words are
+linked with nothing and stay. Of equally small ids in a component one text stays, always the same. Texts of
+any length are read whole; an empty table passes through all stages empty. A table without
+``n_chars`` gets none.
 """
 
 from __future__ import annotations
@@ -40,20 +43,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _named(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with the column ``name``: the doc_id, or a number above the ids made from the text."""
-    made = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    return docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), made))
+    """``docs`` with the column ``name``: a number of the document, made from its id and its text."""
+    return docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ident, first, place = _free(docs, "ident"), _free(docs, "first_id"), _free(docs, "place")
     wordless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD)
     told = _named(docs.where(~wordless), ident)
-    found = linked_components(told, words=5, percent=80, id_col=ident)
-    stay = found.where(F.col("component_id") == F.col(ident)).select(F.col(ident).alias(first)).distinct()
+    found = linked_components(told, words=5, percent=80, id_col=ident).groupBy(ident).agg(F.min("component_id").alias("part"))
+    # the smallest id of each component stays, one without an id only where there is no other
+    ids = told.groupBy(ident).agg(F.min(F.col("doc_id").cast("long")).alias("least"))
+    order = F.struct(F.col("least").isNull(), "least", F.col(ident))
+    stay = found.join(ids, ident).groupBy("part").agg(F.min_by(ident, order).alias(first)).select(first)
     kept = told.join(stay, F.col(ident) == F.col(first), "left_semi")
-    # rows that repeat an id are copies of one document
-    order = Window.partitionBy(ident).orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    # rows that repeat an id and its text are copies of one document
+    order = Window.partitionBy(ident).orderBy(F.xxhash64(*docs.columns))
     kept = kept.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
     return kept.select(*docs.columns).unionByName(docs.where(wordless))
 
