@@ -87,21 +87,26 @@ def match_first(tokens: Column, word: str) -> Column:
     return F.coalesce(F.get(tokens, F.lit(0)) == literal_tokens(word)[0], F.lit(False))
 
 
+def within(hits: Column, n_units: Column | int, most: int) -> Column:
+    """Whether ``hits`` (at, unit), in order of ``at``, have all ``n_units`` units in a stretch with at most ``most`` tokens between
+    the first and the last: one sweep that knows the last place of each unit."""
+    never = F.lit(-(1 << 30))
+    n = F.lit(n_units) if isinstance(n_units, int) else n_units.cast("int")
+    start = F.struct(F.array_repeat(never, n).alias("last"), F.lit(False).alias("met"))
+
+    def step(state: Column, hit: Column) -> Column:
+        last = F.transform(state["last"], lambda v, i: F.when(i == hit["unit"], hit["at"]).otherwise(v))
+        return let(last, lambda x: F.struct(x.alias("last"), (state["met"] | (hit["at"] - F.array_min(x) <= most + 1)).alias("met")))
+
+    return F.aggregate(hits, start, step, lambda s: s["met"])
+
+
 def match_near(tokens: Column, text: str, most: int = 10) -> Column:
     """All words within one stretch with at most ``most`` tokens between the first and the last."""
     words = list(dict.fromkeys(literal_tokens(text)))
-    placed = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
     wanted = F.array(*[F.lit(w) for w in words])
-
-    def near(hits: Column) -> Column:
-        def covers(h: Column) -> Column:
-            inside = F.filter(hits, lambda o: (o["i"] >= h["i"]) & (o["i"] <= h["i"] + most + 1))
-            return F.size(F.array_distinct(F.transform(inside, lambda o: o["t"]))) == len(words)
-
-        return F.exists(hits, covers)
-
-    hits = F.filter(placed, lambda x: F.array_contains(wanted, x["t"]))
-    return let(hits, near)
+    hits = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("at"), (F.array_position(wanted, t) - 1).cast("int").alias("unit"))), lambda h: h["unit"] >= 0)
+    return within(hits, len(words), most)
 
 
 def contains_ci(text: Column, needle: str) -> Column:

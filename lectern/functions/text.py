@@ -76,16 +76,46 @@ def occurrence_count(text: Column, needle: str) -> Column:
     return F.when(text.isNull(), 0).otherwise(F.size(F.split(text, any_case(needle), -1)) - 1).cast("long")
 
 
+def running(values: Column, start, step, chunk: int = 256) -> Column:
+    """What ``step`` (add, or the larger of two) makes of all values before each one, beginning with ``start``. Values are folded
+    in chunks and chunks of chunks, so a long array costs little more than its length."""
+    fold = lambda x, first: F.aggregate(x, first, step)
+
+    def told(x: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / chunk).cast("int")), lambda c: F.slice(x, c * chunk + 1, F.lit(chunk)))
+
+        def placed(parts: Column) -> Column:
+            wholes = F.transform(parts, lambda p: fold(p, start))
+            return let(wholes, lambda w: F.flatten(F.transform(parts, lambda p, k: let(fold(F.slice(w, F.lit(1), k), start), lambda first: F.transform(p, lambda _, i: fold(F.slice(p, F.lit(1), i), first))))))
+
+        return F.when(F.size(x) > 0, let(chunks, placed)).otherwise(F.slice(x, F.lit(1), F.lit(0)))
+
+    return let(values, told)
+
+
+#: Characters of a block of ``blocks_of``.
+BLOCK = 2048
+
+
+def blocks_of(text: Column) -> Column:
+    """A text cut into blocks, so that ``part_of`` needn't read it from its beginning each time."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def part_of(blocks: Column, start: Column, length: Column) -> Column:
+    """``length`` characters of a text in blocks from ``start`` (from 0) on; fewer at its end."""
+    first = F.floor(start / BLOCK).cast("int")
+    near = F.array_join(F.slice(blocks, first + 1, F.floor((start + length) / BLOCK).cast("int") - first + 1), "")
+    return F.substring(near, start - first * BLOCK + 1, length)
+
+
 def occurrence_starts(text: Column, needle: str) -> Column:
     """Start of each occurrence in code points, as an array."""
-    gaps = F.transform(F.split(text, any_case(needle), -1), lambda g: F.length(g))
     size = len(needle)
-
-    def placed(g: Column) -> Column:
-        at = F.transform(g, lambda x, i: F.aggregate(F.slice(g, F.lit(1), i + 1), F.lit(0), lambda a, y: a + y) + i * size)
-        return F.slice(at, F.lit(1), F.size(g) - 1)
-
-    return F.when(text.isNotNull(), let(gaps, placed))
+    reach = F.transform(F.split(text, any_case(needle), -1), lambda g: F.length(g) + size)
+    # the text before the k-th occurrence is k + 1 gaps and k needles long
+    ends = running(reach, F.lit(0), lambda a, y: a + y)
+    return F.when(text.isNotNull(), F.transform(F.slice(ends, F.lit(2), F.greatest(F.size(ends) - 1, F.lit(0))), lambda e: e - size))
 
 
 def substring_snippet(text: Column, start: Column, length: int, around: int = 30) -> Column:

@@ -38,10 +38,10 @@ def runs(tokens: Column) -> Column:
     return let(placed, cut_up)
 
 
-def postings(pages: DataFrame, positions: bool = False) -> DataFrame:
-    """(term, fp, page_index, dl, tf[, positions]) of pages with tokens."""
-    each = pages.select("fp", "page_index", "dl", F.inline(runs(F.col("tokens"))))
-    return each.select("term", "fp", "page_index", "dl", F.size("positions").alias("tf"), *(["positions"] if positions else []))
+def postings(pages: DataFrame, positions: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(term, fp, page_index, dl, tf[, positions]) of pages with tokens, and the columns ``keep`` of the page."""
+    each = pages.select("fp", "page_index", "dl", *keep, F.inline(runs(F.col("tokens"))))
+    return each.select("term", "fp", "page_index", "dl", F.size("positions").alias("tf"), *(["positions"] if positions else []), *keep)
 
 
 def totals(pages: DataFrame) -> DataFrame:
@@ -54,6 +54,19 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+def corpus_stats(pages: DataFrame) -> DataFrame:
+    """(term, df, cf, n_pages, avgdl) of pages (text) in one pass: each token counts for cf, each distinct token of a page
+    for df, and each page gives one row of its own. No positions, and partial sums before the shuffle."""
+    row = lambda kind, term, df, cf: F.struct(F.lit(kind).alias("kind"), term.alias("term"), df.cast("long").alias("df"), cf.cast("long").alias("cf"))
+    one, zero, none = F.lit(1), F.lit(0), F.lit(None).cast("string")
+    tokens = F.col("tokens")
+    rows = F.concat(F.array(row(0, none, one, F.size(tokens))), F.transform(tokens, lambda t: row(1, t, zero, one)), F.transform(F.array_distinct(tokens), lambda t: row(1, t, one, zero)))
+    counts = with_tokens(pages).select(F.inline(rows)).groupBy("term").agg(F.max("kind").alias("kind"), F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    # told apart by a sum, not by the key: so both readings share one shuffle
+    whole = counts.where("kind = 0").select(F.struct(F.col("df").alias("n_pages"), (F.col("cf") / F.col("df")).alias("avgdl"))).scalar()
+    return counts.where("kind = 1").select("term", "df", "cf", whole["n_pages"].alias("n_pages"), whole["avgdl"].alias("avgdl"))
+
+
 def updated_stats(stats: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
     """(term, df, cf) after the postings ``gone`` are replaced by ``new``: only touched documents' postings are counted."""
     parts = [stats.select("term", "df", "cf")]

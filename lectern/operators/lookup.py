@@ -7,14 +7,16 @@ operators are those of ``lectern.operators.search``: results are the same as by
 
 from __future__ import annotations
 
+from collections import Counter
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.predicates import Unit, real_query
+from lectern.functions.predicates import Unit, real_query, within
 from lectern.functions.text import highlight_units, let, tokenize
-from lectern.operators.search import idf, weight
-from lectern.sources.stored import StoredIndex
-from lectern.sources.tables import bucket_of
+from lectern.operators.search import IDF_FLOOR, idf, weight
+from lectern.sources.stored import FREQUENT, Segment, Snapshot, StoredIndex
 
 #: What a row of a query table may ask for in ``op``: all or any of its words, the words as a phrase, a phrase whose last
 #: word is a prefix, all words near each other, the word as the first of a page.
@@ -31,19 +33,111 @@ def _starts(unit: Unit, found: dict[tuple[str, bool], Column]) -> Column:
     return out
 
 
-def search_index(index: StoredIndex, units: list[Unit], k: int = 100, fp: str | None = None, any_unit: bool = False, unwanted: list[Unit] = ()) -> DataFrame:
+def _numbers(view: Snapshot, words: dict[str, int]) -> dict[str, dict[str, int]]:
+    """df of each word in each segment, from the stored statistics."""
+    parts = [view.segment_terms(s).where(F.col("term").isin(list(words))).select(F.lit(s.name).alias("segment"), "term", "df") for s in view.segments]
+    rows = view._union(parts, "segment string, term string, df long").groupBy("segment", "term").agg(F.sum("df").alias("df")).collect()  # words times segments
+    out: dict[str, dict[str, int]] = {}
+    for r in rows:
+        out.setdefault(r["segment"], {})[r["term"]] = r["df"]
+    return out
+
+
+def _of_word(values: dict[str, float]) -> Column:
+    """The value of the row's term."""
+    out = F.lit(0.0)
+    for w, v in values.items():
+        out = F.when(F.col("term") == w, F.lit(float(v))).otherwise(out)
+    return out
+
+
+class PlainSearch:
+    """Ranked pages for plain words, all or any of them, from frequencies alone.
+
+    Frequent words are pruned by block maxima. The best blocks by the sum of their words' largest
+    contributions are scored first; the rank of the k-th page there is a threshold, and of all other blocks only
+    those whose sum can reach it are read.
+    """
+
+    def __init__(self, view: Snapshot, words: dict[str, int], any_unit: bool, fp: str | None = None):
+        self.view, self.words, self.any_unit, self.fp = view, words, any_unit, fp
+        self.by_segment = _numbers(view, words)
+        self.df = {w: sum(d.get(w, 0) for d in self.by_segment.values()) for w in words}
+        self.idf = {w: max(log((view.n_pages - n + 0.5) / (n + 0.5)), IDF_FLOOR) * words[w] for w, n in self.df.items() if n > 0}
+
+    def nothing(self) -> bool:
+        return not self.idf or (not self.any_unit and len(self.idf) < len(self.words))
+
+    def scored(self, blocks: dict[str, DataFrame] | None = None) -> DataFrame:
+        """(fp, page_index, rank) of matching pages, in the given blocks of each segment only, if any are given."""
+        parts = []
+        for s in self.view.segments:
+            if blocks is None or s.name in blocks:
+                posts = self.view.segment_postings(s, list(self.idf))
+                if self.fp is not None:
+                    posts = posts.where(F.col("fp") == self.fp)
+                if blocks is not None and blocks[s.name] is not None:
+                    posts = posts.join(blocks[s.name], "block", "left_semi")
+                parts.append(posts.select("term", "fp", "page_index", "dl", "tf"))
+        part = weight(_of_word(self.idf), F.col("tf"), F.col("dl"), F.lit(self.view.avgdl))
+        pages = self.view._union(parts, "term string, fp string, page_index int, dl int, tf int").groupBy("fp", "page_index").agg((-F.sum(part)).alias("rank"), F.count(F.lit(1)).alias("met"))
+        return (pages if self.any_unit else pages.where(F.col("met") == len(self.idf))).select("fp", "page_index", "rank")
+
+    def bounds(self, segment: Segment) -> DataFrame | None:
+        """(block, bound, n) of a segment's blocks that may hold a match; None: a word is too rare there to have blocks."""
+        here = self.by_segment.get(segment.name, {})
+        if any(0 < n < FREQUENT for n in here.values()):
+            return None
+        rows = self.view.blocks(segment, list(self.idf)).groupBy("block").agg(F.sum(_of_word(self.idf) * F.col("best")).alias("bound"), F.count(F.lit(1)).alias("met"), F.min("n").alias("n"))
+        return (rows if self.any_unit else rows.where(F.col("met") == len(self.idf))).select("block", "bound", "n")
+
+    def pruned(self, k: int, first: int = 64) -> dict[str, DataFrame]:
+        """For each segment the blocks that can hold one of the k best pages (None: all of them)."""
+        bounds = {s.name: self.bounds(s) for s in self.view.segments}
+        whole = {name for name, b in bounds.items() if b is None}
+        bounds = {name: b for name, b in bounds.items() if b is not None}
+        if not bounds:
+            return dict.fromkeys(whole)
+        named = [b.withColumn("segment", F.lit(name)) for name, b in bounds.items()]
+        best = self.view._union(named, "").orderBy(F.desc("bound"), "segment", "block").limit(max(first, 2 * k)).collect()
+        chosen = {name: [r["block"] for r in best if r["segment"] == name] for name in bounds}
+        tried = {name: self.view.spark.createDataFrame([(b,) for b in blocks], "block long") for name, blocks in chosen.items() if blocks}
+        ranks = [r["rank"] for r in self.scored(tried).orderBy("rank").limit(k).collect()] if tried else []
+        if len(ranks) < k:
+            return dict.fromkeys([*whole, *bounds])
+        return dict.fromkeys(whole) | {name: b.where(F.col("bound") >= -ranks[-1] - 1e-9).select("block") for name, b in bounds.items()}
+
+    def best(self, k: int, prune_from: int) -> DataFrame:
+        prune = self.fp is None and sum(self.df.values()) >= prune_from
+        return self.scored(self.pruned(k) if prune else None).orderBy("rank", "fp", "page_index").limit(k)
+
+
+#: Postings of a query's words from which on blocks are looked at first.
+PRUNE_FROM = 2_000_000
+
+
+def search_index(index: StoredIndex, units: list[Unit], k: int = 100, fp: str | None = None, any_unit: bool = False, unwanted: list[Unit] = (), prune_from: int = PRUNE_FROM) -> DataFrame:
     """(fp, path, page_index, rank, snippet) of the k best pages with all units (or any) and none of the unwanted ones."""
-    pages = index.pages()
-    if not units or k <= 0:
-        return pages.select("fp", "path", "page_index", F.lit(0.0).alias("rank"), F.lit("").alias("snippet")).limit(0)
+    view = index.now()
+    nothing = view.spark.createDataFrame([], "fp string, path string, page_index int, rank double, snippet string")
+    if not units or k <= 0 or not view.n_pages:
+        return nothing
+    if all(len(u.words) == 1 and not u.prefix for u in units) and not unwanted:
+        search = PlainSearch(view, dict(Counter(u.words[0] for u in units)), any_unit, fp)
+        if search.nothing():
+            return nothing
+        best = search.best(k, prune_from)
+    else:
+        best = _best_of_units(view, units, k, fp, any_unit, unwanted)
+    wanted = F.array(*[F.struct(F.array(*[F.lit(w) for w in u.words]).alias("words"), F.lit(u.prefix).alias("prefix")) for u in units])
+    told = view.pages_of(F.broadcast(best))  # k rows
+    return told.select("fp", "path", "page_index", "rank", highlight_units(F.col("text"), wanted).alias("snippet")).orderBy("rank", "fp", "page_index")
+
+
+def _best_of_units(view: Snapshot, units: list[Unit], k: int, fp: str | None, any_unit: bool, unwanted: list[Unit]) -> DataFrame:
+    """(fp, page_index, rank) of the k best pages by positions: phrases, prefixes, and what must not be there."""
     words = {(w, u.prefix and i == len(u.words) - 1): None for u in [*units, *unwanted] for i, w in enumerate(u.words)}
-    exact, prefixes = [w for w, p in words if not p], [w for w, p in words if p]
-    posts = index.postings(None if prefixes else exact)
-    if prefixes:
-        test = F.col("term").isin(exact) if exact else F.lit(False)
-        for p in prefixes:
-            test = test | F.col("term").startswith(p)
-        posts = posts.where(test)
+    posts = view.postings([w for w, p in words if not p], [w for w, p in words if p])
     none = F.array().cast("array<int>")
 
     def gathered(word: str, prefix: bool) -> Column:
@@ -61,21 +155,17 @@ def search_index(index: StoredIndex, units: list[Unit], k: int = 100, fp: str |
         bad = bad | (F.size(_starts(u, found)) > 0)
     counted = per_page.select("fp", "page_index", "dl", *tf, bad.alias("bad"))
     df = counted.agg(F.struct(*[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(units))])).scalar()
-    whole = index.totals().select(F.struct("n_pages", "avgdl")).scalar()
     met = F.lit(any_unit is False)
     for i in range(len(units)):
         met = met | (F.col(f"tf{i}") > 0) if any_unit else met & (F.col(f"tf{i}") > 0)
     matched = counted.where(met & ~F.col("bad"))
     if fp is not None:
         matched = matched.where(F.col("fp") == fp)
-    matched = matched.withColumn("s", df).withColumn("whole", whole)
+    matched = matched.withColumn("s", df)
     rank = F.lit(0.0)
     for i in range(len(units)):
-        rank = rank - weight(idf(F.col("whole.n_pages"), F.col(f"s.df{i}")), F.col(f"tf{i}"), F.col("dl"), F.col("whole.avgdl"))
-    best = matched.select("fp", "page_index", rank.alias("rank")).orderBy("rank", "fp", "page_index").limit(k)
-    wanted = F.array(*[F.struct(F.array(*[F.lit(w) for w in u.words]).alias("words"), F.lit(u.prefix).alias("prefix")) for u in units])
-    told = index.pages_of(F.broadcast(best))  # k rows
-    return told.select("fp", "path", "page_index", "rank", highlight_units(F.col("text"), wanted).alias("snippet")).orderBy("rank", "fp", "page_index")
+        rank = rank - weight(idf(F.lit(view.n_pages), F.col(f"s.df{i}")), F.col(f"tf{i}"), F.col("dl"), F.lit(view.avgdl))
+    return matched.select("fp", "page_index", rank.alias("rank")).orderBy("rank", "fp", "page_index").limit(k)
 
 
 def asked_units(queries: DataFrame) -> DataFrame:
@@ -109,11 +199,10 @@ def _expanded(asked: DataFrame, terms: DataFrame) -> DataFrame:
 
 def score_index(index: StoredIndex, queries: DataFrame, near: int = NEAR) -> DataFrame:
     """(query_id, fp, page_index, k, rank) of all pages that match a query of the table, each by its own operator."""
+    view = index.now()
     asked = asked_units(queries)
-    terms = index.terms()
-    # the same bucket on both sides: only the folders of asked terms are read
-    by_term = _expanded(asked, terms).withColumn("term_bucket", bucket_of(F.col("term"), index.buckets))
-    hits = index.all_postings().join(by_term, ["term_bucket", "term"])
+    terms = view.terms()
+    hits = view.postings_of(_expanded(asked, terms))
     alone = (F.col("n_words") == 1) & ~F.col("prefix") & (F.col("op") != "first")
     one = hits.where(alone).join(terms.select("term", "df"), "term")
     keys = ["query_id", "op", "k", "only", "n_units", "unit", "wanted", "fp", "page_index", "dl"]
@@ -125,19 +214,19 @@ def score_index(index: StoredIndex, queries: DataFrame, near: int = NEAR) -> Dat
     df = more.groupBy("query_id", "unit").agg(F.count(F.lit(1)).alias("df"))
     more = more.join(df, ["query_id", "unit"]).select(*keys, "df", "tf", F.lit(None).cast("array<int>").alias("positions"))
     units = one.unionByName(more)
-    whole = index.totals().select(F.struct("n_pages", "avgdl")).scalar()
-    part = weight(idf(F.col("s.n_pages"), F.col("df")), F.col("tf"), F.col("dl"), F.col("s.avgdl"))
+    part = weight(idf(F.lit(view.n_pages), F.col("df")), F.col("tf"), F.col("dl"), F.lit(view.avgdl))
     inside = F.col("only").isNull() | (F.col("only") == F.col("fp"))
     page = ["query_id", "fp", "page_index"]
     found = units.where(inside)
-    pages = found.withColumn("s", whole).groupBy(*page, "op", "k", "n_units").agg(
+    pages = found.groupBy(*page, "op", "k", "n_units").agg(
         (-F.sum(F.when(F.col("wanted"), part))).alias("rank"), F.count(F.when(F.col("wanted"), 1)).alias("met"), F.count(F.when(~F.col("wanted"), 1)).alias("bad")
     )
     pages = pages.where((F.col("bad") == 0) & F.when(F.col("op") == "any", F.col("met") > 0).otherwise(F.col("met") == F.col("n_units")))
     # places of words are gathered, page by page, for near queries only
     spots = found.where((F.col("op") == "near") & F.col("wanted")).select(*page, "n_units", F.explode("positions").alias("at"), "unit")
     spots = spots.groupBy(*page, "n_units").agg(F.collect_list(F.struct("at", "unit")).alias("spots"))
-    close = F.exists("spots", lambda h: F.size(F.array_distinct(F.transform(F.filter("spots", lambda o: (o["at"] >= h["at"]) & (o["at"] <= h["at"] + near + 1)), lambda o: o["unit"]))) == F.col("n_units"))
+    spots = spots.withColumn("spots", F.array_sort("spots"))
+    close = within(F.col("spots"), F.col("n_units"), near)
     together = pages.where("op = 'near'").join(spots.where(close).select(*page), page, "left_semi")
     return pages.where("op <> 'near'").unionByName(together).select("query_id", "fp", "page_index", "k", "rank")
 
@@ -151,5 +240,5 @@ def search_index_batch(index: StoredIndex, queries: DataFrame, near: int = NEAR)
     t = tokenize(F.col("text"))
     each = let(t, lambda x: F.transform(x, lambda w: F.struct(F.array(w).alias("words"), F.lit(False).alias("prefix"))))
     units = F.when(op.isin("phrase", "prefix"), F.array(F.struct(t.alias("words"), (op == "prefix").alias("prefix")))).otherwise(each)
-    told = index.pages_of(best).join(queries.select("query_id", units.alias("units")), "query_id")
+    told = index.now().pages_of(best).join(queries.select("query_id", units.alias("units")), "query_id")
     return told.select("query_id", "place", "fp", "path", "page_index", "rank", highlight_units(F.col("text"), F.col("units")).alias("snippet"))

@@ -26,7 +26,6 @@ from lectern.plans import derived as D
 from lectern.plans.derived import CHANGES_SQL, ENTRIES_SQL, KEYED_SQL, MIDDLE, PAGES_SQL, POSTS_SQL, RECENTS_SQL, SCORED_SQL, TOKENS_SQL, table
 from lectern.sources import files as Files
 from lectern.sources import tables as T
-from lectern.sources.generations import IndexStore
 from lectern.sources.stored import StoredIndex, write_index
 from lectern.streaming import streams as Streams
 
@@ -300,16 +299,13 @@ def hits_with_document(spark, sf):
 
 @query(f"WITH {SCORED_SQL} SELECT query_id, term, fp, page_index, tf FROM posts JOIN asked USING (term)")
 def queries_x_postings(spark, sf):
-    posts = stored_index(spark, sf).all_postings()
-    asked = Q.query_terms(D.query_table(spark, sf), X.tokenize(F.col("text"))).withColumn("term_bucket", T.bucket_of(F.col("term"), 16))
-    return posts.join(asked, ["term_bucket", "term"]).select("query_id", "term", "fp", "page_index", F.col("tf").cast("long").alias("tf"))
+    asked = Q.query_terms(D.query_table(spark, sf), X.tokenize(F.col("text")))
+    return stored_index(spark, sf).now().postings_of(asked).select("query_id", "term", "fp", "page_index", F.col("tf").cast("long").alias("tf"))
 
 
 @query(f"WITH {POSTS_SQL} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, (SELECT count(*) FROM toks) AS n_pages, (SELECT round(avg(dl), 6) FROM toks) AS avgdl FROM posts GROUP BY term")
 def corpus_stats(spark, sf):
-    pages = D.token_pages(spark, sf)
-    whole = I.totals(pages).select(F.struct("n_pages", "avgdl")).scalar()
-    return I.term_stats(I.postings(pages)).select("term", "df", "cf", whole["n_pages"].alias("n_pages"), F.round(whole["avgdl"], 6).alias("avgdl"))
+    return I.corpus_stats(D.pages(spark, sf)).withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query(f"WITH {PAGES_SQL} SELECT fp, path, count(*) AS page_count FROM pages GROUP BY fp, path")
@@ -381,10 +377,13 @@ def index_upsert(spark, sf):
   words AS (SELECT fp, page_index, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}]+')) AS term FROM after)
   SELECT term, count(DISTINCT fp || ' ' || page_index) AS df, count(*) AS cf FROM words GROUP BY term""")
 def index_upsert_postings(spark, sf):
-    """Statistics of the terms after an upsert, from the touched documents' postings alone."""
-    index, new = stored_index(spark, sf), I.with_tokens(_revised(spark, sf))
-    gone = index.all_postings().join(new.select("fp").distinct(), "fp", "left_semi")
-    return I.updated_stats(index.terms(), gone, I.postings(new))
+    """Statistics of the terms after an upsert, from the forward index of the touched documents alone."""
+    view, new = stored_index(spark, sf).now(), I.with_tokens(_revised(spark, sf))
+    parts = [view.documents(s, new.select("fp")).select(F.inline("terms")) for s in view.segments]
+    gone = view._union(parts, "term string, df long, cf long")
+    counted = gone.select("term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf")).unionByName(I.term_stats(I.postings(new)))
+    both = view.terms().unionByName(counted).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    return both.where("df > 0")
 
 
 @query(f"WITH {PAGES_SQL} SELECT fp, page_index FROM pages WHERE fp NOT IN (SELECT 'doc-' || doc_id FROM labels WHERE toxic = 1)")
@@ -728,12 +727,12 @@ def recents_io(spark, sf):
 @query(f"WITH {PAGES_SQL}{_NEW_SQL} SELECT fp, page_index, text FROM (SELECT * FROM pages WHERE fp NOT IN (SELECT fp FROM new) UNION ALL SELECT * FROM new) WHERE fp NOT IN (SELECT 'doc-' || doc_id FROM labels WHERE toxic = 1)")
 def index_generations(spark, sf):
     """Indexed, partly indexed again, partly removed, compacted, and read."""
-    store = IndexStore(spark, scratch(spark))
+    store = StoredIndex(spark, scratch(spark))
     pages, new, at = D.pages(spark, sf), _revised(spark, sf), F.expr("timestamp'2024-01-01 00:00:00'")
     store.upsert(pages.select("fp", "path").distinct(), pages, at, "change-1")
     store.upsert(new.select("fp", "path").distinct(), new, at, "change-2")
     store.remove(table(spark, sf, "labels").where("toxic = 1").select(D.doc_fp().alias("fp")), "change-3")
-    store.compact("change-4")
+    store.merge("change-4", everything=True)
     return store.pages().select("fp", "page_index", "text")
 
 
@@ -747,7 +746,7 @@ def index_stream(spark, sf):
     docs = table(spark, sf, "documents").where("text is not null").select(D.doc_fp().alias("fp"), F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "text", F.expr("timestamp'2024-01-01 00:00:00'").alias("ts"))
     docs.write.parquet(f"{base}/in")
     source = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", Streams.BATCH_FILES).parquet(f"{base}/in")
-    store = IndexStore(spark, f"{base}/index")
+    store = StoredIndex(spark, f"{base}/index")
     Streams.index_stream(source, store, f"{base}/checkpoint", availableNow=True).awaitTermination()
     return I.term_stats(store.postings())
 

@@ -1,66 +1,358 @@
-"""The search index as tables in a folder: pages, postings with positions, terms, totals and the registry."""
+"""The search index as tables in a folder: immutable segments, what was deleted in them, and a list of what counts.
+
+A segment is written once and never changed. It holds
+  pages      by bucket of the document: fp, path, page_index, text, dl, cell
+  documents  by bucket of the document: the registry, and the forward index (each term of the document with the
+             pages and occurrences it has there)
+  postings   by bucket of the term, sorted by term and block: fp, page_index, dl, tf, positions, block
+  terms      df and cf, in ranges of the term, so that statistics of row groups cut a prefix to a range
+  blocks     of frequent terms: the largest contribution to a rank in each block of pages
+
+A change (an upsert or a removal) finds the documents it touches in the buckets of their names, notes
+per segment which of them are deleted there and what they had added to the statistics, and writes
+what is new as a segment of its own. So a change costs what it touches: postings of others are
+neither read nor written. Then a numbered file in ``published`` lists segments and changes
+that count from now on, by a rename to a name that was not there; readers take the highest number and
+never see half a change, and a change that is published already is skipped. Segments of similar
+size are merged by ``merge``. One writer at a time.
+
+Blocks group pages of similar length and repetitiveness, about ``BLOCK_PAGES`` each, as such pages give similar
+contributions. Folders' numbers follow the amount of text.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import uuid
+from dataclasses import asdict, dataclass, field
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.index import postings, registry, term_stats, totals, with_tokens
-from lectern.sources.tables import bucket_of, read_postings, write_postings
+from lectern.operators.index import postings, with_tokens
+from lectern.operators.search import B, K1
+from lectern.sources.tables import bucket_of
 
+PAGES = "fp string, path string, page_index int, text string, dl int, cell int, doc_bucket int"
+DOCUMENTS = "fp string, path string, page_count long, n_tokens long, last_indexed timestamp, terms array<struct<term:string,df:bigint,cf:bigint>>, doc_bucket int"
+POSTINGS = "term string, fp string, page_index int, dl int, tf int, positions array<int>, block long, term_bucket int"
+TERMS = "term string, df long, cf long"
+BLOCKS = "term string, block long, n long, best double, term_bucket int"
+#: Pages of a block, and pages a term must have to get block maxima.
+BLOCK_PAGES, FREQUENT = 16, 1024
+#: Segments of one size class that are merged into one, and the ratio between size classes.
+FAN = 4
 
-@dataclass(frozen=True)
-class StoredIndex:
-    """Reads one table of the index at a time; ``buckets`` and ``doc_buckets`` are how many folders the postings (by term)
-    and the pages (by document) have."""
 
-    spark: SparkSession
-    folder: str
-    buckets: int = 16
-    doc_buckets: int = 16
+def bucket_number(term: str, buckets: int) -> int:
+    """What ``bucket_of`` gives for one value."""
+    h = xxhash.xxh64_intdigest(term.encode(), 42)
+    return (h - (h >> 63 << 64)) % buckets
+
+
+def folders_for(chars: int) -> int:
+    """Folders for so much text: one a million characters up to 16, then one for every 64 million."""
+    return int(min(4096, max(1, min(16, chars >> 20), chars >> 26)))
+
+
+@dataclass
+class Segment:
+    name: str
+    pages: int
+    tokens: int
+    buckets: int
+    doc_buckets: int
+    avgdl: float  # when it was written: block maxima hold for it
+    deleted_in: list[str] = field(default_factory=list)
+
+
+class Snapshot:
+    """The index as one published list has it."""
+
+    def __init__(self, spark: SparkSession, folder: str, segments: list[Segment]):
+        self.spark, self.folder, self.segments = spark, folder, segments
+        self.n_pages, self.n_tokens = sum(s.pages for s in segments), sum(s.tokens for s in segments)
+        self.avgdl = self.n_tokens / self.n_pages if self.n_pages else None
+
+    def read(self, segment: Segment, table: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/segments/{segment.name}/{table}")
+
+    def _gone(self, segment: Segment, table: str, schema: str) -> DataFrame | None:
+        paths = [f"{self.folder}/changes/{c}/{table}/segment={segment.name}" for c in segment.deleted_in]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else None
+
+    def live(self, segment: Segment, rows: DataFrame) -> DataFrame:
+        """``rows`` (fp, ...) of a segment without those of documents that were deleted in it."""
+        gone = self._gone(segment, "deleted", "fp string")
+        return rows if gone is None else rows.join(gone, "fp", "left_anti").select(*rows.columns)
+
+    def _union(self, parts: list[DataFrame], schema: str) -> DataFrame:
+        out = parts[0] if parts else self.spark.createDataFrame([], schema)
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def _all(self, table: str, schema: str) -> DataFrame:
+        return self._union([self.live(s, self.read(s, table, schema)) for s in self.segments], schema)
 
     def pages(self) -> DataFrame:
         """(fp, path, page_index, text, dl)"""
-        return self.spark.read.parquet(f"{self.folder}/pages").drop("doc_bucket")
+        return self._all("pages", PAGES).drop("doc_bucket", "cell")
 
     def pages_of(self, hits: DataFrame) -> DataFrame:
         """``hits`` (fp, page_index, ...) with path and text: only the folders of their documents are read."""
-        by = hits.withColumn("doc_bucket", bucket_of(F.col("fp"), self.doc_buckets))
-        return self.spark.read.parquet(f"{self.folder}/pages").drop("dl").join(by, ["doc_bucket", "fp", "page_index"]).drop("doc_bucket")
+        parts = []
+        for s in self.segments:
+            by = hits.withColumn("doc_bucket", bucket_of(F.col("fp"), s.doc_buckets))
+            parts.append(self.live(s, self.read(s, "pages", PAGES).drop("dl", "cell").join(by, ["doc_bucket", "fp", "page_index"]).drop("doc_bucket")))
+        return self._union(parts, "fp string, page_index int, path string, text string") if parts else hits.withColumns({"path": F.lit(""), "text": F.lit("")})
 
-    def postings(self, terms: list[str] | None = None) -> DataFrame:
-        return read_postings(self.spark, f"{self.folder}/postings", terms, self.buckets)
+    def documents(self, segment: Segment, fps: DataFrame | None = None) -> DataFrame:
+        """Live documents of a segment; of those named, if any are, in the folders of their names."""
+        rows = self.read(segment, "documents", DOCUMENTS)
+        if fps is not None:
+            named = fps.select("fp").distinct()
+            wanted = [r[0] for r in named.select(bucket_of(F.col("fp"), segment.doc_buckets)).distinct().collect()]  # folders at most
+            rows = rows.where(F.col("doc_bucket").isin(wanted)).join(named, "fp", "left_semi")
+        return self.live(segment, rows)
+
+    def registry(self) -> DataFrame:
+        """(fp, path, page_count, last_indexed)"""
+        return self._all("documents", DOCUMENTS).select("fp", "path", "page_count", "last_indexed")
 
-    def all_postings(self) -> DataFrame:
-        """With the column that names the folder."""
-        return self.spark.read.parquet(f"{self.folder}/postings")
+    def segment_postings(self, segment: Segment, terms: list[str] | None = None, prefixes: list[str] = ()) -> DataFrame:
+        """With the columns ``block`` and ``term_bucket``; of the named terms and prefixes only, read in their folders."""
+        posts = self.read(segment, "postings", POSTINGS)
+        if terms is not None:
+            wanted, test = {bucket_number(t, segment.buckets) for t in terms}, F.col("term").isin(list(terms)) if terms else F.lit(False)
+            for p in prefixes:
+                # the dictionary is in order: a prefix is a range of it
+                found = self.read(segment, "terms", TERMS).where(F.col("term").startswith(p))
+                wanted |= {r[0] for r in found.select(bucket_of(F.col("term"), segment.buckets)).distinct().collect()}  # folders at most
+                test = test | F.col("term").startswith(p)
+            posts = posts.where(F.col("term_bucket").isin(sorted(wanted)) & test)
+        return self.live(segment, posts)
+
+    def postings(self, terms: list[str] | None = None, prefixes: list[str] = ()) -> DataFrame:
+        """(term, fp, page_index, dl, tf, positions)"""
+        return self._union([self.segment_postings(s, terms, prefixes) for s in self.segments], POSTINGS).drop("term_bucket", "block")
+
+    def postings_of(self, asked: DataFrame) -> DataFrame:
+        """Postings joined to a table of asked terms (term, ...): only the folders of asked terms are read."""
+        parts = []
+        for s in self.segments:
+            by_term = asked.withColumn("term_bucket", bucket_of(F.col("term"), s.buckets))
+            parts.append(self.live(s, self.read(s, "postings", POSTINGS).join(by_term, ["term_bucket", "term"])).drop("term_bucket", "block"))
+        return self._union(parts, "term string, fp string, page_index int, dl int, tf int, positions array<int>") if parts else asked.withColumns({"fp": F.lit(""), "page_index": F.lit(0), "dl": F.lit(0), "tf": F.lit(0), "positions": F.array().cast("array<int>")}).limit(0)
+
+    def segment_terms(self, segment: Segment) -> DataFrame:
+        """(term, df, cf) parts of a segment's statistics: what it was written with, less what was deleted."""
+        own, gone = self.read(segment, "terms", TERMS), self._gone(segment, "gone", TERMS)
+        return own if gone is None else own.unionByName(gone.select("term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf")))
 
     def terms(self) -> DataFrame:
-        """(term, df, cf)"""
-        return self.spark.read.parquet(f"{self.folder}/terms")
+        """(term, df, cf), exact whatever was changed."""
+        if len(self.segments) == 1 and not self.segments[0].deleted_in:
+            return self.read(self.segments[0], "terms", TERMS)
+        parts = self._union([self.segment_terms(s) for s in self.segments], TERMS)
+        return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
 
     def totals(self) -> DataFrame:
         """One row: n_pages, n_tokens, avgdl."""
-        return self.spark.read.parquet(f"{self.folder}/totals")
+        return self.spark.createDataFrame([(self.n_pages, self.n_tokens, self.avgdl)], "n_pages long, n_tokens long, avgdl double")
+
+    def blocks(self, segment: Segment, terms: list[str]) -> DataFrame:
+        """(term, block, n, best): ``best`` bounds a contribution at the present mean length."""
+        rows = self.read(segment, "blocks", BLOCKS).where(F.col("term_bucket").isin(sorted({bucket_number(t, segment.buckets) for t in terms})) & F.col("term").isin(list(terms)))
+        return rows.select("term", "block", "n", (F.col("best") * F.lit(max(1.0, self.avgdl / segment.avgdl) if segment.avgdl else 1.0)).alias("best"))
+
+
+class StoredIndex:
+    """Writes changes of the index in ``folder``; ``now()`` is what it holds."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def published(self) -> list[str]:
+        """Names of the changes, in order."""
+        return [n.split("-", 1)[1] for n in self._numbers()]
+
+    def _numbers(self) -> list[str]:
+        at = self._path(f"{self.folder}/published")
+        names = sorted(f.getPath().getName() for f in self._fs.listStatus(at)) if self._fs.exists(at) else []
+        return [n for n in names if not n.startswith(".")]
+
+    def now(self) -> Snapshot:
+        names = self._numbers()
+        if not names:
+            return Snapshot(self.spark, self.folder, [])
+        stream = self._fs.open(self._path(f"{self.folder}/published/{names[-1]}"))
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return Snapshot(self.spark, self.folder, [Segment(**s) for s in json.loads(text)["segments"]])
+
+    def _publish(self, change: str, segments: list[Segment]) -> None:
+        number = len(self._numbers())
+        temporary, final = self._path(f"{self.folder}/.next-{uuid.uuid4().hex}"), self._path(f"{self.folder}/published/{number:012d}-{change}")
+        self._fs.mkdirs(final.getParent())
+        out = self._fs.create(temporary, True)
+        out.write(bytearray(json.dumps({"segments": [asdict(s) for s in segments]}).encode()))
+        out.close()
+        if not self._fs.rename(temporary, final):
+            raise OSError(f"{final} is there already: another writer")
+
+    def _write(self, df: DataFrame, at: str, by: str | None = None) -> None:
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(f"{self.folder}/{at}")
+
+    def _segment(self, name: str, docs: DataFrame, pages: DataFrame, indexed_at: Column, buckets: int | None, doc_buckets: int | None) -> Segment | None:
+        """Write ``pages`` (fp, path, page_index, text) of ``docs`` (fp, path) as a segment."""
+        chars = pages.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+        segment = Segment(name, 0, 0, buckets or folders_for(chars), doc_buckets or folders_for(chars), 0.0)
+        at, view = f"segments/{name}", Snapshot(self.spark, self.folder, [])
+        distinct = F.size(F.array_distinct("tokens"))
+        cell = F.floor(4 * F.log2(F.col("dl") + 1)) * 16 + F.least(F.lit(15), F.floor(16 * (1 - distinct / F.greatest(F.col("dl"), F.lit(1)))))
+        rows = with_tokens(pages).select("fp", "path", "page_index", "text", "dl", cell.cast("int").alias("cell"), bucket_of(F.col("fp"), segment.doc_buckets).alias("doc_bucket"))
+        self._write(rows.hint("rebalance", "doc_bucket").sortWithinPartitions("doc_bucket", "fp", "page_index"), f"{at}/pages", "doc_bucket")
+        stored = view.read(segment, "pages", PAGES)
+        cells = stored.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.sum("dl").alias("t")).orderBy("cell").collect()  # a few hundred
+        segment.pages, segment.tokens = sum(r["c"] for r in cells), sum(r["t"] or 0 for r in cells)
+        segment.avgdl = segment.tokens / segment.pages if segment.pages else 0.0
+        placed, first = [], 0
+        for r in cells:
+            parts = -(-r["c"] // BLOCK_PAGES)
+            placed.append((r["cell"], first, parts))
+            first += parts
+        numbered = self.spark.createDataFrame(placed, "cell int, first long, parts long")
+        block = F.col("first") + F.pmod(F.xxhash64("fp", "page_index"), F.col("parts"))
+        blocked = with_tokens(stored.join(F.broadcast(numbered), "cell").withColumn("block", block))
+        posts = postings(blocked, positions=True, keep=("block",)).withColumn("term_bucket", bucket_of(F.col("term"), segment.buckets))
+        self._write_postings(segment, posts)
+        counted = stored.groupBy("fp").agg(F.count(F.lit(1)).alias("page_count"), F.sum("dl").alias("n_tokens"))
+        each = view.read(segment, "postings", POSTINGS).groupBy("fp", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        forward = each.groupBy("fp").agg(F.collect_list(F.struct("term", "df", "cf")).alias("terms"))  # a document's vocabulary
+        told = docs.select("fp", "path").dropDuplicates(["fp"]).join(counted, "fp", "left").join(forward, "fp", "left")
+        zero, none = F.lit(0).cast("long"), F.array().cast("array<struct<term:string,df:bigint,cf:bigint>>")
+        told = told.select("fp", "path", F.coalesce("page_count", zero).alias("page_count"), F.coalesce("n_tokens", zero).alias("n_tokens"), indexed_at.cast("timestamp").alias("last_indexed"), F.coalesce("terms", none).alias("terms"))
+        self._write_documents(segment, told)
+        return segment
+
+    def _write_documents(self, segment: Segment, documents: DataFrame) -> None:
+        rows = documents.withColumn("doc_bucket", bucket_of(F.col("fp"), segment.doc_buckets))
+        self._write(rows.hint("rebalance", "doc_bucket").sortWithinPartitions("doc_bucket", "fp"), f"segments/{segment.name}/documents", "doc_bucket")
+
+    def _write_postings(self, segment: Segment, posts: DataFrame) -> None:
+        """Postings, and what is made from them. Folders with a frequent term are split over tasks by their size."""
+        at, view = f"segments/{segment.name}", Snapshot(self.spark, self.folder, [])
+        self._write(posts.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term", "block"), f"{at}/postings", "term_bucket")
+        written = view.read(segment, "postings", POSTINGS)
+        stats = written.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
+        self._write(stats.repartitionByRange("term").sortWithinPartitions("term"), f"{at}/terms")
+        frequent = view.read(segment, "terms", TERMS).where(F.col("df") >= FREQUENT).select("term")
+        part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(segment.avgdl or 1.0)))
+        best = written.join(frequent, "term").groupBy("term_bucket", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max(part).alias("best"))
+        self._write(best.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term", "block"), f"{at}/blocks", "term_bucket")
+
+    def _delete(self, view: Snapshot, fps: DataFrame, change: str) -> list[Segment]:
+        """Segments after the documents ``fps`` are deleted in them; their names and statistics are noted under ``change``."""
+        found = [view.documents(s, fps).select(F.lit(s.name).alias("segment"), "fp", "page_count", "n_tokens", "terms") for s in view.segments]
+        if not found:
+            return []
+        whole = view._union(found, "")
+        self._write(whole.drop("terms"), f"changes/{change}/deleted", "segment")
+        gone = whole.select("segment", F.inline("terms")).groupBy("segment", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        self._write(gone, f"changes/{change}/gone", "segment")
+        noted = self.spark.read.schema("fp string, page_count long, n_tokens long, segment string").parquet(f"{self.folder}/changes/{change}/deleted")
+        counts = {r["segment"]: r for r in noted.groupBy("segment").agg(F.sum("page_count").alias("p"), F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("c")).collect()}
+        out = []
+        for s in view.segments:
+            if r := counts.get(s.name):
+                s = Segment(**asdict(s))
+                s.pages, s.tokens, s.deleted_in = s.pages - r["p"], s.tokens - r["t"], [*s.deleted_in, change]
+                # a document without words leaves no statistics: the folder is there for readers all the same
+                self._fs.mkdirs(self._path(f"{self.folder}/changes/{change}/gone/segment={s.name}"))
+            out.append(s)
+        return out
+
+    def upsert(self, docs: DataFrame, pages: DataFrame, indexed_at: Column, change: str, buckets: int | None = None, doc_buckets: int | None = None) -> bool:
+        """Pages of all ``docs`` (fp, path) are replaced by ``pages``; False if the change was already there."""
+        if change in self.published():
+            return False
+        rest = self._delete(self.now(), docs, change)
+        self._publish(change, [*rest, self._segment(change, docs, pages, indexed_at, buckets, doc_buckets)])
+        return True
+
+    def remove(self, fps: DataFrame, change: str) -> bool:
+        if change in self.published():
+            return False
+        self._publish(change, self._delete(self.now(), fps, change))
+        return True
+
+    def merge(self, change: str, fan: int = FAN, everything: bool = False) -> bool:
+        """Merge the segments of each size class (powers of ``fan``) that has ``fan`` of them, or all; False if there are none."""
+        view = self.now()
+        if change in self.published():
+            return False
+        classes: dict[int, list[Segment]] = {}
+        for s in view.segments:
+            size = 0
+            while not everything and s.pages >= fan ** (size + 1):
+                size += 1
+            classes.setdefault(size, []).append(s)
+        due = [c for c in classes.values() if len(c) >= (2 if everything else fan) or everything and c[0].deleted_in]
+        if not due:
+            return False
+        segments = list(view.segments)
+        for n, group in enumerate(due):
+            segments = [s for s in segments if s not in group] + [self._merged(f"{change}-{n}", Snapshot(self.spark, self.folder, group))]
+        self._publish(change, segments)
+        return True
+
+    def _merged(self, name: str, view: Snapshot) -> Segment:
+        """One segment of the live rows of several: nothing is tokenised again, blocks of the parts stay apart."""
+        size = lambda kind: min(4096, 1 << (sum(getattr(s, kind) for s in view.segments) - 1).bit_length())
+        segment = Segment(name, view.n_pages, view.n_tokens, size("buckets"), size("doc_buckets"), view.avgdl or 0.0)
+        pages = view._all("pages", PAGES).withColumn("doc_bucket", bucket_of(F.col("fp"), segment.doc_buckets))
+        self._write(pages.hint("rebalance", "doc_bucket").sortWithinPartitions("doc_bucket", "fp", "page_index"), f"segments/{name}/pages", "doc_bucket")
+        self._write_documents(segment, view._all("documents", DOCUMENTS).drop("doc_bucket"))
+        parts, first = [], 0
+        for s in view.segments:
+            parts.append(view.segment_postings(s).withColumn("block", F.col("block") + first))
+            first += view.read(s, "postings", POSTINGS).agg(F.coalesce(F.max("block") + 1, F.lit(0))).first()[0]
+        posts = view._union(parts, POSTINGS).withColumn("term_bucket", bucket_of(F.col("term"), segment.buckets))
+        self._write_postings(segment, posts)
+        return segment
+
+    def vacuum(self) -> None:
+        """Delete segments and changes that the last list doesn't name; nobody may be reading them any more."""
+        view = self.now()
+        kept = {"segments": {s.name for s in view.segments}, "changes": {c for s in view.segments for c in s.deleted_in}}
+        for table, names in kept.items():
+            at = self._path(f"{self.folder}/{table}")
+            for f in self._fs.listStatus(at) if self._fs.exists(at) else []:
+                if f.getPath().getName() not in names:
+                    self._fs.delete(f.getPath(), True)
+
+    def pages(self) -> DataFrame:
+        return self.now().pages()
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        return self.now().postings(terms)
+
+    def terms(self) -> DataFrame:
+        return self.now().terms()
 
     def registry(self) -> DataFrame:
-        """(fp, path, page_count, last_indexed)"""
-        return self.spark.read.parquet(f"{self.folder}/registry")
-
-
-def write_index(pages: DataFrame, folder: str, indexed_at: Column, buckets: int = 16, doc_buckets: int = 16, spread: int = 4) -> StoredIndex:
-    """Index pages (fp, path, page_index, text) into ``folder``. Statistics are made from what was written. Each folder of
-    pages or postings is written by ``spread`` tasks."""
-    spark = pages.sparkSession
-    index = StoredIndex(spark, folder, buckets, doc_buckets)
-    rows = with_tokens(pages).select("fp", "path", "page_index", "text", "dl", bucket_of(F.col("fp"), doc_buckets).alias("doc_bucket"))
-    rows = rows.repartition(doc_buckets * spread, "doc_bucket", F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(spread)))
-    rows.sortWithinPartitions("doc_bucket", "fp", "page_index").write.mode("overwrite").partitionBy("doc_bucket").parquet(f"{folder}/pages")
-    stored = index.pages()
-    write_postings(postings(with_tokens(stored), positions=True), f"{folder}/postings", buckets, spread)
-    term_stats(index.postings()).write.mode("overwrite").parquet(f"{folder}/terms")
-    totals(stored).write.mode("overwrite").parquet(f"{folder}/totals")
-    registry(stored, indexed_at).write.mode("overwrite").parquet(f"{folder}/registry")
+        return self.now().registry()
+
+
+def write_index(pages: DataFrame, folder: str, indexed_at: Column, buckets: int | None = None, doc_buckets: int | None = None) -> StoredIndex:
+    """A new index of pages (fp, path, page_index, text) in ``folder``."""
+    index = StoredIndex(pages.sparkSession, folder)
+    index.upsert(pages.select("fp", "path"), pages, indexed_at, "first", buckets, doc_buckets)
     return index

@@ -14,16 +14,16 @@ from lectern.functions.scalars import normal_path
 from lectern.operators import ledger as L
 from lectern.operators.index import page_layers
 from lectern.operators.recents import LIMIT, replay_python
-from lectern.sources.generations import IndexStore
+from lectern.sources.stored import StoredIndex
 
 #: Files per micro-batch: what waits is bounded, but nothing is dropped.
 BATCH_FILES = 32
 
 
-def index_stream(documents: DataFrame, store: IndexStore, checkpoint: str, quarantine: str | None = None, **trigger) -> StreamingQuery:
+def index_stream(documents: DataFrame, store: StoredIndex, checkpoint: str, quarantine: str | None = None, **trigger) -> StreamingQuery:
     """Index a stream of (fp, path, text, ts): pages, postings and registry; of several versions in a batch the last counts.
-    A batch is one change of the store, named by its number, so a repeated one changes nothing. Rows without fp or
-    text go to the quarantine."""
+    A batch is one change of the index that searches read, named by its number, so a repeated one changes nothing; small
+    segments are merged as they gather. Rows without fp or text go to the quarantine."""
 
     def take(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
@@ -35,6 +35,7 @@ def index_stream(documents: DataFrame, store: IndexStore, checkpoint: str, quara
             pages = page_layers(good, F.col("fp"), F.col("text"), F.col("path"))
             times = good.agg(F.max("ts")).first()[0]
             store.upsert(good, pages, F.lit(times), f"batch-{number:010d}")
+            store.merge(f"merge-{number:010d}")
         finally:
             batch.unpersist()
 

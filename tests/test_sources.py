@@ -9,7 +9,7 @@ from lectern.operators import annotations as A
 from lectern.operators import index as I
 from lectern.sources import files as Files
 from lectern.sources import tables as T
-from lectern.sources.generations import IndexStore
+from lectern.sources.stored import StoredIndex
 from lectern.streaming import streams as S
 
 
@@ -73,7 +73,7 @@ def test_baseline(spark, tmp_path):
 
 
 def test_generations(spark, tmp_path):
-    store, at = IndexStore(spark, str(tmp_path / "i")), F.expr("timestamp'2024-01-01 00:00:00'")
+    store, at = StoredIndex(spark, str(tmp_path / "i")), F.expr("timestamp'2024-01-01 00:00:00'")
     pages = lambda *rows: spark.createDataFrame(list(rows), "fp string, path string, page_index int, text string")
     assert store.pages().count() == 0
     first = pages(("A", "/A", 0, "old"), ("A", "/A", 1, "old2"), ("B", "/B", 0, "b"))
@@ -97,7 +97,7 @@ def test_index_stream_quarantine(spark, tmp_path):
     schema = "fp string, path string, text string, ts timestamp"
     docs = spark.createDataFrame([("A", "/A", "one\ntwo", None), (None, "/x", "lost", None), ("B", "/B", None, None)], schema)
     docs.write.parquet(str(tmp_path / "in"))
-    store = IndexStore(spark, str(tmp_path / "i"))
+    store = StoredIndex(spark, str(tmp_path / "i"))
     source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     S.index_stream(source, store, str(tmp_path / "c"), str(tmp_path / "q"), availableNow=True).awaitTermination()
     assert sorted(r["text"] for r in store.pages().collect()) == ["one", "two"]
@@ -108,7 +108,7 @@ def test_streamed_index_equals_batch(spark, tmp_path):
     schema = "fp string, path string, text string, ts timestamp"
     (tmp_path / "in").mkdir()
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    store = IndexStore(spark, str(tmp_path / "i"))
+    store = StoredIndex(spark, str(tmp_path / "i"))
     for rows in ([("A", "/A", "one two\ntwo", None), ("B", "/B", "two three", None)], [("A", "/A", "four two", None), ("C", "/C", "", None)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         S.index_stream(source, store, str(tmp_path / "c"), availableNow=True).awaitTermination()
