@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import blocks_of, part_of, running
 from lectern.llm.common import let
 
 #: kind, pattern, a cheap test that a text must pass to hold any match
@@ -86,28 +87,27 @@ _SPAN = "array<struct<start:int,place:int,kind:string,end:int,score:double>>"
 
 def _spans(text: Column, kind: str, pattern: str, least_score: float | None) -> Column:
     """Spans of one kind: array of (start, place of the kind, kind, end, score)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-
-    def placed(m: Column) -> Column:
-        def located(g: Column) -> Column:
-            first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-            def step(acc, k):
-                start = acc["at"] + F.element_at(g, k)
-                match = F.element_at(m, k)
-                end = start + F.length(match)
-                return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), match.alias("match")))).alias("out"))
-            return F.aggregate(F.sequence(F.lit(1), F.size(m)), first, step, lambda acc: acc["out"])
-        return F.when(F.size(m) > 0, let(gaps, located))
-
-    def scored(x: Column) -> Column:
-        around = F.lower(F.concat_ws(" ", F.substring(text, F.greatest(x["start"] + 1 - WINDOW, F.lit(1)), F.least(x["start"], F.lit(WINDOW))), F.substring(text, x["end"] + 1, F.lit(WINDOW))))
+    def scored(x: Column, blocks: Column) -> Column:
+        first = F.greatest(x["start"] - WINDOW, F.lit(0))
+        around = F.lower(F.concat_ws(" ", part_of(blocks, first, x["start"] - first), part_of(blocks, x["end"], F.lit(WINDOW))))
         near = lambda words: around.rlike(rf"(?<![a-z])(?:{words})")
         score = F.lit(PRIOR[kind]) + F.when(near(CONTEXT[kind]), 0.3).otherwise(0.0) - F.when(near(AGAINST), 0.3).otherwise(0.0)
         score = F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0))
         return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("place"), F.lit(kind).alias("kind"), x["end"].alias("end"), score.alias("score"))
 
-    out = F.transform(F.filter(let(found, placed), lambda x: _valid(kind, x["match"])), scored)
+    def placed(m: Column) -> Column:
+        """The matches with their places: each begins after all gaps up to its own and the matches before it."""
+
+        def told(x: Column) -> Column:
+            ends = running(F.transform(m, lambda y, i: F.element_at(x["gaps"], i + 1) + F.length(y)), F.lit(0), lambda a, y: a + y)
+            starts = F.transform(ends, lambda e, i: e + F.element_at(x["gaps"], i + 1))
+            spans = F.zip_with(m, starts, lambda y, at: F.struct(at.alias("start"), (at + F.length(y)).alias("end"), y.alias("match")))
+            return F.transform(F.filter(spans, lambda y: _valid(kind, y["match"])), lambda y: scored(y, x["blocks"]))
+
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+        return F.when(F.size(m) > 0, let(F.struct(gaps.alias("gaps"), blocks_of(text).alias("blocks")), told))
+
+    out = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
     if least_score is not None:
         out = F.filter(out, lambda x: x["score"] >= least_score)
     return F.coalesce(out, F.array()).cast(_SPAN)
@@ -151,12 +151,15 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         name += "_"
     found = find_pii(docs, text_col=text_col, out_col=name)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # the end of all spans before each one: a span that begins before it lies in another
+    ends = running(F.transform(name, lambda x: x["end"]), F.lit(0), lambda a, y: F.greatest(a, y))
+
+    def made(blocks):
+        def piece(x, at):
+            return F.when(x["start"] >= at, F.concat(part_of(blocks, at, x["start"] - at), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
 
-    def step(acc, x):
-        fresh = x["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
+        last = F.array_max(F.transform(name, lambda x: x["end"]))
+        return F.concat(F.array_join(F.zip_with(name, ends, piece), ""), part_of(blocks, last, F.length(text) - last))
 
-    new = F.aggregate(name, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    new = let(blocks_of(text), made)
     return found.withColumn(text_col, F.when(F.size(name) > 0, new).otherwise(F.col(text_col))).select(*columns)
