@@ -99,24 +99,87 @@ def sizes_before(ledger: DataFrame, order: list[str], ranges: int | None = None,
     return placed.withColumn("before", F.col("_offset") + F.col("_inside")).select(*ledger.columns, "before")
 
 
-def evictions(ledger: DataFrame, target: Column | int) -> DataFrame:
+#: Entries up to which what is left is summed in order, and ranges into which more are cut.
+FEW, RANGES = 100_000, 200
+
+
+def _number(ledger: DataFrame, name: str) -> Column:
+    """A time as a number; none sorts first."""
+    kind = ledger.schema[name].dataType.simpleString()
+    zoneless = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {name})")
+    number = {"timestamp": F.unix_micros(F.col(name)), "timestamp_ntz": zoneless}.get(kind, F.col(name).cast("long"))
+    return F.coalesce(number, F.lit(-(1 << 62)))
+
+
+def _common(a: str, b: str) -> int:
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def oldest(ledger: DataFrame, amount: int, few: int = FEW) -> Column:
+    """A condition that the least recently used entries (by time, then key) meet: those before which less than ``amount`` bytes lie.
+
+    A weighted selection: entries are cut into ranges of their time, sizes are summed by range, and of all ranges only the one in
+    which the sum passes ``amount`` is cut again, a single time by its keys, beginning where these differ. Ranges before it go
+    and ranges after it stay; nothing but the last few entries is sorted, and nothing shuffled but sums.
+    """
+    if amount <= 0:
+        return F.lit(False)
+    time, key = _number(ledger, "last_access"), F.coalesce(F.col("key").cast("string"), F.lit(""))
+    rows = ledger.select(time.alias("t"), key.alias("k"), "size")
+    for _ in range(40):
+        r = rows.agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("a"), F.max("t").alias("b"), F.min("k").alias("ka"), F.max("k").alias("kb")).first()
+        if r["n"] <= few or (r["a"] == r["b"] and r["ka"] == r["kb"]):
+            break
+        if r["a"] < r["b"]:
+            place = F.col("t").cast("double")
+        else:
+            place = _start_of(F.substring(F.col("k"), F.lit(_common(r["ka"], r["kb"]) + 1), F.lit(6)))
+        placed = rows.withColumn("p", place)
+        q = sorted(set(placed.agg(F.percentile_approx("p", [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0]))  # RANGES numbers
+        bounds = F.array(*[F.lit(x) for x in q])
+        # a time that is a bound is a range of its own, however many entries it has
+        cut = placed.withColumn("r", F.size(F.filter(bounds, lambda x: x < F.col("p"))) + F.size(F.filter(bounds, lambda x: x <= F.col("p"))))
+        sums = {x["r"]: x["s"] for x in cut.groupBy("r").agg(F.sum("size").alias("s")).collect()}
+        here = None
+        for k in sorted(sums):
+            here = k
+            if sums[k] >= amount:
+                break
+            amount -= sums[k]
+        else:
+            here, amount = k, amount + sums[k]
+        if len(sums) == 1 and r["a"] == r["b"]:
+            break  # keys that agree in more than what the numbers tell
+        rows = cut.where(F.col("r") == here).select("t", "k", "size")
+    before = F.sum("size").over(Window.orderBy("t", "k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    last = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < amount).agg(F.max(F.struct("t", "k")).alias("e")).first()["e"]
+    if last is None:
+        return F.lit(False)
+    return (time < last["t"]) | ((time == last["t"]) & (key <= last["k"]))
+
+
+def _amount(ledger: DataFrame, target: int) -> int:
+    return (ledger.agg(F.sum("size")).first()[0] or 0) - target
+
+
+def evictions(ledger: DataFrame, target: int, few: int = FEW) -> DataFrame:
     """Entries to evict, least recently used first, while more than ``target`` bytes remain: those before
     which the rest is still over the target."""
-    total = ledger.agg(F.coalesce(F.sum("size"), F.lit(0))).scalar()
-    goal = F.lit(target) if isinstance(target, int) else target
-    return sizes_before(ledger, ["last_access", "key"]).where(total - F.col("before") > goal).select(*COLUMNS)
+    return ledger.where(oldest(ledger, _amount(ledger, target), few)).select(*COLUMNS)
 
 
-def evict_lru(ledger: DataFrame, target: Column | int) -> DataFrame:
+def evict_lru(ledger: DataFrame, target: int, few: int = FEW) -> DataFrame:
     """What is left after the evictions."""
-    return remove(ledger, evictions(ledger, target)).select(*COLUMNS)
+    return ledger.where(~oldest(ledger, _amount(ledger, target), few)).select(*COLUMNS)
 
 
 def janitor(ledger: DataFrame, hard: int = HARD_LIMIT, soft_percent: int = SOFT_PERCENT) -> DataFrame:
     """Evicts down to the soft limit, but only when the hard limit is exceeded."""
-    total = ledger.agg(F.coalesce(F.sum("size"), F.lit(0))).scalar()
-    goal = F.when(total > hard, F.lit(hard * soft_percent // 100)).otherwise(total)
-    return evict_lru(ledger, goal)
+    over = _amount(ledger, hard)
+    return evict_lru(ledger, hard * soft_percent // 100) if over > 0 else ledger.select(*COLUMNS)
 
 
 def evict_per_document(ledger: DataFrame, capacity: int, percent: int = 30) -> DataFrame:

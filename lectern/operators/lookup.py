@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions.predicates import Unit, real_query, within
 from lectern.functions.text import highlight_units, let, tokenize
-from lectern.operators.search import IDF_FLOOR, idf, weight
-from lectern.sources.stored import FREQUENT, Segment, Snapshot, StoredIndex
+from lectern.operators.search import IDF_FLOOR, idf, search_substring, weight
+from lectern.sources.stored import FREQUENT, Segment, Snapshot, StoredIndex, grams_of
 
 #: What a row of a query table may ask for in ``op``: all or any of its words, the words as a phrase, a phrase whose last
 #: word is a prefix, all words near each other, the word as the first of a page.
@@ -234,7 +234,7 @@ def score_index(index: StoredIndex, queries: DataFrame, near: int = NEAR) -> Dat
 def search_index_batch(index: StoredIndex, queries: DataFrame, near: int = NEAR) -> DataFrame:
     """(query_id, place, fp, path, page_index, rank, snippet): the best hits of every query of a table
     (query_id, text, max_results[, op, fp, unwanted]) in one pass. Paths and texts join after the top k."""
-    order = Window.partitionBy("query_id").orderBy("rank", "fp", "page_index")
+    order = Window.partitionBy("query_id").orderBy(F.round("rank", 9), "fp", "page_index")  # sums come in any order
     best = score_index(index, queries, near).withColumn("place", F.row_number().over(order)).where("place <= k").drop("k")
     op = F.coalesce(F.lower("op"), F.lit("all")) if "op" in queries.columns else F.lit("all")
     t = tokenize(F.col("text"))
@@ -242,3 +242,12 @@ def search_index_batch(index: StoredIndex, queries: DataFrame, near: int = NEAR)
     units = F.when(op.isin("phrase", "prefix"), F.array(F.struct(t.alias("words"), (op == "prefix").alias("prefix")))).otherwise(each)
     told = index.now().pages_of(best).join(queries.select("query_id", units.alias("units")), "query_id")
     return told.select("query_id", "place", "fp", "path", "page_index", "rank", highlight_units(F.col("text"), F.col("units")).alias("snippet"))
+
+
+def substring_index(index: StoredIndex, needle: str, k: int = 100) -> DataFrame:
+    """``search_substring`` over the index: pages that hold all three-character strings of the needle are read and searched, no
+    others. A needle without such strings is searched for in all pages."""
+    view, grams = index.now(), grams_of(needle)
+    if not grams or not needle.strip() or k <= 0:
+        return search_substring(view.pages(), needle, k)
+    return search_substring(view.pages_of(view.candidates(grams)), needle, k)

@@ -97,6 +97,7 @@ CHANGES_SQL = """log AS (SELECT 'u' || user_id AS fp, event_id AS seq,
    CASE event_type WHEN 'error' THEN 'removeAll' WHEN 'click' THEN 'update' WHEN 'purchase' THEN 'remove' ELSE 'add' END AS op,
    props::JSON->>'k' AS id, value FROM events)"""
 SPOTS_SQL = "spots AS (SELECT fp, page_index, dl, tokens[i] AS term, i AS pos FROM (SELECT fp, page_index, dl, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM toks))"
-#: Queries of two different words of plain letters, each with an operator by its number.
-PAIRS_SQL = r"""pairs AS (SELECT query_id, ['all', 'any', 'phrase', 'prefix'][query_id % 4 + 1] AS op, CASE WHEN query_id % 8 = 1 THEN 'doc-1' END AS single, lower(w[1]) AS a, CASE WHEN query_id % 4 = 3 THEN lower(substr(w[2], 1, 2)) ELSE lower(w[2]) END AS b
-   FROM (SELECT item_id AS query_id, list_slice(regexp_split_to_array(text, '\s+'), 1, 2) AS w FROM benchmark) WHERE regexp_full_match(w[1], '[A-Za-z]+') AND regexp_full_match(w[2], '[A-Za-z]+') AND lower(w[1]) <> lower(w[2]))"""
+#: The queries' words as tokens, each with an operator by its number.
+OPS_SQL = r"""asked AS (SELECT query_id, op, single, against, CASE WHEN op = 'near' THEN list_distinct(t) ELSE t END AS t FROM (
+   SELECT query_id, op, CASE WHEN query_id % 12 = 1 THEN 'doc-1' END AS single, CASE WHEN query_id % 12 = 0 THEN 'the' END AS against, regexp_extract_all(lower(strip_accents(CASE op WHEN 'prefix' THEN concat_ws(' ', w[1], substr(w[2], 1, 2)) WHEN 'first' THEN w[1] ELSE concat_ws(' ', w[1], w[2]) END)), '[\p{L}\p{N}]+') AS t
+   FROM (SELECT item_id AS query_id, ['all', 'any', 'phrase', 'prefix', 'near', 'first'][item_id % 6 + 1] AS op, regexp_split_to_array(text, '\s+') AS w FROM benchmark)) WHERE len(t) > 0)"""

@@ -265,27 +265,39 @@ def top_hits_per_query(spark, sf):
     return Q.top_hits(_batch(spark, sf).withColumn("rank", F.round("rank", 9))).select("query_id", F.col("place").cast("long").alias("place"), "fp", "page_index")
 
 
-@query(f"WITH {SCORED_SQL} SELECT query_id, count(*) AS hits, round(min(rank), 6) AS best, round(max(rank), 6) AS worst, true AS marked FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, fp, page_index) AS place FROM scored) WHERE place <= k GROUP BY query_id")
+@query(f"WITH {SCORED_SQL} SELECT query_id, place, s.fp, p.path, s.page_index, round(rank, 6) AS rank, true AS marked FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), fp, page_index) AS place FROM scored) s JOIN pages p ON p.fp = s.fp AND p.page_index = s.page_index WHERE place <= k")
 def search_batch(spark, sf):
+    """The best pages of every query, with their snippets; ``marked``: the snippet shows a match."""
     found = K.search_index_batch(stored_index(spark, sf), D.query_table(spark, sf))
-    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.round(F.min("rank"), 6).alias("best"), F.round(F.max("rank"), 6).alias("worst"), F.bool_and(F.col("snippet").contains("[")).alias("marked"))
+    return found.select("query_id", F.col("place").cast("long").alias("place"), "fp", "path", "page_index", F.round("rank", 6).alias("rank"), F.col("snippet").contains("[").alias("marked"))
+
+
+#: Each query with an operator by its number, some in one document, some against a word. ``words`` has one row a word of a query; a
+#: unit of a query begins at a place where all its words stand in order.
+_OPS_SQL = f"""WITH {TOKENS_SQL}, {D.SPOTS_SQL}, {D.OPS_SQL}, whole AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM toks),
+ words AS (SELECT query_id, op, CASE WHEN op IN ('phrase', 'prefix') THEN 0 ELSE i END AS unit, CASE WHEN op IN ('phrase', 'prefix') THEN i ELSE 0 END AS word, CASE WHEN op IN ('phrase', 'prefix') THEN len(t) ELSE 1 END AS n_words, t[i + 1] AS term, op = 'prefix' AND i = len(t) - 1 AS open
+   FROM (SELECT *, unnest(range(0, len(t))) AS i FROM asked)),
+ met AS (SELECT w.query_id, w.op, w.unit, w.n_words, w.word, s.fp, s.page_index, s.dl, s.pos - w.word AS start FROM words w JOIN spots s ON s.term = w.term WHERE NOT w.open
+   UNION ALL SELECT w.query_id, w.op, w.unit, w.n_words, w.word, s.fp, s.page_index, s.dl, s.pos - w.word FROM words w JOIN spots s ON starts_with(s.term, w.term) WHERE w.open),
+ begun AS (SELECT query_id, op, unit, fp, page_index, dl, start FROM met WHERE op <> 'first' OR start = 1 GROUP BY query_id, op, unit, n_words, fp, page_index, dl, start HAVING count(*) = n_words),
+ tf AS (SELECT query_id, unit, fp, page_index, dl, count(*) AS tf FROM begun GROUP BY ALL),
+ df AS (SELECT query_id, unit, count(*) AS df FROM tf GROUP BY ALL),
+ scored AS (SELECT query_id, fp, page_index, count(*) AS met, -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS rank FROM tf JOIN df USING (query_id, unit), whole GROUP BY ALL),
+ close AS (SELECT DISTINCT query_id, fp, page_index FROM (SELECT a.query_id, a.fp, a.page_index, a.start, count(DISTINCT b.unit) AS c FROM begun a JOIN begun b ON a.query_id = b.query_id AND a.fp = b.fp AND a.page_index = b.page_index AND b.start BETWEEN a.start AND a.start + 11 WHERE a.op = 'near' GROUP BY ALL) JOIN asked USING (query_id) WHERE c = len(t)),
+ left_over AS (SELECT s.*, a.op FROM scored s JOIN asked a USING (query_id) LEFT JOIN close c ON c.query_id = s.query_id AND c.fp = s.fp AND c.page_index = s.page_index
+   WHERE (a.single IS NULL OR a.single = s.fp) AND CASE a.op WHEN 'any' THEN true WHEN 'near' THEN met = len(t) AND c.query_id IS NOT NULL WHEN 'phrase' THEN true WHEN 'prefix' THEN true ELSE met = len(t) END
+   AND (a.against IS NULL OR NOT EXISTS (SELECT 1 FROM spots x WHERE x.fp = s.fp AND x.page_index = s.page_index AND x.term = a.against)))
+ SELECT query_id, place, s.fp, path, s.page_index, round(rank, 6) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), fp, page_index) AS place FROM left_over) s JOIN pages p ON p.fp = s.fp AND p.page_index = s.page_index WHERE place <= 10"""
 
 
-@query(f"""WITH {TOKENS_SQL}, {D.SPOTS_SQL}, {D.PAIRS_SQL}, whole AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM toks),
- tf AS (SELECT query_id, op, single, 'a' AS unit, fp, page_index, dl, count(*) AS tf FROM pairs p JOIN spots s ON s.term = p.a WHERE op IN ('all', 'any') GROUP BY ALL
-   UNION ALL SELECT query_id, op, single, 'b', fp, page_index, dl, count(*) FROM pairs p JOIN spots s ON s.term = p.b WHERE op IN ('all', 'any') GROUP BY ALL
-   UNION ALL SELECT query_id, op, single, 'ab', s.fp, s.page_index, s.dl, count(*) FROM pairs p JOIN spots s ON s.term = p.a JOIN spots z ON z.term = p.b AND z.fp = s.fp AND z.page_index = s.page_index AND z.pos = s.pos + 1 WHERE op = 'phrase' GROUP BY ALL
-   UNION ALL SELECT query_id, op, single, 'ab', s.fp, s.page_index, s.dl, count(*) FROM pairs p JOIN spots s ON s.term = p.a JOIN spots z ON starts_with(z.term, p.b) AND z.fp = s.fp AND z.page_index = s.page_index AND z.pos = s.pos + 1 WHERE op = 'prefix' GROUP BY ALL),
- df AS (SELECT query_id, unit, count(*) AS df FROM tf GROUP BY ALL),
- scored AS (SELECT query_id, op, fp, page_index, count(*) AS met, -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS rank FROM tf JOIN df USING (query_id, unit), whole WHERE single IS NULL OR single = fp GROUP BY ALL)
- SELECT query_id, place, s.fp, path, s.page_index, round(rank, 6) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), fp, page_index) AS place FROM scored WHERE op <> 'all' OR met = 2) s JOIN pages p ON p.fp = s.fp AND p.page_index = s.page_index WHERE place <= 10""")
+@query(_OPS_SQL)
 def search_batch_ops(spark, sf):
-    """Each query by an operator of its own, some in one document only: all, any, phrase, prefix."""
-    words = F.split("text", " ")
-    asked = D.query_table(spark, sf).where(F.regexp_like("text", F.lit("^[A-Za-z]+ [A-Za-z]+$")) & (F.lower(words[0]) != F.lower(words[1])))
-    op = F.element_at(F.array(*[F.lit(o) for o in ("all", "any", "phrase", "prefix")]), (F.col("query_id") % 4 + 1).cast("int"))
-    text = F.when(op == "prefix", F.concat_ws(" ", words[0], F.substring(words[1], 1, 2))).otherwise(F.col("text"))
-    asked = asked.select("query_id", text.alias("text"), "max_results", op.alias("op"), F.when(F.col("query_id") % 8 == 1, F.lit("doc-1")).alias("fp"))
+    """Each query by an operator of its own: all, any, phrase, prefix, near, first; some in one document only, some without a word."""
+    words = F.split("text", r"\s+")
+    asked = D.query_table(spark, sf)
+    op = F.element_at(F.array(*[F.lit(o) for o in K.OPS]), (F.col("query_id") % 6 + 1).cast("int"))
+    text = F.when(op == "prefix", F.concat_ws(" ", F.get(words, F.lit(0)), F.substring(F.get(words, F.lit(1)), 1, 2))).when(op == "first", F.get(words, F.lit(0))).otherwise(F.col("text"))
+    asked = asked.select("query_id", text.alias("text"), "max_results", op.alias("op"), F.when(F.col("query_id") % 12 == 1, F.lit("doc-1")).alias("fp"), F.when(F.col("query_id") % 12 == 0, F.lit("the")).alias("unwanted"))
     scored = K.score_index(stored_index(spark, sf), asked).withColumn("rank", F.round("rank", 9))
     best = Q.with_document(Q.top_hits(scored), stored_index(spark, sf).registry())
     return best.select("query_id", F.col("place").cast("long").alias("place"), "fp", "path", "page_index", F.round("rank", 6).alias("rank"))
@@ -331,6 +343,13 @@ def search_substring(spark, sf):
     return Q.search_substring(D.pages(spark, sf), "Er tH", 1_000_000).withColumn("pos", F.col("pos").cast("long"))
 
 
+@query(_substring_sql(1_000_000))
+def search_substring_index(spark, sf):
+    """The same over an index of three-character strings."""
+    index = write_index(D.pages(spark, sf), scratch(spark), F.expr("timestamp'2024-01-01 00:00:00'"), trigrams=True)
+    return K.substring_index(index, "Er tH", 1_000_000).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query(_substring_sql(3))
 def occurrences_capped(spark, sf):
     return Q.search_substring(D.pages(spark, sf), "er th", 3).withColumn("pos", F.col("pos").cast("long"))
@@ -708,6 +727,14 @@ def ledger_io(spark, sf):
     return T.read_ledger(spark, folder).select(*L.COLUMNS)
 
 
+@query(f"WITH {ENTRIES_SQL} SELECT key, size, last_access, doc_fp FROM entries WHERE doc_fp IN ('u7', 'u11')")
+def ledger_of_documents(spark, sf):
+    """Entries of two documents, found in the stored ledger by its Bloom filters."""
+    folder = scratch(spark)
+    T.write_ledger(D.entries(spark, sf), folder)
+    return T.ledger_entries(spark, folder, ["u7", "u11"]).select(*L.COLUMNS)
+
+
 @query(f"WITH {_HALVES} SELECT name, round(p50, 6) AS p50_ms, round(p95, 6) AS p95_ms FROM b")
 def baseline_io(spark, sf):
     folder = scratch(spark)
@@ -751,6 +778,51 @@ def index_stream(spark, sf):
     return I.term_stats(store.postings())
 
 
+def _streamed(spark, sf) -> StoredIndex:
+    """An index that a stream keeps: all documents, and then those of low quality again with a page per word."""
+    base = scratch(spark)
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", D.doc_fp().alias("fp"), F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "text", F.expr("timestamp'2024-01-01 00:00:00'").alias("ts"))
+    low = table(spark, sf, "labels").where("quality = 0").select("doc_id").distinct()
+    again = docs.join(low, "doc_id", "left_semi").withColumns({"text": F.concat(F.lit("v2 "), F.replace("text", F.lit(" "), F.lit("\n"))), "ts": F.expr("ts + interval 1 day")})
+    store = StoredIndex(spark, f"{base}/index")
+    for part in (docs, again):
+        part.drop("doc_id").write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(part.drop("doc_id").schema).parquet(f"{base}/in")
+        Streams.index_stream(source, store, f"{base}/checkpoint", availableNow=True).awaitTermination()
+    return store
+
+
+_CHANGED_SQL = TOKENS_SQL.replace("pages AS (", "first_pages AS (").replace("FROM pages))", "FROM after))")
+
+
+def _after_sql(last: str) -> str:
+    """Ranks over the pages after documents of low quality came again, a page per word of them; ``last``: which documents are gone."""
+    again = "SELECT fp, path, i - 1 AS page_index, lines[i] AS text FROM (SELECT fp, path, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT 'doc-' || doc_id AS fp, '/' || source || '/' || doc_id AS path, string_split('v2 ' || replace(text, ' ', chr(10)), chr(10)) AS lines FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)))"
+    first, toks = _CHANGED_SQL.split(", toks AS (", 1)
+    after = f"again AS ({again}), after AS (SELECT * FROM (SELECT * FROM first_pages WHERE fp NOT IN (SELECT fp FROM again) UNION ALL SELECT * FROM again) WHERE {last})"
+    posts = POSTS_SQL.split(", posts AS (", 1)[1]
+    ranked = _RANKED_SQL.split("), whole AS (", 1)[1].replace("true AS marked, ", "")
+    return f"WITH {first}, {after}, toks AS ({toks}, posts AS ({posts}, whole AS ({ranked}"
+
+
+@query(_after_sql("true"))
+def index_stream_search(spark, sf):
+    """Ranked search over what the stream has kept up to date."""
+    return K.search_index(_streamed(spark, sf), P.terms("the and"), 100).select("fp", "path", "page_index", F.round("rank", 9).alias("rank"))
+
+
+@query(_after_sql("fp NOT IN (SELECT 'doc-' || doc_id FROM labels WHERE toxic = 1)"))
+def index_changes_search(spark, sf):
+    """Ranked search after an upsert and a removal, before any merge."""
+    index = write_index(D.pages(spark, sf), scratch(spark), F.expr("timestamp'2024-01-01 00:00:00'"))
+    low = table(spark, sf, "labels").where("quality = 0").select("doc_id").distinct()
+    docs = table(spark, sf, "documents").where("text is not null").join(low, "doc_id", "left_semi")
+    new = I.page_layers(docs, D.doc_fp(), F.concat(F.lit("v2 "), F.replace("text", F.lit(" "), F.lit("\n"))), F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")))
+    index.upsert(new.select("fp", "path"), new, F.expr("timestamp'2024-01-02 00:00:00'"), "again")
+    index.remove(table(spark, sf, "labels").where("toxic = 1").select(D.doc_fp().alias("fp")), "gone")
+    return K.search_index(index, P.terms("the and"), 100).select("fp", "path", "page_index", F.round("rank", 9).alias("rank"))
+
+
 @query(f"""WITH {KEYED_SQL}, base AS (SELECT key, size, last_access, doc_fp FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY last_access DESC, size DESC) AS r FROM keyed WHERE last_access < TIMESTAMP '{MIDDLE}') WHERE r = 1),
  reads AS (SELECT key, max(last_access) AS ts FROM keyed WHERE last_access >= TIMESTAMP '{MIDDLE}' GROUP BY key),
  now AS (SELECT b.key, b.size, greatest(b.last_access, coalesce(r.ts, b.last_access)) AS last_access, b.doc_fp FROM base b LEFT JOIN reads r USING (key)),
@@ -761,7 +833,7 @@ def janitor_stream(spark, sf):
     e = D.keyed_entries(spark, sf)
     L.put(e.limit(0), e.where(F.col("last_access") < MIDDLE)).write.parquet(f"{base}/state=-1")
     reads = e.where(F.col("last_access") >= MIDDLE).select("key", F.col("last_access").alias("ts"))
-    reads.coalesce(1).write.parquet(f"{base}/in")  # one micro-batch: with more, entries go between them, as they should
+    reads.write.parquet(f"{base}/in")  # taken as one micro-batch, whatever the number of files
     source = spark.readStream.schema(reads.schema).parquet(f"{base}/in")
     Streams.janitor_stream(source, spark, base, f"{base}/checkpoint", hard=10_000, availableNow=True).awaitTermination()
     return spark.read.parquet(Streams.latest_state(spark, base)).select(*L.COLUMNS)

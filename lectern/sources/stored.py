@@ -7,6 +7,7 @@ A segment is written once and never changed. It holds
   postings   by bucket of the term, sorted by term and block: fp, page_index, dl, tf, positions, block
   terms      df and cf, in ranges of the term, so that statistics of row groups cut a prefix to a range
   blocks     of frequent terms: the largest contribution to a rank in each block of pages
+  trigrams   if asked for: by bucket of three characters, the pages that hold them
 
 A change (an upsert or a removal) finds the documents it touches in the buckets of their names, notes
 per segment which of them are deleted there and what they had added to the statistics, and writes
@@ -30,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.text import let
 from lectern.operators.index import postings, with_tokens
 from lectern.operators.search import B, K1
 from lectern.sources.tables import bucket_of
@@ -38,6 +40,7 @@ PAGES = "fp string, path string, page_index int, text string, dl int, cell int,
 DOCUMENTS = "fp string, path string, page_count long, n_tokens long, last_indexed timestamp, terms array<struct<term:string,df:bigint,cf:bigint>>, doc_bucket int"
 POSTINGS = "term string, fp string, page_index int, dl int, tf int, positions array<int>, block long, term_bucket int"
 TERMS = "term string, df long, cf long"
+TRIGRAMS = "gram string, fp string, page_index int, gram_bucket int"
 BLOCKS = "term string, block long, n long, best double, term_bucket int"
 #: Pages of a block, and pages a term must have to get block maxima.
 BLOCK_PAGES, FREQUENT = 16, 1024
@@ -56,6 +59,22 @@ def folders_for(chars: int) -> int:
     return int(min(4096, max(1, min(16, chars >> 20), chars >> 26)))
 
 
+#: Characters outside ASCII that match an ASCII letter in another case (fixed by Unicode), and those letters.
+OTHER_CASE = ("\u212a\u017f\u0130\u0131", "ksii")
+
+
+def trigrams_of(text: Column) -> Column:
+    """The distinct three-character strings of a text, in lower case."""
+    grams = lambda x: F.transform(F.slice(x, F.lit(3), F.greatest(F.size(x) - 2, F.lit(0))), lambda c, i: F.concat(F.get(x, i), F.get(x, i + 1), c))
+    return F.array_distinct(let(F.split(F.lower(F.translate(text, *OTHER_CASE)), ""), grams))
+
+
+def grams_of(needle: str) -> list[str]:
+    """Three-character strings of ASCII that every page with the needle, in any case, must hold."""
+    low = needle.lower()
+    return list(dict.fromkeys(g for g in (low[i : i + 3] for i in range(len(low) - 2)) if g.isascii())) if len(low) == len(needle) else []
+
+
 @dataclass
 class Segment:
     name: str
@@ -64,6 +83,7 @@ class Segment:
     buckets: int
     doc_buckets: int
     avgdl: float  # when it was written: block maxima hold for it
+    trigrams: bool = False
     deleted_in: list[str] = field(default_factory=list)
 
 
@@ -162,6 +182,19 @@ class Snapshot:
         """One row: n_pages, n_tokens, avgdl."""
         return self.spark.createDataFrame([(self.n_pages, self.n_tokens, self.avgdl)], "n_pages long, n_tokens long, avgdl double")
 
+    def candidates(self, grams: list[str]) -> DataFrame:
+        """(fp, page_index) of the pages that hold all of the three-character strings, in segments that have them; of the
+        others all pages."""
+        parts = []
+        for s in self.segments:
+            if s.trigrams:
+                rows = self.read(s, "trigrams", TRIGRAMS).where(F.col("gram_bucket").isin(sorted({bucket_number(g, s.buckets) for g in grams})) & F.col("gram").isin(grams))
+                rows = rows.groupBy("fp", "page_index").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == len(grams)).select("fp", "page_index")
+            else:
+                rows = self.read(s, "pages", PAGES).select("fp", "page_index")
+            parts.append(self.live(s, rows))
+        return self._union(parts, "fp string, page_index int")
+
     def blocks(self, segment: Segment, terms: list[str]) -> DataFrame:
         """(term, block, n, best): ``best`` bounds a contribution at the present mean length."""
         rows = self.read(segment, "blocks", BLOCKS).where(F.col("term_bucket").isin(sorted({bucket_number(t, segment.buckets) for t in terms})) & F.col("term").isin(list(terms)))
@@ -171,8 +204,8 @@ class Snapshot:
 class StoredIndex:
     """Writes changes of the index in ``folder``; ``now()`` is what it holds."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, trigrams: bool = False):
+        self.spark, self.folder, self.trigrams = spark, folder.rstrip("/"), trigrams
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -240,8 +273,16 @@ class StoredIndex:
         zero, none = F.lit(0).cast("long"), F.array().cast("array<struct<term:string,df:bigint,cf:bigint>>")
         told = told.select("fp", "path", F.coalesce("page_count", zero).alias("page_count"), F.coalesce("n_tokens", zero).alias("n_tokens"), indexed_at.cast("timestamp").alias("last_indexed"), F.coalesce("terms", none).alias("terms"))
         self._write_documents(segment, told)
+        if self.trigrams:
+            each = stored.select("fp", "page_index", F.explode(trigrams_of(F.col("text"))).alias("gram"))
+            self._write_trigrams(segment, each)
         return segment
 
+    def _write_trigrams(self, segment: Segment, rows: DataFrame) -> None:
+        rows = rows.withColumn("gram_bucket", bucket_of(F.col("gram"), segment.buckets))
+        self._write(rows.hint("rebalance", "gram_bucket").sortWithinPartitions("gram_bucket", "gram"), f"segments/{segment.name}/trigrams", "gram_bucket")
+        segment.trigrams = True
+
     def _write_documents(self, segment: Segment, documents: DataFrame) -> None:
         rows = documents.withColumn("doc_bucket", bucket_of(F.col("fp"), segment.doc_buckets))
         self._write(rows.hint("rebalance", "doc_bucket").sortWithinPartitions("doc_bucket", "fp"), f"segments/{segment.name}/documents", "doc_bucket")
@@ -326,6 +367,8 @@ class StoredIndex:
             first += view.read(s, "postings", POSTINGS).agg(F.coalesce(F.max("block") + 1, F.lit(0))).first()[0]
         posts = view._union(parts, POSTINGS).withColumn("term_bucket", bucket_of(F.col("term"), segment.buckets))
         self._write_postings(segment, posts)
+        if all(s.trigrams for s in view.segments):
+            self._write_trigrams(segment, view._all("trigrams", TRIGRAMS).drop("gram_bucket"))
         return segment
 
     def vacuum(self) -> None:
@@ -351,8 +394,8 @@ class StoredIndex:
         return self.now().registry()
 
 
-def write_index(pages: DataFrame, folder: str, indexed_at: Column, buckets: int | None = None, doc_buckets: int | None = None) -> StoredIndex:
+def write_index(pages: DataFrame, folder: str, indexed_at: Column, buckets: int | None = None, doc_buckets: int | None = None, trigrams: bool = False) -> StoredIndex:
     """A new index of pages (fp, path, page_index, text) in ``folder``."""
-    index = StoredIndex(pages.sparkSession, folder)
+    index = StoredIndex(pages.sparkSession, folder, trigrams)
     index.upsert(pages.select("fp", "path"), pages, indexed_at, "first", buckets, doc_buckets)
     return index

@@ -60,14 +60,26 @@ def read_postings(spark: SparkSession, folder: str, terms: list[str] | None = No
 
 
 def write_ledger(ledger: DataFrame, folder: str) -> None:
-    """Sorted by access inside ranges of it, so that row groups' statistics find the oldest ones."""
-    ledger.repartitionByRange("last_access", "key").sortWithinPartitions("last_access", "key").write.mode("overwrite").parquet(folder)
+    """Sorted by access inside ranges of it, so that row groups' statistics find the oldest ones; Bloom filters of the
+    row groups find entries by key and by document."""
+    writer = ledger.repartitionByRange("last_access", "key").sortWithinPartitions("last_access", "key").write.mode("overwrite")
+    for name in ("key", "doc_fp"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(folder)
 
 
 def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder)
 
 
+def ledger_entries(spark: SparkSession, folder: str, doc_fps: list[str]) -> DataFrame:
+    """Entries of a few documents: row groups without them are not read."""
+    test = F.lit(False)
+    for fp in doc_fps:  # equality by equality, which is what Bloom filters answer
+        test = test | (F.col("doc_fp") == fp)
+    return read_ledger(spark, folder).where(test)
+
+
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     """(name, p50_ms, p95_ms) of a JSON object by benchmark; an empty one is an error."""
     text = spark.read.option("wholetext", "true").text(path)

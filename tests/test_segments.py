@@ -165,3 +165,18 @@ def test_near_takes_one_sweep(spark):
         assert spark.range(1).select(P.match_near(F.array(*[F.lit(x) for x in t]).cast("array<string>"), "a b c", most)).first()[0] == want
     page = spark.range(1).select(F.flatten(F.array_repeat(F.array(*[F.lit(x) for x in "aab"]), 20_000)).alias("t"))
     assert page.select(P.match_near(F.col("t"), "a b zz")).first()[0] is False and page.select(P.match_near(F.col("t"), "a b", 0)).first()[0] is True
+
+
+def test_substrings_by_trigrams(spark, tmp_path):
+    """As by a scan: any case, accents as they stand, letters with a partner outside ASCII, short needles, after changes too."""
+    rows = [(f"d{i}", "/p", p, t) for i, (p, t) in enumerate([(0, "Some KEY here, key there"), (0, "ſtraße Straße"), (1, "Key"), (0, None), (0, ""), (0, "ke y"), (2, "Ÿ€y Été été"), (0, "x" * 5000 + "needle")])]
+    pages = spark.createDataFrame(rows, PAGES)
+    index = StoredIndex(spark, str(tmp_path), trigrams=True)
+    index.upsert(pages, pages, at(), "c0")
+    for needle in ("key", "STRASSE", "straße", "Été", "ke", "needle", "zzz", "a.b", " "):
+        want = sorted(map(tuple, Q.search_substring(pages, needle, 10).collect()))
+        got = K.substring_index(index, needle, 10).select("fp", "page_index", "pos", "snippet", "rank")
+        assert sorted(map(tuple, got.collect())) == want, needle
+    index.upsert(pages.where("fp = 'd0'"), pages.where("fp = 'd0'").withColumn("text", F.lit("new monkey")), at(), "c1")
+    assert [r["fp"] for r in K.substring_index(index, "onkey").collect()] == ["d0"] and {r["fp"] for r in K.substring_index(index, "KEY").collect()} == {"d0", "d2"}
+    assert index.merge("m", everything=True) and index.now().segments[0].trigrams and {r["fp"] for r in K.substring_index(index, "KEY").collect()} == {"d0", "d2"}

@@ -168,3 +168,50 @@ def test_report(spark):
     report = B.regression_report(base, now)
     assert {r["name"]: r["verdict"] for r in report.collect()} == {"a": "ok", "b": "REGRESS", "c": "ok", "d": "skip"}
     assert B.gate_failed(report).first()["failed"] and not B.gate_failed(report.where("name = 'a'")).first()["failed"]
+
+
+def test_eviction_cuts_only_the_boundary(spark):
+    """A time that holds most entries, whose keys agree in their first characters: exactly what a sort would evict."""
+    import random
+
+    from lectern.operators import ledger as L
+
+    rng = random.Random(6)
+    rows = [(f"common-prefix-{rng.randrange(10**6):06d}-{i}", rng.randrange(1, 100), 50 if i % 3 else rng.randrange(100), f"d{i % 7}") for i in range(3000)] + [("none", 5, None, "d")]
+    df = spark.createDataFrame(rows, "key string, size long, t long, doc_fp string").select("key", "size", F.timestamp_seconds("t").alias("last_access"), "doc_fp")
+    total = sum(r[1] for r in rows)
+    for target in (total // 2, total - 6):
+        want, left = set(), total
+        for key, size, _, _ in sorted(rows, key=lambda r: (-1 if r[2] is None else r[2], r[0])):
+            if left > target:
+                want.add(key)
+                left -= size
+        left = L.evict_lru(df, target, few=200)
+        assert {r["key"] for r in left.collect()} == {r[0] for r in rows} - want, target
+    plan = left._jdf.queryExecution().toString()
+    assert "Sort" not in plan and "Exchange" not in plan and "Join" not in plan
+    assert L.evict_lru(df, total).count() == len(rows) and L.evict_lru(df.limit(0), 5).count() == 0
+
+
+def test_percentiles_by_selection(spark):
+    """As Spark's own, with a name that holds most rows, equal values, and nulls."""
+    import random
+
+    from lectern.operators import report as B
+
+    rng = random.Random(2)
+    rows = [("hot", rng.choice([1.0, 2.0, rng.random() * 1000])) for _ in range(4000)] + [("few", 3.0), ("two", 1.0), ("two", 2.0), ("same", 7.0)] + [("same", 7.0)] * 500 + [("gone", None), ("two", None)]
+    df = spark.createDataFrame(rows, "name string, ms double")
+    pick = F.percentile("ms", F.array(F.lit(0.5), F.lit(0.95)))
+    want = {r["name"]: r["p"] for r in df.groupBy("name").agg(pick.alias("p")).collect() if r["p"]}
+    for few in (100,):
+        got = {r["name"]: [r["p50_ms"], r["p95_ms"]] for r in B.percentiles(df, exact=True, few=few).collect()}
+        assert got.keys() == want.keys() and all(got[n] == pytest.approx(want[n]) for n in want)
+
+
+def test_ledger_has_bloom_filters(spark, tmp_path):
+    from lectern.sources import tables as T
+
+    rows = spark.range(2000).selectExpr("cast(id as string) as key", "id as size", "timestamp_seconds(id) as last_access", "concat('d', id % 50) as doc_fp")
+    T.write_ledger(rows, str(tmp_path / "l"))
+    assert T.ledger_entries(spark, str(tmp_path / "l"), ["d7", "d9"]).count() == 80 and T.ledger_entries(spark, str(tmp_path / "l"), []).count() == 0
