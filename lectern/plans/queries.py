@@ -691,10 +691,21 @@ def scan_files(spark, sf):
     """Documents written as text files and listed with fingerprints: no byte is missing, and every file has its own fingerprint."""
     folder = scratch(spark)
     table(spark, sf, "documents").where("text is not null").select(F.regexp_replace("text", r"[\n\r]", " ").alias("value")).write.text(folder)
-    files = Files.with_fingerprint(Files.scan_files(spark, folder, "*.txt"))
+    files = Files.with_fingerprint(Files.scan_heads(spark, folder, "*.txt"))
     return files.agg(F.sum("length").cast("long").alias("bytes"), (F.countDistinct("fp") == F.count(F.lit(1))).alias("all_differ"))
 
 
+@query(r"SELECT part, CAST(length(body) AS BIGINT) AS length, sha256(substr(body, 1, 65536)) AS head FROM (SELECT doc_id // 256 AS part, string_agg(regexp_replace(text, '[^\x20-\x7E]', ' ', 'g') || chr(10), '' ORDER BY doc_id, text) AS body FROM documents WHERE text IS NOT NULL GROUP BY part)")
+def scan_heads(spark, sf):
+    """Documents written as files, 256 ids to a file; tasks read the heads alone."""
+    folder = scratch(spark)
+    line = F.regexp_replace("text", r"[^\x20-\x7E]", " ").alias("value")
+    docs = table(spark, sf, "documents").where("text is not null").select(F.expr("doc_id div 256").alias("part"), "doc_id", "text", line)
+    docs.repartition("part").sortWithinPartitions("part", "doc_id", "text").select("part", "value").write.partitionBy("part").text(folder)
+    files = Files.scan_heads(spark, folder, "*.txt")
+    return files.select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part"), "length", F.sha2("content", 256).alias("head"))
+
+
 @query(f"WITH {CHANGES_SQL} SELECT fp, count(*) AS n, CAST(round(sum(value), 4) AS DOUBLE) AS total FROM log WHERE op = 'add' GROUP BY fp")
 def annotations_io(spark, sf):
     folder = scratch(spark)
@@ -852,3 +863,32 @@ def recents_stream(spark, sf):
     Streams.recents_stream(source).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(f"{base}/out").groupBy("workspace").agg(F.max_by("paths", "batch").alias("paths"))
     return out.select(F.col("workspace").cast("long").alias("workspace"), F.array_join("paths", "|").alias("paths"))
+
+
+def _late_log(spark, sf):
+    """The log of recents, its steps in order of the events' times."""
+    times = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    return D.recents_log(spark, sf).join(times, "seq")
+
+
+@query(_REPLAY_SQL.replace("event_id AS seq", "row_number() OVER (ORDER BY ts, event_id) AS seq"))
+def recents_stream_late(spark, sf):
+    """Steps that come in any order, in several batches, take effect in order of their times."""
+    base = scratch(spark)
+    log = _late_log(spark, sf)
+    log.repartition(3, F.xxhash64("seq")).write.parquet(f"{base}/in")
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    name, store = Streams.STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        lists = Streams.recents_stream(source, time="ts", delay="60 days")
+        lists.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    out = spark.read.parquet(f"{base}/out").groupBy("workspace").agg(F.max_by("paths", "batch").alias("paths"))
+    return out.select(F.col("workspace").cast("long").alias("workspace"), F.array_join("paths", "|").alias("paths"))

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import re
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.scalars import fingerprint, non_blank, ts_to_ticks
+from lectern.functions.scalars import HEAD_BYTES, fingerprint, non_blank, ts_to_ticks
 
 #: kind, path ending (regular expression, any case), first bytes; the first rule that fits wins.
 RULES = (
@@ -18,11 +26,57 @@ RULES = (
 )
 
 
+#: Heads in a batch of rows.
+HEADS_AT_ONCE = 64
+
+
 def scan_files(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """(path, modificationTime, length, content) of files; a missing folder is an error."""
+    """(path, modificationTime, length, content) of files with their whole content; a missing folder is an error,
+    and Spark lists no empty files."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(folder)
 
 
+def open_file(path: str) -> BinaryIO:
+    """A file of any store that Arrow knows, by its path as Spark lists it: a URI whose signs are not escaped."""
+    scheme, host, name = re.fullmatch(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/]*)?(.*)", path, re.S).groups()
+    fs, name = pafs.FileSystem.from_uri(f"{scheme or 'file'}:{host or '//'}{quote(name)}")
+    return fs.open_input_file(name)
+
+
+def _heads(size: int, opener: Callable[[str], BinaryIO]):
+    """Batches of (path, modificationTime, length) with the files' first bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, HEADS_AT_ONCE):
+                part, found = b.slice(at, HEADS_AT_ONCE), []
+                for path in part["path"].to_pylist():
+                    with opener(path) as f:
+                        found.append(_first(f, size))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*part.schema.names, "content"])
+
+    return run
+
+
+def _first(f: BinaryIO, size: int) -> bytes:
+    """The first ``size`` bytes, also of streams that give fewer than asked for at a time."""
+    out = io.BytesIO()
+    while out.tell() < size and (more := f.read(size - out.tell())):
+        out.write(more)
+    return out.getvalue()
+
+
+def scan_heads(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = True, size: int = HEAD_BYTES, opener: Callable[[str], BinaryIO] = open_file) -> DataFrame:
+    """(path, modificationTime, length, content) of files, where content is the first ``size`` bytes only: enough to
+    classify and fingerprint files of any length. A missing folder is an error; empty files are not listed, as in ``scan_files``.
+
+    Spark lists the files and deals them to tasks without opening any; tasks read heads by range.
+    ``opener`` opens the path of a store that Arrow doesn't know.
+    """
+    listed = scan_files(spark, folder, glob, recursive).select("path", "modificationTime", "length")
+    return listed.mapInArrow(_heads(size, opener), "path string, modificationTime timestamp, length long, content binary")
+
+
 def classify(path: Column, head: Column, rules=RULES) -> Column:
     """Kind of a file by its ending or its first bytes (binary); null for blank paths and unknown files."""
     out = None

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from lectern.functions.scalars import normal_path
 from lectern.operators import ledger as L
@@ -19,6 +20,9 @@ from lectern.sources.stored import StoredIndex
 #: Files per micro-batch: what waits is bounded, but nothing is dropped.
 BATCH_FILES = 32
 
+#: Setting that streams with timers and lists in their state need when they start.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def index_stream(documents: DataFrame, store: StoredIndex, checkpoint: str, quarantine: str | None = None, **trigger) -> StreamingQuery:
     """Index a stream of (fp, path, text, ts): pages, postings and registry; of several versions in a batch the last counts.
@@ -79,13 +83,65 @@ def janitor_stream(accesses: DataFrame, spark: SparkSession, folder: str, checkp
     return accesses.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "30 seconds"})).start()
 
 
-def recents_stream(log: DataFrame, k: int = LIMIT) -> DataFrame:
+class _InOrder(StatefulProcessor):
+    """A workspace's list, and the steps that an earlier one may still precede."""
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.listed = handle.getValueState("listed", "paths array<string>")
+        self.waiting = handle.getListState("waiting", "at long, seq long, op string, path string")
+        self.timers = handle
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for f in rows:
+            none = f["seq"].isna() | f["path"].isna()
+            if none.any():
+                f = f.astype(object).where(f.notna(), None)
+            self.waiting.appendList(list(zip(*(f[c].tolist() for c in ("at", "seq", "op", "path")), strict=True)))
+        known, paths = self._settle(timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({"workspace": [key[0]], "paths": [replay_python(known, paths, self.k)]})
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._settle(timerValues.getCurrentWatermarkInMs())  # the list as last told doesn't change
+        return iter(())
+
+    def _settle(self, mark: int) -> tuple[list[tuple[str, str | None]], list[str]]:
+        """Folds the steps that the watermark has passed; returns the later ones, in order, and the list before them."""
+        steps = sorted(self.waiting.get(), key=lambda s: (s[0], s[1] is not None, s[1] or 0, s[2] or "", s[3] or ""))
+        passed = [s for s in steps if s[0] <= mark * 1000]
+        later = steps[len(passed) :]
+        paths = list(self.listed.get()[0]) if self.listed.exists() else []
+        if passed:
+            paths = replay_python([(s[2], s[3]) for s in passed], paths, self.k)
+            self.listed.update((paths,))
+            self.waiting.clear()
+            if later:
+                self.waiting.put([tuple(s) for s in later])
+        for t in list(self.timers.listTimers()):
+            self.timers.deleteTimer(t)
+        if later:
+            self.timers.registerTimer(max(mark, later[0][0] // 1000) + 1)
+        return [(s[2], s[3]) for s in later], paths
+
+
+def recents_stream(log: DataFrame, k: int = LIMIT, time: str | None = None, delay: str = "1 minute") -> DataFrame:
     """(workspace, paths) after each batch of a stream of (workspace, seq, op, path): k paths of state a workspace.
 
-    Steps are taken in order of ``seq`` inside a batch; a step that comes in a later batch than one with
-    a larger ``seq`` is late and is applied when it comes. What precedes a batch's last clear is dropped
-    before the rest is folded.
+    With a column of event times, ``time``, steps take effect in order of it and of ``seq``, in whatever batches they come: those
+    of the last ``delay`` are kept apart until the watermark has passed them, and each list told is that of all
+    steps known. State is k paths and the steps of one delay a workspace. Steps later than that, or without a time,
+    are dropped. The query must be started with RocksDB as its state store (``STATE_STORE``).
+
+    Without event times, steps are taken in order of ``seq`` inside a batch, and one that comes in a later batch than one
+    with a larger ``seq`` is applied when it comes. What precedes a batch's last clear is dropped before the rest is folded.
     """
+    normal = log.withColumn("workspace", F.col("workspace").cast("string")).withColumn("path", normal_path(F.col("path")))
+    if time is not None:
+        steps = normal.where(F.col(time).isNotNull()).withWatermark(time, delay)
+        steps = steps.select("workspace", F.col(time), F.unix_micros(F.col(time).cast("timestamp")).alias("at"), F.col("seq").cast("long").alias("seq"), "op", "path")
+        return steps.groupBy("workspace").transformWithStateInPandas(_InOrder(k), "workspace string, paths array<string>", "Update", "EventTime")
 
     def fold(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         paths, kept = list(state.get[0]) if state.exists else [], []
@@ -101,5 +157,4 @@ def recents_stream(log: DataFrame, k: int = LIMIT) -> DataFrame:
         state.update((paths,))
         yield pd.DataFrame({"workspace": [key[0]], "paths": [paths]})
 
-    normal = log.withColumn("workspace", F.col("workspace").cast("string")).withColumn("path", normal_path(F.col("path")))
     return normal.groupBy("workspace").applyInPandasWithState(fold, "workspace string, paths array<string>", "paths array<string>", "update", GroupStateTimeout.NoTimeout)

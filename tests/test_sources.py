@@ -1,13 +1,17 @@
 import datetime
 import gzip
+import io
 import os
 import pathlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions.scalars import HEAD_BYTES as S_HEAD
 from lectern.operators import annotations as A
 from lectern.operators import index as I
+from lectern.operators import recents as R
 from lectern.sources import files as Files
 from lectern.sources import tables as T
 from lectern.sources.stored import StoredIndex
@@ -28,6 +32,36 @@ def test_files(spark, tmp_path):
     assert spark.range(1).select(Files.classify(F.lit("  "), F.lit(b"%PDF-")).alias("k")).first()["k"] is None
 
 
+def test_heads_of_files(spark, tmp_path):
+    """Three sparse gigabytes are fingerprinted by their head; the plan reads no content."""
+    long = tmp_path / "deep" / "long.pdf"
+    long.parent.mkdir()
+    with open(long, "wb") as f:
+        f.write(b"%PDF-" + b"x" * 100_000)
+        f.truncate(3 << 30)
+    for name, body in {"empty.bin": b"", "short of bytes %41 é#?.bin": b"ab%c", "edge.bin": b"e" * S_HEAD, "over.bin": b"e" * (S_HEAD + 1)}.items():
+        (tmp_path / name).write_bytes(body)
+    heads = Files.scan_heads(spark, str(tmp_path))
+    rows = {os.path.basename(r["path"]): (r["length"], bytes(r["content"])) for r in heads.collect()}
+    assert rows["long.pdf"] == (3 << 30, b"%PDF-" + b"x" * (S_HEAD - 5))
+    assert rows["edge.bin"] == (S_HEAD, b"e" * S_HEAD) and rows["over.bin"] == (S_HEAD + 1, b"e" * S_HEAD) and len(rows) == 4
+    fp = lambda files: {(r["path"], r["fp"]) for r in Files.with_fingerprint(files).select("path", "fp").collect()}
+    assert fp(heads.where("path not like '%long%'")) == fp(Files.scan_files(spark, str(tmp_path), "*.bin"))
+    assert {r["kind"] for r in Files.classify_format(Files.scan_heads(spark, str(tmp_path), "*.pdf"))[0].collect()} == {"Pdf"}
+    scan = [line for line in heads._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).splitlines() if "ReadSchema" in line]
+    assert scan and all("content" not in line for line in scan)
+    with pytest.raises(Exception):
+        Files.scan_heads(spark, str(tmp_path / "none")).count()
+
+
+def test_heads_come_whole_from_short_reads():
+    class Slow(io.BytesIO):
+        def read(self, n=-1):
+            return super().read(min(n, 3))
+
+    assert Files._first(Slow(b"0123456789"), 7) == b"0123456" and Files._first(Slow(b"01"), 7) == b"01"
+
+
 def test_annotation_sidecars(spark, tmp_path):
     """Order comes from seq, not from the rows' order; all kinds of nulls and planes of Unicode survive; damage stays in its document."""
     when = datetime.datetime(2020, 2, 29, 23, 59, 58)
@@ -119,3 +153,32 @@ def test_janitor_stream(spark, tmp_path):
     last = spark.read.parquet(S.latest_state(spark, folder))
     assert {r["key"]: r["last_access"].timestamp() for r in last.collect()}["a"] == 70 and {r["key"] for r in last.collect()} == {"a", "d"}
     assert len(list((tmp_path / "s").glob("state=*"))) == 2
+
+
+def test_recents_stream_in_order(spark, tmp_path):
+    """Steps come in any order; their times decide, and what the watermark has passed is only a list."""
+    rng = random.Random(3)
+    steps = [("w" if i % 3 else None, i, rng.choice(["add"] * 9 + ["remove"] * 3 + ["clear"]), rng.choice([f"p{j}" for j in range(28)] + ["P1", "P2", " ", None])) for i in range(600)]
+    near = sorted(steps, key=lambda s: s[1] + rng.random() * 40)  # out of order by up to 40 seconds
+    schema = "workspace string, seq long, op string, path string"
+    (tmp_path / "in").mkdir()
+    rows = lambda part: spark.createDataFrame(part, schema).withColumn("ts", F.expr("timestamp_seconds(seq div 2)"))
+    got = {}
+
+    def keep(batch, number):
+        got.update({r["workspace"]: r["paths"] for r in batch.collect()})
+
+    name, store = S.STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        # the last part comes too late and has no effect
+        for part in [*(near[i : i + 150] for i in range(0, 600, 150)), [("w", 1, "clear", None), ("w", 2, "add", "late")]]:
+            rows(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            source = spark.readStream.schema(schema + ", ts timestamp").parquet(str(tmp_path / "in"))
+            S.recents_stream(source, time="ts", delay="25 seconds").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    assert got == {w: R.replay_python([(op, p) for x, _, op, p in steps if x == w], []) for w in ("w", None)}
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "c"))
+    assert 0 < waiting.count() < 200

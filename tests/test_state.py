@@ -143,6 +143,26 @@ def test_recents_hold_no_whole_log(spark):
     assert "collect_list" not in out._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("k", [0, 1, 3, 20])
+def test_recents_by_parts(spark, k):
+    """One workspace with all steps is summarised by several tasks, in parts of any size, as the steps one by one."""
+    rng = random.Random(k)
+    steps = [(rng.choice(["add"] * 6 + ["remove"] * rng.choice([0, 5]) + ["clear"] * (rng.random() < 0.02)), rng.choice([f"p{j}" for j in range(9)] + ["P1", "P2", "P3", " ", None])) for _ in range(600)]
+    log = spark.createDataFrame([("w", i // 2, op, p) for i, (op, p) in enumerate(steps)], "workspace string, seq int, op string, path string")
+    inside = sorted(((i // 2, op, p) for i, (op, p) in enumerate(steps)), key=lambda s: (s[0], s[1], s[2] is not None, s[2] or ""))
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        for most in (2, 5, R.PART_PATHS):
+            parts = R.summaries(log, k, most).withColumn("task", F.spark_partition_id()).collect()
+            assert len({p["task"] for p in parts}) == 4 and all(len(p["touches"]) <= most and len(p["own"]) <= k for p in parts)
+            assert R.replay(log, k, most).collect() == [("w", R.replay_python([(op, p) for _, op, p in inside], [], k))]
+    finally:
+        spark.conf.unset(name)
+    full = spark.createDataFrame([("w", i, "add", f"p{i}") for i in range(200)], log.schema)
+    assert all(p["gone"] and not p["touches"] for p in R.summaries(full, k).collect())
+
+
 def test_enrich(spark):
     pages = spark.createDataFrame([("a", 0), ("b", 0)], "fp string, page_index int")
     asked = E.requests_for(pages, 2)
