@@ -39,3 +39,24 @@ def test_contract_columns(spark, name):
     df = QUERIES[name](spark, SF)
     assert COLUMNS[name].items() <= dict(df.dtypes).items()
     assert df.count() > 0
+
+
+def test_pii_equals_sql_on_account_numbers_and_long_secrets(spark, tmp_path):
+    import duckdb
+
+    from lectern.llm.queries import ORACLE_SQL, QUERIES
+
+    good = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606", "NO9386011117947"]
+    bad = ["DE89370400440532013001", "GB82 WEST 1234 5698 7654 33", "XX00 0000"]
+    texts = [f"bank {n}, {n}_{n} a{n} {n}b ({n})" for n in good + bad] + ["isbn order " + good[0], "_" + good[1] + "_", good[0] + " " + good[2] + "-" + good[3]]
+    texts += ["password: " + "aB3/" * 300 + " api_key='" + "k" * 200 + "' xtoken=" + "t" * 9, "pwd = " + "z" * 7, "", None, "naïve é " + good[0] + " ip 10.0.0.1 a@b.co"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cursor = db.execute(ORACLE_SQL["op9_pii"])
+    columns = [d[0] for d in cursor.description]
+    got = QUERIES["op9_pii"](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, cursor.fetchall()))
+    spans = {r["doc_id"]: r["spans"] for r in got}
+    assert all(spans[i].count("iban") == 4 for i in range(len(good))) and not any("iban" in spans[len(good) + i] for i in range(len(bad)))
+    assert any(int(s.split(":")[2]) - int(s.split(":")[1]) > 1200 for t in spans.values() for s in t.split(",") if s.startswith("secret"))
