@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, discard
+from lectern.llm.common import cut, discard, release
 
 CELLS = 128
 #: Sets up to this size are kept whole next to their list keys, as subsets are made from them.
@@ -266,6 +266,8 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, long_l
     lists = entry.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = cut(entry.join(lists, "key"))
     discard(entry)
+    del entry, lists
+    release(met.sparkSession)
     needed = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
     written = F.least(F.col("n"), needed + F.floor(3 * needed / 10) + 12)
     lost = met.where(F.col("members") > long_list).groupBy("node").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("lost"))
@@ -277,6 +279,8 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, long_l
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().withColumn("busy", F.lit(False)).unionByName(busy.withColumn("busy", F.lit(True)))
     wanted = wanted.groupBy("node").agg(F.max("busy").alias("busy"))
     sets = _whole_sets(slim, wanted.join(classes.select("node", "first"), "node"), words, bits)
+    del wanted, short
+    release(met.sparkSession)
     # lists of the sets that are left, rarest elements first
     ranked = _rarest_first(sets.where("busy"), percent)
     # first round: each node with its smallest candidate, each such list with its most central member
@@ -285,7 +289,9 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, long_l
     stars = stars.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     chosen = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(_near(stars, about, percent)).distinct()
     links = cut(exact.unionByName(_verified(chosen, sets, percent)))
+    del chosen, stars, pivot
     parts = components(links)
+    release(met.sparkSession)
     # second round: candidates in different components
     of = lambda c: parts.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
     rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
