@@ -82,6 +82,10 @@ def normalize_metadata(title: Column, author: Column, subject: Column) -> Column
     return F.struct(non_blank(title).alias("title"), non_blank(author).alias("author"), non_blank(subject).alias("subject"), F.create_map().cast("map<string,string>").alias("custom"))
 
 
+#: What a path in its normal form doesn't hold; most paths need no fold.
+_NOT_NORMAL = r"\\|//|(?:^|/)\.\.?(?:/|$)"
+
+
 def normal_path(path: Column) -> Column:
     """A path with `/` for `\\`, without `.` and doubled slashes, and with `..` carried out (beyond the root it does
     nothing, at the start of a relative path it stays); null if blank. Its case and a slash at its end are kept.
@@ -98,7 +102,9 @@ def normal_path(path: Column) -> Column:
         return F.when(x == "", empty).when(x == ".", done).when(x == "..", up).otherwise(F.concat(done, F.array(x)))
 
     joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
-    return F.when(non_blank(path).isNotNull(), F.when(joined == "", F.when(slashed.startswith("/"), "/").otherwise(".")).when(slashed.endswith("/") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined))
+    # an array of one, so that the fold is carried out once a path
+    whole = F.transform(F.array(joined), lambda j: F.when(j == "", F.when(slashed.startswith("/"), "/").otherwise(".")).when(slashed.endswith("/") & ~j.endswith("/"), F.concat(j, F.lit("/"))).otherwise(j))
+    return F.when(non_blank(path).isNotNull(), F.when(path.rlike(_NOT_NORMAL), whole[0]).otherwise(path))
 
 
 def path_key(path: Column) -> Column:

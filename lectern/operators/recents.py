@@ -48,13 +48,13 @@ class Part:
             self.seen.add(key)
             self.touches.append([key, front, self.k])
 
-    def step(self, op: str, path: str | None, key: str | None, blank: bool) -> None:
+    def step(self, op: str, path: str | None, key: str | None) -> None:
         if op == "clear":
             self.own, self.gone = [], True
-        elif not blank and op == "remove":
+        elif key is not None and op == "remove":
             self._touch(key, False)
             self.own = [e for e in self.own if e[0] != key]
-        elif not blank and op == "add" and not (self.own and self.own[0][0] == key):
+        elif key is not None and op == "add" and not (self.own and self.own[0][0] == key):
             front = not (self.own or self.gone or key in self.seen)
             self._touch(key, front)
             self.own = [(key, path, front), *(e for e in self.own if e[0] != key)][: self.k]
@@ -76,18 +76,18 @@ def applied(touches: list[dict], own: list[dict], gone: bool, old: list[tuple[st
 
 
 def _summaries(k: int, most: int):
-    """Sorted steps (workspace, seq, op, path, key, blank) to parts (workspace, first, touches, own, gone) in order."""
+    """Sorted steps (workspace, seq, op, path, key; no path if it is blank) to parts (workspace, first, touches, own, gone) in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, now, first, kinds = None, None, None, None
         for b in batches:
             done = []
             kinds = (b["workspace"].type, b["seq"].type)
-            for w, seq, op, path, key, blank in zip(*(b[c].to_pylist() for c in ("workspace", "seq", "op", "path", "key", "blank")), strict=True):
+            for w, seq, op, path, key in zip(*(b[c].to_pylist() for c in ("workspace", "seq", "op", "path", "key")), strict=True):
                 if part is None or w != now or len(part.touches) >= most:
                     done += [(now, first, part)] if part else []
                     part, now, first = Part(k), w, (seq, op, path)
-                part.step(op, path, key, blank)
+                part.step(op, path, key)
             if done:
                 yield _rows(done, kinds)
         if part:
@@ -135,12 +135,13 @@ def summaries(log: DataFrame, k: int = LIMIT, most: int = PART_PATHS) -> DataFra
     The log is split into ranges of (workspace, seq), whatever its workspaces' sizes, so a workspace with most of the
     steps is summarised by all tasks. A part that fills its list, or clears it, is k paths.
     """
-    normal = normal_path(F.col("path"))
-    steps = log.select("workspace", "seq", "op", normal.alias("path"), F.lower(normal).alias("key"), non_blank(F.col("path")).isNull().alias("blank"))
+    steps = log.select("workspace", "seq", "op", normal_path(F.col("path")).alias("path"))
     kinds = {f.name: f.dataType.simpleString() for f in log.select("workspace", "seq").schema}
     shape = f"workspace {kinds['workspace']}, first struct<seq:{kinds['seq']},op:string,path:string>, touches array<struct<key:string,front:boolean,room:int>>, own array<struct<key:string,path:string,maybe:boolean>>, gone boolean"
     order = ("workspace", "seq", "op", "path")
-    return steps.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_summaries(k, max(2, most)), shape)
+    tasks = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as the fold costs more than the few bytes of a step suggest
+    keyed = steps.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("key", F.lower("path"))
+    return keyed.mapInArrow(_summaries(k, max(2, most)), shape)
 
 
 def replay(log: DataFrame, k: int = LIMIT, most: int = PART_PATHS) -> DataFrame:

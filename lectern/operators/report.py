@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,14 +11,15 @@ FEW, RANGES = 1_000_000, 200
 
 
 def order_statistics(samples: DataFrame, wanted: DataFrame, few: int = FEW) -> DataFrame:
-    """(name, rank, value): the values of ``samples`` (name, value) at the asked ranks (name, rank from 1), exactly.
+    """The rows of ``wanted`` (name, rank from 1, more columns) with ``value``, that of ``samples`` (name, value) at the rank, exactly.
 
     Samples are cut into ranges by approximate quantiles, ranges are counted, and only those in which an asked rank lies
     are cut again, until they are small; then equal values are counted together and ranked inside their range. No
     name is held or sorted by one task.
     """
     rows = samples.where("value is not null").select("name", F.lit(0).cast("long").alias("part"), F.col("value").cast("double").alias("value"))
-    asked = wanted.select("name", "rank", F.lit(0).cast("long").alias("part"), F.col("rank").cast("long").alias("left"))
+    kept = wanted.columns
+    asked = wanted.select(*kept, F.lit(0).cast("long").alias("part"), F.col("rank").cast("long").alias("left"))
     for _ in range(6):
         sizes = rows.groupBy("name", "part").agg(F.count(F.lit(1)).alias("c"), F.min("value").alias("low"), F.max("value").alias("high"))
         large = sizes.agg(F.max(F.when(F.col("low") < F.col("high"), F.col("c")))).first()[0]
@@ -32,12 +33,12 @@ def order_statistics(samples: DataFrame, wanted: DataFrame, few: int = FEW) -> D
         before = F.sum("c").over(Window.partitionBy("name", "part").orderBy("sub")) - F.col("c")
         counts = cut.groupBy("name", "part", "sub").agg(F.count(F.lit(1)).alias("c")).withColumn("before", before)
         asked = asked.join(counts, ["name", "part"]).where((F.col("left") > F.col("before")) & (F.col("left") <= F.col("before") + F.col("c")))
-        asked = asked.select("name", "rank", F.col("sub").alias("part"), (F.col("left") - F.col("before")).alias("left")).persist()
+        asked = asked.select(*kept, F.col("sub").alias("part"), (F.col("left") - F.col("before")).alias("left")).persist()
         rows = cut.select("name", F.col("sub").alias("part"), "value").join(asked.select("name", "part").distinct(), ["name", "part"], "left_semi").persist()  # a small part of the samples, read several times
     per = rows.groupBy("name", "part", "value").agg(F.count(F.lit(1)).alias("c"))
     upto = F.sum("c").over(Window.partitionBy("name", "part").orderBy("value"))
     per = per.withColumn("upto", upto)
-    return asked.join(per, ["name", "part"]).where((F.col("left") <= F.col("upto")) & (F.col("left") > F.col("upto") - F.col("c"))).select("name", "rank", "value")
+    return asked.join(per, ["name", "part"]).where((F.col("left") <= F.col("upto")) & (F.col("left") > F.col("upto") - F.col("c"))).select(*kept, "value")
 
 
 def percentiles(samples: DataFrame, by: str = "name", value: str = "ms", exact: bool = False, few: int = FEW) -> DataFrame:
@@ -48,14 +49,15 @@ def percentiles(samples: DataFrame, by: str = "name", value: str = "ms", exact:
     named = samples.select(F.coalesce(F.col(by).cast("string"), F.lit("")).alias("name"), F.col(value).alias("value"))
     sizes = named.where("value is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     places = F.array(*[F.struct(F.lit(q).alias("q"), ((F.col("n") - 1) * q).alias("at")) for q in (0.5, 0.95)])
-    places = sizes.select("name", F.inline(places)).withColumn("low", F.floor("at") + 1).withColumn("high", F.ceil("at") + 1)
-    wanted = places.select("name", F.explode(F.array("low", "high")).alias("rank")).distinct()
-    found = order_statistics(named, wanted, few)
-    of = lambda c: found.select("name", F.col("rank").alias(c), F.col("value").alias(f"{c}_value"))
-    both = places.join(of("low"), ["name", "low"]).join(of("high"), ["name", "high"])
-    each = both.withColumn("p", F.col("low_value") + (F.col("high_value") - F.col("low_value")) * (F.col("at") + 1 - F.col("low")))
-    pick = lambda q, c: F.max(F.when(F.col("q") == q, F.col("p"))).alias(c)
-    return each.groupBy("name").agg(pick(0.5, "p50_ms"), pick(0.95, "p95_ms"))
+    places = sizes.select("name", F.inline(places)).select("name", "q", (F.col("at") - F.floor("at")).alias("part_of"), (F.floor("at") + 1).alias("low"), (F.ceil("at") + 1).alias("high"))
+    found = order_statistics(named, places.select("name", "q", "part_of", F.explode(F.array_distinct(F.array("low", "high"))).alias("rank")), few)
+
+    def between(q: float, name: str) -> Column:
+        of = lambda c: F.when(F.col("q") == q, F.col(c))
+        low, high = F.min(of("value")), F.max(of("value"))
+        return (low + (high - low) * F.max(of("part_of"))).alias(name)
+
+    return found.groupBy("name").agg(between(0.5, "p50_ms"), between(0.95, "p95_ms"))
 
 
 def regression_report(baseline: DataFrame, current: DataFrame, threshold: float = 15.0) -> DataFrame:
