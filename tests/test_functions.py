@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import itertools
 
 from pyspark.sql import functions as F
 
@@ -72,6 +73,18 @@ def test_metadata_and_paths(spark):
     assert got == paths
 
 
+def test_paths_in_normal_form_stay(spark):
+    """Every string of up to five characters: what is normal comes back as it is, the rest becomes normal."""
+    every = ["".join(x) for n in range(1, 6) for x in itertools.product("a./\\:", repeat=n)]
+    table = spark.createDataFrame([(p,) for p in every], "p string").repartition(4)
+    rows = table.select("p", S.normal_path(F.col("p")).alias("once")).select("p", "once", S.normal_path(F.col("once")).alias("twice")).collect()
+    assert all(r.once == r.twice for r in rows if "//" not in r.once)
+    for r in rows:
+        inner = r.p.split("/")[1:-1]
+        if "\\" not in r.p and "" not in inner and not {".", ".."} & set(r.p.split("/")) and not r.p.startswith("//"):
+            assert r.once == r.p
+
+
 def test_occurrences(spark):
     count = lambda t, n: one(spark, X.occurrence_count(F.lit(t), n))
     assert count("foo bar foo baz foo qux", "foo") == 3
