@@ -6,6 +6,8 @@ what they touch come from the difference.
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,25 @@ def _start_of(key: Column) -> Column:
     return F.conv(F.rpad(F.hex(F.substring(key.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
 
 
+def _below(bounds: list[float], x: Column, cells: int = 1024) -> Column:
+    """How many of the sorted ``bounds`` are smaller than ``x``. A grid over them tells most rows without a comparison: a value in a
+    later cell is larger, and only the bounds of its own cell are looked at."""
+    if not bounds:
+        return F.lit(0)
+    width = (bounds[-1] - bounds[0]) / cells or 1.0
+    cell = lambda v: max(0, min(cells, floor((v - bounds[0]) / width)))
+    held = [0] * (cells + 1)
+    for v in bounds:
+        held[cell(v)] += 1
+    before = [0]
+    for n in held:
+        before.append(before[-1] + n)
+    at = F.greatest(F.lit(0), F.least(F.lit(cells), F.floor((x - F.lit(bounds[0])) / F.lit(width)))).cast("int")
+    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), at)
+    near = F.slice(F.array(*[F.lit(v) for v in bounds]), of(before[:-1]) + 1, of(held))
+    return of(before[:-1]) + F.when(of(held) > 0, F.size(F.filter(near, lambda v: v < x))).otherwise(0)
+
+
 def sizes_before(ledger: DataFrame, order: list[str], ranges: int | None = None, by: str | None = None) -> DataFrame:
     """``ledger`` with ``before``: the summed size of all rows (of the same ``by``) that come earlier in ``order`` (time, key).
 
@@ -66,41 +87,51 @@ def sizes_before(ledger: DataFrame, order: list[str], ranges: int | None = None,
     also of the key. Sums of the ranges give each range its offset, and only rows of a range are sorted
     together. Ranges are named by the rows' values alone, so a lost task makes the same ranges again.
     """
+    return _placed(ledger, order, ranges, by).select(*ledger.columns, "before")
+
+
+def _placed(ledger: DataFrame, order: list[str], ranges: int | None, by: str | None) -> DataFrame:
+    """``sizes_before`` with ``_whole``, the summed size of all rows (of the same ``by``).
+
+    A range's offset goes to its rows as one more row of the range, not by a join.
+    """
     n = ranges or int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first, second = order
     kind = ledger.schema[first].dataType.simpleString()
     zoneless = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {first})")
-    number = {"timestamp": F.unix_micros(F.col(first)), "timestamp_ntz": zoneless}.get(kind, F.col(first))
-    numbered = ledger.withColumn("_number", number).withColumn("_start", _start_of(F.col(second)))
+    number = {"timestamp": F.unix_micros(F.col(first)), "timestamp_ntz": zoneless}.get(kind, F.col(first)).cast("double")
+    numbered = ledger.withColumn("_number", number)
     cuts = [k / n for k in range(1, n)] or [1.0]
     found = numbered.agg(F.percentile_approx("_number", cuts, 10_000)).first()[0] or []
-    below = lambda bounds, x: F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < x)) if bounds else F.lit(0)
-    ranged = numbered.withColumn("_range", below(sorted(set(found)), F.col("_number")))
+    level = F.lit(0)
     # a time that fills several quantiles is cut again by its keys
     hot = sorted({x for x, y in zip(found, found[1:], strict=False) if x == y})
-    inner = F.lit(0)
     if hot:
-        rows = ranged.where(F.col("_number").isin(hot)).groupBy("_number").agg(F.percentile_approx("_start", cuts, 10_000).alias("q")).collect()  # n values for each of under n times
+        numbered = numbered.withColumn("_start", _start_of(F.col(second)))
+        inner = F.lit(0)
+        rows = numbered.where(F.col("_number").isin(hot)).groupBy("_number").agg(F.percentile_approx("_start", cuts, 10_000).alias("q")).collect()  # n values for each of under n times
         for r in rows:
-            inner = F.when(F.col("_number") == r["_number"], below(sorted(set(r["q"])), F.col("_start"))).otherwise(inner)
-    # inside a time's range, earlier times come before its first key
-    level = F.when(F.col("_number").isin(hot), inner + 1).otherwise(0) if hot else F.lit(0)
-    ranged = ranged.withColumn("_range", F.col("_range") * (n + 1) + level).drop("_number", "_start")
+            inner = F.when(F.col("_number") == r["_number"], _below(sorted(set(r["q"])), F.col("_start"))).otherwise(inner)
+        # inside a time's range, earlier times come before its first key
+        level = F.when(F.col("_number").isin(hot), inner + 1).otherwise(0)
+    place = F.coalesce(_below(sorted(set(found)), F.col("_number")), F.lit(-1)) * (n + 1) + level
+    ranged = numbered.withColumn("_range", place).drop("_number", "_start").withColumn("_row", F.lit(True))
     groups = [by] if by else []
     sums = ranged.groupBy(*groups, "_range").agg(F.sum("size").alias("_s"))
     # a row for each range (of each group)
-    up_to = Window.partitionBy(*groups, *([] if by else [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*[F.col(g).alias(f"_of_{g}") for g in groups], F.col("_range").alias("_at"), F.coalesce(F.sum("_s").over(up_to), F.lit(0)).alias("_offset"))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy(*groups, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    same = F.col("_range") == F.col("_at")
-    for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
-    placed = ranged.withColumn("_inside", inside).join(offsets, same)
-    return placed.withColumn("before", F.col("_offset") + F.col("_inside")).select(*ledger.columns, "before")
+    of_group = Window.partitionBy(*(groups or [F.lit(0)]))
+    up_to = of_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*groups, "_range", F.coalesce(F.sum("_s").over(up_to), F.lit(0)).alias("_offset"), F.coalesce(F.sum("_s").over(of_group), F.lit(0)).alias("_whole"))
+    here = Window.partitionBy(*groups, "_range")
+    inside = F.coalesce(F.sum("size").over(here.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = ranged.unionByName(offsets, allowMissingColumns=True)
+    # the offset's row has neither time nor key, and the two are told for the whole range
+    told = told.select(*ledger.columns, "_row", inside.alias("_inside"), F.max("_offset").over(here).alias("_offset"), F.max("_whole").over(here).alias("_whole"))
+    return told.where("_row").select(*ledger.columns, (F.col("_offset") + F.col("_inside")).alias("before"), "_whole")
 
 
-#: Entries up to which what is left is summed in order, and ranges into which more are cut.
-FEW, RANGES = 100_000, 200
+#: Entries up to which what is left is summed in order, and ranges of time into which more are cut.
+FEW, RANGES = 100_000, 4096
 
 
 def _number(ledger: DataFrame, name: str) -> Column:
@@ -123,37 +154,34 @@ def oldest(ledger: DataFrame, amount: int, few: int = FEW) -> Column:
 
     A weighted selection: entries are cut into ranges of their time, sizes are summed by range, and of all ranges only the one in
     which the sum passes ``amount`` is cut again, a single time by its keys, beginning where these differ. Ranges before it go
-    and ranges after it stay; nothing but the last few entries is sorted, and nothing shuffled but sums.
+    and ranges after it stay; nothing but the last few entries is sorted, and nothing shuffled but sums. A range is all that
+    lies between two times (and keys), so each pass tests the entries as they are stored.
     """
     if amount <= 0:
         return F.lit(False)
     time, key = _number(ledger, "last_access"), F.coalesce(F.col("key").cast("string"), F.lit(""))
-    rows = ledger.select(time.alias("t"), key.alias("k"), "size")
+    entries = ledger.select(time.alias("t"), key.alias("k"), "size")
+    told = [F.count(F.lit(1)).alias("n"), F.min("t").alias("a"), F.max("t").alias("b"), F.min("k").alias("ka"), F.max("k").alias("kb")]
+    rows, r = entries, entries.agg(*told).first()
     for _ in range(40):
-        r = rows.agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("a"), F.max("t").alias("b"), F.min("k").alias("ka"), F.max("k").alias("kb")).first()
         if r["n"] <= few or (r["a"] == r["b"] and r["ka"] == r["kb"]):
             break
         if r["a"] < r["b"]:
-            place = F.col("t").cast("double")
-        else:
-            place = _start_of(F.substring(F.col("k"), F.lit(_common(r["ka"], r["kb"]) + 1), F.lit(6)))
-        placed = rows.withColumn("p", place)
-        q = sorted(set(placed.agg(F.percentile_approx("p", [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0]))  # RANGES numbers
-        bounds = F.array(*[F.lit(x) for x in q])
-        # a time that is a bound is a range of its own, however many entries it has
-        cut = placed.withColumn("r", F.size(F.filter(bounds, lambda x: x < F.col("p"))) + F.size(F.filter(bounds, lambda x: x <= F.col("p"))))
-        sums = {x["r"]: x["s"] for x in cut.groupBy("r").agg(F.sum("size").alias("s")).collect()}
-        here = None
-        for k in sorted(sums):
-            here = k
-            if sums[k] >= amount:
+            place = F.expr(f"(t - ({r['a']}L)) div {-(-(r['b'] - r['a'] + 1) // RANGES)}L")
+        else:  # two bytes of the keys, from where they differ
+            place = F.floor(_start_of(F.substring(F.col("k"), F.lit(_common(r["ka"], r["kb"]) + 1), F.lit(6))) / (1 << 32))
+        sums = rows.groupBy(place.alias("r")).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s"), *told).orderBy("r").collect()  # a row a range
+        if len(sums) == 1:
+            break  # keys that agree in more than what the numbers tell
+        for r in sums:
+            if r["s"] >= amount:
                 break
-            amount -= sums[k]
+            amount -= r["s"]
         else:
-            here, amount = k, amount + sums[k]
-        if len(sums) == 1 and r["a"] == r["b"]:
-            break  # keys that agree in more than what the numbers tell
-        rows = cut.where(F.col("r") == here).select("t", "k", "size")
+            amount += r["s"]
+        rows = entries.where(F.col("t").between(r["a"], r["b"]))
+        if r["a"] == r["b"]:
+            rows = rows.where(F.col("k").between(r["ka"], r["kb"]))
     before = F.sum("size").over(Window.orderBy("t", "k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     last = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < amount).agg(F.max(F.struct("t", "k")).alias("e")).first()["e"]
     if last is None:
@@ -186,6 +214,5 @@ def evict_per_document(ledger: DataFrame, capacity: int, percent: int = 30) -> D
     """What is left when no document may hold more than ``percent`` of the capacity: its least recently used entries go.
     A document's entries lie in many ranges of time, however many it has."""
     cap = capacity * percent // 100
-    whole = ledger.groupBy(F.col("doc_fp").alias("_doc")).agg(F.sum("size").alias("_whole"))
-    placed = sizes_before(ledger, ["last_access", "key"], by="doc_fp").join(whole, F.col("doc_fp").eqNullSafe(F.col("_doc")))
+    placed = _placed(ledger, ["last_access", "key"], None, "doc_fp")
     return placed.where(F.col("_whole") - F.col("before") <= cap).select(*ledger.columns)

@@ -235,3 +235,25 @@ def test_ledger_has_bloom_filters(spark, tmp_path):
     rows = spark.range(2000).selectExpr("cast(id as string) as key", "id as size", "timestamp_seconds(id) as last_access", "concat('d', id % 50) as doc_fp")
     T.write_ledger(rows, str(tmp_path / "l"))
     assert T.ledger_entries(spark, str(tmp_path / "l"), ["d7", "d9"]).count() == 80 and T.ledger_entries(spark, str(tmp_path / "l"), []).count() == 0
+
+
+def test_offsets_of_ranges_reach_rows_without_a_join(spark):
+    """The join of ranges to their offsets had a plan that failed on 1.2 million entries."""
+    df = ledger(spark, [(f"k{i}", 10, i % 9, "xy"[i % 2]) for i in range(40)])
+    left = L.evict_per_document(df, 1000, 10)
+    assert "Join" not in left._jdf.queryExecution().optimizedPlan().toString()
+    assert left.count() == 20
+
+
+def test_eviction_reads_the_entries_few_times(spark):
+    """A range is told by its times, so no pass repeats what earlier ones have cut."""
+    rows = [(f"{i:05d}", 1 + i % 5, 10**6 if i % 3 else i * i, "d") for i in range(300)]
+    total, gone, df = sum(r[1] for r in rows), set(), ledger(spark, rows)
+    for key, size, _, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        if total <= 150:
+            break
+        gone.add(key)
+        total -= size
+    test = L.oldest(df, sum(r[1] for r in rows) - 150, few=5)
+    assert {r["key"] for r in df.where(test).collect()} == gone
+    assert "filter(" not in df.where(test)._jdf.queryExecution().optimizedPlan().toString()
