@@ -168,67 +168,104 @@ def _best_of_units(view: Snapshot, units: list[Unit], k: int, fp: str | None, an
     return matched.select("fp", "page_index", rank.alias("rank")).orderBy("rank", "fp", "page_index").limit(k)
 
 
-def asked_units(queries: DataFrame) -> DataFrame:
-    """One row per word of each query (query_id, text, max_results[, op, fp, unwanted]): (query_id, op, k, only,
-    n_units, unit, word, n_words, term, prefix, wanted)."""
+#: Rows of a table of queries (or of their words) up to which it goes to all tasks; a longer one is joined as Spark decides.
+MANY = 200_000
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(MANY + 1).count() <= MANY else rows
+
+
+def asked_queries(queries: DataFrame) -> DataFrame:
+    """(query_id, op, k, only, t, u) of a table (query_id, text, max_results[, op, fp, unwanted]): words, and unwanted words."""
     column = lambda name, kind: (F.col(name) if name in queries.columns else F.lit(None)).cast(kind)
     op = F.coalesce(F.lower(column("op", "string")), F.lit("all"))
     base = queries.where(real_query(F.col("text"), F.col("max_results"))).select(
         "query_id", op.alias("op"), F.col("max_results").alias("k"), column("fp", "string").alias("only"), tokenize(F.col("text")).alias("t"), tokenize(F.coalesce(column("unwanted", "string"), F.lit(""))).alias("u")
     )
-    whole = F.col("op").isin("phrase", "prefix")
-    base = base.withColumn("t", F.when(F.col("op") == "near", F.array_distinct("t")).otherwise(F.col("t")))
-    base = base.where(F.size("t") > 0).withColumn("n_units", F.when(whole, 1).otherwise(F.size("t")))
-    word = base.select("*", F.posexplode("t").alias("i", "term"))
-    last = (F.col("op") == "prefix") & (F.col("i") == F.size("t") - 1)
-    ids = ["query_id", "op", "k", "only", "n_units"]
-    wanted = word.select(*ids, F.when(whole, 0).otherwise(F.col("i")).alias("unit"), F.when(whole, F.col("i")).otherwise(0).alias("word"), F.when(whole, F.size("t")).otherwise(1).alias("n_words"), "term", last.alias("prefix"), F.lit(True).alias("wanted"))
-    against = base.select(*ids, F.posexplode("u").alias("unit", "term")).select(*ids, "unit", F.lit(0).alias("word"), F.lit(1).alias("n_words"), "term", F.lit(False).alias("prefix"), F.lit(False).alias("wanted"))
-    return wanted.unionByName(against)
-
-
-def _expanded(asked: DataFrame, terms: DataFrame) -> DataFrame:
-    """``asked`` with each prefix replaced by the terms that begin with it: an equi-join on the asked lengths."""
-    prefixes = asked.where("prefix")
-    lengths = prefixes.agg(F.collect_set(F.length("term"))).scalar()  # no more than lengths of words
-    opened = terms.select(F.col("term").alias("full"), F.explode(lengths).alias("n")).where(F.col("n") <= F.length("full"))
-    opened = opened.select("full", F.substring(F.col("full"), F.lit(1), F.col("n")).alias("start"))
-    found = prefixes.join(opened, F.col("term") == F.col("start")).drop("term", "start").withColumnRenamed("full", "term")
-    return asked.where("not prefix").unionByName(found.select(*asked.columns))
+    return base.withColumn("t", F.when(F.col("op") == "near", F.array_distinct("t")).otherwise(F.col("t"))).where(F.size("t") > 0)
+
+
+def _opened(asked: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, term): the dictionary's words that begin with the last word of a prefix query: an equi-join on the asked lengths."""
+    prefixes = asked.where("op = 'prefix'").select("query_id", F.element_at("t", -1).alias("start"))
+    lengths = prefixes.agg(F.collect_set(F.length("start"))).scalar()  # no more than lengths of words
+    opened = terms.select("term", F.explode(lengths).alias("n")).where(F.col("n") <= F.length("term"))
+    opened = opened.select("term", F.substring(F.col("term"), F.lit(1), F.col("n")).alias("start"))
+    return prefixes.join(opened, "start").select("query_id", "term")
+
+
+def _with_leads(asked: DataFrame, terms: DataFrame, positional: bool) -> tuple[DataFrame, DataFrame]:
+    """(the words to look for, queries by each word that leads to their pages).
+
+    Where all words must be there, the rarest one leads; else each of them (each word with the prefix, if that is all there is).
+    ``dfs`` is parallel to ``t``. Queries with a word that no page has are left out, if they need it.
+    """
+    words = asked.select("query_id", F.posexplode("t").alias("i", "term"))
+    unwanted = asked.select(F.explode("u").alias("term"))
+    known = terms.select("term", "df").join(_sent(words.select("term").unionByName(unwanted).distinct()), "term")
+    numbers = words.join(_sent(known), "term", "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("i", "df"))).alias("dfs"))
+    told = asked.join(numbers.select("query_id", F.transform("dfs", lambda x: x["df"]).alias("dfs")), "query_id")
+    whole = F.when(F.col("op") == "prefix", F.size("t") - 1).otherwise(F.size("t"))
+    ranked = F.array_sort(F.transform(F.slice(F.arrays_zip("dfs", "t"), F.lit(1), whole), lambda x: F.struct(x["dfs"].alias("df"), x["t"].alias("term"))))
+    each = F.col("op") == "any"
+    first = F.when(each, F.array_distinct(F.transform(ranked, lambda x: x["term"]))).when(F.col("op") == "first", F.array(F.get("t", F.lit(0)))).when(whole > 0, F.array(F.get(ranked, F.lit(0))["term"])).otherwise(F.array())
+    told = told.where(each | ~F.exists(ranked, lambda x: x["df"].isNull()))
+    leads = told.withColumn("lead", F.explode(first))
+    wanted = known.select("term")
+    if positional:
+        opened = _opened(asked, terms)
+        alone = told.where(whole == 0).join(opened.withColumnRenamed("term", "lead"), "query_id")
+        leads, wanted = leads.unionByName(alone.select(*leads.columns)), wanted.unionByName(opened.select("term"))
+    return wanted.distinct(), leads
 
 
 def score_index(index: StoredIndex, queries: DataFrame, near: int = NEAR) -> DataFrame:
-    """(query_id, fp, page_index, k, rank) of all pages that match a query of the table, each by its own operator."""
+    """(query_id, fp, page_index, k, rank) of all pages that match a query of the table, each by its own operator.
+
+    A posting of an asked word is read and shuffled once, whatever the number of queries that ask for it: a page's are gathered, and
+    meet the queries there, each by one word that leads to it. What is told of a page and a query stays in its row.
+    """
     view = index.now()
-    asked = asked_units(queries)
-    terms = view.terms()
-    hits = view.postings_of(_expanded(asked, terms))
-    alone = (F.col("n_words") == 1) & ~F.col("prefix") & (F.col("op") != "first")
-    one = hits.where(alone).join(terms.select("term", "df"), "term")
-    keys = ["query_id", "op", "k", "only", "n_units", "unit", "wanted", "fp", "page_index", "dl"]
-    one = one.select(*keys, F.col("df"), F.size("positions").alias("tf"), "positions")
-    # phrases, prefixes and first words: places where a unit begins, then their number
-    begun = hits.where(~alone & F.col("wanted")).select(*keys, "n_words", F.explode(F.transform("positions", lambda p: p - F.col("word"))).alias("start"))
-    begun = begun.where((F.col("op") != "first") | (F.col("start") == 0)).groupBy(*keys, "n_words", "start").agg(F.count(F.lit(1)).alias("c")).where("c = n_words")
-    more = begun.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    df = more.groupBy("query_id", "unit").agg(F.count(F.lit(1)).alias("df"))
-    more = more.join(df, ["query_id", "unit"]).select(*keys, "df", "tf", F.lit(None).cast("array<int>").alias("positions"))
-    units = one.unionByName(more)
-    part = weight(idf(F.lit(view.n_pages), F.col("df")), F.col("tf"), F.col("dl"), F.lit(view.avgdl))
-    inside = F.col("only").isNull() | (F.col("only") == F.col("fp"))
-    page = ["query_id", "fp", "page_index"]
-    found = units.where(inside)
-    pages = found.groupBy(*page, "op", "k", "n_units").agg(
-        (-F.sum(F.when(F.col("wanted"), part))).alias("rank"), F.count(F.when(F.col("wanted"), 1)).alias("met"), F.count(F.when(~F.col("wanted"), 1)).alias("bad")
-    )
-    pages = pages.where((F.col("bad") == 0) & F.when(F.col("op") == "any", F.col("met") > 0).otherwise(F.col("met") == F.col("n_units")))
-    # places of words are gathered, page by page, for near queries only
-    spots = found.where((F.col("op") == "near") & F.col("wanted")).select(*page, "n_units", F.explode("positions").alias("at"), "unit")
-    spots = spots.groupBy(*page, "n_units").agg(F.collect_list(F.struct("at", "unit")).alias("spots"))
-    spots = spots.withColumn("spots", F.array_sort("spots"))
-    close = within(F.col("spots"), F.col("n_units"), near)
-    together = pages.where("op = 'near'").join(spots.where(close).select(*page), page, "left_semi")
-    return pages.where("op <> 'near'").unionByName(together).select("query_id", "fp", "page_index", "k", "rank")
+    positional = "op" in queries.columns
+    wanted, leads = _with_leads(asked_queries(queries), view.terms(), positional)
+    posts = view.postings_of(wanted if positional else _sent(wanted))
+    entry = F.struct("term", "tf", *(["positions"] if positional else []))
+    pages = posts.groupBy("fp", "page_index", "dl").agg(F.collect_list(entry).alias("entries"))
+    lead = F.explode(F.array_distinct(F.transform("entries", lambda e: e["term"])))
+    met = pages.select("*", lead.alias("lead")).join(_sent(leads), "lead")
+    entries, t = F.col("entries"), F.col("t")
+    of = lambda w: F.filter(entries, lambda e: e["term"] == w)
+    tf = lambda w: F.aggregate(of(w), F.lit(0), lambda n, e: n + e["tf"])
+    there = lambda w: F.exists(entries, lambda e: e["term"] == w)
+    # of several words that lead to a page, the first there is counts
+    opened = (F.col("op") == "prefix") & (F.size("t") == 1)
+    leading = F.filter(F.transform("entries", lambda e: e["term"]), lambda w: F.when(opened, w.startswith(F.get(t, F.lit(0)))).otherwise(F.array_contains(t, w)))
+    several = (F.col("op") == "any") | opened
+    met = met.where(F.when(several, F.col("lead") == F.array_min(leading)).otherwise(True) & F.when(F.col("op").isin("any", "prefix"), True).otherwise(F.forall("t", there)))
+    inside = (F.col("only").isNull() | (F.col("only") == F.col("fp"))) & ~F.exists("u", there)
+    out = ["query_id", "fp", "page_index", "k", "rank"]
+    n_pages, avgdl = F.lit(view.n_pages), F.lit(view.avgdl)
+    share = lambda df, n: weight(idf(n_pages, df), n, F.col("dl"), avgdl)
+    plain = met.where(inside & ~F.col("op").isin("phrase", "prefix", "first")) if positional else met.where(inside)
+    if positional:
+        # places of words are gathered for near queries only
+        at = F.transform("t", lambda w, i: F.transform(F.flatten(F.transform(of(w), lambda e: e["positions"])), lambda p: F.struct(p.alias("at"), i.alias("unit"))))
+        plain = plain.where(F.when(F.col("op") == "near", within(F.array_sort(F.flatten(at)), F.size("t"), near)).otherwise(True))
+    sums = F.aggregate(F.arrays_zip("t", "dfs"), F.lit(0.0), lambda x, w: x + F.when(there(w["t"]), share(w["dfs"], tf(w["t"]))).otherwise(0.0))
+    plain = plain.withColumn("rank", -sums).select(*out)
+    if not positional:
+        return plain
+    # phrases, prefixes and first words: places where the unit begins, and then the pages that have it
+    last = F.size("t") - 1
+    places = F.transform("t", lambda w, i: F.transform(F.flatten(F.transform(F.filter(entries, lambda e: F.when((F.col("op") == "prefix") & (i == last), e["term"].startswith(w)).otherwise(e["term"] == w)), lambda e: e["positions"])), lambda p: p - i))
+    begun = F.aggregate(F.slice(places, F.lit(2), F.size(places)), F.get(places, F.lit(0)), F.array_intersect)
+    first = F.when(F.forall("t", lambda w: F.exists(of(w), lambda e: F.array_contains(e["positions"], 0))), 1).otherwise(0)
+    found = met.where(F.col("op").isin("phrase", "prefix", "first")).withColumn("tf", F.when(F.col("op") == "first", first).otherwise(F.size(begun))).where("tf > 0")
+    found = found.select("query_id", "fp", "page_index", "k", "dl", "tf", F.when(F.col("op") == "first", F.size("t")).otherwise(1).alias("units"), inside.alias("inside"))
+    df = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("df"))
+    more = found.where("inside").join(df, "query_id")
+    return plain.unionByName(more.withColumn("rank", -share(F.col("df"), F.col("tf")) * F.col("units")).select(*out))
 
 
 def search_index_batch(index: StoredIndex, queries: DataFrame, near: int = NEAR) -> DataFrame:
