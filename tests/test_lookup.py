@@ -1,6 +1,7 @@
 """Search over a stored index equals search by scanning pages; its tables can be kept up to date."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +118,13 @@ def test_postings_follow_changes(spark):
     assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, I.term_stats(I.postings(want)).collect()))
     whole = I.updated_totals(I.totals(base), base.join(fps, "fp", "left_semi"), new)
     assert tuple(whole.first()) == tuple(I.totals(want).first())
+
+
+def test_postings_are_not_repeated_for_each_query(spark, stored):
+    """A page's postings are gathered by page; no row of a query and a page is shuffled to be summed."""
+    queries = spark.createDataFrame([(i, "the cat", 5) for i in range(9)], "query_id long, text string, max_results int")
+    scored = K.score_index(stored[1], queries)
+    assert not re.search(r"Aggregate \[query_id#\d+L?, fp#", scored._jdf.queryExecution().optimizedPlan().toString())
+    ranks = {(r["query_id"], r["fp"], r["page_index"]): round(r["rank"], 9) for r in scored.collect()}
+    alone = {(r["fp"], r["page_index"]): round(r["rank"], 9) for r in Q.search_ranked(stored[0], P.terms("the cat"), 1000).collect()}
+    assert ranks == {(i, *page): rank for i in range(9) for page, rank in alone.items()} and alone
