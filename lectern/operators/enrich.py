@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lectern.functions.scalars import OCR_FLAGS, OCR_ZOOM
+from lectern.functions.text import let
 
 KEY = ("fp", "page_index", "engine_version", "zoom_bucket", "flags")
 
@@ -67,5 +68,9 @@ def extract(files: DataFrame, kind_col: str = "kind") -> DataFrame:
 
 def error_rate(pairs: DataFrame, by: str) -> DataFrame:
     """Character error rate of (by, expected, recognised): edits per expected character."""
-    edits = F.levenshtein(F.coalesce("expected", F.lit("")), F.coalesce("recognised", F.lit("")))
-    return pairs.groupBy(by).agg((F.sum(edits) / F.greatest(F.sum(F.length(F.coalesce("expected", F.lit("")))), F.lit(1))).alias("cer"), F.count(F.lit(1)).alias("pages"))
+    left, right = F.coalesce("expected", F.lit("")), F.coalesce("recognised", F.lit(""))
+    # the difference in length is the least number of edits; a band of that width is tried before wider ones, and at last all
+    least = F.abs(F.length(left) - F.length(right))
+    within = lambda most: let(F.call_function("levenshtein", left, right, most), lambda n: F.when(n >= 0, n))
+    edits = F.coalesce(within(least), within(2 * least + 16), F.levenshtein(left, right))
+    return pairs.groupBy(by).agg((F.sum(edits) / F.greatest(F.sum(F.length(left)), F.lit(1))).alias("cer"), F.count(F.lit(1)).alias("pages"))

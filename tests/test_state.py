@@ -257,3 +257,10 @@ def test_eviction_reads_the_entries_few_times(spark):
     test = L.oldest(df, sum(r[1] for r in rows) - 150, few=5)
     assert {r["key"] for r in df.where(test).collect()} == gone
     assert "filter(" not in df.where(test)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_error_rate_in_bands(spark):
+    """The band of the length's difference is enough, or a wider one, or all; nulls are empty."""
+    pairs = spark.createDataFrame([("x", "abcdef", "abdf"), ("x", "abc", "cab"), ("x", "a" * 60, "b" * 60), ("x", None, "q"), ("x", "", None)], "lang string, expected string, recognised string")
+    told = E.error_rate(pairs, "lang")
+    assert told.first()["cer"] == (2 + 2 + 60 + 1) / 69 and "array(levenshtein(" in told._jdf.queryExecution().optimizedPlan().toString()
