@@ -43,11 +43,11 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_postings(posts: DataFrame, folder: str, buckets: int = 16, spread: int = 4) -> None:
-    """Postings by bucket of the term, so that a lookup reads one folder. Each bucket is written by ``spread`` tasks (by
-    document), as frequent terms make buckets of very different sizes."""
-    rows = posts.withColumn("term_bucket", bucket_of(F.col("term"), buckets)).withColumn("_part", F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(spread)))
-    rows.repartition(buckets * spread, "term_bucket", "_part").drop("_part").sortWithinPartitions("term_bucket", "term").write.mode("overwrite").partitionBy("term_bucket").parquet(folder)
+def write_postings(posts: DataFrame, folder: str, buckets: int = 16) -> None:
+    """Postings by bucket of the term, so that a lookup reads one folder. Buckets are split over tasks by their size (Spark's
+    rebalancing), as frequent terms make some much larger than others; so a task's rows don't grow with the table."""
+    rows = posts.withColumn("term_bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", "term_bucket")
+    rows.sortWithinPartitions("term_bucket", "term").write.mode("overwrite").partitionBy("term_bucket").parquet(folder)
 
 
 def read_postings(spark: SparkSession, folder: str, terms: list[str] | None = None, buckets: int = 16) -> DataFrame:

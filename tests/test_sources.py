@@ -182,3 +182,10 @@ def test_recents_stream_in_order(spark, tmp_path):
     assert got == {w: R.replay_python([(op, p) for x, _, op, p in steps if x == w], []) for w in ("w", None)}
     waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "c"))
     assert 0 < waiting.count() < 200
+
+
+def test_postings_tasks_follow_their_size(spark, tmp_path):
+    """Few postings of a term are one file; how many tasks write a bucket is not fixed."""
+    posts = spark.range(40).selectExpr("'a' AS term", "concat('d', id) AS fp", "0 AS page_index", "3 AS dl", "1 AS tf")
+    T.write_postings(posts, str(tmp_path / "p"))
+    assert len(list((tmp_path / "p").rglob("part-*.parquet"))) == 1
