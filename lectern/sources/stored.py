@@ -266,10 +266,7 @@ class StoredIndex:
         blocked = with_tokens(stored.join(F.broadcast(numbered), "cell").withColumn("block", block))
         posts = postings(blocked, positions=True, keep=("block",)).withColumn("term_bucket", bucket_of(F.col("term"), segment.buckets))
         self._write_postings(segment, posts)
-        counted = stored.groupBy("fp").agg(F.count(F.lit(1)).alias("page_count"), F.sum("dl").alias("n_tokens"))
-        each = view.read(segment, "postings", POSTINGS).groupBy("fp", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        forward = each.groupBy("fp").agg(F.collect_list(F.struct("term", "df", "cf")).alias("terms"))  # a document's vocabulary
-        told = docs.select("fp", "path").dropDuplicates(["fp"]).join(counted, "fp", "left").join(forward, "fp", "left")
+        told = docs.select("fp", "path").dropDuplicates(["fp"]).join(self._counted(stored), "fp", "left")
         zero, none = F.lit(0).cast("long"), F.array().cast("array<struct<term:string,df:bigint,cf:bigint>>")
         told = told.select("fp", "path", F.coalesce("page_count", zero).alias("page_count"), F.coalesce("n_tokens", zero).alias("n_tokens"), indexed_at.cast("timestamp").alias("last_indexed"), F.coalesce("terms", none).alias("terms"))
         self._write_documents(segment, told)
@@ -278,6 +275,20 @@ class StoredIndex:
             self._write_trigrams(segment, each)
         return segment
 
+    @staticmethod
+    def _counted(stored: DataFrame) -> DataFrame:
+        """(fp, page_count, n_tokens, terms) of the stored pages: a document's texts come together once, and its words are counted
+        where they are, without a shuffle of postings."""
+        row = lambda term, df, cf: F.struct(term.alias("term"), df.cast("long").alias("df"), cf.cast("long").alias("cf"))
+        one, zero, none, tokens = F.lit(1), F.lit(0), F.lit(None).cast("string"), F.col("tokens")
+        # the row without a term is the page's own
+        rows = F.concat(F.array(row(none, one, F.size(tokens))), F.transform(tokens, lambda t: row(t, zero, one)), F.transform(F.array_distinct(tokens), lambda t: row(t, one, zero)))
+        each = with_tokens(stored.select("fp", "text").repartition("fp")).select("fp", F.inline(rows))
+        each = each.groupBy("fp", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        page = lambda c: F.coalesce(F.max(F.when(F.col("term").isNull(), F.col(c))), F.lit(0))
+        terms = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "df", "cf")))  # a document's vocabulary
+        return each.groupBy("fp").agg(page("df").alias("page_count"), page("cf").alias("n_tokens"), terms.alias("terms"))
+
     def _write_trigrams(self, segment: Segment, rows: DataFrame) -> None:
         rows = rows.withColumn("gram_bucket", bucket_of(F.col("gram"), segment.buckets))
         self._write(rows.hint("rebalance", "gram_bucket").sortWithinPartitions("gram_bucket", "gram"), f"segments/{segment.name}/trigrams", "gram_bucket")

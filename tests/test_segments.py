@@ -180,3 +180,11 @@ def test_substrings_by_trigrams(spark, tmp_path):
     index.upsert(pages.where("fp = 'd0'"), pages.where("fp = 'd0'").withColumn("text", F.lit("new monkey")), at(), "c1")
     assert [r["fp"] for r in K.substring_index(index, "onkey").collect()] == ["d0"] and {r["fp"] for r in K.substring_index(index, "KEY").collect()} == {"d0", "d2"}
     assert index.merge("m", everything=True) and index.now().segments[0].trigrams and {r["fp"] for r in K.substring_index(index, "KEY").collect()} == {"d0", "d2"}
+
+
+def test_forward_index_shuffles_texts_once(spark):
+    pages = spark.createDataFrame([("d", 0, "a b a"), ("d", 1, "b ..."), ("e", 0, "")], "fp string, page_index int, text string")
+    counted = StoredIndex._counted(pages)
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r["fp"]: (r["page_count"], r["n_tokens"], sorted(map(tuple, r["terms"]))) for r in counted.collect()}
+    assert got == {"d": (2, 4, [("a", 1, 2), ("b", 2, 2)]), "e": (1, 0, [])}
