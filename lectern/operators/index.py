@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lectern.functions.text import tokenize
 
-from lectern.functions.text import let, tokenize
+#: Tokens that a task holds as numbers at once, if no page alone has more.
+CHUNK = 1 << 19
 
 
 def page_layers(docs: DataFrame, fp: Column, text: Column, path: Column, sep: str = "\n") -> DataFrame:
@@ -18,30 +27,104 @@ def with_tokens(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("text").isNotNull()).withColumn("tokens", tokenize(F.col("text"))).withColumn("dl", F.size("tokens"))
 
 
-def runs(tokens: Column) -> Column:
-    """(term, positions) of each distinct token of a page: its tokens sorted with their places and cut
-    where the word changes. No shuffle: a page's tokens lie in one row."""
-    placed = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at"))))
-
-    def cut_up(x: Column) -> Column:
-        starts = F.filter(F.transform(x, lambda e, i: F.when((i == 0) | (e["term"] != F.get(x, i - 1)["term"]), i)), lambda i: i.isNotNull())
-
-        def run(s: Column) -> Column:
-            def one(i: Column, k: Column) -> Column:
-                own = F.slice(x, i + 1, F.coalesce(F.get(s, k + 1), F.size(x)) - i)
-                return F.struct(F.get(x, i)["term"].alias("term"), F.transform(own, lambda e: e["at"]).alias("positions"))
-
-            return F.transform(s, one)
-
-        return let(starts, run)
-
-    return let(placed, cut_up)
+def slices(batch: pa.RecordBatch, name: str = "tokens") -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Parts of a batch of about ``CHUNK`` tokens, with each row's number of them."""
+    sizes = pc.fill_null(pc.list_value_length(batch[name]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(sizes) // CHUNK
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+    for s, e in zip(edges[:-1], edges[1:], strict=True):
+        if e > s:
+            yield batch.slice(s, e - s), sizes[s:e]
 
 
 def postings(pages: DataFrame, positions: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(term, fp, page_index, dl, tf[, positions]) of pages with tokens, and the columns ``keep`` of the page."""
-    each = pages.select("fp", "page_index", "dl", *keep, F.inline(runs(F.col("tokens"))))
-    return each.select("term", "fp", "page_index", "dl", F.size("positions").alias("tf"), *(["positions"] if positions else []), *keep)
+    """(term, fp, page_index, dl, tf[, positions]) of pages with tokens, and the columns ``keep`` of the page.
+
+    No shuffle: a page's tokens lie in one row. A part of a batch is numbered and sorted at once."""
+    names = ["fp", "page_index", "dl", *keep]
+    slim = pages.select(*names, "tokens")
+    fields = [slim.schema[n] for n in names]
+    more = [T.StructField("positions", T.ArrayType(T.IntegerType()))] if positions else []
+    schema = T.StructType([T.StructField("term", T.StringType()), *fields[:3], T.StructField("tf", T.IntegerType()), *more, *fields[3:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, sizes in slices(batch):
+                coded = b["tokens"].flatten().dictionary_encode()
+                n = len(coded)
+                row = np.repeat(np.arange(b.num_rows), sizes)
+                key = row * len(coded.dictionary) + coded.indices.to_numpy()
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), n) if n else np.zeros(1, np.int64)
+                first = order[edges[:-1]]
+                out = {c: b[c].take(pa.array(row[first])) for c in names}
+                out["term"] = coded.dictionary.take(coded.indices.take(pa.array(first)))
+                out["tf"] = pa.array(np.diff(edges).astype(np.int32))
+                if positions:
+                    at = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    out["positions"] = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(at[order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([out[f.name] for f in schema], [f.name for f in schema])
+
+    return slim.mapInArrow(run, schema)
+
+
+def forward_index(rows: DataFrame) -> DataFrame:
+    """(fp, path, named, page_count, n_tokens, terms (term, df, cf)) of rows (fp, path, named, tokens); a row without tokens is no page.
+
+    A document's rows come together once, and its words are counted where they are. What is held of the
+    document that the next batch goes on with is its vocabulary."""
+    schema = "fp string, path string, named boolean, page_count long, n_tokens long, terms array<struct<term:string,df:bigint,cf:bigint>>"
+
+    def made(fp, path, named, page_count, n_tokens, edges, term, df, cf) -> pa.RecordBatch:
+        terms = pa.ListArray.from_arrays(pa.array(np.asarray(edges, np.int32)), pa.StructArray.from_arrays([term, pa.array(df, pa.int64()), pa.array(cf, pa.int64())], ["term", "df", "cf"]))
+        values = [pa.array(fp, pa.string()), pa.array(path, pa.string()), pa.array(named, pa.bool_()), pa.array(page_count, pa.int64()), pa.array(n_tokens, pa.int64()), terms]
+        return pa.RecordBatch.from_arrays(values, ["fp", "path", "named", "page_count", "n_tokens", "terms"])
+
+    def counted(b: pa.RecordBatch, sizes: np.ndarray) -> pa.RecordBatch:
+        """The part's documents, each a run of rows."""
+        docs = b["fp"].dictionary_encode()
+        doc, n_docs = docs.indices.to_numpy().astype(np.int64), len(docs.dictionary)
+        coded = b["tokens"].flatten().dictionary_encode()
+        n_terms, code = max(1, len(coded.dictionary)), coded.indices.to_numpy()
+        row = np.repeat(np.arange(b.num_rows), sizes)
+        pair, often = np.unique(row * n_terms + code, return_counts=True)
+        key, place = np.unique(doc[pair // n_terms] * n_terms + pair % n_terms, return_inverse=True)
+        df, cf = np.bincount(place, minlength=len(key)), np.bincount(place, often, len(key)).astype(np.int64)
+        page = b["tokens"].is_valid().to_numpy(zero_copy_only=False)
+        named, paths = b["named"].to_numpy(zero_copy_only=False).astype(bool), [None] * n_docs
+        for k in np.flatnonzero(named):
+            paths[doc[k]] = b["path"][int(k)].as_py()
+        total = lambda w: np.bincount(doc, w, n_docs).astype(np.int64)
+        return made(docs.dictionary, paths, total(named) > 0, total(page), total(sizes), np.searchsorted(key, np.arange(n_docs + 1) * n_terms), coded.dictionary.take(pa.array(key % n_terms)), df, cf)
+
+    def joined(a: pa.RecordBatch, b: pa.RecordBatch) -> pa.RecordBatch:
+        """Two parts of one document."""
+        both = pa.concat_arrays([a["terms"].flatten(), b["terms"].flatten()])
+        coded = both.field("term").dictionary_encode()
+        code, n = coded.indices.to_numpy(), len(coded.dictionary)
+        total = lambda name: np.bincount(code, both.field(name).to_numpy(), n).astype(np.int64)
+        x, y = ({c: r[c][0].as_py() for c in ("fp", "path", "named", "page_count", "n_tokens")} for r in (a, b))
+        source = x if x["named"] else y
+        return made([x["fp"]], [source["path"]], [x["named"] or y["named"]], [x["page_count"] + y["page_count"]], [x["n_tokens"] + y["n_tokens"]], [0, n], coded.dictionary, total("df"), total("cf"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for b, sizes in slices(batch):
+                part = counted(b, sizes)
+                if held is not None and held["fp"][0] == part["fp"][0]:
+                    held, part = joined(held, part.slice(0, 1)), part.slice(1)
+                if part.num_rows:
+                    if held is not None:
+                        yield held
+                    if part.num_rows > 1:
+                        yield part.slice(0, part.num_rows - 1)
+                    held = part.slice(part.num_rows - 1)
+        if held is not None:
+            yield held
+
+    return rows.select("fp", "path", "named", "tokens").mapInArrow(run, schema)
 
 
 def totals(pages: DataFrame) -> DataFrame:

@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import let
-from lectern.operators.index import postings, with_tokens
+from lectern.functions.text import let, tokenize
+from lectern.operators.index import forward_index, postings, with_tokens
 from lectern.operators.search import B, K1
 from lectern.sources.tables import bucket_of
 
@@ -266,9 +266,7 @@ class StoredIndex:
         blocked = with_tokens(stored.join(F.broadcast(numbered), "cell").withColumn("block", block))
         posts = postings(blocked, positions=True, keep=("block",)).withColumn("term_bucket", bucket_of(F.col("term"), segment.buckets))
         self._write_postings(segment, posts)
-        told = docs.select("fp", "path").dropDuplicates(["fp"]).join(self._counted(stored), "fp", "left")
-        zero, none = F.lit(0).cast("long"), F.array().cast("array<struct<term:string,df:bigint,cf:bigint>>")
-        told = told.select("fp", "path", F.coalesce("page_count", zero).alias("page_count"), F.coalesce("n_tokens", zero).alias("n_tokens"), indexed_at.cast("timestamp").alias("last_indexed"), F.coalesce("terms", none).alias("terms"))
+        told = self._counted(stored, docs.select("fp", "path").dropDuplicates(["fp"])).withColumn("last_indexed", indexed_at.cast("timestamp"))
         self._write_documents(segment, told)
         if self.trigrams:
             each = stored.select("fp", "page_index", F.explode(trigrams_of(F.col("text"))).alias("gram"))
@@ -276,18 +274,14 @@ class StoredIndex:
         return segment
 
     @staticmethod
-    def _counted(stored: DataFrame) -> DataFrame:
-        """(fp, page_count, n_tokens, terms) of the stored pages: a document's texts come together once, and its words are counted
-        where they are, without a shuffle of postings."""
-        row = lambda term, df, cf: F.struct(term.alias("term"), df.cast("long").alias("df"), cf.cast("long").alias("cf"))
-        one, zero, none, tokens = F.lit(1), F.lit(0), F.lit(None).cast("string"), F.col("tokens")
-        # the row without a term is the page's own
-        rows = F.concat(F.array(row(none, one, F.size(tokens))), F.transform(tokens, lambda t: row(t, zero, one)), F.transform(F.array_distinct(tokens), lambda t: row(t, one, zero)))
-        each = with_tokens(stored.select("fp", "text").repartition("fp")).select("fp", F.inline(rows))
-        each = each.groupBy("fp", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
-        page = lambda c: F.coalesce(F.max(F.when(F.col("term").isNull(), F.col(c))), F.lit(0))
-        terms = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "df", "cf")))  # a document's vocabulary
-        return each.groupBy("fp").agg(page("df").alias("page_count"), page("cf").alias("n_tokens"), terms.alias("terms"))
+    def _counted(stored: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+        """(fp, path, page_count, n_tokens, terms) of the stored pages, or of ``docs`` (fp, path), with pages or without: a document's
+        texts come together once, and its words are counted where they are, without a shuffle of postings."""
+        rows = stored.where(F.col("text").isNotNull()).select("fp", F.lit(None).cast("string").alias("path"), F.lit(docs is None).alias("named"), "text")
+        if docs is not None:
+            rows = rows.unionByName(docs.select("fp", "path", F.lit(True).alias("named"), F.lit(None).cast("string").alias("text")))
+        rows = rows.repartition("fp").sortWithinPartitions("fp").withColumn("tokens", tokenize(F.col("text")))
+        return forward_index(rows).where("named").drop("named")
 
     def _write_trigrams(self, segment: Segment, rows: DataFrame) -> None:
         rows = rows.withColumn("gram_bucket", bucket_of(F.col("gram"), segment.buckets))

@@ -188,3 +188,22 @@ def test_forward_index_shuffles_texts_once(spark):
     assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     got = {r["fp"]: (r["page_count"], r["n_tokens"], sorted(map(tuple, r["terms"]))) for r in counted.collect()}
     assert got == {"d": (2, 4, [("a", 1, 2), ("b", 2, 2)]), "e": (1, 0, [])}
+
+
+def test_documents_are_counted_across_batches(spark):
+    """A document's rows in several batches and parts, documents without pages, a path of the documents' table: one shuffle of texts."""
+    rows = [(d, f"/p/{d}", i, " ".join(f"w{k % (i + 2)}" for k in range(i))) for d in "abc" for i in range(7)]
+    pages = spark.createDataFrame([*rows, ("d", None, 0, "")], PAGES)
+    docs = spark.createDataFrame([*((d, f"/q/{d}") for d in "abc"), ("d", None), ("e", "/q/e")], "fp string, path string")
+    counted, name = StoredIndex._counted(pages, docs), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        got = {r["fp"]: (r["path"], r["page_count"], r["n_tokens"], sorted(map(tuple, r["terms"]))) for r in counted.collect()}
+        posts = sorted(map(str, I.postings(I.with_tokens(pages), positions=True).collect()))
+    finally:
+        spark.conf.set(name, before)
+    own = [r[3].split() for r in rows if r[0] == "a"]
+    terms = [(w, sum(w in x for x in own), sum(x.count(w) for x in own)) for w in sorted({w for x in own for w in x})]
+    assert got == {d: (f"/q/{d}", 7, 21, terms) for d in "abc"} | {"d": (None, 1, 0, []), "e": ("/q/e", 0, 0, [])}
+    assert posts == sorted(map(str, I.postings(I.with_tokens(pages), positions=True).collect())) and len(posts) == 3 * sum(len(set(x)) for x in own)
