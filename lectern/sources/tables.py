@@ -13,19 +13,32 @@ assert ANNOTATION.startswith("id string")
 
 
 def write_annotations(annotations: DataFrame, folder: str) -> None:
-    """One JSON document per fp: {Version, Annotations in order}; nulls are left out; the job's commit makes it whole or not at all.
-    A document's annotations are one row of the file, so one document's must fit in a task."""
+    """One JSON line per document: {fp, Version, Annotations in order}; nulls are left out; the job's commit makes it whole or not at all.
+    A task writes its documents to one file, so files do not grow in number with documents. A document's annotations are one
+    line, so one document's must fit in a task."""
     fields = [c for c in ("id", "page_index", "kind", "color_hex", "bounds", "text", "ink_points", "created_at")]
     each = F.struct("seq", F.struct(*fields).alias("a"))
     docs = annotations.groupBy("fp").agg(F.transform(F.array_sort(F.collect_list(each)), lambda e: e["a"]).alias("Annotations"))
-    docs.select("fp", F.lit(1).alias("Version"), "Annotations").write.mode("overwrite").partitionBy("fp").json(folder)
+    docs.select("fp", F.lit(1).alias("Version"), "Annotations").write.mode("overwrite").json(folder)
 
 
 def read_annotations(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(annotations (fp, seq, ...), quarantine (fp, line)): a damaged file gives no annotations and no error."""
-    raw = spark.read.schema(f"{SIDECAR}, fp string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(folder)
+    """(annotations (fp, seq, ...), quarantine (fp, line)): a damaged line gives no annotations and no error.
+
+    A file may also be one document's own, in a folder ``fp=<name>``."""
+    source = spark.read.schema(f"{SIDECAR}, fp string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+    raw = source.option("recursiveFileLookup", "true").json(folder).withColumn("fp", F.coalesce("fp", _named_folder(F.col("_metadata.file_path"))))
     fine = raw.where("_corrupt is null").select("fp", F.posexplode("Annotations").alias("seq", "a")).select("fp", "seq", "a.*")
-    return fine, raw.where("_corrupt is not null and coalesce(Version, 0) >= 0").select("fp", F.col("_corrupt").alias("line"))
+    told = F.get_json_object(F.concat(F.regexp_extract("_corrupt", r'^\{"fp":"(?:[^"\\]|\\.)*"', 0), F.lit("}")), "$.fp")  # the line may break off behind it
+    return fine, raw.where("_corrupt is not null and coalesce(Version, 0) >= 0").select(F.coalesce("fp", told).alias("fp"), F.col("_corrupt").alias("line"))
+
+
+def _named_folder(path: Column) -> Column:
+    """The name in the path's folder ``fp=<name>``, if there is one; names are escaped in folders, and folders in paths."""
+    name = F.nullif(F.regexp_extract(path, "/fp=([^/]+)/[^/]*$", 1), F.lit(""))
+    for _ in range(2):
+        name = F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
+    return F.nullif(name, F.lit("__HIVE_DEFAULT_PARTITION__"))
 
 
 def write_layers(layers: DataFrame, folder: str, mode: str = "overwrite") -> None:

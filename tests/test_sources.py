@@ -81,6 +81,21 @@ def test_annotation_sidecars(spark, tmp_path):
     assert A.on_page(back, 2).count() == 2 and [r["id"] for r in A.in_order(back, "doc y").collect()] == ["y-0", "y-1", "y-2"]
 
 
+def test_annotation_files_do_not_follow_documents(spark, tmp_path):
+    """Many documents in few files; names of all kinds; a line that breaks off is told by its name; folders of single documents are read."""
+    names = [f"doc {k}" for k in range(300)] + ['a/b=c', 'quo"te\\', "50% +x", "é"]
+    df = spark.createDataFrame([(n, 0, f"id-{n}", 1, "Box") for n in names], "fp string, seq long, id string, page_index int, kind string")
+    df = df.selectExpr("*", "cast(null as string) as color_hex", "cast(null as struct<x:double,y:double,width:double,height:double>) as bounds", "cast(null as string) as text", "cast(null as array<struct<x:double,y:double>>) as ink_points", "cast(null as timestamp) as created_at")
+    out = str(tmp_path / "a")
+    T.write_annotations(df, out)
+    assert len(list(pathlib.Path(out).rglob("part-*.json"))) < 50
+    (pathlib.Path(out) / "part-torn.json").write_text('{"fp":"torn \\"1\\"","Version":1,"Annot')
+    df.limit(0).unionByName(df.where("fp in ('a/b=c', '50% +x')").withColumn("fp", F.concat("fp", F.lit("!")))).select("fp", F.lit(1).alias("Version"), F.array(F.struct("id", "page_index")).alias("Annotations")).write.mode("append").partitionBy("fp").json(out)
+    back, quarantine = T.read_annotations(spark, out)
+    assert sorted((r["fp"], r["id"]) for r in back.collect()) == sorted([(n, f"id-{n}") for n in names] + [(f"{n}!", f"id-{n}") for n in ("a/b=c", "50% +x")])
+    assert [r["fp"] for r in quarantine.collect()] == ['torn "1"']
+
+
 def test_layers(spark, tmp_path):
     """Runs that overlap, characters of all planes, repeated text that packs well, and a file that breaks off in its middle."""
     overlapping = [(t, i / 3, -2.0, 50.0, 9.75) for i, t in enumerate(["e\u0301", "𐍈", "", "\t", "דג"])]
