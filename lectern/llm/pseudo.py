@@ -179,10 +179,10 @@ class WindowNet:
         place = np.arange(n) + np.repeat(start - (np.cumsum(lengths) - lengths), lengths)
         row = np.full(n + SIDE * (len(lengths) + 1), self.classes, np.int32)
         row[place] = ids
-        return row[place[:, None] + np.array([k for k in range(-SIDE, SIDE + 1) if k])]
+        return row.take(place[:, None] + np.array([k for k in range(-SIDE, SIDE + 1) if k]))
 
     def hidden(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.views[0][ctx].reshape(len(ctx), -1)
+        x = self.views[0].take(ctx, axis=0).reshape(len(ctx), -1)
         h = x @ self.views[1]
         h += self.views[2]
         return x, np.tanh(h, out=h)
@@ -234,16 +234,16 @@ class WindowNet:
             np.subtract(1, h, out=h)
             dh *= h
             grad[1][:], grad[2][:] = x.T @ dh, dh.sum(axis=0)
-            d = emb.shape[1]
-            at = (ctx[:, :, None] * d + np.arange(d, dtype=ctx.dtype)).ravel()
-            grad[0][:] = np.bincount(at, weights=(dh @ w1.T).ravel(), minlength=emb.size).reshape(emb.shape)
+            at, dx = ctx.ravel(), np.ascontiguousarray((dh @ w1.T).reshape(-1, emb.shape[1]).T)
+            for k, each in enumerate(dx):
+                grad[0][:, k] = np.bincount(at, weights=each, minlength=len(emb))
 
     def log_probs(self, ids: np.ndarray, lengths: np.ndarray, chunk: int = 16384) -> np.ndarray:
         ctx, out = self.contexts(ids, lengths), np.empty(len(ids), np.float32)
         for s in range(0, len(ids), chunk):
             order = np.argsort(ids[s : s + chunk].astype(np.int16 if self.classes < 1 << 15 else np.int64), kind="stable") + s
             got = np.empty(len(order), np.float32)
-            self.pick(ctx[order], ids[order], got, None)
+            self.pick(ctx.take(order, axis=0), ids.take(order), got, None)
             out[order] = got
         return out.astype(np.float64)
 
@@ -256,7 +256,7 @@ class WindowNet:
         for s in range(0, len(order), batch):
             k = order[s : s + batch]
             k = k[np.argsort(small[k], kind="stable")]
-            self.pick(ctx[k], ids[k], None, views)
+            self.pick(ctx.take(k, axis=0), ids.take(k), None, views)
             grad /= len(k)
             square += grad * grad
             self.flat -= rate * grad / np.sqrt(square)

@@ -299,3 +299,29 @@ def test_an_id_of_many_rows_gives_few_training_rows(spark):
     many = [(1, "en", f"text {i % 400}") for i in range(900)] + [(i, "en", f"other {i}") for i in range(2, 40)] + [(5, None, "x"), (6, "de", None), (None, "de", "y")]
     rows = training_rows(spark.createDataFrame(many, "doc_id long, lang string, text string"), per_language=50)
     assert len(rows) == 50 and len({r["text"] for r in rows}) == 50
+
+
+def test_embedding_gradient_is_the_sum_over_places():
+    """Each class's gradient is the sum over all places of the context that hold it; classes that are nowhere have none."""
+    import numpy as np
+
+    from lectern.llm.pseudo import WindowNet
+
+    rng = np.random.default_rng(5)
+    net, ids = WindowNet(30), np.sort(rng.integers(0, 12, 500))
+    net.flat[:] = rng.normal(0, 0.3, len(net.flat))
+    ctx = rng.integers(0, 12, (500, 4)).astype(np.int32)
+    grad = net.split(np.zeros_like(net.flat))
+    net.pick(ctx, ids, None, grad)
+    step, want = 1e-2, np.zeros(31)
+    assert not grad[0][12:].any() and grad[0][:12].any()
+    for c in range(12):  # the loss's change when one class's embedding moves
+        loss = []
+        for sign in (1, -1):
+            moved = WindowNet(30, net.flat)
+            moved.views[0][c] += np.float32(sign * step)
+            out = np.empty(500, np.float32)
+            moved.pick(ctx, ids, out, None)
+            loss.append(-out.astype(np.float64).sum())
+        want[c] = (loss[0] - loss[1]) / (2 * step)
+    assert np.allclose(grad[0][:12].sum(axis=1), want[:12], rtol=0.02, atol=0.1)
