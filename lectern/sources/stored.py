@@ -241,7 +241,13 @@ class StoredIndex:
 
     def _write(self, df: DataFrame, at: str, by: str | None = None) -> None:
         writer = df.write.mode("overwrite")
-        (writer.partitionBy(by) if by else writer).parquet(f"{self.folder}/{at}")
+        conf, name = self.spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+        before = conf.get(name, None)
+        conf.set(name, str(16 << 20))  # batches of long pages stay small in the Python workers
+        try:
+            (writer.partitionBy(by) if by else writer).parquet(f"{self.folder}/{at}")
+        finally:
+            conf.unset(name) if before is None else conf.set(name, before)
 
     def _segment(self, name: str, docs: DataFrame, pages: DataFrame, indexed_at: Column, buckets: int | None, doc_buckets: int | None) -> Segment | None:
         """Write ``pages`` (fp, path, page_index, text) of ``docs`` (fp, path) as a segment."""
