@@ -27,8 +27,8 @@ shares; extra columns are ignored, also such as are named like the result's.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,6 @@ from lectern.llm.common import cut
 
 SIDE = 2  # words of context on either side
 SHAPE = {"embedding": 12, "hidden": 32}
-MEMO = 200_000
 #: Bytes of text whose distinct words are counted and looked up together.
 BLOCK = 24 << 20
 
@@ -65,26 +64,30 @@ def block_words(rows: DataFrame) -> DataFrame:
     """(block, word, n): how often each word occurs in each block of ``blocks``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, counts = None, Counter()
+        at, parts = None, []
         for b in batches:
             number = b["block"].to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(number)]])
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 if e > s:
                     if at is not None and number[s] != at:
-                        yield _counted(at, counts)
-                        counts = Counter()
+                        yield _counted(at, parts)
+                        parts = []
                     at = int(number[s])
-                    for t in b["text"].slice(s, e - s):
-                        counts.update((t.as_py() or "").encode("utf-8", "surrogatepass").split())
+                    for part in _slices(b["text"].slice(s, e - s)):
+                        words, which, _ = coded(part)
+                        parts.append((words, np.bincount(which, minlength=len(words))))
         if at is not None:
-            yield _counted(at, counts)
+            yield _counted(at, parts)
 
     return cut(rows.mapInArrow(run, "block long, word binary, n long"))
 
 
-def _counted(block: int, counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), block)), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["block", "word", "n"])
+def _counted(block: int, parts: list[tuple[pa.Array, np.ndarray]]) -> pa.RecordBatch:
+    """The words of a block from those of its parts, with their counts there."""
+    both = pa.concat_arrays([words for words, _ in parts]).dictionary_encode()
+    n = np.bincount(both.indices.to_numpy(), np.concatenate([n for _, n in parts]), len(both.dictionary)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), both.dictionary, pa.array(n)], ["block", "word", "n"])
 
 
 class Vocabulary:
@@ -94,10 +97,8 @@ class Vocabulary:
 
     def __init__(self, frequent: list[bytes], often: list[int], types: list[int], totals: list[int], counts: DataFrame | None = None):
         self.frequent, self.often, self.types, self.totals, self.counts = frequent, often, types, totals, counts
-        self.place = {w: k for k, w in enumerate(frequent)}
         self.weight = np.array([*often, *totals], np.float64)
         self.inside = np.concatenate([np.zeros(len(frequent)), -np.log(np.maximum(1, np.array(totals, np.float64)))])
-        self.memo: dict[bytes, int] = {}
 
     def __getstate__(self):
         return self.frequent, self.often, self.types, self.totals
@@ -109,20 +110,11 @@ class Vocabulary:
     def size(self) -> int:
         return len(self.frequent) + len(self.types)
 
-    def class_of(self, word: bytes) -> int:
-        known = self.place.get(word)
-        return len(self.frequent) + zlib.crc32(word) % len(self.types) if known is None else known
-
-    def classes(self, words: list[bytes]) -> np.ndarray:
-        memo, of = self.memo, self.class_of
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = of(w)
-        out = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-        for w in [w for w in memo if len(w) > 64] if len(memo) > MEMO // 2 else ():
-            del memo[w]
-        return out
+    def classes(self, words: pa.Array) -> np.ndarray:
+        """The class of each of the words (binary)."""
+        known = pc.fill_null(pc.index_in(words, value_set=pa.array(self.frequent, pa.binary())), -1).to_numpy()
+        bucket = np.fromiter(map(zlib.crc32, words.to_numpy(zero_copy_only=False)), np.int64, len(words)) % len(self.types)
+        return np.where(known < 0, len(self.frequent) + bucket, known)
 
 
 def count_vocabulary(docs: DataFrame, text_col: str = "text", frequent: int = 192, buckets: int = 64, words: DataFrame | None = None) -> Vocabulary:
@@ -262,23 +254,27 @@ class WindowNet:
             self.flat -= rate * grad / np.sqrt(square)
 
 
-def _split(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
-    split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-    return [w for s in split for w in s], np.array([len(s) for s in split], np.int64)
+def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words as binary, each word's number among them, words of each text), in the order of the texts."""
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat, sizes = parts.flatten(), pc.list_value_length(parts).to_numpy().astype(np.int64)
+    # white space at a text's ends leaves empty strings
+    real = pc.greater(pc.binary_length(flat), 0)
+    before, ends = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))]), np.cumsum(sizes)
+    found = flat.filter(real).cast(pa.binary()).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy(), before[ends] - before[ends - sizes]
 
 
-def _slices(texts: pa.Array | pa.ChunkedArray, chars: int = 2_000_000) -> Iterator[list[str | None]]:
-    part: list[str | None] = []
-    total = 0
-    for x in texts:
-        t = x.as_py()
-        if part and total + len(t or "") > chars:
-            yield part
-            part, total = [], 0
-        part.append(t)
-        total += len(t or "")
-    if part:
-        yield part
+def _slices(texts: pa.Array | pa.ChunkedArray, chars: int = 2_000_000) -> Iterator[pa.Array]:
+    for c in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        start = total = 0
+        for k, n in enumerate(pc.fill_null(pc.utf8_length(c), 0).to_pylist()):
+            if k > start and total + n > chars:
+                yield c.slice(start, k - start)
+                start, total = k, 0
+            total += n
+        if start < len(c):
+            yield c.slice(start)
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, text_col: str = "text") -> WindowNet:
@@ -294,9 +290,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, text_col: st
             square, seen = np.full(len(flat), 1e-8, np.float32), 0
             for b in batches:
                 for part in _slices(b["text"]):
-                    found, lengths = _split(part)
-                    own.learn(words.classes(found), lengths, square, seed=turn)
-                    seen += len(found)
+                    found, at, lengths = coded(part)
+                    own.learn(words.classes(found)[at], lengths, square, seed=turn)
+                    seen += len(at)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([own.flat.tolist()], pa.list_(pa.float32()))], ["seen", "flat"])
 
@@ -320,20 +316,13 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: WindowNet, id_col: str =
     def run(texts: pa.Table, listed: pa.Table) -> pa.Table:
         known, flat = sent.value
         own = WindowNet(known.size, flat)
-        place = {w: k for k, w in enumerate(listed["word"].to_pylist())}
-        ids = np.fromiter(map(known.class_of, place), np.int16 if known.size < 1 << 15 else np.int64, len(place))
-        more = np.where(ids < len(known.frequent), 0.0, np.log(listed["n"].to_numpy()))
+        often = dict(zip(listed["word"].to_numpy(), np.log(listed["n"].to_numpy()).tolist(), strict=True))
         sums, sizes = [], []
         for part in _slices(texts["text"]):
-            found, lengths = _split(part)
-            fresh = list(set(found).difference(place))
-            if fresh:
-                place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
-                ids = np.concatenate([ids, np.fromiter(map(known.class_of, fresh), ids.dtype, len(fresh))])
-                more = np.concatenate([more, np.zeros(len(fresh))])
-            at = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
-            each = ids[at].astype(np.int64)
-            total = own.log_probs(each, lengths) + known.inside[each] + more[at] if len(at) else np.empty(0)
+            found, at, lengths = coded(part)
+            ids = known.classes(found)
+            inside = known.inside[ids] + np.fromiter(map(often.get, found.to_numpy(zero_copy_only=False), repeat(0.0)), np.float64, len(found))
+            total = own.log_probs(ids[at], lengths) + inside[at] if len(at) else np.empty(0)
             run_up = np.concatenate([[0.0], np.cumsum(total)])
             ends = np.cumsum(lengths)
             sums += (run_up[ends] - run_up[ends - lengths]).tolist()

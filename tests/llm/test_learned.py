@@ -325,3 +325,25 @@ def test_embedding_gradient_is_the_sum_over_places():
             loss.append(-out.astype(np.float64).sum())
         want[c] = (loss[0] - loss[1]) / (2 * step)
     assert np.allclose(grad[0][:12].sum(axis=1), want[:12], rtol=0.02, atol=0.1)
+
+
+def test_words_are_numbered_where_they_lie():
+    """Distinct words, their numbers and the words of each text are those of a plain split, also in parts of a batch."""
+    import zlib
+
+    import pyarrow as pa
+
+    from lectern.llm.pseudo import Vocabulary, _slices, coded
+
+    texts = [" a  b\x0bc\t", None, "", " ", "\x1cq\x85  \u00e9\u00a0x\n", "a " * 30, "\u2003z a", "b"]
+    split = [(t or "").encode().split() for t in texts]
+    vocabulary = Vocabulary([b"a", b"\xc3\xa9\xc2\xa0x"], [9, 1], [3] * 7, [5] * 7)
+    for chars in (1, 20, 10_000):
+        parts = list(_slices(pa.chunked_array([pa.array(["x", *texts]).slice(1)]), chars))
+        assert sum(map(len, parts)) == len(texts)
+        made = [coded(p) for p in parts]
+        assert [n for _, _, lengths in made for n in lengths] == [len(w) for w in split]
+        assert [words[int(k)].as_py() for words, at, _ in made for k in at] == [w for ws in split for w in ws]
+        classes = [int(c) for words, at, _ in made for c in vocabulary.classes(words)[at]]
+        place = {w: k for k, w in enumerate(vocabulary.frequent)}
+        assert classes == [place.get(w, 2 + zlib.crc32(w) % 7) for ws in split for w in ws]
