@@ -204,14 +204,23 @@ def _utf8(run: bytearray) -> str:
     return "".join(out)
 
 
-_CODECS: dict[str, PieceCodec] = {}
+class HeldCodec:
+    """The codec of a model, made once per Python worker that gets this as a broadcast value. Spark drops the value, and with it
+    the memo, when the worker goes on with a task that doesn't use it: workers are kept for later work."""
 
+    def __init__(self, model_file: str):
+        self.model_file, self.made = model_file, None
+
+    def __getstate__(self):
+        return self.model_file
+
+    def __setstate__(self, model_file):
+        self.__init__(model_file)
 
-def codec(model_file: str) -> PieceCodec:
-    """The codec of a model, made once per Python worker."""
-    if model_file not in _CODECS:
-        _CODECS[model_file] = PieceCodec(model_file)
-    return _CODECS[model_file]
+    def codec(self) -> PieceCodec:
+        if self.made is None:
+            self.made = PieceCodec(self.model_file)
+        return self.made
 
 
 def _few(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -230,8 +239,10 @@ def _few(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBat
 def piece_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256."""
 
+    held = docs.sparkSession.sparkContext.broadcast(HeldCodec(model_file))  # a file's name
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_file)
+        own = held.value.codec()
         for whole in batches:
             for b in _few(whole):
                 rows = list(own.digest([t or "" for t in b["text"].to_pylist()]))
@@ -246,8 +257,10 @@ def piece_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
 def piece_ids(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ids (array of int), decoded (the text of those ids)."""
 
+    held = docs.sparkSession.sparkContext.broadcast(HeldCodec(model_file))  # a file's name
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_file)
+        own = held.value.codec()
         for whole in batches:
             for b in _few(whole):
                 ids = [own.encode(t) for t in b["text"].to_pylist()]

@@ -67,11 +67,12 @@ def long_word_features(word: str, dims: int, lengths: tuple[int, ...] = (2, 3, 4
 class WordMemo:
     """Rows of numbers per word, computed in bulk on first sight and kept for the frequent words.
 
-    Two generations bound the memory: when the younger is full it becomes the older one.
+    Two generations bound the memory: when the younger is full it becomes the older one. ``step`` words
+    are computed at once, so that what a word needs meanwhile stays small.
     """
 
-    def __init__(self, compute, limit: int = 200_000):
-        self.compute, self.limit = compute, limit
+    def __init__(self, compute, limit: int = 100_000, step: int = 10_000):
+        self.compute, self.limit, self.step = compute, limit, step
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
@@ -83,6 +84,7 @@ class WordMemo:
         asked = words.difference(young)
         young.update({w: old[w] for w in asked if w in old})
         fresh = [w for w in asked if w not in old]
-        if fresh:
-            young.update(zip(fresh, self.compute(fresh), strict=True))
+        for s in range(0, len(fresh), self.step):
+            part = fresh[s : s + self.step]
+            young.update(zip(part, self.compute(part), strict=True))
         return young

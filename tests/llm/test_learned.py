@@ -347,3 +347,15 @@ def test_words_are_numbered_where_they_lie():
         classes = [int(c) for words, at, _ in made for c in vocabulary.classes(words)[at]]
         place = {w: k for k, w in enumerate(vocabulary.frequent)}
         assert classes == [place.get(w, 2 + zlib.crc32(w) % 7) for ws in split for w in ws]
+
+
+def test_a_memo_computes_a_bounded_number_of_words_at_once():
+    from lectern.llm.wordfeats import WordMemo
+
+    asked = []
+    memo = WordMemo(lambda words: asked.append(len(words)) or [len(w) for w in words], limit=40, step=16)
+    for k in range(3):
+        words = {"x" * (i + 1) for i in range(10 * k, 50 + 10 * k)}
+        found = memo.lookup(words)
+        assert all(found[w] == len(w) for w in words)
+    assert max(asked) <= 16 and sum(asked) >= 70

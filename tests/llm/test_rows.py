@@ -301,3 +301,23 @@ def test_licences_score_each_row(spark, licences):
         assert sorted((r["families"], round(r["chance"], 9), r["n_licences"]) for r in got) == want
         assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in got)
         assert scan(df, model).count() == sum(n for _, _, n in want)
+
+
+def test_codecs_go_with_their_query(spark):
+    """A Python worker that goes on with other work keeps no codec, and so no memo, of a query before."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from lectern.llm.pieces import piece_digests
+
+    docs = spark.range(64).selectExpr("id as doc_id", "concat('word', id, ' and more') as text").repartition(4)
+    assert piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model")).where("n_tokens > 0").count() == 64
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": [sum(type(x).__name__ == "PieceCodec" for x in gc.get_objects())]})
+
+    assert docs.select("doc_id").mapInArrow(held, "n long").agg({"n": "max"}).first()[0] == 0
