@@ -19,6 +19,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -29,6 +30,10 @@ _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: New chunks a Python worker keeps before the older ones go.
 MEMO_CHUNKS = 200_000
 _NONE = float("inf")
+#: Chunks of up to so many characters are encoded together, those of one length as the rows of a table.
+TOGETHER_CHARS = 40
+#: New chunks that are encoded and checked at once.
+LEARNED = 20_000
 #: Longer chunks are encoded each time they occur, so that the memo stays small.
 MEMO_CHUNK_CHARS = 64
 
@@ -48,6 +53,21 @@ class PieceCodec:
         self.byte_id = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unk = lib.unk_id()
         self.surface = {i: lib.id_to_piece(i) for i in normal}
+        # pairs of pieces that form a piece, by number: piece k is the k-th normal one, the number behind the last is a character
+        # that is no piece, -1 is none
+        self.place = {p: k for k, p in enumerate(self.piece_id)}
+        self.numbers = np.array([*self.piece_id.values(), -1], np.int64)
+        self.costs = np.array([*self.cost.values(), _NONE, _NONE])
+        self.of_char = np.full(0x110000, len(self.place), np.int32)
+        made: dict[int, int] = {}
+        for p, k in self.place.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = k
+            for i in range(1, len(p)):
+                if (a := self.place.get(p[:i])) is not None and (b := self.place.get(p[i:])) is not None:
+                    made[a * len(self.numbers) + b] = k
+        self.pairs = np.array(sorted(made), np.int64)
+        self.made = np.array([*(made[x] for x in sorted(made)), -1], np.int32)
         self.byte_value = {i: b for b, i in enumerate(self.byte_id) if lib.is_byte(i)}
         if any(SPACE in p.lstrip(SPACE) for p in self.piece_id):
             raise ValueError("the vocabulary has pieces that run across a space mark: chunks can't be encoded alone")
@@ -63,7 +83,7 @@ class PieceCodec:
 
     def agenda(self, chunk: str) -> list[int]:
         """Ids of a chunk (space marks already in place)."""
-        if len(chunk) <= 40:
+        if len(chunk) <= TOGETHER_CHARS:
             return self._ids(self._short(chunk))
         symbols: list[str | None] = list(chunk)
         n = len(symbols)
@@ -87,6 +107,57 @@ class PieceCodec:
                 heapq.heappush(heap, (-s, h, i, symbols[h] + made))
         return self._ids([x for x in symbols if x is not None])
 
+    def agendas(self, chunks: list[str]) -> list[list[int]]:
+        """``agenda`` of many chunks. Those of one length are rows of a table, and each round makes the best merge of every row (the
+        leftmost of equal ones), so rows stay of one length; a row without a merge is done."""
+        out: list[list[int]] = [[]] * len(chunks)
+        by_length: dict[int, list[int]] = {}
+        for k, c in enumerate(chunks):
+            by_length.setdefault(len(c), []).append(k)
+        for n, at in by_length.items():
+            if n > TOGETHER_CHARS:
+                for k in at:
+                    out[k] = self.agenda(chunks[k])
+                continue
+            points = np.frombuffer("".join([chunks[k] for k in at]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+            rows, row = self.of_char[points], np.array(at)
+            made = np.full(rows.shape, -1, np.int32)  # what each symbol forms with the next one
+            made[:, :-1] = self._made(rows[:, :-1], rows[:, 1:])
+            while len(row):
+                cost = self.costs[made]
+                best = cost.argmin(axis=1)
+                more = cost[np.arange(len(row)), best] < _NONE
+                for k, ids in zip(row[~more].tolist(), self.numbers[rows[~more]].tolist(), strict=True):
+                    out[k] = ids if -1 not in ids else self._with_bytes(chunks[k], ids)
+                rows, made, row, best = rows[more], made[more], row[more], best[more]
+                every, cols = np.arange(len(row)), np.arange(rows.shape[1])
+                rows[every, best] = made[every, best]
+                rows = rows[cols != best[:, None] + 1].reshape(len(row), len(cols) - 1)
+                made = made[cols != best[:, None]].reshape(rows.shape)
+                for side in (best - 1, best):  # the pairs of which the merged piece is the right or the left part
+                    there = np.flatnonzero((side >= 0) & (side < len(cols) - 2))
+                    i = side[there]
+                    made[there, i] = self._made(rows[there, i], rows[there, i + 1])
+        return out
+
+    def _with_bytes(self, chunk: str, ids: list[int]) -> list[int]:
+        """Ids of a chunk in which -1 stands for each character that is no piece: its bytes."""
+        out, at = [], 0
+        for i in ids:
+            if i >= 0:
+                out.append(i)
+                at += len(self.surface[i])
+            else:
+                out.extend([self.byte_id[b] for b in chunk[at].encode("utf-8")])
+                at += 1
+        return out
+
+    def _made(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that each pair of pieces forms, -1 if none."""
+        key = a.astype(np.int64) * len(self.numbers) + b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.made[at], -1) if len(self.pairs) else np.full(key.shape, -1, np.int32)
+
     def _short(self, chunk: str) -> list[str]:
         """The same agenda as a plain list: for short chunks its minimum is found faster than a heap is kept."""
         cost, none = self.cost, _NONE
@@ -143,7 +214,7 @@ class PieceCodec:
         Every chunk starts with a space mark (the first one of a text gets it from the model), and
         the library puts one before each text: the chunk is handed over without it.
         """
-        ids = [self.agenda(c) for c in chunks]
+        ids = self.agendas(chunks)
         texts = [c[1:].replace(SPACE, " ") for c in chunks]
         asked = [k for k, t in enumerate(texts) if t]  # a lone mark: the library reads '' as no text
         theirs = self.library.encode([texts[k] for k in asked], num_threads=1)
@@ -172,7 +243,9 @@ class PieceCodec:
         memo, older = self.memo, self.older
         asked = set().union(*split).difference(memo) if split else set()
         memo.update({c: older[c] for c in asked if c in older})
-        memo.update(self._learn([c for c in asked if c not in older]))
+        new = [c for c in asked if c not in older]
+        for k in range(0, len(new), LEARNED):
+            memo.update(self._learn(new[k : k + LEARNED]))
         long = [c for c in asked if len(c) > MEMO_CHUNK_CHARS]
         for t, cs in zip(texts, split, strict=True):
             got = [memo[c] for c in cs]

@@ -50,6 +50,22 @@ def test_pieces_equal_library(spark, docs):
     assert all(r["decoded"] == t for r, (_, t, *_) in zip(piece_ids(docs, model_path()).collect(), ODD, strict=True) if t)
 
 
+def test_short_chunks_are_encoded_together(monkeypatch):
+    """One table for all chunks of a length: equal to the agenda of each, with ties, bytes, single characters and long chunks."""
+    from lectern.llm.pieces import TOGETHER_CHARS, PieceCodec
+
+    codec = PieceCodec(model_path())
+    rng = random.Random(9)
+    alphabet = [*"aabeinorst.,é日😀\n\x00", "tion", "ation", "the", "ing"]
+    chunks = ["▁" * rng.choice((1, 1, 1, 3)) + "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + ["▁", "▁\n", "▁" + "a" * 200, "▁日"]
+    want = [codec.agenda(c) for c in chunks]
+    assert codec.agendas(chunks) == want and codec.agendas([]) == []
+    alone, agenda = [], codec.agenda
+    monkeypatch.setattr(codec, "agenda", lambda c: alone.append(c) or agenda(c))
+    list(codec.digest([c[1:].replace("▁", " ") for c in chunks]))
+    assert alone and all(len(c) > TOGETHER_CHARS for c in alone)
+
+
 def luhn(d):
     return sum(v - 9 if v > 9 else v for v in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0
 
