@@ -287,4 +287,4 @@ def substring_index(index: StoredIndex, needle: str, k: int = 100) -> DataFrame:
     view, grams = index.now(), grams_of(needle)
     if not grams or not needle.strip() or k <= 0:
         return search_substring(view.pages(), needle, k)
-    return search_substring(view.pages_of(view.candidates(grams)), needle, k)
+    return search_substring(view.candidates(grams), needle, k)

@@ -1,13 +1,14 @@
 """The search index as tables in a folder: immutable segments, what was deleted in them, and a list of what counts.
 
 A segment is written once and never changed. It holds
-  pages      by bucket of the document: fp, path, page_index, text, dl, cell
+  pages      by bucket of the document: fp, path, page_index, text, dl, cell, and a number for trigrams
   documents  by bucket of the document: the registry, and the forward index (each term of the document with the
              pages and occurrences it has there)
   postings   by bucket of the term, sorted by term and block: fp, page_index, dl, tf, positions, block
   terms      df and cf, in ranges of the term, so that statistics of row groups cut a prefix to a range
   blocks     of frequent terms: the largest contribution to a rank in each block of pages
-  trigrams   if asked for: by bucket of three characters, the pages that hold them
+  page_grams if trigrams are asked for: by bucket of three characters, the numbers of the pages that hold them, many in a row
+An index of trigrams alone (``words=False``) has no postings, terms and blocks, and nothing of words in its documents.
 
 A change (an upsert or a removal) finds the documents it touches in the buckets of their names, notes
 per segment which of them are deleted there and what they had added to the statistics, and writes
@@ -25,22 +26,30 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import let, tokenize
+from lectern.functions.text import tokenize
 from lectern.operators.index import forward_index, postings, with_tokens
 from lectern.operators.search import B, K1
 from lectern.sources.tables import bucket_of
 
-PAGES = "fp string, path string, page_index int, text string, dl int, cell int, doc_bucket int"
+PAGES = "fp string, path string, page_index int, text string, dl int, cell int, number long, doc_bucket int"
 DOCUMENTS = "fp string, path string, page_count long, n_tokens long, last_indexed timestamp, terms array<struct<term:string,df:bigint,cf:bigint>>, doc_bucket int"
 POSTINGS = "term string, fp string, page_index int, dl int, tf int, positions array<int>, block long, term_bucket int"
 TERMS = "term string, df long, cf long"
-TRIGRAMS = "gram string, fp string, page_index int, gram_bucket int"
+#: ``places`` of pages in a range of ``RANGE`` numbers, the ``part``-th one.
+TRIGRAMS = "gram string, part long, places array<smallint>, gram_bucket int"
+RANGE = 1 << 15
+#: Characters of pages whose trigrams are held at once; a longer page takes several turns.
+WINDOW = 1 << 21
 BLOCKS = "term string, block long, n long, best double, term_bucket int"
 #: Pages of a block, and pages a term must have to get block maxima.
 BLOCK_PAGES, FREQUENT = 16, 1024
@@ -63,10 +72,47 @@ def folders_for(chars: int) -> int:
 OTHER_CASE = ("\u212a\u017f\u0130\u0131", "ksii")
 
 
-def trigrams_of(text: Column) -> Column:
-    """The distinct three-character strings of a text, in lower case."""
-    grams = lambda x: F.transform(F.slice(x, F.lit(3), F.greatest(F.size(x) - 2, F.lit(0))), lambda c, i: F.concat(F.get(x, i), F.get(x, i + 1), c))
-    return F.array_distinct(let(F.split(F.lower(F.translate(text, *OTHER_CASE)), ""), grams))
+def page_grams(pages: DataFrame) -> DataFrame:
+    """(gram, part, places) of pages (number, text): the three-character strings of the texts in lower case, each with the numbers of
+    pages that hold it. A row has those of one window of one task, so a page that goes through several windows may stand in several rows."""
+    slim = pages.select("number", F.lower(F.translate("text", *OTHER_CASE)).alias("low")).where(F.length("low") > 2)
+
+    def told(number: np.ndarray, page: np.ndarray, points: np.ndarray) -> pa.RecordBatch | None:
+        """Of consecutive characters, with the place of each one's page in ``number``."""
+        at = np.flatnonzero(page[:-2] == page[2:])
+        if not len(at):
+            return None
+        there = np.zeros(0x110000, bool)
+        there[points] = True
+        chars = np.flatnonzero(there)
+        code = np.zeros(len(there), np.int32)
+        code[chars] = np.arange(len(chars))
+        code = code[points]
+        gram = (code[at].astype(np.int64) * len(chars) + code[at + 1]) * len(chars) + code[at + 2]
+        first = int(page[at[0]])
+        n = int(page[at[-1]]) - first + 1
+        names = None
+        if len(chars) ** 3 * n >= 1 << 63:
+            names, gram = np.unique(gram, return_inverse=True)
+        gram, at = np.divmod(np.unique(gram * n + (page[at] - first)), n)
+        part, place = np.divmod(number[at + first], RANGE)
+        edges = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])])
+        gram = gram[edges] if names is None else names[gram[edges]]
+        spelt = np.stack([gram // len(chars) ** 2, gram // len(chars) % len(chars), gram % len(chars)], axis=1)
+        text = chars[spelt].astype("<u4").tobytes().decode("utf-32-le")
+        places = pa.ListArray.from_arrays(pa.array(np.r_[edges, len(place)].astype(np.int32)), pa.array(place.astype(np.int16)))
+        return pa.RecordBatch.from_arrays([pa.array([text[i : i + 3] for i in range(0, len(text), 3)], pa.string()), pa.array(part[edges]), places], ["gram", "part", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            number, pages = b["number"].to_numpy(), np.repeat(np.arange(b.num_rows, dtype=np.int32), pc.utf8_length(b["low"]).to_numpy())
+            points = np.frombuffer("".join(b["low"].to_pylist()).encode("utf-32-le"), "<u4")
+            for start in range(0, len(points), WINDOW):
+                window = slice(start, start + WINDOW + 2)
+                if (out := told(number, pages[window], points[window])) is not None:
+                    yield out
+
+    return slim.mapInArrow(run, "gram string, part long, places array<smallint>")
 
 
 def grams_of(needle: str) -> list[str]:
@@ -84,6 +130,7 @@ class Segment:
     doc_buckets: int
     avgdl: float  # when it was written: block maxima hold for it
     trigrams: bool = False
+    words: bool = True
     deleted_in: list[str] = field(default_factory=list)
 
 
@@ -118,14 +165,14 @@ class Snapshot:
 
     def pages(self) -> DataFrame:
         """(fp, path, page_index, text, dl)"""
-        return self._all("pages", PAGES).drop("doc_bucket", "cell")
+        return self._all("pages", PAGES).drop("doc_bucket", "cell", "number")
 
     def pages_of(self, hits: DataFrame) -> DataFrame:
         """``hits`` (fp, page_index, ...) with path and text: only the folders of their documents are read."""
         parts = []
         for s in self.segments:
             by = hits.withColumn("doc_bucket", bucket_of(F.col("fp"), s.doc_buckets))
-            parts.append(self.live(s, self.read(s, "pages", PAGES).drop("dl", "cell").join(by, ["doc_bucket", "fp", "page_index"]).drop("doc_bucket")))
+            parts.append(self.live(s, self.read(s, "pages", PAGES).drop("dl", "cell", "number").join(by, ["doc_bucket", "fp", "page_index"]).drop("doc_bucket")))
         return self._union(parts, "fp string, page_index int, path string, text string") if parts else hits.withColumns({"path": F.lit(""), "text": F.lit("")})
 
     def documents(self, segment: Segment, fps: DataFrame | None = None) -> DataFrame:
@@ -183,17 +230,18 @@ class Snapshot:
         return self.spark.createDataFrame([(self.n_pages, self.n_tokens, self.avgdl)], "n_pages long, n_tokens long, avgdl double")
 
     def candidates(self, grams: list[str]) -> DataFrame:
-        """(fp, page_index) of the pages that hold all of the three-character strings, in segments that have them; of the
+        """(fp, path, page_index, text) of the pages that hold all of the three-character strings, in segments that have them; of the
         others all pages."""
         parts = []
         for s in self.segments:
+            rows = self.read(s, "pages", PAGES).select("fp", "path", "page_index", "text", "number")
             if s.trigrams:
-                rows = self.read(s, "trigrams", TRIGRAMS).where(F.col("gram_bucket").isin(sorted({bucket_number(g, s.buckets) for g in grams})) & F.col("gram").isin(grams))
-                rows = rows.groupBy("fp", "page_index").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == len(grams)).select("fp", "page_index")
-            else:
-                rows = self.read(s, "pages", PAGES).select("fp", "page_index")
-            parts.append(self.live(s, rows))
-        return self._union(parts, "fp string, page_index int")
+                found = self.read(s, "page_grams", TRIGRAMS).where(F.col("gram_bucket").isin(sorted({bucket_number(g, s.buckets) for g in grams})) & F.col("gram").isin(grams))
+                each = found.select("gram", "part", F.explode("places").alias("place")).select("gram", (F.col("part") * RANGE + F.col("place")).alias("number"))
+                full = each.groupBy("number").agg(F.count_distinct("gram").alias("c")).where(F.col("c") == len(grams)).select("number")
+                rows = rows.join(full, "number", "left_semi")
+            parts.append(self.live(s, rows.drop("number")))
+        return self._union(parts, "fp string, path string, page_index int, text string")
 
     def blocks(self, segment: Segment, terms: list[str]) -> DataFrame:
         """(term, block, n, best): ``best`` bounds a contribution at the present mean length."""
@@ -204,8 +252,8 @@ class Snapshot:
 class StoredIndex:
     """Writes changes of the index in ``folder``; ``now()`` is what it holds."""
 
-    def __init__(self, spark: SparkSession, folder: str, trigrams: bool = False):
-        self.spark, self.folder, self.trigrams = spark, folder.rstrip("/"), trigrams
+    def __init__(self, spark: SparkSession, folder: str, trigrams: bool = False, words: bool = True):
+        self.spark, self.folder, self.trigrams, self.words = spark, folder.rstrip("/"), trigrams, words
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -252,16 +300,24 @@ class StoredIndex:
     def _segment(self, name: str, docs: DataFrame, pages: DataFrame, indexed_at: Column, buckets: int | None, doc_buckets: int | None) -> Segment | None:
         """Write ``pages`` (fp, path, page_index, text) of ``docs`` (fp, path) as a segment."""
         chars = pages.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-        segment = Segment(name, 0, 0, buckets or folders_for(chars), doc_buckets or folders_for(chars), 0.0)
+        segment = Segment(name, 0, 0, buckets or folders_for(chars), doc_buckets or folders_for(chars), 0.0, words=self.words)
         at, view = f"segments/{name}", Snapshot(self.spark, self.folder, [])
         distinct = F.size(F.array_distinct("tokens"))
         cell = F.floor(4 * F.log2(F.col("dl") + 1)) * 16 + F.least(F.lit(15), F.floor(16 * (1 - distinct / F.greatest(F.col("dl"), F.lit(1)))))
         rows = with_tokens(pages).select("fp", "path", "page_index", "text", "dl", cell.cast("int").alias("cell"), bucket_of(F.col("fp"), segment.doc_buckets).alias("doc_bucket"))
-        self._write(rows.hint("rebalance", "doc_bucket").sortWithinPartitions("doc_bucket", "fp", "page_index"), f"{at}/pages", "doc_bucket")
+        self._write_pages(segment, rows)
         stored = view.read(segment, "pages", PAGES)
         cells = stored.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.sum("dl").alias("t")).orderBy("cell").collect()  # a few hundred
         segment.pages, segment.tokens = sum(r["c"] for r in cells), sum(r["t"] or 0 for r in cells)
         segment.avgdl = segment.tokens / segment.pages if segment.pages else 0.0
+        if self.trigrams:
+            self._write_trigrams(segment, stored)
+        if not self.words:
+            counts = stored.groupBy("fp").agg(F.count(F.lit(1)).alias("page_count"), F.sum("dl").alias("n_tokens"))
+            told = docs.select("fp", "path").dropDuplicates(["fp"]).join(counts, "fp", "left").na.fill(0, ["page_count", "n_tokens"])
+            none = F.array().cast("array<struct<term:string,df:bigint,cf:bigint>>")
+            self._write_documents(segment, told.select("fp", "path", "page_count", "n_tokens", none.alias("terms"), indexed_at.cast("timestamp").alias("last_indexed")))
+            return segment
         placed, first = [], 0
         for r in cells:
             parts = -(-r["c"] // BLOCK_PAGES)
@@ -274,9 +330,6 @@ class StoredIndex:
         self._write_postings(segment, posts)
         told = self._counted(stored, docs.select("fp", "path").dropDuplicates(["fp"])).withColumn("last_indexed", indexed_at.cast("timestamp"))
         self._write_documents(segment, told)
-        if self.trigrams:
-            each = stored.select("fp", "page_index", F.explode(trigrams_of(F.col("text"))).alias("gram"))
-            self._write_trigrams(segment, each)
         return segment
 
     @staticmethod
@@ -289,9 +342,13 @@ class StoredIndex:
         rows = rows.repartition("fp").sortWithinPartitions("fp").withColumn("tokens", tokenize(F.col("text")))
         return forward_index(rows).where("named").drop("named")
 
-    def _write_trigrams(self, segment: Segment, rows: DataFrame) -> None:
-        rows = rows.withColumn("gram_bucket", bucket_of(F.col("gram"), segment.buckets))
-        self._write(rows.hint("rebalance", "gram_bucket").sortWithinPartitions("gram_bucket", "gram"), f"segments/{segment.name}/trigrams", "gram_bucket")
+    def _write_pages(self, segment: Segment, rows: DataFrame) -> None:
+        rows = rows.hint("rebalance", "doc_bucket").sortWithinPartitions("doc_bucket", "fp", "page_index")
+        self._write(rows.withColumn("number", F.monotonically_increasing_id()), f"segments/{segment.name}/pages", "doc_bucket")
+
+    def _write_trigrams(self, segment: Segment, stored: DataFrame) -> None:
+        rows = page_grams(stored).withColumn("gram_bucket", bucket_of(F.col("gram"), segment.buckets))
+        self._write(rows.hint("rebalance", "gram_bucket").sortWithinPartitions("gram_bucket", "gram"), f"segments/{segment.name}/page_grams", "gram_bucket")
         segment.trigrams = True
 
     def _write_documents(self, segment: Segment, documents: DataFrame) -> None:
@@ -368,18 +425,23 @@ class StoredIndex:
     def _merged(self, name: str, view: Snapshot) -> Segment:
         """One segment of the live rows of several: nothing is tokenised again, blocks of the parts stay apart."""
         size = lambda kind: min(4096, 1 << (sum(getattr(s, kind) for s in view.segments) - 1).bit_length())
-        segment = Segment(name, view.n_pages, view.n_tokens, size("buckets"), size("doc_buckets"), view.avgdl or 0.0)
-        pages = view._all("pages", PAGES).withColumn("doc_bucket", bucket_of(F.col("fp"), segment.doc_buckets))
-        self._write(pages.hint("rebalance", "doc_bucket").sortWithinPartitions("doc_bucket", "fp", "page_index"), f"segments/{name}/pages", "doc_bucket")
+        words = {s.words for s in view.segments}
+        if len(words) > 1:
+            raise ValueError("segments with words and without them can't be merged")
+        segment = Segment(name, view.n_pages, view.n_tokens, size("buckets"), size("doc_buckets"), view.avgdl or 0.0, words=words.pop())
+        pages = view._all("pages", PAGES).drop("number").withColumn("doc_bucket", bucket_of(F.col("fp"), segment.doc_buckets))
+        self._write_pages(segment, pages)
+        if all(s.trigrams for s in view.segments):
+            self._write_trigrams(segment, Snapshot(self.spark, self.folder, []).read(segment, "pages", PAGES))
         self._write_documents(segment, view._all("documents", DOCUMENTS).drop("doc_bucket"))
+        if not segment.words:
+            return segment
         parts, first = [], 0
         for s in view.segments:
             parts.append(view.segment_postings(s).withColumn("block", F.col("block") + first))
             first += view.read(s, "postings", POSTINGS).agg(F.coalesce(F.max("block") + 1, F.lit(0))).first()[0]
         posts = view._union(parts, POSTINGS).withColumn("term_bucket", bucket_of(F.col("term"), segment.buckets))
         self._write_postings(segment, posts)
-        if all(s.trigrams for s in view.segments):
-            self._write_trigrams(segment, view._all("trigrams", TRIGRAMS).drop("gram_bucket"))
         return segment
 
     def vacuum(self) -> None:
@@ -405,8 +467,8 @@ class StoredIndex:
         return self.now().registry()
 
 
-def write_index(pages: DataFrame, folder: str, indexed_at: Column, buckets: int | None = None, doc_buckets: int | None = None, trigrams: bool = False) -> StoredIndex:
+def write_index(pages: DataFrame, folder: str, indexed_at: Column, buckets: int | None = None, doc_buckets: int | None = None, trigrams: bool = False, words: bool = True) -> StoredIndex:
     """A new index of pages (fp, path, page_index, text) in ``folder``."""
-    index = StoredIndex(pages.sparkSession, folder, trigrams)
+    index = StoredIndex(pages.sparkSession, folder, trigrams, words)
     index.upsert(pages.select("fp", "path"), pages, indexed_at, "first", buckets, doc_buckets)
     return index

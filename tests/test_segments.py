@@ -182,6 +182,30 @@ def test_substrings_by_trigrams(spark, tmp_path):
     assert index.merge("m", everything=True) and index.now().segments[0].trigrams and {r["fp"] for r in K.substring_index(index, "KEY").collect()} == {"d0", "d2"}
 
 
+def test_index_of_trigrams_alone(spark, tmp_path, monkeypatch):
+    """No postings are written, trigrams are rows of many pages; windows cut pages and a range of numbers ends inside a batch."""
+    from lectern.sources import stored
+
+    monkeypatch.setattr(stored, "RANGE", 3)
+    monkeypatch.setattr(stored, "WINDOW", 5)
+    rows = [(f"d{i % 4}", "/p", i, t) for i, t in enumerate(["Some KEY here, key there", "ſtraße Straße", None, "", "ab", "日本語 monkey 日本語", "x" * 40 + "needle", "KeyKey"])]
+    pages = spark.createDataFrame(rows, PAGES)
+    index = StoredIndex(spark, str(tmp_path), trigrams=True, words=False)
+    index.upsert(pages, pages, at(), "c0")
+    index.upsert(pages.where("fp = 'd0'"), pages.where("fp = 'd0'").withColumn("text", F.lit("new keys")), at(), "c1")
+    now = [r if r[0] != "d0" else (*r[:3], "new keys") for r in rows]
+    for _ in range(2):
+        for needle in ("key", "STRASSE", "straße", "needle", "zzz", "monkey 日"):
+            want = Q.search_substring(spark.createDataFrame(now, PAGES), needle, 10)
+            assert sorted(map(tuple, K.substring_index(index, needle, 10).select(*want.columns).collect())) == sorted(map(tuple, want.collect())), needle
+        assert {r["fp"]: r["page_count"] for r in index.registry().collect()} == {"d0": 2, "d1": 2, "d2": 1, "d3": 2}
+        index.merge("m", everything=True)
+    assert len(index.now().segments) == 1 and not list(tmp_path.glob("segments/*/postings")) and list(tmp_path.glob("segments/*/page_grams"))
+    grams = stored.page_grams(spark.range(0, 400, 1, 1).selectExpr("id as number", "'some words' as text"))
+    monkeypatch.undo()
+    assert grams.count() > 8 and stored.page_grams(spark.range(0, 400, 1, 1).selectExpr("id as number", "'some words' as text")).count() == 8
+
+
 def test_forward_index_shuffles_texts_once(spark):
     pages = spark.createDataFrame([("d", 0, "a b a"), ("d", 1, "b ..."), ("e", 0, "")], "fp string, page_index int, text string")
     counted = StoredIndex._counted(pages)
