@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.predicates import Unit, real_query, within
 from lectern.functions.text import highlight_units, let, tokenize
+from lectern.operators.index import postings, with_tokens
 from lectern.operators.search import IDF_FLOOR, idf, search_substring, weight
 from lectern.sources.stored import FREQUENT, Segment, Snapshot, StoredIndex, grams_of
 
@@ -176,6 +177,12 @@ def _sent(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(MANY + 1).count() <= MANY else rows
 
 
+def scan_postings(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """Postings (term, fp, page_index, dl, tf) of pages (fp, page_index, text) joined to a table of asked terms (term, ...), where no
+    index is kept: one pass over the pages, and only postings of asked terms leave it."""
+    return postings(with_tokens(pages)).join(_sent(asked), "term")
+
+
 def asked_queries(queries: DataFrame) -> DataFrame:
     """(query_id, op, k, only, t, u) of a table (query_id, text, max_results[, op, fp, unwanted]): words, and unwanted words."""
     column = lambda name, kind: (F.col(name) if name in queries.columns else F.lit(None)).cast(kind)

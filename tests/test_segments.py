@@ -182,6 +182,25 @@ def test_substrings_by_trigrams(spark, tmp_path):
     assert index.merge("m", everything=True) and index.now().segments[0].trigrams and {r["fp"] for r in K.substring_index(index, "KEY").collect()} == {"d0", "d2"}
 
 
+def test_queries_meet_postings_in_one_pass(spark, tmp_path, monkeypatch):
+    """The rows of the index, without one; a term of several queries, one that no page has, pages without text; words too many to send."""
+    from lectern.plans import queries
+
+    rows = [*some_pages(5, "abc"), ("d", "/p", 0, None), ("e", "/p", 0, "")]
+    pages = spark.createDataFrame(rows, PAGES)
+    index = StoredIndex(spark, str(tmp_path))
+    index.upsert(pages, pages, at(), "c0")
+    asked = spark.createDataFrame([(1, "cat"), (2, "cat"), (2, "cafe"), (3, "unknown")], "query_id long, term string")
+    columns = ["query_id", "term", "fp", "page_index", "dl", "tf"]
+    want = sorted(map(tuple, index.now().postings_of(asked).select(*columns).collect()))
+    for many in (K.MANY, 1):
+        monkeypatch.setattr(K, "MANY", many)
+        assert sorted(map(tuple, K.scan_postings(pages, asked).select(*columns).collect())) == want and want
+    monkeypatch.setattr(queries, "stored_index", None)
+    plan = queries.queries_x_postings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan
+
+
 def test_index_of_trigrams_alone(spark, tmp_path, monkeypatch):
     """No postings are written, trigrams are rows of many pages; windows cut pages and a range of numbers ends inside a batch."""
     from lectern.sources import stored
