@@ -37,6 +37,30 @@ def slices(batch: pa.RecordBatch, name: str = "tokens") -> Iterator[tuple[pa.Rec
             yield batch.slice(s, e - s), sizes[s:e]
 
 
+def _met(b: pa.RecordBatch, sizes: np.ndarray, asked: tuple[pa.Array, list[pa.Array]] | None, positions: bool) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """(the row of each posting, in order; term, tf and positions of each) of a part's pages; of the asked words and beginnings of words
+    only, if any are given."""
+    coded = b["tokens"].flatten().dictionary_encode()
+    row, code, words = np.repeat(np.arange(b.num_rows), sizes), coded.indices.to_numpy(), coded.dictionary
+    at = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes) if positions else None
+    if asked is not None:
+        there = pc.is_in(words, asked[0])
+        for starts in asked[1]:  # of one length each
+            there = pc.or_(there, pc.is_in(pc.utf8_slice_codeunits(words, 0, pc.utf8_length(starts[0]).as_py()), starts))
+        picked = np.flatnonzero(there.to_numpy(zero_copy_only=False)[code])
+        row, code, at = row[picked], code[picked], at[picked] if positions else None
+    n = len(code)
+    key = row * len(words) + code
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), n) if n else np.zeros(1, np.int64)
+    first = order[edges[:-1]]
+    out = {"term": words.take(pa.array(code[first])), "tf": pa.array(np.diff(edges).astype(np.int32))}
+    if positions:
+        out["positions"] = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(at[order].astype(np.int32)))
+    return row[first], out
+
+
 def postings(pages: DataFrame, positions: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(term, fp, page_index, dl, tf[, positions]) of pages with tokens, and the columns ``keep`` of the page.
 
@@ -50,25 +74,34 @@ def postings(pages: DataFrame, positions: bool = False, keep: tuple[str, ...] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, sizes in slices(batch):
-                coded = b["tokens"].flatten().dictionary_encode()
-                n = len(coded)
-                row = np.repeat(np.arange(b.num_rows), sizes)
-                key = row * len(coded.dictionary) + coded.indices.to_numpy()
-                order = np.argsort(key, kind="stable")
-                key = key[order]
-                edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), n) if n else np.zeros(1, np.int64)
-                first = order[edges[:-1]]
-                out = {c: b[c].take(pa.array(row[first])) for c in names}
-                out["term"] = coded.dictionary.take(coded.indices.take(pa.array(first)))
-                out["tf"] = pa.array(np.diff(edges).astype(np.int32))
-                if positions:
-                    at = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    out["positions"] = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(at[order].astype(np.int32)))
+                row, out = _met(b, sizes, None, positions)
+                out |= {c: b[c].take(pa.array(row)) for c in names}
                 yield pa.RecordBatch.from_arrays([out[f.name] for f in schema], [f.name for f in schema])
 
     return slim.mapInArrow(run, schema)
 
 
+def page_entries(pages: DataFrame, words: list[str] | None = None, starts: list[str] = (), positions: bool = False) -> DataFrame:
+    """(fp, page_index, dl, entries (term, tf[, positions])) of pages with tokens: the postings of a page in its row, of the given words and
+    of those that begin as ``starts`` say only, if words are given. No shuffle, and all pages stay."""
+    slim = pages.select("fp", "page_index", "dl", "tokens")
+    kinds = "term:string,tf:int" + (",positions:array<int>" if positions else "")
+    lengths: dict[int, list[str]] = {}
+    for s in starts:
+        lengths.setdefault(len(s), []).append(s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = None if words is None else (pa.array(words, pa.string()), [pa.array(x, pa.string()) for x in lengths.values()])
+        for batch in batches:
+            for b, sizes in slices(batch):
+                row, out = _met(b, sizes, asked, positions)
+                edges = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
+                entries = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(list(out.values()), list(out)))
+                yield pa.RecordBatch.from_arrays([b["fp"], b["page_index"], b["dl"], entries], ["fp", "page_index", "dl", "entries"])
+
+    return slim.mapInArrow(run, f"fp string, page_index int, dl int, entries array<struct<{kinds}>>")
+
+
 def forward_index(rows: DataFrame) -> DataFrame:
     """(fp, path, named, page_count, n_tokens, terms (term, df, cf)) of rows (fp, path, named, tokens); a row without tokens is no page.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.predicates import Unit, real_query, within
 from lectern.functions.text import highlight_units, let, tokenize
-from lectern.operators.index import postings, with_tokens
+from lectern.operators.index import page_entries, postings, with_tokens
 from lectern.operators.search import IDF_FLOOR, idf, search_substring, weight
 from lectern.sources.stored import FREQUENT, Segment, Snapshot, StoredIndex, grams_of
 
@@ -239,6 +239,40 @@ def score_index(index: StoredIndex, queries: DataFrame, near: int = NEAR) -> Dat
     posts = view.postings_of(wanted if positional else _sent(wanted))
     entry = F.struct("term", "tf", *(["positions"] if positional else []))
     pages = posts.groupBy("fp", "page_index", "dl").agg(F.collect_list(entry).alias("entries"))
+    return _met_queries(pages, leads, positional, view.n_pages, view.avgdl, near)
+
+
+def score_pages(pages: DataFrame, queries: DataFrame, folder: str, near: int = NEAR) -> DataFrame:
+    """``score_index`` of a batch of queries for which no index is kept, over pages (fp, page_index, text): one pass counts the
+    asked words, in another a page's postings meet the queries in its row (in one more those that ask for phrases, prefixes or first
+    words). None shuffles a posting; ``folder`` gets the counts, and the pages of phrases."""
+    spark, positional, asked = pages.sparkSession, "op" in queries.columns, asked_queries(queries)
+    rows = asked.select(F.explode(F.concat("t", "u")).alias("term"), F.lit(False).alias("start"))
+    if positional:
+        rows = rows.unionByName(asked.where("op = 'prefix'").select(F.element_at("t", -1).alias("term"), F.lit(True).alias("start")))
+    named = rows.distinct().limit(MANY + 1).collect()
+    # too many to send: pages keep all their words
+    words = [r["term"] for r in named if not r["start"]] if len(named) <= MANY else None
+    starts = [r["term"] for r in named if r["start"]]
+    tokens = with_tokens(pages)
+    row = lambda term, n: F.struct(term.alias("term"), F.lit(1).cast("long").alias("df"), n.cast("long").alias("cf"))
+    of_page = F.concat(F.array(row(F.lit(None).cast("string"), F.col("dl"))), F.transform("entries", lambda e: row(e["term"], e["tf"])))
+    counted = page_entries(tokens, words, starts).select(F.inline(of_page)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    counts = _kept(counted, f"{folder}/terms")
+    whole = counts.where("term is null").first()
+    n_pages, avgdl = (whole["df"], whole["cf"] / whole["df"]) if whole else (0, None)
+    _, leads = _with_leads(asked, counts.where("term is not null"), positional)
+    return _met_queries(page_entries(tokens, words, starts, positional), leads, positional, n_pages, avgdl, near, f"{folder}/units")
+
+
+def _kept(rows: DataFrame, folder: str) -> DataFrame:
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def _met_queries(pages: DataFrame, leads: DataFrame, positional: bool, n_pages: int, avgdl: float | None, near: int, folder: str | None = None) -> DataFrame:
+    """(query_id, fp, page_index, k, rank) of pages (fp, page_index, dl, entries) and the queries that lead to them. What is needed twice is
+    written to ``folder``, if one is given: pages aren't passed over again for it."""
     lead = F.explode(F.array_distinct(F.transform("entries", lambda e: e["term"])))
     met = pages.select("*", lead.alias("lead")).join(_sent(leads), "lead")
     entries, t = F.col("entries"), F.col("t")
@@ -252,7 +286,7 @@ def score_index(index: StoredIndex, queries: DataFrame, near: int = NEAR) -> Dat
     met = met.where(F.when(several, F.col("lead") == F.array_min(leading)).otherwise(True) & F.when(F.col("op").isin("any", "prefix"), True).otherwise(F.forall("t", there)))
     inside = (F.col("only").isNull() | (F.col("only") == F.col("fp"))) & ~F.exists("u", there)
     out = ["query_id", "fp", "page_index", "k", "rank"]
-    n_pages, avgdl = F.lit(view.n_pages), F.lit(view.avgdl)
+    n_pages, avgdl = F.lit(n_pages), F.lit(avgdl).cast("double")
     share = lambda df, n: weight(idf(n_pages, df), n, F.col("dl"), avgdl)
     plain = met.where(inside & ~F.col("op").isin("phrase", "prefix", "first")) if positional else met.where(inside)
     if positional:
@@ -270,6 +304,7 @@ def score_index(index: StoredIndex, queries: DataFrame, near: int = NEAR) -> Dat
     first = F.when(F.forall("t", lambda w: F.exists(of(w), lambda e: F.array_contains(e["positions"], 0))), 1).otherwise(0)
     found = met.where(F.col("op").isin("phrase", "prefix", "first")).withColumn("tf", F.when(F.col("op") == "first", first).otherwise(F.size(begun))).where("tf > 0")
     found = found.select("query_id", "fp", "page_index", "k", "dl", "tf", F.when(F.col("op") == "first", F.size("t")).otherwise(1).alias("units"), inside.alias("inside"))
+    found = _kept(found, folder) if folder else found
     df = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("df"))
     more = found.where("inside").join(df, "query_id")
     return plain.unionByName(more.withColumn("rank", -share(F.col("df"), F.col("tf")) * F.col("units")).select(*out))

@@ -21,10 +21,19 @@ def doc_fp():
     return F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
 
 
+def doc_path():
+    return F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"))
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """(fp, path) of the documents that have pages."""
+    return table(spark, sf, "documents").where("text is not null").select(doc_fp().alias("fp"), doc_path().alias("path")).distinct()
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """Each line of a document is a page."""
     docs = table(spark, sf, "documents")
-    return page_layers(docs, doc_fp(), F.col("text"), F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")))
+    return page_layers(docs, doc_fp(), F.col("text"), doc_path())
 
 
 def token_pages(spark: SparkSession, sf: str) -> DataFrame:

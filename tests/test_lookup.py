@@ -128,3 +128,32 @@ def test_postings_are_not_repeated_for_each_query(spark, stored):
     ranks = {(r["query_id"], r["fp"], r["page_index"]): round(r["rank"], 9) for r in scored.collect()}
     alone = {(r["fp"], r["page_index"]): round(r["rank"], 9) for r in Q.search_ranked(stored[0], P.terms("the cat"), 1000).collect()}
     assert ranks == {(i, *page): rank for i in range(9) for page, rank in alone.items()} and alone
+
+
+@pytest.mark.parametrize("many", [K.MANY, 1])
+def test_a_batch_over_pages_equals_the_index(spark, stored, tmp_path, monkeypatch, many):
+    """Each operator, unwanted words and one document, pages without text; words too many to send; plain queries too."""
+    monkeypatch.setattr(K, "MANY", many)
+    pages, index = stored
+    asked = [
+        (1, "The cat", "all", None, None, 1000), (2, "gamma café", "any", None, None, 1000), (3, "of the", "phrase", None, None, 1000), (4, "the ga", "prefix", None, None, 1000), (5, "the", "all", "d03", None, 1000), (6, "cat hat", "near", None, None, 1000),
+        (7, "the", "first", None, None, 1000), (8, "the", "all", None, "cat mat", 1000), (9, " ", "all", None, None, 5), (10, "ga", "prefix", None, None, 7), (11, "cat cat", None, None, None, 4), (12, "zebra", "any", None, None, 5), (13, "zebra the", "all", None, None, 5),
+    ]
+    queries = spark.createDataFrame(asked, "query_id int, text string, op string, fp string, unwanted string, max_results int")
+    told = lambda df: sorted((r["query_id"], r["fp"], r["page_index"], r["k"], round(r["rank"], 9)) for r in df.collect())
+    bare = pages.select("fp", "page_index", "text")
+    for n, q in enumerate((queries, queries.select("query_id", "text", "max_results"))):
+        want = told(K.score_index(index, q, near=2))
+        assert told(K.score_pages(bare, q, str(tmp_path / str(n)), near=2)) == want and want
+    assert K.score_pages(bare.limit(0), queries, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["bm25_score", "top_hits_per_query", "hits_with_document"])
+def test_a_batch_writes_no_index(spark, monkeypatch, name):
+    """No posting is written or shuffled for a batch of queries that no index serves."""
+    from lectern.plans import queries
+
+    monkeypatch.setattr(queries, "stored_index", None)
+    monkeypatch.setattr(queries, "write_index", None)
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not re.search(r"Exchange hashpartitioning\(fp#\d+, page_index", plan)
