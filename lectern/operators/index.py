@@ -37,9 +37,9 @@ def slices(batch: pa.RecordBatch, name: str = "tokens") -> Iterator[tuple[pa.Rec
             yield batch.slice(s, e - s), sizes[s:e]
 
 
-def _met(b: pa.RecordBatch, sizes: np.ndarray, asked: tuple[pa.Array, list[pa.Array]] | None, positions: bool) -> tuple[np.ndarray, dict[str, pa.Array]]:
-    """(the row of each posting, in order; term, tf and positions of each) of a part's pages; of the asked words and beginnings of words
-    only, if any are given."""
+def _met(b: pa.RecordBatch, sizes: np.ndarray, asked: tuple[pa.Array, list[pa.Array]] | None, positions: bool) -> tuple[np.ndarray, np.ndarray, pa.Array, dict[str, pa.Array]]:
+    """(each posting's row, in order; its word's number; the words; tf and positions of each) of a part's pages; of the asked words and
+    beginnings of words only, if any are given."""
     coded = b["tokens"].flatten().dictionary_encode()
     row, code, words = np.repeat(np.arange(b.num_rows), sizes), coded.indices.to_numpy(), coded.dictionary
     at = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes) if positions else None
@@ -55,10 +55,10 @@ def _met(b: pa.RecordBatch, sizes: np.ndarray, asked: tuple[pa.Array, list[pa.Ar
     key = key[order]
     edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), n) if n else np.zeros(1, np.int64)
     first = order[edges[:-1]]
-    out = {"term": words.take(pa.array(code[first])), "tf": pa.array(np.diff(edges).astype(np.int32))}
+    out = {"tf": pa.array(np.diff(edges).astype(np.int32))}
     if positions:
         out["positions"] = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(at[order].astype(np.int32)))
-    return row[first], out
+    return row[first], code[first], words, out
 
 
 def postings(pages: DataFrame, positions: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -74,13 +74,34 @@ def postings(pages: DataFrame, positions: bool = False, keep: tuple[str, ...] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, sizes in slices(batch):
-                row, out = _met(b, sizes, None, positions)
-                out |= {c: b[c].take(pa.array(row)) for c in names}
+                row, code, words, out = _met(b, sizes, None, positions)
+                out |= {c: b[c].take(pa.array(row)) for c in names} | {"term": words.take(pa.array(code))}
                 yield pa.RecordBatch.from_arrays([out[f.name] for f in schema], [f.name for f in schema])
 
     return slim.mapInArrow(run, schema)
 
 
+def posting_lists(pages: DataFrame, span: int) -> DataFrame:
+    """(term, part, places, sizes, tfs, positions) of pages (number, size, tokens): a word's pages in a part of a batch, in one row for each
+    ``part`` of ``span`` numbers. No shuffle."""
+    slim = pages.select("number", "size", "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, sizes in slices(batch):
+                row, code, words, out = _met(b, sizes, None, True)
+                order = np.argsort(code, kind="stable")
+                word, row = code[order], row[order]
+                part, place = np.divmod(b["number"].to_numpy()[row], span)
+                cuts = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (part[1:] != part[:-1]))) if len(row) else np.zeros(0, np.int64)
+                edges, order = pa.array(np.append(cuts, len(row)).astype(np.int32)), pa.array(order)
+                listed = lambda values: pa.ListArray.from_arrays(edges, values)  # noqa: B023, E731
+                values = [words.take(pa.array(word[cuts])), pa.array(part[cuts]), listed(pa.array(place.astype(np.int16))), listed(b["size"].take(pa.array(row))), listed(out["tf"].take(order)), listed(out["positions"].take(order))]
+                yield pa.RecordBatch.from_arrays(values, ["term", "part", "places", "sizes", "tfs", "positions"])
+
+    return slim.mapInArrow(run, "term string, part long, places array<smallint>, sizes array<smallint>, tfs array<int>, positions array<array<int>>")
+
+
 def page_entries(pages: DataFrame, words: list[str] | None = None, starts: list[str] = (), positions: bool = False) -> DataFrame:
     """(fp, page_index, dl, entries (term, tf[, positions])) of pages with tokens: the postings of a page in its row, of the given words and
     of those that begin as ``starts`` say only, if words are given. No shuffle, and all pages stay."""
@@ -94,7 +115,8 @@ def page_entries(pages: DataFrame, words: list[str] | None = None, starts: list[
         asked = None if words is None else (pa.array(words, pa.string()), [pa.array(x, pa.string()) for x in lengths.values()])
         for batch in batches:
             for b, sizes in slices(batch):
-                row, out = _met(b, sizes, asked, positions)
+                row, code, found, out = _met(b, sizes, asked, positions)
+                out = {"term": found.take(pa.array(code))} | out
                 edges = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
                 entries = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(list(out.values()), list(out)))
                 yield pa.RecordBatch.from_arrays([b["fp"], b["page_index"], b["dl"], entries], ["fp", "page_index", "dl", "entries"])

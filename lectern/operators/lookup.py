@@ -74,11 +74,9 @@ class PlainSearch:
         parts = []
         for s in self.view.segments:
             if blocks is None or s.name in blocks:
-                posts = self.view.segment_postings(s, list(self.idf))
+                posts = self.view.segment_postings(s, list(self.idf), positions=False, blocks=None if blocks is None else blocks[s.name])
                 if self.fp is not None:
                     posts = posts.where(F.col("fp") == self.fp)
-                if blocks is not None and blocks[s.name] is not None:
-                    posts = posts.join(blocks[s.name], "block", "left_semi")
                 parts.append(posts.select("term", "fp", "page_index", "dl", "tf"))
         part = weight(_of_word(self.idf), F.col("tf"), F.col("dl"), F.lit(self.view.avgdl))
         pages = self.view._union(parts, "term string, fp string, page_index int, dl int, tf int").groupBy("fp", "page_index").agg((-F.sum(part)).alias("rank"), F.count(F.lit(1)).alias("met"))
@@ -236,7 +234,7 @@ def score_index(index: StoredIndex, queries: DataFrame, near: int = NEAR) -> Dat
     view = index.now()
     positional = "op" in queries.columns
     wanted, leads = _with_leads(asked_queries(queries), view.terms(), positional)
-    posts = view.postings_of(wanted if positional else _sent(wanted))
+    posts = view.postings_of(wanted if positional else _sent(wanted), positional)
     entry = F.struct("term", "tf", *(["positions"] if positional else []))
     pages = posts.groupBy("fp", "page_index", "dl").agg(F.collect_list(entry).alias("entries"))
     return _met_queries(pages, leads, positional, view.n_pages, view.avgdl, near)

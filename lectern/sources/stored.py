@@ -1,25 +1,27 @@
 """The search index as tables in a folder: immutable segments, what was deleted in them, and a list of what counts.
 
 A segment is written once and never changed. It holds
-  pages      by bucket of the document: fp, path, page_index, text, dl, cell, and a number for trigrams
-  documents  by bucket of the document: the registry, and the forward index (each term of the document with the
-             pages and occurrences it has there)
-  postings   by bucket of the term, sorted by term and block: fp, page_index, dl, tf, positions, block
+  pages      by bucket of the document: fp, path, page_index, text, dl, cell, and a number; pages of one cell lie together
+  documents  by bucket of the document: the registry
+  postings   by bucket of the term, sorted by term in each task: the numbers of the pages that hold it, many in a row, with the
+             class of their length, tf, positions
   terms      df and cf, in ranges of the term, so that statistics of row groups cut a prefix to a range
   blocks     of frequent terms: the largest contribution to a rank in each block of pages
   page_grams if trigrams are asked for: by bucket of three characters, the numbers of the pages that hold them, many in a row
-An index of trigrams alone (``words=False``) has no postings, terms and blocks, and nothing of words in its documents.
+An index of trigrams alone (``words=False``) has no postings, terms and blocks.
+Only pages are shuffled to write a segment: each task writes the postings of its pages to the folders, and shuffle files go with the step
+that made them.
 
 A change (an upsert or a removal) finds the documents it touches in the buckets of their names, notes
-per segment which of them are deleted there and what they had added to the statistics, and writes
+per segment which of them are deleted there and what their pages had added to the statistics, and writes
 what is new as a segment of its own. So a change costs what it touches: postings of others are
 neither read nor written. Then a numbered file in ``published`` lists segments and changes
 that count from now on, by a rename to a name that was not there; readers take the highest number and
 never see half a change, and a change that is published already is skipped. Segments of similar
 size are merged by ``merge``. One writer at a time.
 
-Blocks group pages of similar length and repetitiveness, about ``BLOCK_PAGES`` each, as such pages give similar
-contributions. Folders' numbers follow the amount of text.
+Blocks are ``BLOCK_PAGES`` numbers in a row: pages of similar length and repetitiveness (a cell), as such pages give similar
+contributions. Folders' numbers follow the amount of text; those of postings end at ``TERM_FOLDERS``, as each task writes to all of them.
 """
 
 from __future__ import annotations
@@ -37,12 +39,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import tokenize
-from lectern.operators.index import forward_index, postings, with_tokens
+from lectern.operators.index import forward_index, posting_lists, with_tokens
 from lectern.operators.search import B, K1
 from lectern.sources.tables import bucket_of
 
 PAGES = "fp string, path string, page_index int, text string, dl int, cell int, number long, doc_bucket int"
-DOCUMENTS = "fp string, path string, page_count long, n_tokens long, last_indexed timestamp, terms array<struct<term:string,df:bigint,cf:bigint>>, doc_bucket int"
+DOCUMENTS = "fp string, path string, page_count long, n_tokens long, last_indexed timestamp, doc_bucket int"
+LISTS = "term string, part long, places array<smallint>, sizes array<smallint>, tfs array<int>, positions array<array<int>>, term_bucket int"
 POSTINGS = "term string, fp string, page_index int, dl int, tf int, positions array<int>, block long, term_bucket int"
 TERMS = "term string, df long, cf long"
 #: ``places`` of pages in a range of ``RANGE`` numbers, the ``part``-th one.
@@ -53,6 +56,12 @@ WINDOW = 1 << 21
 BLOCKS = "term string, block long, n long, best double, term_bucket int"
 #: Pages of a block, and pages a term must have to get block maxima.
 BLOCK_PAGES, FREQUENT = 16, 1024
+#: Classes of a page's length from each power of two to the next.
+SIZES = 4
+#: Folders of postings at most; tokens whose postings one task writes; frequent terms up to which they go to all tasks.
+TERM_FOLDERS, TASK_TOKENS, SENT = 16, 1 << 23, 500_000
+#: How Parquet packs the tables: differences of values that stand in order, also where a dictionary would do.
+PACKED = {"compression": "zstd", "parquet.writer.version": "v2"} | {f"parquet.enable.dictionary#{c}": "false" for c in ("term", "places.list.element", "sizes.list.element", "block")}
 #: Segments of one size class that are merged into one, and the ratio between size classes.
 FAN = 4
 
@@ -115,6 +124,25 @@ def page_grams(pages: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "gram string, part long, places array<smallint>")
 
 
+def block_maxima(lists: DataFrame, avgdl: float) -> DataFrame:
+    """(term, block, n, best, term_bucket) of rows of postings; a block that two rows share stands in both. A page's contribution is largest
+    at the least length of its class, which bounds it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b["places"]).to_numpy())
+            if not len(row):
+                continue
+            tf, least = b["tfs"].flatten().to_numpy(), np.maximum(0, 2.0 ** (b["sizes"].flatten().to_numpy() / SIZES) - 1)
+            block = (b["part"].to_numpy()[row] * RANGE + b["places"].flatten().to_numpy()) // BLOCK_PAGES
+            cuts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])))
+            best = np.maximum.reduceat(tf * (K1 + 1) / (tf + K1 * (1 - B + B * least / (avgdl or 1.0))), cuts)
+            of = pa.array(row[cuts])
+            yield pa.RecordBatch.from_arrays([b["term"].take(of), pa.array(block[cuts]), pa.array(np.diff(np.append(cuts, len(row)))), pa.array(best), b["term_bucket"].take(of)], ["term", "block", "n", "best", "term_bucket"])
+
+    return lists.select("term", "part", "places", "sizes", "tfs", "term_bucket").mapInArrow(run, BLOCKS)
+
+
 def grams_of(needle: str) -> list[str]:
     """Three-character strings of ASCII that every page with the needle, in any case, must hold."""
     low = needle.lower()
@@ -184,13 +212,32 @@ class Snapshot:
             rows = rows.where(F.col("doc_bucket").isin(wanted)).join(named, "fp", "left_semi")
         return self.live(segment, rows)
 
+    def forward(self, segment: Segment, fps: DataFrame) -> DataFrame:
+        """(fp, page_count, n_tokens, terms (term, df, cf)) of the named documents that are live in a segment: their pages are read in the
+        folders of their names, and their words counted."""
+        named = self.documents(segment, fps).select("fp", "path", "doc_bucket")
+        pages = self.read(segment, "pages", PAGES).join(named.select("fp", "doc_bucket"), ["doc_bucket", "fp"], "left_semi")
+        return StoredIndex._counted(pages, named.select("fp", "path")).drop("path")
+
     def registry(self) -> DataFrame:
         """(fp, path, page_count, last_indexed)"""
         return self._all("documents", DOCUMENTS).select("fp", "path", "page_count", "last_indexed")
 
-    def segment_postings(self, segment: Segment, terms: list[str] | None = None, prefixes: list[str] = ()) -> DataFrame:
+    def _named(self, segment: Segment, lists: DataFrame, more: tuple[str, ...] = (), positions: bool = True, blocks: DataFrame | None = None) -> DataFrame:
+        """Rows of postings as one row a posting, with the columns ``more`` of the list: its page's number gives fp, page_index, dl.
+        Those of deleted documents are left out, and those outside ``blocks``, if any are given."""
+        each = F.inline(F.arrays_zip("places", "tfs", *(["positions"] if positions else [])))
+        posts = lists.select("part", *more, each).withColumn("number", F.col("part") * RANGE + F.col("places")).withColumn("block", F.floor(F.col("number") / BLOCK_PAGES))
+        if blocks is not None:
+            posts = posts.join(blocks, "block", "left_semi")
+        names = self.live(segment, self.read(segment, "pages", PAGES).select("fp", "page_index", "dl", "number"))
+        kept = ["dl", F.col("tfs").alias("tf"), *(["positions"] if positions else []), "block"]
+        first, rest = (["term"], [m for m in more if m != "term"]) if "term" in more else ([], more)
+        return posts.join(names, "number").select(*first, "fp", "page_index", *kept, *rest)
+
+    def segment_postings(self, segment: Segment, terms: list[str] | None = None, prefixes: list[str] = (), positions: bool = True, blocks: DataFrame | None = None) -> DataFrame:
         """With the columns ``block`` and ``term_bucket``; of the named terms and prefixes only, read in their folders."""
-        posts = self.read(segment, "postings", POSTINGS)
+        posts = self.read(segment, "postings", LISTS)
         if terms is not None:
             wanted, test = {bucket_number(t, segment.buckets) for t in terms}, F.col("term").isin(list(terms)) if terms else F.lit(False)
             for p in prefixes:
@@ -199,18 +246,19 @@ class Snapshot:
                 wanted |= {r[0] for r in found.select(bucket_of(F.col("term"), segment.buckets)).distinct().collect()}  # folders at most
                 test = test | F.col("term").startswith(p)
             posts = posts.where(F.col("term_bucket").isin(sorted(wanted)) & test)
-        return self.live(segment, posts)
+        return self._named(segment, posts, ("term", "term_bucket"), positions, blocks)
 
     def postings(self, terms: list[str] | None = None, prefixes: list[str] = ()) -> DataFrame:
         """(term, fp, page_index, dl, tf, positions)"""
         return self._union([self.segment_postings(s, terms, prefixes) for s in self.segments], POSTINGS).drop("term_bucket", "block")
 
-    def postings_of(self, asked: DataFrame) -> DataFrame:
+    def postings_of(self, asked: DataFrame, positions: bool = True) -> DataFrame:
         """Postings joined to a table of asked terms (term, ...): only the folders of asked terms are read."""
         parts = []
         for s in self.segments:
             by_term = asked.withColumn("term_bucket", bucket_of(F.col("term"), s.buckets))
-            parts.append(self.live(s, self.read(s, "postings", POSTINGS).join(by_term, ["term_bucket", "term"])).drop("term_bucket", "block"))
+            found = self.read(s, "postings", LISTS).join(by_term, ["term_bucket", "term"]).drop("term_bucket")
+            parts.append(self._named(s, found, tuple(asked.columns), positions).drop("block"))
         return self._union(parts, "term string, fp string, page_index int, dl int, tf int, positions array<int>") if parts else asked.withColumns({"fp": F.lit(""), "page_index": F.lit(0), "dl": F.lit(0), "tf": F.lit(0), "positions": F.array().cast("array<int>")}).limit(0)
 
     def segment_terms(self, segment: Segment) -> DataFrame:
@@ -246,6 +294,7 @@ class Snapshot:
     def blocks(self, segment: Segment, terms: list[str]) -> DataFrame:
         """(term, block, n, best): ``best`` bounds a contribution at the present mean length."""
         rows = self.read(segment, "blocks", BLOCKS).where(F.col("term_bucket").isin(sorted({bucket_number(t, segment.buckets) for t in terms})) & F.col("term").isin(list(terms)))
+        rows = rows.groupBy("term", "block").agg(F.sum("n").alias("n"), F.max("best").alias("best"))
         return rows.select("term", "block", "n", (F.col("best") * F.lit(max(1.0, self.avgdl / segment.avgdl) if segment.avgdl else 1.0)).alias("best"))
 
 
@@ -288,50 +337,48 @@ class StoredIndex:
             raise OSError(f"{final} is there already: another writer")
 
     def _write(self, df: DataFrame, at: str, by: str | None = None) -> None:
-        writer = df.write.mode("overwrite")
-        conf, name = self.spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-        before = conf.get(name, None)
-        conf.set(name, str(16 << 20))  # batches of long pages stay small in the Python workers
+        writer = df.write.mode("overwrite").options(**PACKED)
+        conf = df.sparkSession.conf  # a stream's batch has a session of its own
+        # batches of long pages stay small in the Python workers, and shuffle files are deleted when the table is written
+        held = {"spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+        before = {k: conf.get(k, None) for k in held}
         try:
+            for k, v in held.items():
+                conf.set(k, v)
             (writer.partitionBy(by) if by else writer).parquet(f"{self.folder}/{at}")
         finally:
-            conf.unset(name) if before is None else conf.set(name, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
 
     def _segment(self, name: str, docs: DataFrame, pages: DataFrame, indexed_at: Column, buckets: int | None, doc_buckets: int | None) -> Segment | None:
         """Write ``pages`` (fp, path, page_index, text) of ``docs`` (fp, path) as a segment."""
         chars = pages.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-        segment = Segment(name, 0, 0, buckets or folders_for(chars), doc_buckets or folders_for(chars), 0.0, words=self.words)
-        at, view = f"segments/{name}", Snapshot(self.spark, self.folder, [])
+        folders = folders_for(chars)
+        segment = Segment(name, 0, 0, buckets or (min(TERM_FOLDERS, folders) if self.words else folders), doc_buckets or folders, 0.0, words=self.words)
         distinct = F.size(F.array_distinct("tokens"))
-        cell = F.floor(4 * F.log2(F.col("dl") + 1)) * 16 + F.least(F.lit(15), F.floor(16 * (1 - distinct / F.greatest(F.col("dl"), F.lit(1)))))
+        cell = F.floor(SIZES * F.log2(F.col("dl") + 1)) * 16 + F.least(F.lit(15), F.floor(16 * (1 - distinct / F.greatest(F.col("dl"), F.lit(1)))))
         rows = with_tokens(pages).select("fp", "path", "page_index", "text", "dl", cell.cast("int").alias("cell"), bucket_of(F.col("fp"), segment.doc_buckets).alias("doc_bucket"))
         self._write_pages(segment, rows)
-        stored = view.read(segment, "pages", PAGES)
-        cells = stored.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.sum("dl").alias("t")).orderBy("cell").collect()  # a few hundred
-        segment.pages, segment.tokens = sum(r["c"] for r in cells), sum(r["t"] or 0 for r in cells)
+        stored = self._stored(segment)
+        whole = stored.agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
+        segment.pages, segment.tokens = whole["c"], whole["t"]
         segment.avgdl = segment.tokens / segment.pages if segment.pages else 0.0
-        if self.trigrams:
-            self._write_trigrams(segment, stored)
-        if not self.words:
-            counts = stored.groupBy("fp").agg(F.count(F.lit(1)).alias("page_count"), F.sum("dl").alias("n_tokens"))
-            told = docs.select("fp", "path").dropDuplicates(["fp"]).join(counts, "fp", "left").na.fill(0, ["page_count", "n_tokens"])
-            none = F.array().cast("array<struct<term:string,df:bigint,cf:bigint>>")
-            self._write_documents(segment, told.select("fp", "path", "page_count", "n_tokens", none.alias("terms"), indexed_at.cast("timestamp").alias("last_indexed")))
-            return segment
-        placed, first = [], 0
-        for r in cells:
-            parts = -(-r["c"] // BLOCK_PAGES)
-            placed.append((r["cell"], first, parts))
-            first += parts
-        numbered = self.spark.createDataFrame(placed, "cell int, first long, parts long")
-        block = F.col("first") + F.pmod(F.xxhash64("fp", "page_index"), F.col("parts"))
-        blocked = with_tokens(stored.join(F.broadcast(numbered), "cell").withColumn("block", block))
-        posts = postings(blocked, positions=True, keep=("block",)).withColumn("term_bucket", bucket_of(F.col("term"), segment.buckets))
-        self._write_postings(segment, posts)
-        told = self._counted(stored, docs.select("fp", "path").dropDuplicates(["fp"])).withColumn("last_indexed", indexed_at.cast("timestamp"))
-        self._write_documents(segment, told)
+        counts = stored.groupBy("fp").agg(F.count(F.lit(1)).alias("page_count"), F.sum("dl").alias("n_tokens"))
+        told = docs.select("fp", "path").dropDuplicates(["fp"]).join(counts, "fp", "left").na.fill(0, ["page_count", "n_tokens"])
+        self._write_documents(segment, told.withColumn("last_indexed", indexed_at.cast("timestamp")))
+        self._write_found(segment, self.trigrams)
         return segment
 
+    def _stored(self, segment: Segment) -> DataFrame:
+        return Snapshot(self.spark, self.folder, []).read(segment, "pages", PAGES)
+
+    def _write_found(self, segment: Segment, trigrams: bool) -> None:
+        """What finds the stored pages: trigrams, if they are asked for, and postings."""
+        if trigrams:
+            self._write_trigrams(segment, self._stored(segment))
+        if segment.words:
+            self._write_postings(segment)
+
     @staticmethod
     def _counted(stored: DataFrame, docs: DataFrame | None = None) -> DataFrame:
         """(fp, path, page_count, n_tokens, terms) of the stored pages, or of ``docs`` (fp, path), with pages or without: a document's
@@ -343,7 +390,7 @@ class StoredIndex:
         return forward_index(rows).where("named").drop("named")
 
     def _write_pages(self, segment: Segment, rows: DataFrame) -> None:
-        rows = rows.hint("rebalance", "doc_bucket").sortWithinPartitions("doc_bucket", "fp", "page_index")
+        rows = rows.hint("rebalance", "doc_bucket").sortWithinPartitions("doc_bucket", "cell", "fp", "page_index")
         self._write(rows.withColumn("number", F.monotonically_increasing_id()), f"segments/{segment.name}/pages", "doc_bucket")
 
     def _write_trigrams(self, segment: Segment, stored: DataFrame) -> None:
@@ -355,26 +402,30 @@ class StoredIndex:
         rows = documents.withColumn("doc_bucket", bucket_of(F.col("fp"), segment.doc_buckets))
         self._write(rows.hint("rebalance", "doc_bucket").sortWithinPartitions("doc_bucket", "fp"), f"segments/{segment.name}/documents", "doc_bucket")
 
-    def _write_postings(self, segment: Segment, posts: DataFrame) -> None:
-        """Postings, and what is made from them. Folders with a frequent term are split over tasks by their size."""
+    def _write_postings(self, segment: Segment) -> None:
+        """Postings of the stored pages, and what is made from them: no posting is shuffled, a frequent term's are those of many tasks."""
         at, view = f"segments/{segment.name}", Snapshot(self.spark, self.folder, [])
-        self._write(posts.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term", "block"), f"{at}/postings", "term_bucket")
-        written = view.read(segment, "postings", POSTINGS)
-        stats = written.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
+        tasks = max(self.spark.sparkContext.defaultParallelism, segment.tokens // TASK_TOKENS)
+        lists = posting_lists(with_tokens(self._stored(segment).coalesce(tasks)).withColumn("size", F.floor(F.col("cell") / 16).cast("smallint")), RANGE).withColumn("term_bucket", bucket_of(F.col("term"), segment.buckets))
+        self._write(lists.sortWithinPartitions("term_bucket", "term", "part"), f"{at}/postings", "term_bucket")
+        written = view.read(segment, "postings", LISTS)
+        of_row = written.select("term", F.size("places").alias("df"), F.aggregate("tfs", F.lit(0).cast("long"), lambda n, tf: n + tf).alias("cf"))
+        stats = of_row.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
         self._write(stats.repartitionByRange("term").sortWithinPartitions("term"), f"{at}/terms")
         frequent = view.read(segment, "terms", TERMS).where(F.col("df") >= FREQUENT).select("term")
-        part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(segment.avgdl or 1.0)))
-        best = written.join(frequent, "term").groupBy("term_bucket", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max(part).alias("best"))
-        self._write(best.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term", "block"), f"{at}/blocks", "term_bucket")
+        if frequent.limit(SENT + 1).count() <= SENT:
+            frequent = F.broadcast(frequent)
+        best = block_maxima(written.join(frequent, "term", "left_semi"), segment.avgdl)
+        self._write(best.sortWithinPartitions("term_bucket", "term", "block"), f"{at}/blocks", "term_bucket")
 
     def _delete(self, view: Snapshot, fps: DataFrame, change: str) -> list[Segment]:
         """Segments after the documents ``fps`` are deleted in them; their names and statistics are noted under ``change``."""
-        found = [view.documents(s, fps).select(F.lit(s.name).alias("segment"), "fp", "page_count", "n_tokens", "terms") for s in view.segments]
-        if not found:
+        if not view.segments:
             return []
-        whole = view._union(found, "")
-        self._write(whole.drop("terms"), f"changes/{change}/deleted", "segment")
-        gone = whole.select("segment", F.inline("terms")).groupBy("segment", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        found = [view.documents(s, fps).select(F.lit(s.name).alias("segment"), "fp", "page_count", "n_tokens") for s in view.segments]
+        self._write(view._union(found, ""), f"changes/{change}/deleted", "segment")
+        words = [view.forward(s, fps).select(F.lit(s.name).alias("segment"), F.inline("terms")) for s in view.segments if s.words]
+        gone = view._union(words, "segment string, term string, df long, cf long").groupBy("segment", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
         self._write(gone, f"changes/{change}/gone", "segment")
         noted = self.spark.read.schema("fp string, page_count long, n_tokens long, segment string").parquet(f"{self.folder}/changes/{change}/deleted")
         counts = {r["segment"]: r for r in noted.groupBy("segment").agg(F.sum("page_count").alias("p"), F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("c")).collect()}
@@ -423,25 +474,18 @@ class StoredIndex:
         return True
 
     def _merged(self, name: str, view: Snapshot) -> Segment:
-        """One segment of the live rows of several: nothing is tokenised again, blocks of the parts stay apart."""
+        """One segment of the live pages of several, which get new numbers and postings."""
         size = lambda kind: min(4096, 1 << (sum(getattr(s, kind) for s in view.segments) - 1).bit_length())
         words = {s.words for s in view.segments}
         if len(words) > 1:
             raise ValueError("segments with words and without them can't be merged")
         segment = Segment(name, view.n_pages, view.n_tokens, size("buckets"), size("doc_buckets"), view.avgdl or 0.0, words=words.pop())
+        if segment.words:
+            segment.buckets = min(segment.buckets, max(TERM_FOLDERS, *(s.buckets for s in view.segments)))
         pages = view._all("pages", PAGES).drop("number").withColumn("doc_bucket", bucket_of(F.col("fp"), segment.doc_buckets))
         self._write_pages(segment, pages)
-        if all(s.trigrams for s in view.segments):
-            self._write_trigrams(segment, Snapshot(self.spark, self.folder, []).read(segment, "pages", PAGES))
         self._write_documents(segment, view._all("documents", DOCUMENTS).drop("doc_bucket"))
-        if not segment.words:
-            return segment
-        parts, first = [], 0
-        for s in view.segments:
-            parts.append(view.segment_postings(s).withColumn("block", F.col("block") + first))
-            first += view.read(s, "postings", POSTINGS).agg(F.coalesce(F.max("block") + 1, F.lit(0))).first()[0]
-        posts = view._union(parts, POSTINGS).withColumn("term_bucket", bucket_of(F.col("term"), segment.buckets))
-        self._write_postings(segment, posts)
+        self._write_found(segment, all(s.trigrams for s in view.segments))
         return segment
 
     def vacuum(self) -> None:

@@ -250,3 +250,48 @@ def test_documents_are_counted_across_batches(spark):
     terms = [(w, sum(w in x for x in own), sum(x.count(w) for x in own)) for w in sorted({w for x in own for w in x})]
     assert got == {d: (f"/q/{d}", 7, 21, terms) for d in "abc"} | {"d": (None, 1, 0, []), "e": ("/q/e", 0, 0, [])}
     assert posts == sorted(map(str, I.postings(I.with_tokens(pages), positions=True).collect())) and len(posts) == 3 * sum(len(set(x)) for x in own)
+
+
+def test_no_posting_is_shuffled(spark, tmp_path, monkeypatch):
+    """Postings are written by the tasks that make them, a row for many pages; a document's words are not stored twice; shuffle files go."""
+    pages = spark.createDataFrame([(f"d{i // 4}", "/p", i % 4, f"the w{i}") for i in range(400)], PAGES).repartition(3)
+    index, plans, write = StoredIndex(spark, str(tmp_path)), {}, StoredIndex._write
+
+    def noted(self, df, at, by=None):
+        plans[at.split("/")[-1]] = df._jdf.queryExecution().executedPlan().toString()
+        write(self, df, at, by)
+        assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    monkeypatch.setattr(StoredIndex, "_write", noted)
+    index.upsert(pages, pages, at(), "c0")
+    assert "MapInArrow" in plans["postings"] and "Exchange" not in plans["postings"]
+    assert len(spark.read.parquet(f"{tmp_path}/segments/c0/postings").where("term = 'the'").collect()) < 40
+    assert "terms" not in spark.read.parquet(f"{tmp_path}/segments/c0/documents").columns
+    assert index.postings().count() == 800 and index.terms().where("term = 'the' and df = 400").count() == 1
+
+
+def test_block_maxima_bound_contributions(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(f"d{i}", "/p", 0, " ".join(rng.choices(["the", "a", "b", "c"], k=rng.randint(0, 70)))) for i in range(1600)]
+    pages = spark.createDataFrame(rows, PAGES)
+    index = StoredIndex(spark, str(tmp_path))
+    index.upsert(pages, pages, at(), "c0")
+    view = index.now()
+    posts = view.segment_postings(view.segments[0], ["the"])
+    part = F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / view.avgdl))
+    own = posts.groupBy("block").agg(F.max(part).alias("most"), F.count(F.lit(1)).alias("m"))
+    both = own.join(view.blocks(view.segments[0], ["the"]), "block").collect()
+    assert len(both) == own.count() > 90 and all(r["most"] <= r["best"] + 1e-12 and r["m"] == r["n"] for r in both)
+
+
+def test_last_versions_in_a_batch(spark, monkeypatch):
+    from lectern.streaming import streams
+
+    rows = [("a", 1, "/x", "one"), ("a", 2, "/x", "two"), ("b", 1, "/y", "three"), ("c", 5, "/z", "v"), ("c", 5, "/z", "w")]
+    df = spark.createDataFrame(rows, "fp string, ts int, path string, text string")
+    for many in (10, 1):
+        monkeypatch.setattr(streams, "MANY", many)
+        assert sorted(map(tuple, streams.last_versions(df).collect())) == [rows[1], rows[2], rows[4]]
+    single = streams.last_versions(df.where("fp = 'b'"))
+    assert [tuple(r) for r in single.collect()] == [rows[2]] and "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
